@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, mixing, repeats
+from . import bpe, dac, langid, media, mixing, repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,25 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("rate", F.round("rate", 9))
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read_digests(dac.write_shards(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json")))
+
+
+def op6_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(documents(spark, sf_dir))
+
+
 MIX_SEED = 17
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -73,7 +92,8 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 
 
 def queries() -> dict:
-    return {"op2_suffix_repetition": op2_suffix_repetition, "op3_iso_media": op3_iso_media, "op5_poisson_mix": op5_poisson_mix}
+    found = [op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op10_subword_language]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
