@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dac, langid, media, mixing, repeats
+from . import bpe, dac, langid, media, mixing, nearjoin, repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repetition_rules(documents(spark, sf_dir)).drop("longest_repeat")
 
@@ -48,6 +52,25 @@ MIX_SEED = 17
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {nearjoin.SHINGLE - 1}], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {nearjoin.SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n_grams, md5(string_agg(g, chr(10) ORDER BY g)) AS node FROM grams GROUP BY doc_id),
+nodes AS (SELECT node, min(doc_id) AS rep, count(*) AS copies, any_value(n_grams) AS n FROM sets GROUP BY node),
+own AS (SELECT rep, g FROM nodes JOIN grams ON grams.doc_id = nodes.rep),
+common AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+linked AS (SELECT x, y, q.copies AS weight FROM common JOIN nodes p ON p.rep = x JOIN nodes q ON q.rep = y
+           WHERE c >= {nearjoin.THRESHOLD} * (p.n + q.n - c) - 1e-9),
+reach AS (SELECT rep AS x, rep AS y FROM nodes UNION SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x),
+cls AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+deg AS (SELECT x, sum(weight) AS n FROM linked GROUP BY x)
+SELECT d.doc_id, coalesce(cls.class_id, d.doc_id) AS class_id,
+       CAST(coalesce(deg.n, 0) + coalesce(nodes.copies, 1) - 1 AS BIGINT) AS n_links,
+       CAST(coalesce(nodes.copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(sets.n_grams, 0) AS BIGINT) AS n_grams
+FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN nodes USING (node) LEFT JOIN cls ON cls.x = nodes.rep LEFT JOIN deg ON deg.x = nodes.rep
+"""
+
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
@@ -92,9 +115,9 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 
 
 def queries() -> dict:
-    found = [op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op10_subword_language]
+    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op10_subword_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL}
