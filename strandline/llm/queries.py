@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dac, langid, media, mixing, nearjoin, repeats
+from . import bpe, dac, katz, langid, media, mixing, nearjoin, repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(documents(spark, sf_dir))
+
+
 def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(documents(spark, sf_dir))
 
@@ -115,7 +119,7 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 
 
 def queries() -> dict:
-    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op10_subword_language]
+    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op10_subword_language]
     return {f.__name__: f for f in found}
 
 
