@@ -107,6 +107,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
     """rows: (buckets, shares, language); SGD on the cross-entropy."""
     rng = np.random.default_rng(seed)
     k = len(languages)
+    if not rows:
+        return LanguageModel([], bits, np.zeros((1 << bits, 0)), np.zeros(0), 0.0)
     held = rng.random(len(rows)) < CALIBRATE if len(rows) >= 50 else np.zeros(len(rows), dtype=bool)
     embed = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim))
     weight, bias = rng.uniform(-0.1, 0.1, (dim, k)), np.zeros(k)
@@ -130,10 +132,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
     label = np.array([r[2] for r in check], dtype=int)
     best, heat = np.inf, 1.0
     for t in np.geomspace(0.2, 20, 60):  # the temperature with the least loss on the calibration part
-        loss = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(label)), label], 1e-300)).mean() if len(label) else 0.0
+        loss = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(label)), label], 1e-300)).mean()
         if loss < best - 1e-12:
             best, heat = loss, t
-    p = _softmax(logits / heat) if len(label) else logits
+    p = _softmax(logits / heat)
     right = p[np.arange(len(label)), label][p.argmax(axis=1) == label] if len(label) else np.zeros(0)
     bound = float(min(MOST_BOUND, np.quantile(right, REJECT_QUANTILE))) if len(right) else 0.0
     return LanguageModel(languages, bits, table / heat, bias / heat, bound)
@@ -155,7 +157,9 @@ def fit(docs: DataFrame, max_train: int = 1500, bits: int = 15, key: str = "doc_
                 share.append((n / max(1, j - i)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["doc_id", "lang", "at", "share"])
 
-    got = sorted(sample.mapInArrow(run, "doc_id long, lang string, at binary, share binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.at))
+    counted = sample.mapInArrow(run, "doc_id long, lang string, at binary, share binary")
+    counted = counted.groupBy("doc_id").agg(F.min(F.struct("at", "share", "lang")).alias("r")).select("doc_id", "r.*")  # repeated ids count once
+    got = sorted(counted.collect(), key=lambda r: r.doc_id)
     languages = sorted({r.lang for r in got})
     rows = [(np.frombuffer(r.at, dtype="<i4"), np.frombuffer(r.share, dtype="<f4").astype(float), languages.index(r.lang)) for r in got]
     return train(rows, languages, bits)
