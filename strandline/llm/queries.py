@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dac, katz, langid, media, mixing, nearjoin, repeats
+from . import bpe, dac, katz, langid, licenses, media, mixing, nearjoin, ranking, repeats
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(documents(spark, sf_dir))
 
 
+def op8_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality_of(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(documents(spark, sf_dir))
 
@@ -119,9 +127,9 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 
 
 def queries() -> dict:
-    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op10_subword_language]
+    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op8_pairwise_ranking, op9_license_paragraphs, op10_subword_language]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_paragraphs": licenses.scan_sql()}
