@@ -1,11 +1,593 @@
-"""The queries of this package, by name, and their SQL."""
+"""One query per operator over the driver's tables, with the same result as DuckDB SQL.
+
+Conventions: every computed column is named; doubles are rounded well above the noise of summation; minus infinity and NaN never
+leave a query.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import crypto, prob, scalar, text
+from ..operators import aggregates, genotypes, linalg, lookup, patterns, rows, sequences, suffixes, typed
+from ..schema import ColumnKind
+from ..session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- typed text tables
+
+
+@query("""
+SELECT c_mktsegment, count(*) AS n, count(c_custkey) AS n_key, count(c_name) AS n_name, round(sum(c_acctbal), 2) AS total_acctbal
+FROM customer GROUP BY c_mktsegment
+""")
+def tsv_roundtrip_typed(spark, sf_dir):
+    """Customers as escaped text rows, read back by sigils, grouped by segment."""
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    kinds = [ColumnKind("c_custkey", "int"), ColumnKind("c_name", "str", length=64), ColumnKind("c_acctbal", "real"), ColumnKind("c_mktsegment", "cat", {s: i for i, s in enumerate(segments)})]
+    cells = [F.coalesce(F.col(k.name).cast("string"), F.lit("")) for k in kinds]
+    lines = table(spark, sf_dir, "customer").select(F.array_join(F.array(*map(text.escape, cells)), "\t").alias("value"))
+    back = lines.select(F.transform(F.split("value", "\t", -1), lambda c: text.unescape(text.trim(c))).alias("cells"))
+    data = typed.to_typed(rows.drop_empty(back), kinds)
+    return data.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count("c_custkey").alias("n_key"), F.count("c_name").alias("n_name"), F.round(F.sum("c_acctbal"), 2).alias("total_acctbal"))
+
+
+@query("""
+SELECT lang, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)
+WHERE line <> '' GROUP BY lang
+""")
+def filter_nonempty_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("lang", F.explode(F.transform(F.split("text", "\n", -1), lambda x: F.array(x))).alias("cells"))
+    kept = rows.drop_empty(lines).select("lang", F.get("cells", F.lit(0)).alias("line"))
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS n, sum(code)::BIGINT AS codes FROM (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders)
+GROUP BY o_orderpriority
+""")
+def factor_encode(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    coded = lookup.encode_factor(orders.select("o_orderpriority"), "o_orderpriority", lookup.levels(orders, "o_orderpriority"))
+    return coded.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("code").alias("codes"))
+
+
+@query("""
+SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag
+""")
+def factor_decode(spark, sf_dir):
+    """To codes and back, with an error for an unknown code."""
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag")
+    dim = lookup.levels(items, "l_returnflag")
+    coded = lookup.encode_factor(items, "l_returnflag", dim).select("code")
+    return lookup.decode_factor(coded, "code", dim, "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT column_name, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_missing, count(*) AS n_rows FROM (
+  SELECT 'o_orderkey' AS column_name, CASE WHEN regexp_full_match(CAST(o_orderkey AS VARCHAR), '[-+0-9]+') THEN 'x' END AS v FROM orders
+  UNION ALL SELECT 'o_orderstatus', CASE WHEN o_orderstatus IN ('F', 'O') THEN 'x' END FROM orders
+  UNION ALL SELECT 'o_orderpriority', CASE WHEN regexp_full_match(o_orderpriority, '[-+0-9]+') THEN 'x' END FROM orders)
+GROUP BY column_name
+""")
+def na_counts(spark, sf_dir):
+    """Cells that don't fit their kind are missing."""
+    cells = table(spark, sf_dir, "orders").select(F.array(*(F.col(c).cast("string") for c in ("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("cells"))
+    kinds = [ColumnKind("o_orderkey", "int"), ColumnKind("o_orderstatus", "cat", {"F": 0, "O": 1}), ColumnKind("o_orderpriority", "int")]
+    return typed.missing_counts(typed.to_typed(cells, kinds), [k.name for k in kinds])
+
+
+@query("""
+SELECT p_partkey, CASE WHEN length(p_type) BETWEEN 1 AND 12 THEN p_type END AS short_type FROM part
+""")
+def fixed_string(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.fixed_string(F.col("p_type"), 12).alias("short_type"))
+
+
+@query("""
+SELECT s_suppkey, s_suppkey::VARCHAR AS key_text, printf('%e', round(s_acctbal, 2)) AS balance_text, coalesce(s_name, '') AS name_text FROM supplier
+""")
+def render_cells(spark, sf_dir):
+    """Typed values as text: integers, reals with six digits of mantissa, missing as empty."""
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", F.round("s_acctbal", 2).alias("b"), "s_name")
+    return t.select("s_suppkey", typed.cell_text(F.col("s_suppkey"), "int").alias("key_text"), typed.cell_text(F.col("b"), "real").alias("balance_text"), typed.cell_text(F.col("s_name"), "str").alias("name_text"))
+
+
+# ---- order, ranges, bounds
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 10
+""")
+def sort_limit_range(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return rows.page(items, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 50, 10)
+
+
+@query("""
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 2000
+""")
+def row_range(spark, sf_dir):
+    return rows.row_range(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 1000, 2000, "o_orderkey")
+
+
+@query("""
+SELECT probe, count(*) FILTER (o_totalprice < probe) AS lower_bound, count(*) FILTER (o_totalprice <= probe) AS upper_bound
+FROM orders, (VALUES (1000.0::DOUBLE), (100000.0::DOUBLE), (250000.0::DOUBLE)) v(probe) GROUP BY probe
+""")
+def bounds(spark, sf_dir):
+    return rows.bounds(table(spark, sf_dir, "orders"), F.col("o_totalprice"), [1000.0, 100000.0, 250000.0])
+
+
+@query("""
+SELECT name, balance FROM (SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier)
+""")
+def merge_sorted(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return rows.merge_sorted(a, b, ["balance", "name"])
+
+
+# ---- text
+
+
+@query("""
+SELECT token, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) WHERE token <> '' GROUP BY token
+""")
+def tokenize_count(spark, sf_dir):
+    tokens = table(spark, sf_dir, "documents").select(F.explode(text.split_all(F.col("text"), " ")).alias("token"))
+    return tokens.filter("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+SELECT page_id, nullif(regexp_extract(html, '<[a-z]+>', 0), '') AS first_tag FROM pages
+""")
+def regex_find_first(spark, sf_dir):
+    """The first plain opening tag of a page: leftmost, shortest."""
+    letters = patterns.charset("abcdefghijklmnopqrstuvwxyz")
+    node = patterns.literal("<") + letters + letters.star() + patterns.literal(">")
+    return table(spark, sf_dir, "pages").select("page_id", patterns.first_match(F.col("html"), node).alias("first_tag"))
+
+
+@query(r"""
+WITH runs AS (SELECT item_id, length(r) AS n FROM (SELECT item_id, unnest(regexp_extract_all(text, '[a-z]+')) AS r FROM benchmark))
+SELECT item_id, coalesce(max(n), -1)::INTEGER AS longest FROM benchmark LEFT JOIN runs USING (item_id) GROUP BY item_id
+""")
+def regex_longest(spark, sf_dir):
+    """Length of the longest run of lower-case letters anywhere in an item."""
+    letters = patterns.charset("abcdefghijklmnopqrstuvwxyz")
+    find = patterns.find_long_udf(letters + letters.star())
+    return table(spark, sf_dir, "benchmark").select("item_id", find("text")["length"].alias("longest"))
+
+
+@query(r"""
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(t, '[a-z]+') THEN 0 WHEN regexp_full_match(t, '[0-9]+') THEN 1 ELSE 2 END AS kind
+FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '(?i)[a-z]+|[0-9]+|[^a-zA-Z0-9]')) AS t, o_orderpriority FROM orders)
+WHERE t = lower(t)) GROUP BY kind
+""")
+def regex_tokens(spark, sf_dir):
+    """Maximal-munch tokens of a priority: words, numbers, other characters (lower-cased words are left out by the sets)."""
+    word = patterns.charset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    digit = patterns.charset("0123456789")
+    rest = patterns.charset(" -.,:;")
+    udf = patterns.tokenize_udf(word + word.star(), digit + digit.star(), rest)
+    found = table(spark, sf_dir, "orders").select(F.explode(udf("o_orderpriority")).alias("t")).select(F.element_at("t.types", 1).alias("kind"))
+    return found.filter("kind > 0").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT doc_id, (length(text) - length(replace(text, 'th', ''))) // 2 AS n_th FROM documents
+""")
+def substring_occurrences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.occurrences(F.col("text"), "th").cast("bigint").alias("n_th"))
+
+
+@query("""
+SELECT item_id, r::BIGINT - 1 AS rank, pos FROM (
+  SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY substr(t, pos::INTEGER + 1)) AS r
+  FROM (SELECT item_id, t, unnest(range(0, length(t))) AS pos FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g')[1:40] AS t FROM benchmark)))
+""")
+def suffix_array(spark, sf_dir):
+    """Suffix arrays of the first 40 ASCII characters of an item (the feature is the array; its length is the parameter)."""
+    head = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("t"))
+    return suffixes.ranked_suffixes(head, "item_id", "t")
+
+
+@query("""
+SELECT item_id, count(*) FILTER (substr(t, pos::INTEGER + 1) < 'th' ) AS lower_end,
+       count(*) FILTER (substr(t, pos::INTEGER + 1, 2) = 'th') AS hits
+FROM (SELECT item_id, t, unnest(range(0, length(t))) AS pos FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)) GROUP BY item_id
+""")
+def suffix_search(spark, sf_dir):
+    """The run of suffixes that begin with a pattern, in the suffix array of the whole ASCII text."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).select("item_id", "t", suffixes.suffix_array_udf("t").alias("sa"))
+    found = t.select("item_id", suffixes.interval(F.col("sa"), F.col("t"), "th").alias("r"))
+    return found.select("item_id", F.col("r.from").cast("bigint").alias("lower_end"), (F.col("r.to") - F.col("r.from")).cast("bigint").alias("hits"))
+
+
+@query("""
+SELECT doc_id, sha256(text) AS digest FROM documents
+""")
+def sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", crypto.sha256(F.col("text")).alias("digest"))
+
+
+@query("""
+SELECT doc_id, text FROM documents
+""")
+def encrypt_roundtrip(spark, sf_dir):
+    """Every text encrypted by block and decrypted again."""
+    key = F.lit(bytes(range(32)))
+    sealed = table(spark, sf_dir, "documents").select("doc_id", crypto.encrypt_block(F.col("text"), key).alias("sealed"))
+    return sealed.select("doc_id", crypto.decrypt_block(F.col("sealed"), key).cast("string").alias("text"))
+
+
+@query("""
+SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || '.T') AS trimmed, starts_with(text, 'The') AS starts, ends_with(text, '.') AS ends,
+       length(regexp_extract(text, '^[A-Za-z]*', 0)) AS letters, strpos(text, 'and') - 1 AS first_and,
+       CASE WHEN strpos(text, '. ') > 0 THEN left(text, strpos(text, '. ') - 1) ELSE text END AS head FROM documents
+""")
+def text_spans(spark, sf_dir):
+    c = F.col("text")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.trim(c, text.BLANKS + ".T").alias("trimmed"), c.startswith("The").alias("starts"), c.endswith(".").alias("ends"),
+        text.span(c, letters).cast("bigint").alias("letters"), text.find(c, "and").cast("bigint").alias("first_and"), text.split_first(c, ". ")["head"].alias("head"),
+    )
+
+
+@query(r"""
+SELECT p_partkey, try_cast(CASE WHEN regexp_full_match(split_part(p_brand, '#', 2), '[-+]?[0-9]+') THEN split_part(p_brand, '#', 2) END AS BIGINT) AS brand_number,
+       p_retailprice AS price FROM part
+""")
+def parse_numbers(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    number = text.split_first(F.col("p_brand"), "#")["tail"]
+    return t.select("p_partkey", text.parse_int(F.coalesce(number, F.lit(""))).alias("brand_number"), text.parse_float(F.col("p_retailprice").cast("string")).alias("price"))
+
+
+# ---- log space
+
+
+@query("""
+WITH v AS (SELECT l_returnflag, -l_extendedprice / 1e4 AS x FROM lineitem), m AS (SELECT l_returnflag, max(x) AS m FROM v GROUP BY 1)
+SELECT l_returnflag, round(any_value(m) + ln(sum(exp(x - m))), 6) AS lse FROM v JOIN m USING (l_returnflag) GROUP BY l_returnflag
+""")
+def lse_by_group(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select("l_returnflag", (-F.col("l_extendedprice") / 1e4).alias("x"))
+    return prob.log_sum_exp(v, ["l_returnflag"], "x").select("l_returnflag", F.round("lse", 6).alias("lse"))
+
+
+@query("""
+SELECT event_type, round(ln(avg(exp(value / 100))), 6) AS log_mean FROM events WHERE value IS NOT NULL GROUP BY event_type
+""")
+def log_mean_exp(spark, sf_dir):
+    v = table(spark, sf_dir, "events").filter("value is not null").select("event_type", (F.col("value") / 100).alias("x"))
+    return aggregates.log_mean_exp(v, ["event_type"], "x").select("event_type", F.round("log_mean", 6).alias("log_mean"))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders)
+SELECT o_custkey, max(o_orderkey) FILTER (k = 1) AS best_id, max(o_totalprice) FILTER (k = 1) AS best_score,
+       max(o_orderkey) FILTER (k = 2) AS second_id, max(o_totalprice) FILTER (k = 2) AS second_score FROM r GROUP BY o_custkey
+""")
+def winner_and_runner_up(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return aggregates.best_two(orders, ["o_custkey"], "o_totalprice", "o_orderkey")
+
+
+@query("""
+SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS right_price,
+       (SELECT min(o2.o_orderkey) FROM orders o2 WHERE o2.o_custkey = o.o_custkey AND o2.o_orderstatus <> 'F' AND o2.o_totalprice =
+         (SELECT max(o_totalprice) FROM orders o3 WHERE o3.o_custkey = o.o_custkey AND o3.o_orderstatus <> 'F')) AS wrong_key
+FROM orders o GROUP BY o_custkey
+""")
+def right_and_wrong(spark, sf_dir):
+    """The best right answer (a finished order) and the best wrong one, lowest key first."""
+    w = aggregates.winners(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F", F.col("o_totalprice"), F.col("o_orderkey"))
+    return w.select("o_custkey", F.when(F.col("right_score") > prob.NEG_INF, F.col("right_score")).alias("right_price"), F.when(F.col("wrong_index") >= 0, F.col("wrong_index")).alias("wrong_key"))
+
+
+@query("""
+WITH j AS (SELECT l_returnflag, l_linestatus, ln(sum(l_quantity)) - ln((SELECT sum(l_quantity) FROM lineitem)) AS p FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, round(p, 6) AS ln_joint, round(ln(sum(exp(p)) OVER (PARTITION BY l_returnflag)), 6) AS ln_flag,
+       round(ln(sum(exp(p)) OVER (PARTITION BY l_linestatus)), 6) AS ln_status, round(p - ln(sum(exp(p)) OVER (PARTITION BY l_linestatus)), 6) AS ln_flag_given_status FROM j
+""")
+def joint_and_marginals(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(prob.log_of(F.sum("l_quantity")).alias("w"))
+    total = prob.log_sum_exp(cells, [], "w", "total")
+    joint = cells.crossJoin(F.broadcast(total)).select("l_returnflag", "l_linestatus", (F.col("w") - F.col("total")).alias("p"))  # total: one row
+    flag, status = prob.log_sum_exp(joint, ["l_returnflag"], "p", "pf"), prob.log_sum_exp(joint, ["l_linestatus"], "p", "ps")
+    out = joint.join(flag, "l_returnflag").join(status, "l_linestatus")
+    return out.select("l_returnflag", "l_linestatus", F.round("p", 6).alias("ln_joint"), F.round("pf", 6).alias("ln_flag"), F.round("ps", 6).alias("ln_status"), F.round(F.col("p") - F.col("ps"), 6).alias("ln_flag_given_status"))
+
+
+@query("""
+SELECT o_orderpriority, n, round(n / sum(n) OVER (), 9) AS share FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
+""")
+def proportions(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    packed = counts.agg(F.array_sort(F.collect_list(F.struct("o_orderpriority", "n"))).alias("c"))  # one entry a priority
+    shares = packed.select("c", aggregates.proportions(F.transform("c", lambda x: x["n"])).alias("s"))
+    return shares.select(F.explode(F.arrays_zip("c", "s")).alias("x")).select("x.c.o_orderpriority", "x.c.n", F.round("x.s", 9).alias("share"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, list_sort(list(l_partkey % 10)) AS canon FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) = 2)
+SELECT array_to_string(canon, '/') AS pair, count(*) AS n FROM p GROUP BY ALL
+""")
+def canonical_pairs(spark, sf_dir):
+    """The multiset of an order's first two parts, as a class of its own."""
+    pairs = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 10).alias("parts")).filter("size(parts) = 2")
+    canon = aggregates.canonical_genotype(F.col("parts"), [2])
+    return pairs.select(F.array_join(F.transform(canon, lambda x: x.cast("string")), "/").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_orderkey, a AS allele, coalesce(sum(l_linenumber) FILTER (l_partkey % 4 = a), 0)::BIGINT AS load
+FROM lineitem, range(0, 4) r(a) WHERE l_linenumber <= 2 GROUP BY ALL HAVING count(*) = 2
+""")
+def allele_loading(spark, sf_dir):
+    """Loads (line numbers) summed by allele (a part's remainder) of two individuals with one chromosome."""
+    packed = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 4).alias("a")))).alias("x")).filter("size(x) = 2")
+    load = aggregates.allele_loading(F.transform("x", lambda v: v["a"]), F.transform("x", lambda v: v["l_linenumber"]), [1, 1], 4)
+    return packed.select("l_orderkey", F.posexplode(load).alias("allele", "load")).select("l_orderkey", F.col("allele").cast("bigint").alias("allele"), "load")
+
+
+@query("""
+SELECT n_nationkey, r_regionkey, (n_nationkey * 10 + r_regionkey)::BIGINT AS score FROM nation, region
+""")
+def crossproduct_score(spark, sf_dir):
+    both = lookup.cross(table(spark, sf_dir, "nation").select("n_nationkey"), table(spark, sf_dir, "region").select("r_regionkey"))
+    return both.select("n_nationkey", "r_regionkey", (F.col("n_nationkey") * 10 + F.col("r_regionkey")).cast("bigint").alias("score"))
+
+
+@query("""
+SELECT o_orderkey, coalesce(c_name, '') AS customer FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey
+""")
+def lookup_left(spark, sf_dir):
+    """Codes to names; a code without a name gives an empty text."""
+    names = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return lookup.lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, "o_custkey").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("customer"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, i, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+SELECT a.i AS row_no, b.i AS col_no, round(sum(a.v::DOUBLE * b.v::DOUBLE), 4) AS v FROM e a JOIN e b USING (vec_id) WHERE a.i <= 8 AND b.i <= 8 GROUP BY 1, 2
+""")
+def gram_matrix(spark, sf_dir):
+    """The first eight rows and columns of the product of the transposed vectors with themselves."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).filter("k < 8").select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), F.col("x").cast("double").alias("v"))
+    a, b = cells.select(F.col("k").alias("i"), F.col("vec_id").alias("j"), "v"), cells.select(F.col("vec_id").alias("i"), F.col("k").alias("j"), "v")
+    return lookup.multiply(a, b).select(F.col("i").alias("row_no"), F.col("j").alias("col_no"), F.round("v", 4).alias("v"))
+
+
+@query("""
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings
+""")
+def vector_norm(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(aggregates.norm(F.transform("embedding", lambda x: x.cast("double"))), 5).alias("norm"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(-0.5 * (4.0 / 3.0 * (x * x - x * y + y * y)) - ln(2 * pi()) - 0.5 * ln(0.75), 6) AS log_pdf
+FROM (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / 10 AS x, (l_tax - 0.04) / 0.02 AS y FROM lineitem)
+""")
+def gaussian_logpdf(spark, sf_dir):
+    g = prob.Gaussian([0.0, 0.0], [[1.0, 0.5], [0.5, 1.0]])
+    t = table(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", F.round(g.log_pdf((F.col("l_quantity") - 25) / 10, (F.col("l_tax") - 0.04) / 0.02), 6).alias("log_pdf"))
+
+
+@query("""
+SELECT event_id, round(ln(0.25 * exp(-0.5 * power(value / 10, 2)) / (10 * sqrt(2 * pi())) + 0.75 * exp(-0.5 * power((value - 50) / 40, 2)) / (40 * sqrt(2 * pi()))), 6) AS log_pdf
+FROM events WHERE value IS NOT NULL AND value BETWEEN -200 AND 400
+""")
+def mixture_logpdf(spark, sf_dir):
+    m = prob.Mixture()
+    m.add(prob.Gaussian([0.0], [[100.0]]))
+    m.add(prob.Gaussian([50.0], [[1600.0]]))
+    m.set_weights([0.25, 0.75])
+    t = table(spark, sf_dir, "events").filter("value is not null and value between -200 and 400")
+    return t.select("event_id", F.round(m.log_pdf(F.col("value")), 6).alias("log_pdf"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 10 AND l_quantity < 30 AND l_discount >= 0.02 AND l_discount < 0.07 THEN round(-ln(20) - ln(0.05), 6) END AS log_pdf FROM lineitem
+""")
+def uniform_logpdf(spark, sf_dir):
+    u = prob.Uniform([10.0, 0.02], [30.0, 0.07])
+    p = u.log_pdf(F.col("l_quantity"), F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(p > prob.NEG_INF, F.round(p, 6)).alias("log_pdf"))
+
+
+@query("""
+SELECT p_partkey, round(exp(x) - 1, 6) AS em1, round(ln(1 + x), 6) AS l1p, round(ln(1 - exp(-x)), 6) AS l1me FROM (SELECT p_partkey, p_retailprice / 1000 AS x FROM part)
+""")
+def special_functions(spark, sf_dir):
+    x = F.col("p_retailprice") / 1000
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(F.expm1(x), 6).alias("em1"), F.round(F.log1p(x), 6).alias("l1p"), F.round(prob.log_one_minus_exp(-x), 6).alias("l1me"))
+
+
+@query("SELECT p_partkey, round(lgamma(p_size + 0.5), 6) AS log_gamma FROM part")
+def lgamma_col(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.log_gamma(F.col("p_size") + 0.5), 6).alias("log_gamma"))
+
+
+@query("""
+SELECT p_partkey, round(sign(x) * (2 / sqrt(pi())) * list_sum(list_transform(range(0, 60), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END
+       * exp((2 * n + 1) * ln(abs(x)) - lgamma(n + 1)) / (2 * n + 1))), 6) AS erf FROM (SELECT p_partkey, p_size / 25.0 - 1.02 AS x FROM part)
+""")
+def erf_col(spark, sf_dir):
+    """The error function; the SQL sums its power series."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.erf(F.col("p_size") / 25.0 - 1.02), 6).alias("erf"))
+
+
+@query("SELECT p_partkey, round(p_size / 51.0 - 0.5, 6) AS x FROM part")
+def erf_inverse_col(spark, sf_dir):
+    """The error function of its inverse is the argument."""
+    x = F.col("p_size") / 51.0 - 0.5
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.erf(prob.erf_inverse(x)), 6).alias("x"))
+
+
+# ---- sequences
+
+
+@query("""
+SELECT doc_id, round(power(10, -(ascii(text) - 33) / 10.0), 9) AS error FROM documents WHERE ascii(text) BETWEEN 33 AND 126
+""")
+def phred_error(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("ascii(text) between 33 and 126").select("doc_id", F.round(sequences.phred_error(F.col("text")), 9).alias("error"))
+
+
+_IUPAC = ", ".join(f"('{k}', '{v}')" for k, v in sequences.IUPAC.items())
+
+
+@query(f"""
+WITH t AS (SELECT item_id, upper(text[1:1]) AS code FROM benchmark), i AS (SELECT * FROM (VALUES {_IUPAC}) v(code, hot))
+SELECT item_id, {", ".join(f"round(CASE WHEN hot IS NULL OR length(hot) = 4 THEN 0.25 WHEN contains(hot, '{b}') THEN 0.9 / length(hot) ELSE 0.1 / (4 - length(hot)) END, 9) AS w_{b.lower()}" for b in "ACGT")}
+FROM t LEFT JOIN i USING (code)
+""")
+def iupac_weights(spark, sf_dir):
+    """Base weights of each item's first letter as a nucleotide code with error 0.1."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", sequences.iupac_weights(F.substring("text", 1, 1), F.lit(0.1)).alias("w"))
+    return w.select("item_id", *(F.round(F.get("w", F.lit(i)), 9).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
+
+
+@query("""
+SELECT lang, """ + ", ".join(f"sum(length(text) - length(replace(text, '{b}', '')))::BIGINT AS n_{b}" for b in "acgt") + """ FROM documents GROUP BY lang
+""")
+def base_composition(spark, sf_dir):
+    counts = [F.sum(F.length("text") - F.length(F.replace("text", F.lit(b)))).alias(f"n_{b}") for b in "acgt"]
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(*counts)
+
+
+@query("""
+SELECT item_id, length(s)::BIGINT AS size, length(s)::BIGINT AS n_suffix, round(sum(CASE WHEN c IN ('a', 'c', 'g', 't') THEN 1.0 ELSE 0 END), 4) AS total_weight, round(sum(CASE WHEN c = 'a' THEN 0.99 WHEN c IN ('c', 'g', 't') THEN 0.01 / 3 ELSE 0 END), 4) AS a_weight
+FROM (SELECT item_id, s, unnest(string_split(s, '')) AS c FROM (SELECT item_id, lower(text) AS s FROM benchmark)) WHERE c <> '' GROUP BY item_id, s
+""")
+def sequence_graphs(spark, sf_dir):
+    """Items as sequences over acgt to one-contig graphs; sizes and sums of their base weights."""
+    seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.lit("x").alias("name"), F.lower("text").alias("seq"))
+    g = sequences.sequences_to_graphs(seqs, "acgt", 0.01).select("graph_id", "suffix", F.element_at("contigs", 1).alias("c"))
+    sums = lambda f: F.aggregate(F.col("c.pos"), F.lit(0.0), lambda a, p: a + f(p["base"]).cast("double"))
+    whole = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + x)
+    return g.select(F.col("graph_id").alias("item_id"), "c.size", F.size("suffix").cast("bigint").alias("n_suffix"), F.round(sums(whole), 4).alias("total_weight"), F.round(sums(lambda b: F.get(b, F.lit(0))), 4).alias("a_weight"))
+
+
+# ---- genotypes
+
+
+@query("""
+WITH g AS (SELECT a.range * 27 + b.range * 9 + c.range * 3 + d.range AS geno_idx, least(a.range, b.range) AS a0, greatest(a.range, b.range) AS a1, least(c.range, d.range) AS b0, greatest(c.range, d.range) AS b1
+           FROM range(3) a, range(3) b, range(3) c, range(3) d)
+SELECT geno_idx, (dense_rank() OVER (ORDER BY a0, a1, b0, b1) - 1)::INTEGER AS class FROM g
+""")
+def genotype_enumeration(spark, sf_dir):
+    """All genotypes of three alleles and two individuals of ploidy two, with their classes."""
+    return genotypes.genotypes(spark, 3, (2, 2)).select("geno_idx", "class")
+
+
+@query("""
+SELECT (row_number() OVER (ORDER BY a.range DESC, b.range DESC, c.range DESC) - 1)::INTEGER AS load_idx, a.range::INTEGER AS load_0, b.range::INTEGER AS load_1, c.range::INTEGER AS load_2
+FROM range(13) a, range(13) b, range(13) c WHERE 2 * a.range + 2 * b.range + c.range = 12 AND b.range <= a.range
+""")
+def loading_enumeration(spark, sf_dir):
+    """All loadings of twelve copies on ploidies 2, 2 and 1."""
+    return genotypes.loadings(spark, 12, (2, 2, 1)).select("load_idx", *(F.get("load", F.lit(i)).alias(f"load_{i}") for i in range(3)))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT id, 0 AS step, id::HUGEINT AS state FROM (SELECT range AS id FROM range(50))
+  UNION ALL SELECT id, step + 1, (((state % 4294967296) * 6364136223846793005::HUGEINT
+       + ((((state // 4294967296) * (6364136223846793005::HUGEINT % 4294967296)) % 4294967296) * 4294967296) + 1442695040888963407::HUGEINT) % 18446744073709551616::HUGEINT) FROM s WHERE step < 10)
+SELECT id, (state // 2)::BIGINT AS value FROM s WHERE step = 10
+""")
+def lcg_sequence(spark, sf_dir):
+    """The tenth value of fifty seeds of the linear congruential generator."""
+    state = scalar.lcg_after(F.col("id"), F.lit(10))
+    return spark.range(50).select("id", scalar.lcg_value(state).alias("value"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, (l_orderkey << 3) AS shifted, (l_orderkey >> 2) AS halved, l_orderkey & 255 AS low, l_orderkey | 256 AS joined, xor(l_orderkey, 85) AS flipped,
+       (CASE WHEN l_partkey > l_suppkey THEN l_partkey ELSE l_suppkey END) AS larger, ((18446744073709551616::HUGEINT - l_orderkey) % 18446744073709551616::HUGEINT) // (l_partkey + 1) > 0 AS big, l_quantity::INTEGER AS quantity
+FROM lineitem
+""")
+def scalar_operations(spark, sf_dir):
+    """Shifts, bits, selection, unsigned division and conversion."""
+    k = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.shiftleft(k, 3).alias("shifted"), F.shiftrightunsigned(k, 2).alias("halved"), k.bitwiseAND(F.lit(255)).alias("low"), k.bitwiseOR(F.lit(256)).alias("joined"), k.bitwiseXOR(F.lit(85)).alias("flipped"),
+        scalar.select(F.col("l_partkey") > F.col("l_suppkey"), F.col("l_partkey"), F.col("l_suppkey")).alias("larger"), scalar.unsigned_greater(scalar.unsigned_divide(-k, F.col("l_partkey") + 1), F.lit(0)).alias("big"), scalar.convert(F.col("l_quantity"), "I").alias("quantity"),
+    )
+
+
+PCR = genotypes.Parameters(alleles=4, load=10, ploidies=(2, 2), cycles=0, fan=32)
+
+
+@query("""
+WITH l AS (SELECT * FROM (VALUES (0, 5, 0), (1, 4, 1), (2, 3, 2)) v(load_idx, x, y)), g AS (SELECT a.range * 64 + b.range * 16 + c.range * 4 + d.range AS geno_idx, [a.range, b.range, c.range, d.range] AS al FROM range(4) a, range(4) b, range(4) c, range(4) d)
+SELECT load_idx, geno_idx, """ + ", ".join(f"(x * len(list_filter(al[1:2], lambda v: v = {k})) + y * len(list_filter(al[3:4], lambda v: v = {k})))::BIGINT AS allele_{k}" for k in range(4)) + """, 32::BIGINT AS n FROM l, g
+""")
+def initial_templates(spark, sf_dir):
+    """Copies of each allele of every loading and genotype before any cycle, over all replicates."""
+    sims = genotypes.simulate(spark, PCR)
+    return sims.groupBy("load_idx", "geno_idx", *(F.get("counts", F.lit(k)).alias(f"allele_{k}") for k in range(4))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def pcr_sim(spark, sf_dir):
+    """Amplified counts: mean templates by loading after four cycles."""
+    p = genotypes.Parameters(alleles=4, load=4, ploidies=(1, 1), cycles=4, efficiency=0.9, error=0.01, fan=32)
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return genotypes.simulate(spark, p).groupBy("load_idx").agg(F.avg(total).alias("mean_templates"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def genotype_report(spark, sf_dir):
+    """Simulate, draw, score, marginalise: the report."""
+    p = genotypes.Parameters(alleles=2, load=2, ploidies=(1, 1), cycles=2, efficiency=0.9, error=0.01, fan=32)
+    sims = genotypes.simulate(spark, p)
+    draws = genotypes.draw_reads(sims.filter("rep < 2"), 2, 0.1, 4)
+    scores = genotypes.score_reads(draws, sims, 2, 0.1)
+    return genotypes.report(genotypes.marginals(scores, draws.select("draw_id", "load_idx", "class")), draws, 2)
+
+
+# ---- matrices
+
+
+@query("""
+SELECT n_regionkey, i, j, round(CASE WHEN i = j THEN 1.0 ELSE 0.0 END, 6) AS v FROM (SELECT DISTINCT n_regionkey FROM nation), range(0, 2) a(i), range(0, 2) b(j)
+""")
+def solve_by_group(spark, sf_dir):
+    """A symmetric matrix of each region times its inverse."""
+    base = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("n_nationkey").cast("double").alias("s"))
+    cells = base.select("n_regionkey", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), v.alias("v")) for i, j, v in ((0, 0, F.col("s") + 1), (0, 1, F.col("n")), (1, 0, F.col("n")), (1, 1, F.col("n") * 2 + 1))))).alias("c")).select("n_regionkey", "c.*")
+    unit = linalg.by_group(cells, ["n_regionkey"], lambda m: m @ linalg.invert(m))
+    return unit.select("n_regionkey", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
