@@ -107,8 +107,8 @@ def _inverse_erf(y: float) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def erf_inverse(c: pd.Series) -> pd.Series:
-    """The inverse error function; NaN beyond [-1, 1] (Arrow batches)."""
-    return c.map(_inverse_erf, na_action="ignore")
+    """The inverse error function; beyond [-1, 1] there is none, and it is null (Arrow batches)."""
+    return c.map(lambda v: None if v is None else _inverse_erf(v))
 
 
 class Distribution:

@@ -14,6 +14,14 @@ def trim(c: Column, what: str = BLANKS) -> Column:
     return F.btrim(c, F.lit(what))
 
 
+def trim_escaped(c: Column) -> Column:
+    """Without blanks at either end, but for one that a backslash escapes."""
+    left = F.ltrim(c, F.lit(BLANKS))
+    short = F.rtrim(left, F.lit(BLANKS))
+    slashes = F.length(short) - F.length(F.rtrim(short, F.lit("\\")))
+    return F.when((slashes % 2 == 1) & (F.length(short) < F.length(left)), F.substring(left, F.lit(1), F.length(short) + 1)).otherwise(short)
+
+
 def trim_text(c: Column, what: str) -> Column:
     """Without whole repeats of ``what`` at either end."""
     once = re.escape(what)

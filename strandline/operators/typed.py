@@ -37,7 +37,7 @@ def to_typed(df: DataFrame, kinds: list[ColumnKind], cells: str = "cells", stric
 def cell_text(value: Column, kind: str) -> Column:
     """The text of a typed value; a missing one is empty."""
     if kind == "real":
-        value = F.format_string("%e", value)
+        value = F.when(value.isNotNull(), F.format_string("%e", value))
     return F.coalesce(value.cast("string"), F.lit(""))
 
 

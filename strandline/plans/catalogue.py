@@ -50,7 +50,7 @@ def tsv_roundtrip_typed(spark, sf_dir):
     kinds = [ColumnKind("c_custkey", "int"), ColumnKind("c_name", "str", length=64), ColumnKind("c_acctbal", "real"), ColumnKind("c_mktsegment", "cat", {s: i for i, s in enumerate(segments)})]
     cells = [F.coalesce(F.col(k.name).cast("string"), F.lit("")) for k in kinds]
     lines = table(spark, sf_dir, "customer").select(F.array_join(F.array(*map(text.escape, cells)), "\t").alias("value"))
-    back = lines.select(F.transform(F.split("value", "\t", -1), lambda c: text.unescape(text.trim(c))).alias("cells"))
+    back = lines.select(F.transform(F.split("value", "\t", -1), lambda c: text.unescape(text.trim_escaped(c))).alias("cells"))
     data = typed.to_typed(rows.drop_empty(back), kinds)
     return data.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count("c_custkey").alias("n_key"), F.count("c_name").alias("n_name"), F.round(F.sum("c_acctbal"), 2).alias("total_acctbal"))
 
