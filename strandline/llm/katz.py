@@ -12,13 +12,17 @@ with Katz's Good-Turing discounts d(r) for r <= ``K`` (from the counts of counts
 these are too irregular to give a ratio in (0, 1), and above K, half a count is taken off instead, so
 that every history keeps some mass), and alpha(h) such that P(. | h) sums to one exactly.
 
-How it is computed.  Every (history, word, document) goes to the partition of its word, as one packed
-block for each task and partition.  There the counts c(w) and c(hw) are complete, so a document's sums
-over its words and over its bigrams that were seen follow without looking anything up; a document
-that the model learned from has no others.  Bigrams not seen in training are the held-out documents'
-and are joined to the table of histories (c(h), alpha(h)), which each partition has summed in part.
-A word with a large share of all tokens is dealt out by its bigrams instead; its count is taken
-beforehand, which needs one more reading (at most 8 such words for each partition exist).
+How it is computed.  A task gathers the tokens of some millions of words (a flush) and sorts its distinct
+bigrams by the partition of their word.  One packed block for each flush and partition carries the
+bigrams with their training counts; documents stay behind.  A word's partition sums c(w) and c(hw), and
+answers each block with the counts in the same order, which takes about a byte a bigram.  A second
+reading lays out the same flushes with their documents, meets the answers, and sums up every document:
+what was seen in training needs nothing more, as c(h) is the count of a word of the same document.
+Bigrams not seen in training are the held-out documents' and are joined to the table of histories
+(c(h), alpha(h)), which each partition has summed in part.  A word with a large share of all tokens is
+dealt out by its bigrams instead; its count is taken beforehand, which needs one more reading (at most
+8 such words for each partition exist).  A flush is known by its task and number and a checksum of its
+bigrams; if a second reading laid out other flushes, the job would stop with an error.
 
 Edge cases: a null text counts as empty and has the end token only; a null doc_id counts as the text
 "null" in the split; repeated rows are scored each; without training documents every score is 0; other
@@ -35,17 +39,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import U64, Texts, as_bytes, mix, slices, stored
+from .textkit import U64, Texts, as_bytes, batch_bytes, give_back, mix, slices, stored
 
 K = 5
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sends them.
-GATHER = 3_000_000
+GATHER = 2_000_000
 #: Bits of the bitmap of words in held-out documents (8 MB).
 BITMAP_BITS = 1 << 26
 N_VALUES = 14
-FOUND = "kind int, id long, other long, " + ", ".join(f"v{i} double" for i in range(N_VALUES))
-DOC, SUMS, UNSEEN, HISTORY, TOTALS = range(5)
+FOUND = "kind int, id long, other long, " + ", ".join(f"v{i} double" for i in range(N_VALUES)) + ", part int, block binary"
+SUMS, UNSEEN, HISTORY, TOTALS, ANSWER = range(5)
 
 
 def held_out(doc_id: int | None, modulus: int) -> bool:
@@ -113,108 +117,160 @@ def _survey(docs: DataFrame, modulus: int, parts: int) -> tuple[dict[int, int],
     return exact, bitmap
 
 
-def _pack(base: int, w2: np.ndarray, w1: np.ndarray, doc: np.ndarray, n: np.ndarray) -> bytes:
-    """One block: sorted by w2; words as runs, histories as places in a table."""
-    run = np.flatnonzero(np.append(True, w2[1:] != w2[:-1]))
-    table, place = np.unique(w1, return_inverse=True)
-    head = np.array([base, len(w2), len(run), len(table)], dtype="<i8")
-    parts = [head, w2[run], np.diff(np.append(run, len(w2))).astype("<u4"), table, place.astype("<u4"), doc.astype("<u4"), np.minimum(n, 2**32 - 1).astype("<u4")]
-    # bytes of equal weight next to each other compress better
-    flat = [p.tobytes() if p.itemsize == 8 else np.ascontiguousarray(p.view(np.uint8).reshape(-1, 4).T).tobytes() for p in parts]
-    return zstandard.compress(b"".join(flat), 1)
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers with bytes of equal weight next to each other, which compress better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = zstandard.decompress(block)
-    base, n, runs, size = np.frombuffer(data, "<i8", 4).tolist()
-    at = 32
-    take = lambda kind, count: np.frombuffer(data, kind, count, at)
-
-    def quads(count):
-        return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * count, at).reshape(4, count).T).view("<u4")[:, 0]
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers (unsigned 64-bit ones and those that need it as 64 bits, all others as 32), compressed."""
+    columns = tuple(c.astype(U64) if c.dtype != U64 and len(c) and c.max() >= 1 << 32 else c for c in columns)
+    head = np.array([len(columns), *(x for c in columns for x in (len(c), c.dtype == U64))], dtype="<i8")
+    return zstandard.compress(head.tobytes() + b"".join(c.tobytes() if c.dtype == U64 else _planes(c) for c in columns), 1)
 
-    w2 = take("<u8", runs)
-    at += 8 * runs
-    length = quads(runs)
-    at += 4 * runs
-    table = take("<u8", size)
-    at += 8 * size
-    place = quads(n)
-    at += 4 * n
-    doc = quads(n)
-    at += 4 * n
-    return np.repeat(w2, length), table[place], doc.astype(np.int64) + base, quads(n).astype(np.int64)
 
+def unpack(block: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(block)
+    (count,) = np.frombuffer(data, "<i8", 1)
+    head = np.frombuffer(data, "<i8", 2 * int(count), 8).reshape(-1, 2).tolist()
+    at, out = 8 + 16 * int(count), []
+    for n, wide in head:
+        if wide:
+            out.append(np.frombuffer(data, "<u8", n, at))
+            at += 8 * n
+        else:
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0].astype(np.int64))
+            at += 4 * n
+    return out
 
-def _blocks(parts: int, modulus: int, heavy: np.ndarray):
-    """The map side: (part, kind, block) rows; documents are numbered, the last bit tells a held-out one."""
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 36
-        state: dict = {"w1": [], "w2": [], "doc": [], "n": 0, "docs": 0}
-
-        def flush():
-            w2, w1, doc = (np.concatenate(state[k]) for k in ("w2", "w1", "doc"))
-            vocab, at = np.unique(w2, return_inverse=True)
-            table = np.append(vocab, START)
-            before = np.empty(len(at), dtype=np.int64)
-            before[1:] = at[:-1]
-            before[w1 == START] = len(vocab)
-            if len(vocab) >= (1 << 22) - 1:  # one text with millions of words
-                rows, n = np.unique(np.stack([at, before, doc >> 1], axis=1), axis=0, return_counts=True)
-                e2, e1, d = rows.T
-                yield from send(vocab, table, e2, e1, d, n, doc)
-                return
-            key = (at.astype(U64) << U64(42)) | (before.astype(U64) << U64(20)) | (doc >> 1).astype(U64)
+class Layout:
+    """The tokens of a flush, sorted by (partition, word, history, document)."""
+
+    def __init__(self, word: np.ndarray, history: np.ndarray, doc: np.ndarray, held: np.ndarray, parts: int, heavy: np.ndarray):
+        vocab, at = np.unique(word, return_inverse=True)
+        del word
+        first = history == START
+        del history
+        table = np.append(vocab, START)
+        before = np.empty(len(at), dtype=np.int64)
+        before[1:] = at[:-1]
+        before[first] = len(vocab)
+        if len(vocab) >= (1 << 22) - 1:  # one text with millions of words
+            rows, n = np.unique(np.stack([at, before, doc], axis=1), axis=0, return_counts=True)
+            e2, e1, d = rows.T
+        else:
+            key = at.astype(U64)
+            del at
+            key <<= U64(22)
+            key |= before.astype(U64)
+            del before
+            key <<= U64(20)
+            key |= doc.astype(U64)
+            del doc
             key, n = np.unique(key, return_counts=True)
-            e2, e1 = (key >> U64(42)).astype(np.int64), ((key >> U64(20)) & U64((1 << 22) - 1)).astype(np.int64)
-            d = (key & U64((1 << 20) - 1)).astype(np.int64)
-            yield from send(vocab, table, e2, e1, d, n, doc)
-
-        def send(vocab, table, e2, e1, d, n, doc):
-            bit = np.zeros(state["docs"], dtype=np.int64)
-            bit[doc >> 1] = doc & 1
-            part = (mix(vocab) % U64(parts)).astype(np.int32)[e2]
-            hot = np.isin(vocab, heavy)[e2]
-            part[hot] = (mix(vocab[e2[hot]] ^ mix(table[e1[hot]])) % U64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                o = order[i:j]
-                yield _row(int(part[i]), SUMS, _pack(base, vocab[e2[o]], table[e1[o]], d[o] * 2 + bit[d[o]], n[o]))
-
-        def clear():
-            nonlocal base
-            base += 2 * state["docs"]
-            state.update(w1=[], w2=[], doc=[], n=0, docs=0)
-
-        for b in slices(batches):
-            names = b.column("doc_id").to_pylist()
-            held = np.array([held_out(i, modulus) for i in names], dtype=np.int64)
-            t = Tokens(as_bytes(b.column("text")))
-            if state["n"] and (state["n"] + len(t.word) > GATHER or state["docs"] + len(names) >= 1 << 20):
-                yield from flush()
-                clear()
-            number = (np.arange(len(names)) + state["docs"]) * 2 + held
-            info = np.stack([base + number, np.array([0 if x is None else x for x in names], dtype=np.int64), np.array([x is None for x in names], dtype=np.int64), t.n.astype(np.int64)], axis=1)
-            if len(names):
-                yield _row(int(number[0] + base) % parts, DOC, info.astype("<i8").tobytes())
-                state["w1"].append(t.history)
-                state["w2"].append(t.word)
-                state["doc"].append(number[t.owner])
-                state["n"] += len(t.word)
-                state["docs"] += len(names)
-        if state["n"]:
-            yield from flush()
+            d = (key & U64((1 << 20) - 1)).astype(np.int32)
+            key >>= U64(20)
+            e1 = (key & U64((1 << 22) - 1)).astype(np.int32)
+            e2 = (key >> U64(22)).astype(np.int32)
+            del key
+        part = (mix(vocab) % U64(parts)).astype(np.int32)[e2]
+        hot = np.isin(vocab, heavy)[e2]
+        part[hot] = (mix(vocab[e2[hot]] ^ mix(table[e1[hot]])) % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        self.part, self.doc, self.n = part[order], d[order], n[order].astype(np.int32)
+        self.e2, self.e1, self.vocab, self.table = e2[order], e1[order], vocab, table
+        self.new_word = np.append(True, (self.e2[1:] != self.e2[:-1]) | (self.part[1:] != self.part[:-1]))
+        self.new_pair = self.new_word | np.append(True, self.e1[1:] != self.e1[:-1])
+        self.held = held
+        self.cuts = np.append(np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1])), len(self.part)).tolist()
+
+    def blocks(self):
+        """(part, first, stop) of the entries of each partition."""
+        for i, j in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            yield int(self.part[i]), i, j
+
+    def question(self, i: int, j: int) -> bytes:
+        """Distinct bigrams: words as runs, histories as places in a table, and training counts."""
+        pair = np.flatnonzero(self.new_pair[i:j])
+        run = np.flatnonzero(self.new_word[i:j][pair])
+        table, place = np.unique(self.e1[i:j][pair], return_inverse=True)
+        count = np.add.reduceat(np.where(self.held[self.doc[i:j]], 0, self.n[i:j]), pair)
+        return pack(self.vocab[self.e2[i:j][pair[run]]], np.diff(np.append(run, len(pair))), self.table[table], place, count)
+
+    def checksum(self, i: int, j: int) -> int:
+        pair = self.new_pair[i:j]
+        return int(np.bitwise_xor.reduce(mix(self.vocab[self.e2[i:j][pair]] + mix(self.table[self.e1[i:j][pair]]))) >> U64(33))
+
+
+def _flushes(batches, parts: int, modulus: int, heavy: np.ndarray):
+    """(flush, layout, doc ids, held-out marks, tokens by document) of a task."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 20
+    words: list = []
+    histories: list = []
+    owners: list = []
+    names: list = []
+    sizes: list = []
+    tokens = 0
+
+    def made():
+        held = np.array([held_out(i, modulus) for i in names], dtype=bool)
+        gathered = [np.concatenate(x) for x in (words, histories, owners, sizes)]
+        found = (number, list(names), held, gathered.pop())
+        for x in (words, histories, owners, names, sizes):
+            x.clear()
+        layout = Layout(*gathered, held, parts, heavy)
+        give_back()
+        return found[0], layout, *found[1:]
+
+    for b in slices(batches):
+        t = Tokens(as_bytes(b.column("text")))
+        if names and (tokens + len(t.word) > GATHER or len(names) + b.num_rows > 1 << 20):
+            yield made()
+            number, tokens = number + 1, 0
+        words.append(t.word)
+        histories.append(t.history)
+        owners.append((t.owner + len(names)).astype(np.int32))
+        sizes.append(t.n)
+        names += b.column("doc_id").to_pylist()
+        tokens += len(t.word)
+    if names:
+        yield made()
+
+
+def _rows(rows: list[tuple], names: tuple = ("flush", "part", "kind", "block")) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+BLOCKS = "flush long, part int, kind int, block binary"
+QUESTION, STRUCTURE, DOCUMENTS, REPLY = range(4)
+
+
+def _questions(parts: int, modulus: int, heavy: np.ndarray):
+    def run(batches):
+        for flush, layout, *_ in _flushes(batches, parts, modulus, heavy):
+            for part, i, j in layout.blocks():
+                yield _rows([(flush, part, QUESTION, layout.question(i, j))])
 
     return run
 
 
-def _row(part: int, kind: int, block: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary())], names=["part", "kind", "block"])
+def _structures(parts: int, modulus: int, heavy: np.ndarray):
+    """The second reading: documents of each flush, and by partition which document has which entry."""
+
+    def run(batches):
+        for flush, layout, names, held, sizes in _flushes(batches, parts, modulus, heavy):
+            known = np.array([0 if x is None else x for x in names], dtype=np.int64).view(U64)
+            yield _rows([(flush, -1, DOCUMENTS, pack(known, np.array([x is None for x in names]), held, sizes))])
+            for part, i, j in layout.blocks():
+                mark = layout.new_pair[i:j].astype(np.int64) + layout.new_word[i:j] + 4 * (layout.vocab[layout.e2[i:j]] == END)
+                yield _rows([(flush, part, STRUCTURE, pack(layout.doc[i:j], layout.n[i:j], mark, np.array([layout.checksum(i, j)])))])
+
+    return run
 
 
 def _found(kind: int, ids: np.ndarray, other: np.ndarray | None, values: list, mask: np.ndarray | None = None):
@@ -224,7 +280,8 @@ def _found(kind: int, ids: np.ndarray, other: np.ndarray | None, values: list, m
         columns = [pa.array(np.full(j - i, kind, np.int32)), pa.array(ids[i:j].astype(np.int64))]
         columns.append(pa.nulls(j - i, pa.int64()) if other is None else pa.array(other[i:j], pa.int64(), mask=None if mask is None else mask[i:j]))
         columns += [pa.array(np.asarray(v[i:j], dtype=np.float64)) for v in values] + [pa.array(np.zeros(j - i))] * (N_VALUES - len(values))
-        yield pa.RecordBatch.from_arrays(columns, names=["kind", "id", "other", *(f"v{k}" for k in range(N_VALUES))])
+        columns += [pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def _histogram(at: np.ndarray, size: int, count: np.ndarray) -> list[np.ndarray]:
@@ -233,35 +290,42 @@ def _histogram(at: np.ndarray, size: int, count: np.ndarray) -> list[np.ndarray]
 
 
 def _reduce(heavy: dict[int, int], bitmap):
-    """The word side: a document's sums, unseen bigrams, parts of the history table, counts of counts."""
+    """A word's partition: answers to all blocks, parts of the history table, counts of counts."""
     hot = np.sort(np.array(list(heavy), dtype=np.int64).view(U64))
     hot_count = np.array([heavy[int(x)] for x in hot.view(np.int64)], dtype=np.float64)
-
-    def solve(blocks: list[bytes]):
-        w2, w1, doc, n = (np.concatenate(x) for x in zip(*map(_unpack, blocks), strict=True))
-        learned = np.where(doc & 1 == 0, n, 0)
-        words, at = np.unique(w2, return_inverse=True)
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def answer(flush: int, part: int, block: bytes):
+        columns = [pa.array([ANSWER], pa.int32()), pa.array([flush], pa.int64()), pa.nulls(1, pa.int64()), *[pa.array([0.0])] * N_VALUES, pa.array([part], pa.int32()), pa.array([block], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def solve(part: int, blocks: list[tuple[int, bytes]]):
+        asked = [unpack(b) for _, b in blocks]
+        runs = np.concatenate([q[0] for q in asked])
+        length = np.concatenate([q[1] for q in asked])
+        w1 = np.concatenate([q[2][q[3]] for q in asked])
+        learned = np.concatenate([q[4] for q in asked])
+        words, at_run = np.unique(runs, return_inverse=True)
+        at = np.repeat(at_run, length)
         own = np.bincount(at, learned, minlength=len(words))
         is_hot = np.isin(words, hot)
         own[is_hot] = hot_count[np.searchsorted(hot, words[is_hot])] if is_hot.any() else 0
-        c2 = own[at]
-        _, first, pair = np.unique(mix(w2 ^ mix(w1)), return_index=True, return_inverse=True)
+        _, first, pair = np.unique(mix(words[at] ^ mix(w1)), return_index=True, return_inverse=True)
         bigram = np.bincount(pair, learned)
-        c = bigram[pair]
-        docs, d = np.unique(doc, return_inverse=True)
-        total = lambda v: np.bincount(d, v, minlength=len(docs))
-        known = c2 > 0
-        sums = [total(np.where(known, n, 0)), total(n * np.log10(c2 + 0.1)), total(np.where(known & (w2 != END), n * np.log10(np.maximum(c2, 1)), 0))]
-        sums += [total(np.where(c == r, n, 0)) for r in range(1, K + 1)] + [total(np.where(c > K, n * np.log10(np.maximum(c, 1) - 0.5), 0))]
-        yield from _found(SUMS, docs, None, sums)
-        new = c == 0
-        yield from _found(UNSEEN, w1[new].view(np.int64), doc[new], [c2[new], n[new]])
+        c, c_run = bigram[pair].astype(np.int64), own[at_run].astype(np.int64)
+        i = k = 0
+        for (flush, _), q in zip(blocks, asked, strict=True):
+            n, m = len(q[3]), len(q[0])
+            mine = c[i : i + n]
+            check = np.bitwise_xor.reduce(mix(words[at[i : i + n]] + mix(w1[i : i + n]))) >> U64(33)
+            yield answer(flush, part, pack(c_run[k : k + m], mine, w1[i : i + n][mine == 0], np.array([int(check)])))
+            i, k = i + n, k + m
         seen = first[bigram > 0]
         count = bigram[bigram > 0]
         bit = (w1[seen] & U64(BITMAP_BITS - 1)).astype(np.int64)
         use = ((bitmap.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0) | (w1[seen] == START)
         table, h = np.unique(w1[seen[use]], return_inverse=True)
-        values = [np.bincount(h, count[use], minlength=len(table)), *_histogram(h, len(table), count[use]), *_histogram(h, len(table), c2[seen[use]])]
+        values = [np.bincount(h, count[use], minlength=len(table)), *_histogram(h, len(table), count[use]), *_histogram(h, len(table), own[at[seen[use]]])]
         yield from _found(HISTORY, table.view(np.int64), None, values)
         light = own[~is_hot & (own > 0)]
         totals = [light.sum(), len(light)] + [(light == r).sum() for r in range(1, K + 2)] + [(count == r).sum() for r in range(1, K + 2)]
@@ -270,18 +334,63 @@ def _reduce(heavy: dict[int, int], bitmap):
     def run(batches):
         part, held = None, []
         for b in batches:
-            for p, kind, block in zip(b.column("part").to_pylist(), b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
-                if kind == DOC:
-                    info = np.frombuffer(block, "<i8").reshape(-1, 4)
-                    yield from _found(DOC, info[:, 0], info[:, 1], [info[:, 3]], info[:, 2] > 0)
-                    continue
+            for flush, p, block in zip(b.column("flush").to_pylist(), b.column("part").to_pylist(), b.column("block").to_pylist(), strict=True):
                 if p != part and held:
-                    yield from solve(held)
+                    yield from solve(part, held)
                     held = []
                 part = p
-                held.append(block)
+                held.append((flush, block))
         if held:
-            yield from solve(held)
+            yield from solve(part, held)
+        give_back()
+
+    return run
+
+
+def _documents():
+    """A flush with its answers: every document's sums, and its bigrams that training did not see."""
+
+    def finish(flush: int, info: bytes, pieces: list[tuple[bytes, bytes]]):
+        known, missing, held, sizes = unpack(info)
+        total = np.zeros((K + 4, len(known)))
+        base = flush << 20
+        for structure, reply in pieces:
+            doc, n, mark, check = unpack(structure)
+            c_run, c_pair, w1, same = unpack(reply)
+            pair, run = np.cumsum((mark & 3) > 0) - 1, np.cumsum((mark & 3) == 2) - 1
+            if check[0] != same[0] or pair[-1] + 1 != len(c_pair) or run[-1] + 1 != len(c_run):
+                raise RuntimeError("the documents were read in another order the second time")
+            c, c2 = c_pair[pair], c_run[run]
+            add = lambda row, v: np.add(total[row], np.bincount(doc, v, minlength=len(known)), out=total[row])  # noqa: B023, E731
+            add(0, np.where(c2 > 0, n, 0))
+            add(1, n * np.log10(c2 + 0.1))
+            add(2, np.where((c2 > 0) & (mark < 4), n * np.log10(np.maximum(c2, 1)), 0))
+            for r in range(1, K + 1):
+                add(2 + r, np.where(c == r, n, 0))
+            add(K + 3, np.where(c > K, n * np.log10(np.maximum(c, 1) - 0.5), 0))
+            new = c == 0
+            place = np.cumsum(c_pair == 0) - 1
+            yield from _found(UNSEEN, w1[place[pair[new]]].view(np.int64), base + doc[new], [c2[new], n[new]])
+        yield from _found(SUMS, base + np.arange(len(known)), known.view(np.int64), [*total, sizes, held], missing > 0)
+
+    def run(batches):
+        now, info, half, pieces = None, None, {}, []
+        for b in batches:
+            for flush, part, kind, block in zip(*(b.column(c).to_pylist() for c in ("flush", "part", "kind", "block")), strict=True):
+                if flush != now:
+                    if now is not None:
+                        yield from finish(now, info, pieces)
+                        give_back()
+                    now, info, half, pieces = flush, None, {}, []
+                if kind == DOCUMENTS:
+                    info = block
+                elif part in half:
+                    other = half.pop(part)
+                    pieces.append((block, other) if kind == STRUCTURE else (other, block))
+                else:
+                    half[part] = block
+        if now is not None:
+            yield from finish(now, info, pieces)
 
     return run
 
@@ -304,9 +413,14 @@ def score_texts(docs: DataFrame, modulus: int = 10) -> DataFrame:
     heavy, bitmap = _survey(docs, modulus, parts)
     names = np.array(list(heavy), dtype=np.int64).view(U64)
     bits = spark.sparkContext.broadcast(bitmap)
-    blocks = docs.mapInArrow(_blocks(parts, modulus, names), "part int, kind int, block binary")
-    dealt = blocks.repartitionById(parts, F.col("part"))
-    found = stored(dealt.mapInArrow(_reduce(heavy, bits), FOUND))
+    asked = docs.mapInArrow(_questions(parts, modulus, names), BLOCKS).repartitionById(parts, F.col("part"))
+    with batch_bytes(spark):
+        found = stored(asked.mapInArrow(_reduce(heavy, bits), FOUND))
+    replies = found.filter(F.col("kind") == ANSWER).select(F.col("id").alias("flush"), "part", F.lit(REPLY).alias("kind"), "block")
+    both = docs.mapInArrow(_structures(parts, modulus, names), BLOCKS).unionByName(replies)
+    even = F.pmod(F.shiftright("flush", 20) + F.col("flush").bitwiseAND(F.lit((1 << 20) - 1)) * 7, F.lit(parts)).cast("int")
+    with batch_bytes(spark):
+        result = stored(both.repartitionById(parts, even).sortWithinPartitions("flush", "part").mapInArrow(_documents(), FOUND))
     values = [f"v{i}" for i in range(N_VALUES)]
     row = found.filter(F.col("kind") == TOTALS).agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in values)).first()
     total, types = row[0] + sum(heavy.values()), row[1] + sum(n > 0 for n in heavy.values())
@@ -329,15 +443,11 @@ def score_texts(docs: DataFrame, modulus: int = 10) -> DataFrame:
     for r in range(1, K + 1):
         single = single.when(c == r, F.lit(math.log10(d1[r - 1] * r / size)))
     single = single.otherwise(F.log10((c - 0.5) / float(size)))
-    unseen = found.filter(F.col("kind") == UNSEEN).select(F.col("id").alias("history"), F.col("other").alias("doc"), (single * F.col("v1")).alias("own"), F.col("v1").alias("n"))
+    unseen = result.filter(F.col("kind") == UNSEEN).select(F.col("id").alias("history"), F.col("other").alias("doc"), (single * F.col("v1")).alias("own"), F.col("v1").alias("n"))
     backed = unseen.join(table, "history", "left").groupBy("doc").agg(
         F.sum(F.col("own") + F.col("n") * (F.coalesce("log_count", F.lit(0.0)) + F.coalesce("log_alpha", F.lit(0.0)))).alias("backed")
     )
-    sums = found.filter(F.col("kind").isin(DOC, SUMS)).groupBy(F.col("id").alias("doc")).agg(
-        F.max("other").alias("doc_id"),
-        F.sum(F.when(F.col("kind") == DOC, F.col("v0")).otherwise(0.0)).alias("n_tokens"),
-        *(F.sum(F.when(F.col("kind") == SUMS, F.col(v)).otherwise(0.0)).alias(v) for v in values[: K + 4]),
-    )
+    sums = result.filter(F.col("kind") == SUMS).select(F.col("id").alias("doc"), F.col("other").alias("doc_id"), *values[: K + 4], F.col(f"v{K + 4}").alias("n_tokens"), (F.col(f"v{K + 5}") == 1).alias("held_out"))
     trained = found.filter((F.col("kind") == HISTORY) & (F.col("id") == F.lit(int(np.array([START]).view(np.int64)[0])))).agg(F.sum("v0")).first()[0] or 0
     started = math.log10(trained) if trained else 0.0
     seen = sum((F.col(f"v{2 + r}") * math.log10(d2[r - 1] * r) for r in range(1, K + 1)), F.col(f"v{K + 3}"))
@@ -345,7 +455,7 @@ def score_texts(docs: DataFrame, modulus: int = 10) -> DataFrame:
     base = F.col("v1") - F.col("n_tokens") * math.log10(total + 0.1 * (types + 1))
     return sums.join(backed, "doc", "left").select(
         "doc_id",
-        (F.col("doc") % 2 == 1).alias("held_out"),
+        "held_out",
         F.col("n_tokens").cast("bigint").alias("n_tokens"),
         F.col("v0").cast("bigint").alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"),

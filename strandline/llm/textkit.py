@@ -8,9 +8,11 @@ bytes alone, not on the batch.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +152,26 @@ def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     return values[index], out
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can; workers live long and share an executor."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+@contextmanager
+def batch_bytes(spark, limit: int = 16 << 20):
+    """While this lasts, Arrow batches to Python have about ``limit`` bytes at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_dir(spark) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
