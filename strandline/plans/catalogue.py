@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import crypto, prob, scalar, text
-from ..operators import aggregates, genotypes, linalg, lookup, patterns, rows, sequences, suffixes, typed
-from ..schema import ColumnKind
-from ..session import table
+from ..operators import aggregates, genotypes, linalg, lookup, optim, patterns, rows, sequences, suffixes, typed
+from ..schema import ColumnKind, to_struct
+from ..session import shared_path, table
+from ..sources import binary, reads, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -591,3 +592,127 @@ def solve_by_group(spark, sf_dir):
     return unit.select("n_regionkey", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
+
+
+@query("""
+SELECT item_id, list_sum(list_transform(m, lambda r: list_sum(r)))::DOUBLE AS total FROM (SELECT n_nationkey AS item_id,
+  [[n_nationkey * n_nationkey + 2 * n_regionkey, 2 * n_nationkey + 2 * 4], [n_regionkey * n_nationkey + 4 * n_regionkey, 2 * n_regionkey + 4 * 4]] AS m FROM nation)
+""")
+def matrix_product(spark, sf_dir):
+    """The sum of the cells of [[a, 2], [b, 4]] times [[a, 2], [b, 4]] with a the nation and b the region, in a row."""
+    a, b = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    m = F.array(F.array(a, F.lit(2.0)), F.array(b, F.lit(4.0)))
+    n = F.array(F.array(a, F.lit(2.0)), F.array(b, F.lit(4.0)))
+    cells = F.flatten(linalg.multiply(m, n))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("item_id"), F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + x).alias("total"))
+
+
+@query("""
+SELECT n_nationkey AS item_id, CAST(2 * (n_nationkey + 3) + 1 AS DOUBLE) AS first_cell, CAST(n_regionkey AS DOUBLE) AS transposed, CAST(n_nationkey * 3 AS DOUBLE) AS cell_product, n_nationkey / 4.0 AS cell_quotient FROM nation
+""")
+def matrix_cells(spark, sf_dir):
+    """Sums, scalars, transposes and products by cell of small matrices in a row."""
+    a, b = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    m, n = F.array(F.array(a, b)), F.array(F.array(F.lit(3.0), F.lit(4.0)))
+    at = lambda x, i, j: F.get(F.get(x, F.lit(i)), F.lit(j))
+    twice = linalg.add_scalar(linalg.multiply_scalar(linalg.add(m, n), 2.0), 1.0)
+    quotient = linalg.divide_cells(m, F.array(F.array(F.lit(4.0), F.lit(4.0))))
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("item_id"), at(twice, 0, 0).alias("first_cell"), at(linalg.transpose(linalg.subtract(m, linalg.multiply_scalar(m, 0.0))), 1, 0).alias("transposed"),
+        at(linalg.multiply_cells(m, n), 0, 0).alias("cell_product"), at(quotient, 0, 0).alias("cell_quotient"),
+    )
+
+
+@query("SELECT round(avg(c_acctbal / 1000), 3) AS place, count(*) AS n FROM customer")
+def golden_section(spark, sf_dir):
+    """The place where the sum of squared distances to the balances is least, by golden section over moments."""
+    t = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("x"))
+    n, first, second = t.agg(F.count("x"), F.avg("x"), F.avg(F.col("x") * F.col("x"))).first()
+    place = optim.golden_section(lambda m: second - 2 * m * first + m * m, -20.0, 20.0, 1e-7)
+    return spark.createDataFrame([(round(place, 3), n)], "place double, n long")
+
+
+@query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 1) AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 1) AS intercept FROM lineitem")
+def least_squares(spark, sf_dir):
+    """A line through prices by quantities with limited-memory BFGS; value and gradient of a point cost one job."""
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 10000).alias("y"))
+    sums = t.select(F.lit(1.0).alias("n"), "x", "y", (F.col("x") * F.col("x")).alias("xx"), (F.col("x") * F.col("y")).alias("xy"), (F.col("y") * F.col("y")).alias("yy")).agg(*(F.avg(c).alias(c) for c in ("n", "x", "y", "xx", "xy", "yy"))).cache()
+    loss = optim.over_frame(sums, lambda p: F.col("yy") - 2 * p[0] * F.col("xy") - 2 * p[1] * F.col("y") + p[0] ** 2 * F.col("xx") + 2 * p[0] * p[1] * F.col("x") + p[1] ** 2)
+    slope, intercept = optim.lbfgs(loss, [0.0, 0.0], rounds=3)
+    return spark.createDataFrame([(round(float(slope), 1), round(float(intercept), 1))], "slope double, intercept double")
+
+
+# ---- files, written to the shared folder and read back
+
+
+@query("SELECT doc_id::VARCHAR AS name, regexp_replace(text, '[ \\t\\r\\n]', '', 'g') AS seq FROM documents WHERE NOT contains(text, '>')")
+def fasta_roundtrip(spark, sf_dir):
+    """Documents as FASTA records; blanks inside a sequence go."""
+    path = shared_path(spark)
+    reads.write_fasta(table(spark, sf_dir, "documents").filter("not contains(text, '>')").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq")), path)
+    return reads.read_fasta(spark, path).select("name", "seq")
+
+
+@query("SELECT 'r' || p_partkey AS name, repeat('ACGT', p_size % 5 + 1) AS seq, repeat('I!@~', p_size % 5 + 1) AS qual FROM part")
+def fastq_roundtrip(spark, sf_dir):
+    path, n = shared_path(spark), F.col("p_size") % 5 + 1
+    reads.write_fastq(table(spark, sf_dir, "part").select(F.concat(F.lit("r"), F.col("p_partkey")).alias("name"), F.repeat(F.lit("ACGT"), n).alias("seq"), F.repeat(F.lit("I!@~"), n).alias("qual")), path)
+    return reads.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+@query("SELECT doc_id, text FROM documents")
+def tsv_file_roundtrip(spark, sf_dir):
+    """Whole texts through an escaped, compressed text table (texts here have no backslash)."""
+    path = shared_path(spark)
+    tables.write_tsv(table(spark, sf_dir, "documents").select(F.array(F.col("doc_id").cast("string"), "text").alias("cells")), path, compression="gzip")
+    back = tables.read_tsv(spark, path)
+    return back.select(F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"), F.get("cells", F.lit(1)).alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def block_table_roundtrip(spark, sf_dir):
+    """Whole texts through block-compressed text tables with an index, read by ranges of rows."""
+    path = shared_path(spark)
+    binary.write(table(spark, sf_dir, "documents").select(F.array(F.col("doc_id").cast("string"), "text").alias("cells")), path, ".zlib.bctab")
+    return binary.read(spark, path, rows=500).select(F.get("cells", F.lit(0)).cast("bigint").alias("doc_id"), F.get("cells", F.lit(1)).alias("text"))
+
+
+@query("SELECT s_suppkey, s_acctbal, s_name, CASE WHEN s_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, CASE WHEN s_nationkey > 9 THEN s_nationkey::BIGINT END AS big FROM supplier")
+def typed_file_roundtrip(spark, sf_dir):
+    """All kinds of columns, with missing values, through a binary typed table."""
+    kinds = [ColumnKind("s_suppkey", "int"), ColumnKind("s_acctbal", "real"), ColumnKind("s_name", "str", length=40), ColumnKind("parity", "cat", {"even": 0, "odd": 1}), ColumnKind("big", "int")]
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", "s_name", F.when(F.col("s_nationkey") % 2 == 0, "even").otherwise("odd").alias("parity"), F.when(F.col("s_nationkey") > 9, F.col("s_nationkey").cast("bigint")).alias("big"))
+    path = shared_path(spark)
+    binary.write(t.to(to_struct(kinds)), path, ".zlib.bcdat")
+    return binary.read(spark, path)
+
+
+@query("SELECT item_id::VARCHAR AS name, text AS seq, length(text)::BIGINT AS positions, 1::BIGINT AS num_links FROM benchmark")
+def graph_file_roundtrip(spark, sf_dir):
+    """Sequence graphs through their ten block-compressed files."""
+    seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("name"), F.col("text").alias("seq"))
+    path = shared_path(spark)
+    binary.write(sequences.sequences_to_graphs(seqs, equal=["NACGT"]), path, ".zlib.bsgrap")
+    return binary.read(spark, path).select("name", "seq", F.size(F.element_at("contigs", 1)["pos"]).cast("bigint").alias("positions"), "num_links")
+
+
+@query("SELECT c_custkey::VARCHAR || ' ' || c_mktsegment AS value FROM customer")
+def process_lines(spark, sf_dir):
+    """Lines through an external program, one process a partition."""
+    from ..sources.dispatch import open_process
+
+    return open_process(spark, "cat", table(spark, sf_dir, "customer").select(F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value")))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_mktsegment")
+def stream_typed_rows(spark, sf_dir):
+    """The text-table path as a stream: files arrive in a folder, typed rows are kept until the folder is done, then grouped."""
+    from ..streaming import stream_typed
+
+    folder, kept = shared_path(spark), shared_path(spark)
+    t = table(spark, sf_dir, "customer").select(F.array(F.col("c_custkey").cast("string"), F.col("c_acctbal").cast("string"), "c_mktsegment").alias("cells"))
+    tables.write_tsv(t.repartition(3), folder)
+    kinds = [ColumnKind("c_custkey", "int"), ColumnKind("c_acctbal", "real"), ColumnKind("c_mktsegment", "str", length=20)]
+    run = stream_typed(spark, folder, kinds, files_per_trigger=1).writeStream.format("parquet").option("checkpointLocation", kept + "-state").trigger(availableNow=True).start(kept)
+    run.awaitTermination()
+    return spark.read.parquet(kept).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))

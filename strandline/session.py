@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -22,3 +24,9 @@ def session(app: str = "strandline", **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which all executors share; below /tmp where that is unset, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints"
+    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
