@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import stored
 
+SALTS = 32
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each vertex's neighbours (the larger ones, or those not larger and itself) linked to the least of all of them."""
@@ -13,7 +15,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # minima in two steps, so that a vertex with many edges is not one task's; dealt anew, so that the join can split it too
+    part = both.groupBy("a", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt")).agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(F.xxhash64("a"))
     joined = both.join(least, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
