@@ -547,6 +547,13 @@ def scalar_operations(spark, sf_dir):
     )
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, where several branches of a plan need the rows."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 PCR = genotypes.Parameters(alleles=4, load=10, ploidies=(2, 2), cycles=0, fan=32)
 
 
@@ -572,9 +579,9 @@ def pcr_sim(spark, sf_dir):
 def genotype_report(spark, sf_dir):
     """Simulate, draw, score, marginalise: the report."""
     p = genotypes.Parameters(alleles=2, load=2, ploidies=(1, 1), cycles=2, efficiency=0.9, error=0.01, fan=32)
-    sims = genotypes.simulate(spark, p)
-    draws = genotypes.draw_reads(sims.filter("rep < 2"), 2, 0.1, 4)
-    scores = genotypes.score_reads(draws, sims, 2, 0.1)
+    sims = kept(genotypes.simulate(spark, p))
+    draws = kept(genotypes.draw_reads(sims.filter("rep < 2"), 2, 0.1, 4))
+    scores = kept(genotypes.score_reads(draws, sims, 2, 0.1))
     return genotypes.report(genotypes.marginals(scores, draws.select("draw_id", "load_idx", "class")), draws, 2)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import trim
+from ..operators.lookup import small
 from .tables import lines_of
 
 
@@ -17,12 +18,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         whole = lines_of(spark, path).agg(F.collect_list("value").alias("l")).select(F.explode(F.split(F.concat(F.lit("\n"), F.array_join("l", "\n")), "\n>")).alias("value"))
         marked = whole.withColumn("place", F.monotonically_increasing_id()).filter("place > 0").select("value")
     else:
-        pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_block_start").alias("block"))
-        head = F.col("value").startswith(">")
-        # only a file's first piece keeps its mark; a first piece without one holds text before the first record
+        pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         placed = pieces.withColumn("n", F.monotonically_increasing_id())
-        first = (F.col("block") == 0) & (F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) == 0)
-        marked = placed.filter(~first | head).select(F.when(first & head, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")).alias("value"))
+        # only a file's first piece keeps its mark, and without one it holds text before the first record
+        firsts = placed.filter("block = 0").groupBy("file").agg(F.min("n").alias("first"))
+        told = placed.join(small(firsts), "file", "left").withColumn("is_first", F.col("n").eqNullSafe(F.col("first")))
+        head = F.col("value").startswith(">")
+        marked = told.filter(~F.col("is_first") | head).select(F.when(F.col("is_first"), F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value")).alias("value"))
     parts = F.split("value", "\n", 2)
     seq = F.translate(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), " \t\r\n", "")
     out = marked.select(trim(F.get(parts, F.lit(0))).alias("name"), seq.alias("seq"))

@@ -75,6 +75,17 @@ def read_typed(spark: SparkSession, path: str, head: bool = True, sigil: bool =
     return typed.to_typed(cells, kinds)
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v) of a text table of numbers; rows of different widths are an error."""
+    cells = rows.numbered(read_tsv(spark, path).select("cells"), "i")
+    width = cells.agg(F.min(F.size("cells")), F.max(F.size("cells"))).first()
+    if width[0] is None:
+        raise ValueError("empty matrix")
+    if width[0] != width[1]:
+        raise ValueError("ragged matrix")
+    return cells.select("i", F.posexplode("cells").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), text.parse_float(F.col("v")).alias("v"))
+
+
 def typed_rows(df: DataFrame, header: bool = True) -> DataFrame:
     """Text rows of typed columns with a row of sigils first."""
     from ..schema import from_struct
@@ -86,4 +97,4 @@ def typed_rows(df: DataFrame, header: bool = True) -> DataFrame:
     return names.unionByName(body)
 
 
-__all__ = ["ColumnKind", "clean_cells", "clean_line", "lines_of", "read_delimited", "read_tsv", "read_typed", "typed_rows", "write_delimited", "write_tsv"]
+__all__ = ["ColumnKind", "clean_cells", "clean_line", "lines_of", "read_delimited", "read_matrix", "read_tsv", "read_typed", "typed_rows", "write_delimited", "write_tsv"]

@@ -103,6 +103,11 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "a.fasta").write_text("junk\n>one two \nAC GT\n\tA\r\n>empty\n>last\nTT")
     got = sorted((r.name, r.seq) for r in dispatch.open_sequences(spark, str(tmp_path / "a.fasta")).collect())
     assert got == [("empty", ""), ("last", "TT"), ("one two", "ACGTA")]
+    (tmp_path / "many").mkdir()
+    for k in range(5):  # small files share a partition
+        (tmp_path / "many" / f"{k}.fa").write_text(f"{'' if k % 2 else 'junk'}\n>r{k}\nAC\n>>odd{k}\nGT\n" if k else ">r0\nAC\n>>odd0\nGT\n")
+    got = sorted((r.name, r.seq) for r in reads.read_fasta(spark, str(tmp_path / "many")).collect())
+    assert got == sorted([(f"r{k}", "AC") for k in range(5)] + [(f">odd{k}", "GT") for k in range(5)])
     (tmp_path / "b.fa.gzip").write_bytes(gzip.compress(b">x\nAC\nGT\n>y\n"))
     assert sorted((r.name, r.seq) for r in reads.read_fasta(spark, str(tmp_path / "b.fa.gzip")).collect()) == [("x", "ACGT"), ("y", "")]
     df = spark.createDataFrame([(0, "n", "ACGT"), (1, "m", "")], "seq_id long, name string, seq string")
@@ -161,6 +166,14 @@ def test_matrices_and_loadings():
         blocks.unpack_loadings(data[::-1])
 
 
+def test_text_matrix(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("1\t2.5\n-3\t1e2\n")
+    assert sorted(map(tuple, tables.read_matrix(spark, str(tmp_path / "m.tsv")).collect())) == [(0, 0, 1.0), (0, 1, 2.5), (1, 0, -3.0), (1, 1, 100.0)]
+    (tmp_path / "r.tsv").write_text("1\t2\n3\n")
+    with pytest.raises(ValueError):
+        tables.read_matrix(spark, str(tmp_path / "r.tsv"))
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     (tmp_path / "in.tsv").write_text(HEADER + "hot\t3\t2.5\tx\ncold\t\t\t\n")
     run = lambda *a: cli.run(list(map(str, a)))
