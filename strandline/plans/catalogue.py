@@ -246,6 +246,14 @@ def encrypt_roundtrip(spark, sf_dir):
     return sealed.select("doc_id", crypto.decrypt_block(F.col("sealed"), key).cast("string").alias("text"))
 
 
+@query("SELECT item_id, text FROM benchmark")
+def counter_mode_roundtrip(spark, sf_dir):
+    """Every item encrypted and decrypted in counter mode."""
+    key = F.lit(bytes(range(32)))
+    sealed = table(spark, sf_dir, "benchmark").select("item_id", crypto.counter_mode(F.col("text"), key, 5).alias("sealed"))
+    return sealed.select("item_id", crypto.counter_mode(F.col("sealed"), key, 5).cast("string").alias("text"))
+
+
 @query("""
 SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || '.T') AS trimmed, starts_with(text, 'The') AS starts, ends_with(text, '.') AS ends,
        length(regexp_extract(text, '^[A-Za-z]*', 0)) AS letters, strpos(text, 'and') - 1 AS first_and,

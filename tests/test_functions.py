@@ -112,6 +112,13 @@ def test_ciphers(spark):
     whole = one(spark, crypto.key_stream(F.lit(key), 7, F.lit(0).cast("bigint"), F.lit(4)))[0]
     tail = one(spark, crypto.key_stream(F.lit(key), 7, F.lit(2).cast("bigint"), F.lit(2)))[0]
     assert len(whole) == 64 and whole[32:] == tail
+    # the first block of the standard's example F.5.5
+    key = bytes.fromhex("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4")
+    plain, sealed = bytes.fromhex("6bc1bee22e409f96e93d7e117393172a"), bytes.fromhex("601ec313775789a5b7a7f504bbf3d228")
+    first = F.lit(0xF8F9FAFBFCFDFEFF - (1 << 64)).cast("bigint")
+    assert one(spark, crypto.counter_mode(F.lit(plain), F.lit(key), 0xF0F1F2F3F4F5F6F7, first))[0] == sealed
+    back = df.select("c", crypto.counter_mode(crypto.counter_mode(F.col("c"), F.lit(key), 9), F.lit(key), 9).cast("string"))
+    assert all(a == b for a, b in back.collect())
     assert one(spark, crypto.sha256(F.lit("abc")), crypto.crc32(F.lit("123456789"))) == ("ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad", 0xCBF43926)
 
 
