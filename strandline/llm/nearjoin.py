@@ -36,7 +36,7 @@ SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Stands for a null doc_id where texts are looked up again.
 NO_ID = -(1 << 63)
 #: Nodes of a tile; rows of a block of the product; columns of a block.
-TILE, BLOCK, WIDE = 768, 256, 8192
+TILE, BLOCK, WIDE = 256, 256, 8192
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -192,8 +192,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     placed = members.join(sizes, "hub").select("hub", "node", tiles.alias("tiles"), F.pmod(F.hash("node"), tiles).alias("tile"))
     units = placed.select(
-        "hub", "node", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    ).select("hub", "node", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+        "hub", "node", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    ).select("hub", "node", "tile", "tiles", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
 
     # full sets of the nodes in question, again from the texts of their representatives
     wanted = own_hubs.join(nodes.select("node", "rep", "copies"), "node")
@@ -206,7 +206,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
             yield pa.RecordBatch.from_arrays([pa.array([node_name(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
     sets = stored(texts.select("text").mapInArrow(gather_sets, "node binary, grams binary").join(wanted.select("node", "copies", "hubs"), "node").dropDuplicates(["node"]), "lz4")
-    work = units.join(sets, "node").repartition("hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    # a hub's units go to partitions in turn, so that a large hub's do not meet in one
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.hash("hub").cast("bigint") + F.col("low") * F.col("tiles") + F.col("high"), F.lit(parts)).cast("int")
+    work = units.join(sets, "node").repartitionById(parts, turn).sortWithinPartitions("hub", "low", "high")
 
     def verify(batches):
         key, held = None, []
