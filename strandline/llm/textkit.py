@@ -185,9 +185,26 @@ def _own_dir(spark) -> str:
     return f"file://{path}"
 
 
+#: Tables that this process has stored and not cleared.
+_stored: list[str] = []
+
+
 def stored(df, codec: str = "zstd"):
-    """Write a frame to a Parquet table in the shared folder and read it back: this cuts its lineage."""
+    """Write a frame to a Parquet table in the shared folder and read it back: this cuts its lineage.
+
+    The table stays until ``clear_stored``, as frames that read it are lazy.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark) -> int:
+    """Deletes all tables that this process has stored; call it when their results have been written.  Returns how many there were."""
+    conf, n = spark._jsc.hadoopConfiguration(), len(_stored)
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
