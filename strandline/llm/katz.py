@@ -44,7 +44,7 @@ from .textkit import U64, Texts, as_bytes, batch_bytes, give_back, mix, slices,
 K = 5
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sends them.
-GATHER = 2_000_000
+GATHER = 1_500_000
 #: Bits of the bitmap of words in held-out documents (8 MB).
 BITMAP_BITS = 1 << 26
 N_VALUES = 14
