@@ -593,6 +593,43 @@ def genotype_report(spark, sf_dir):
     return genotypes.report(genotypes.marginals(scores, draws.select("draw_id", "load_idx", "class")), draws, 2)
 
 
+SMALL = genotypes.Parameters(alleles=2, load=2, ploidies=(1, 1), fan=32)
+_SCORES = """l(load_idx, x, y) AS (VALUES (0, 2, 0), (1, 1, 1)), g AS (SELECT a.range AS p, b.range AS q, a.range * 2 + b.range AS class FROM range(2) a, range(2) b),
+c AS (SELECT load_idx, class, (CASE WHEN p = 0 THEN x ELSE 0 END + CASE WHEN q = 0 THEN y ELSE 0 END) / 2.0 AS s FROM l, g),
+s AS (SELECT d.range AS draw_id, load_idx::INTEGER AS load_idx, class::INTEGER AS class, d.range * ln(0.9 * s + 0.1 * (1 - s)) + (8 - d.range) * ln(0.1 * s + 0.9 * (1 - s)) AS log_p FROM range(9) d, c)"""
+
+
+def _scored(spark: SparkSession) -> DataFrame:
+    """Scores of all ways to read eight molecules, against an evaluation set without amplification."""
+    draws = spark.range(9).select(F.col("id").alias("draw_id"), F.array(F.col("id"), 8 - F.col("id")).alias("reads"))
+    return kept(genotypes.score_reads(draws, genotypes.simulate(spark, SMALL), 2, 0.1))
+
+
+@query(f"WITH {_SCORES} SELECT draw_id, load_idx, class, round(log_p, 6) AS log_p FROM s")
+def read_scores(spark, sf_dir):
+    return _scored(spark).withColumn("log_p", F.round("log_p", 6))
+
+
+@query(f"""WITH {_SCORES}, t AS (SELECT draw_id, ln(sum(exp(log_p))) AS total FROM s GROUP BY draw_id)
+SELECT draw_id, round(max(log_p) FILTER (load_idx = 0 AND class = 1) - any_value(total), 6) AS ln_joint_right, round(ln(sum(exp(log_p)) FILTER (load_idx = 0)) - any_value(total), 6) AS ln_load_right,
+       round(ln(sum(exp(log_p)) FILTER (class = 1)) - any_value(total), 6) AS ln_class_right, round(max(log_p) FILTER (load_idx = 0 AND class = 1) - ln(sum(exp(log_p)) FILTER (load_idx = 0)), 6) AS ln_class_given_load_right,
+       round(max(log_p) FILTER (load_idx = 0 AND class = 1) - ln(sum(exp(log_p)) FILTER (class = 1)), 6) AS ln_load_given_class_right FROM s JOIN t USING (draw_id) GROUP BY draw_id""")
+def read_answers(spark, sf_dir):
+    """Joint, marginal and conditional log probabilities of the right answer: loading 0, class 1."""
+    scores = _scored(spark)
+    truth = spark.range(9).select(F.col("id").alias("draw_id"), F.lit(0).alias("load_idx"), F.lit(1).alias("class"))
+    a = genotypes.marginals(scores, truth)
+    names = ("ln_joint_right", "ln_load_right", "ln_class_right", "ln_class_given_load_right", "ln_load_given_class_right")
+    return a.select("draw_id", *(F.round(c, 6).alias(c) for c in names))
+
+
+@query(f"""WITH {_SCORES} SELECT draw_id, 1 AS individual, (class % 2)::VARCHAR AS genotype, round(ln(sum(exp(log_p))), 6) AS log_p FROM s GROUP BY draw_id, class % 2""")
+def read_individuals(spark, sf_dir):
+    """Log probability of the second individual's genotype."""
+    classes = genotypes.class_genotypes(genotypes.genotypes(spark, 2, (1, 1)), (1, 1)).filter("individual = 1")
+    return genotypes.individual_marginals(_scored(spark), classes).select("draw_id", "individual", "genotype", F.round("log_p_individual", 6).alias("log_p"))
+
+
 # ---- matrices
 
 
