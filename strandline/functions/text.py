@@ -33,19 +33,22 @@ def unescape(c: Column) -> Column:
 
     A lone backslash at the end stays.
     """
-    tokens = F.regexp_extract_all(c, F.lit(r"(?s)\\.|."), F.lit(0))
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)\\.|[^\\]+|\\"), F.lit(0))
     named = lambda t: (
-        F.when(t == "\\n", "\n").when(t == "\\t", "\t").when(t == "\\r", "\r").when((F.length(t) == 2) & t.startswith("\\"), F.substring(t, 2, 1)).otherwise(t)
+        F.when(t == "\\n", "\n").when(t == "\\t", "\t").when(t == "\\r", "\r").when(t.startswith("\\") & (F.length(t) == 2), F.substring(t, 2, 1)).otherwise(t)
     )
-    return F.array_join(F.transform(tokens, named), "")
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(tokens, named), "")).otherwise(c)
 
 
 def escape(c: Column) -> Column:
     """Tabs, returns and newlines become escapes, and so do blanks that stand at either end.  Backslashes stay as they are."""
-    part = lambda k: F.regexp_extract(c, r"(?s)\A([ \t\r\n]*)(.*?)([ \t\r\n]*)\z", k)
+    left = F.ltrim(c, F.lit(BLANKS))
+    middle = F.rtrim(left, F.lit(BLANKS))
+    front = F.substring(c, F.lit(1), F.length(c) - F.length(left))
+    tail = F.substring(left, F.length(middle) + 1, F.length(left) - F.length(middle))
     named = lambda x: F.replace(F.replace(F.replace(x, F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
-    end = lambda k: named(F.replace(part(k), F.lit(" "), F.lit("\\ ")))
-    return F.concat(end(1), named(part(2)), end(3))
+    end = lambda x: named(F.replace(x, F.lit(" "), F.lit("\\ ")))
+    return F.concat(end(front), named(middle), end(tail))
 
 
 def split_all(c: Column, delimiter: str) -> Column:
