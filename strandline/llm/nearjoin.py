@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
 from .textkit import U64, Texts, as_bytes, constants, mix, shingles, slices, stored
@@ -35,6 +35,10 @@ from .textkit import U64, Texts, as_bytes, constants, mix, shingles, slices, sto
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Stands for a null doc_id where texts are looked up again.
 NO_ID = -(1 << 63)
+#: A character of a word.
+WORD_CHAR = r"[^\x20\x09-\x0D]"
+#: Rows whose keys a task of ``keep_one`` remembers, so that it passes on few copies.
+REMEMBER = 200_000
 #: Nodes of a tile; rows of a block of the product; columns of a block.
 TILE, BLOCK, WIDE = 256, 256, 8192
 
@@ -165,8 +169,8 @@ def unit(hub: int, first: bool, names: list[bytes], tile: np.ndarray, copies: np
     return links, root
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies, n_grams) of every row of docs (doc_id, text)."""
+def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_grams) of every row of docs, and (node, rep, copies, root, links) of every node."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     n_bands = bands(threshold, recall, rows)
 
@@ -241,7 +245,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(links, "node", "left")
-    classes = classes.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    return signed, classes.select("node", "rep", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies, n_grams) of every row of docs (doc_id, text)."""
+    signed, classes = _classes(docs, threshold, recall, rows)
     least = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = stored(classes.join(least, "root").select("node", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")))
     out = signed.select("doc_id", "node", "n_grams").join(named, "node", "left")
@@ -257,7 +266,31 @@ def _links(rows: list) -> pa.RecordBatch:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class (the one with the least doc_id), with its own columns."""
-    found = near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each class, with its own columns: one with the least doc_id, or without an id where none has one.
+
+    Rows are told apart by their node, not by doc_id, which may be null or shared by different texts; of several nodes with the
+    least doc_id the least is taken.  Texts without a word are classes of their own and all stay.
+    """
+    _, classes = _classes(docs, THRESHOLD, RECALL, ROWS)
+    pick = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("p")
+    kept = stored(classes.groupBy("root").agg(pick).select(F.col("p.node").alias("_node"), "p.no_id", F.coalesce("p.rep", F.lit(NO_ID)).alias("_key")))
+    kept = kept.select("_node", F.col("no_id").alias("_no_id"), "_key")
+    worded = F.coalesce(F.col("text").rlike(WORD_CHAR), F.lit(False))
+    key = F.col("doc_id").cast("bigint")
+    keyed = docs.filter(worded).select(*docs.columns, key.isNull().alias("_no_id"), F.coalesce(key, F.lit(NO_ID)).alias("_key"))
+
+    def name(batches):
+        seen: set = set()
+        for b in slices(batches):
+            nodes = [node_name(s) for s in gram_sets(as_bytes(b.column("text")))]
+            fresh = []
+            for row in zip(nodes, b.column("_no_id").to_pylist(), b.column("_key").to_pylist(), strict=True):
+                fresh.append(row not in seen)
+                seen.add(row)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, "_node"]).filter(pa.array(fresh, pa.bool_()))
+            if len(seen) > REMEMBER:
+                seen.clear()
+
+    on = ["_node", "_no_id", "_key"]
+    named = keyed.mapInArrow(name, T.StructType([*keyed.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return named.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns).unionByName(docs.filter(~worded))

@@ -76,6 +76,24 @@ def test_documents(small):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute(rows)})
 
 
+def test_one_of_each_class_without_or_with_shared_ids(spark):
+    rng = np.random.default_rng(3)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(7)]
+    near = [t + " end" for t in text]
+    rows = [
+        (None, text[0]), (None, text[1]), (None, text[1]), (None, near[1]), (None, text[2]), (8, near[2]),  # no ids: alone, in a class, with one that has an id
+        (3, text[3]), (3, text[4]), (1, near[4]), (4, text[5]), (4, text[6]), (4, text[6]), (5, near[6]), (5, near[5]),  # shared ids
+        (nearjoin.NO_ID, text[0] + " " + text[6]), (None, None), (None, " "), (9, ""), (9, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    kept = nearjoin.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r.n for r in kept.collect())
+    assert all(r.text == rows[r.n][1] and r.doc_id == rows[r.n][0] for r in kept.collect())
+    assert sum(n in (1, 2, 3) for n in got) == 1 and sum(n in (11, 10) for n in got) == 1
+    assert [n for n in got if n not in (1, 2, 3, 10, 11)] == [0, 5, 6, 8, 9, 14, 15, 16, 17, 18]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
     df = spark.createDataFrame([(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in edges], "a binary, b binary")
