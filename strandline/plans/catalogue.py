@@ -217,6 +217,12 @@ def suffix_array(spark, sf_dir):
     return suffixes.ranked_suffixes(head, "item_id", "t")
 
 
+@query()
+def suffix_array_whole(spark, sf_dir):
+    """Suffix arrays of the whole ASCII text of an item."""
+    return suffixes.ranked_suffixes(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t")), "item_id", "t")
+
+
 @query("""
 SELECT item_id, count(*) FILTER (substr(t, pos::INTEGER + 1) < 'th' ) AS lower_end,
        count(*) FILTER (substr(t, pos::INTEGER + 1, 2) = 'th') AS hits
