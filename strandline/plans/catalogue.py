@@ -492,6 +492,14 @@ def iupac_weights(spark, sf_dir):
     return w.select("item_id", *(F.round(F.get("w", F.lit(i)), 9).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
 
 
+@query()
+def read_weights(spark, sf_dir):
+    """Base weights at every position of items as reads to graphs, whose qualities are their own characters."""
+    reads_ = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), F.lit("x").alias("name"), F.col("text").alias("seq"), F.col("text").alias("qual"))
+    g = sequences.reads_to_graphs(reads_, [sequences.OPEN, sequences.EXTEND, sequences.CLOSE] * 2).select(F.col("graph_id").alias("item_id"), F.posexplode(F.element_at("contigs", 1)["pos"]).alias("pos", "p"))
+    return g.select("item_id", "pos", *(F.get(F.col("p.base"), F.lit(i)).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
+
+
 @query("""
 SELECT lang, """ + ", ".join(f"sum(length(text) - length(replace(text, '{b}', '')))::BIGINT AS n_{b}" for b in "acgt") + """ FROM documents GROUP BY lang
 """)

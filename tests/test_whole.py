@@ -19,3 +19,14 @@ def test_suffix_array_whole(spark):
         want += [(r.item_id, k, p) for k, p in enumerate(sorted(range(len(t)), key=lambda p, t=t: t[p:]))]
     assert sorted(map(tuple, catalogue.queries()["suffix_array_whole"](spark, SF).collect())) == sorted(want)
     assert max(p for _, _, p in want) >= 40
+
+
+def test_read_weights(spark):
+    got = {(r.item_id, r.pos): r[2:] for r in catalogue.queries()["read_weights"](spark, SF).collect()}
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert sorted(got) == sorted((i, p) for i, t in texts.items() for p in range(len(t)))
+    for (i, p), w in got.items():
+        c = texts[i][p]
+        error, hot = 10 ** (-(ord(c) - 33) / 10), sequences.IUPAC.get(c.upper(), "ACGT")
+        want = [0.25 if len(hot) == 4 else (1 - error) / len(hot) if b in hot else error / (4 - len(hot)) for b in "ACGT"]
+        assert w == pytest.approx(want, rel=1e-5, abs=1e-9)
