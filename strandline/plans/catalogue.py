@@ -400,6 +400,14 @@ def gram_matrix(spark, sf_dir):
     return lookup.multiply(a, b).select(F.col("i").alias("row_no"), F.col("j").alias("col_no"), F.round("v", 4).alias("v"))
 
 
+@query()
+def gram_matrix_whole(spark, sf_dir):
+    """The product of the transposed vectors with themselves, all rows and columns."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), F.col("x").cast("double").alias("v"))
+    a, b = cells.select(F.col("k").alias("i"), F.col("vec_id").alias("j"), "v"), cells.select(F.col("vec_id").alias("i"), F.col("k").alias("j"), "v")
+    return lookup.multiply(a, b).select(F.col("i").alias("row_no"), F.col("j").alias("col_no"), F.round("v", 4).alias("v"))
+
+
 @query("""
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings
 """)

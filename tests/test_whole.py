@@ -30,3 +30,11 @@ def test_read_weights(spark):
         error, hot = 10 ** (-(ord(c) - 33) / 10), sequences.IUPAC.get(c.upper(), "ACGT")
         want = [0.25 if len(hot) == 4 else (1 - error) / len(hot) if b in hot else error / (4 - len(hot)) for b in "ACGT"]
         assert w == pytest.approx(want, rel=1e-5, abs=1e-9)
+
+
+def test_gram_matrix_whole(spark):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()], dtype=float)
+    got = {(r.row_no, r.col_no): r.v for r in catalogue.queries()["gram_matrix_whole"](spark, SF).collect()}
+    want = x.T @ x
+    assert len(got) == want.size == 4096
+    assert all(got[i + 1, j + 1] == pytest.approx(want[i, j], abs=1e-4) for i in range(64) for j in range(64))
