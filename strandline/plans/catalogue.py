@@ -438,6 +438,16 @@ def mixture_logpdf(spark, sf_dir):
     return t.select("event_id", F.round(m.log_pdf(F.col("value")), 6).alias("log_pdf"))
 
 
+@query()
+def mixture_logpdf_whole(spark, sf_dir):
+    """Every event with a value, the far tails too."""
+    m = prob.Mixture()
+    m.add(prob.Gaussian([0.0], [[100.0]]))
+    m.add(prob.Gaussian([50.0], [[1600.0]]))
+    m.set_weights([0.25, 0.75])
+    return table(spark, sf_dir, "events").filter("value is not null").select("event_id", F.round(m.log_pdf(F.col("value")), 6).alias("log_pdf"))
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 10 AND l_quantity < 30 AND l_discount >= 0.02 AND l_discount < 0.07 THEN round(-ln(20) - ln(0.05), 6) END AS log_pdf FROM lineitem
 """)

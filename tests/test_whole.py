@@ -38,3 +38,12 @@ def test_gram_matrix_whole(spark):
     want = x.T @ x
     assert len(got) == want.size == 4096
     assert all(got[i + 1, j + 1] == pytest.approx(want[i, j], abs=1e-4) for i in range(64) for j in range(64))
+
+
+def test_mixture_logpdf_whole(spark, tmp_path):
+    values = [0.0, -200.5, 400.5, 490.02, -5000.0, 1e5, None]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.log_pdf for r in catalogue.queries()["mixture_logpdf_whole"](spark, str(tmp_path)).collect()}
+    ln = lambda x, m, s, w: math.log(w / (s * math.sqrt(2 * math.pi))) - 0.5 * ((x - m) / s) ** 2
+    want = {i: float(np.logaddexp(ln(x, 0, 10, 0.25), ln(x, 50, 40, 0.75))) for i, x in enumerate(values) if x is not None}
+    assert got == pytest.approx(want, abs=2e-6)
