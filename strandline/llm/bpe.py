@@ -3,15 +3,16 @@
 ``UnitEncoder`` encodes texts exactly as the tokenizers library does.  A text is cut before every run
 of blanks (bytes 0x20, 0x09-0x0D) into units "blanks + word"; no pre-token of the supported kinds of
 tokenizers crosses such a cut, so equal units have equal ids wherever they stand, and each distinct
-unit is given to the library once per worker (a cache of at most ``CACHE`` units).  Texts in which
-that could fail (other Unicode blanks next to the regular ones, where the pre-tokenizer sees blanks)
-are given to the library whole.
+unit is given to the library once per worker (a cache of at most ``CACHE`` units, found by their whole
+128-bit keys, see ``textkit``).  Texts in which that could fail (other Unicode blanks next to the regular
+ones, where the pre-tokenizer sees blanks) are given to the library whole.
 
 Chunk reuse over documents: a rolling hash over the last bytes of every unit ends a chunk where its
 low bits are zero, so equal passages give equal chunks whatever stands before them.
- 1. Chunk hashes are counted; those that occur twice set a bit in a bitmap of fixed size.
- 2. A document without such a chunk is encoded at once.  The others are stored, their shared chunks
-    dealt out by hash, and every shared chunk is encoded once.
+ 1. Chunk keys are counted; those that occur twice set a bit in a bitmap sized by their number.
+ 2. Every document is cut once more.  One without such a chunk is encoded at once.  The others are stored with
+    the keys of their shared chunks and, once a task, the chunks themselves; these are dealt out by salted key,
+    and every shared chunk is encoded once.
  3. The codes go back to the documents that use them.  At each joint of two chunks the units around it
     are encoded together; where that differs, the window doubles until its ends agree with both
     chunks' own ids (at last, both chunks whole), and replaces them.
@@ -31,18 +32,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import U64, Texts, as_bytes, gather, mix, slices, span_hashes, stored
+from .textkit import U64, Texts, as_bytes, blend, distinct, gather, mix, slices, span_keys, stored
 
 #: Most units that a worker remembers.
-CACHE = 2_500_000
+CACHE = 2_000_000
 #: A chunk ends after one unit in so many, on average; bytes that the rolling hash sees.
-CHUNK_UNITS, ROLL = 128, 24
-#: Bits of the bitmap of shared chunks (8 MB).
-BITMAP_BITS = 1 << 26
+CHUNK_UNITS, ROLL = 32, 24
+#: Least and most bits of the bitmap of shared chunks (64 MB at most), and bits a chunk.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 29, 16
+#: Parts that copies of one chunk are dealt to before they meet; keys of chunks that a task remembers.
+SALTS, REMEMBER = 32, 100_000
 #: Blanks that the library knows besides the regular ones, in UTF-8.
 OTHER_BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
 
+def _ragged(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The values one after the other, and their bounds."""
+    size = np.fromiter((len(v) for v in values), dtype=np.int64, count=len(values))
+    return np.concatenate([*values, np.zeros(0, np.uint32)]), np.append(0, np.cumsum(size))
+
+
 class UnitEncoder:
     """The ids of texts under the tokenizer in the file ``path``."""
 
@@ -73,7 +82,7 @@ class UnitEncoder:
         self.forget()
 
     def forget(self) -> None:
-        none = np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        none = np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
         self.old, self.new = none, none
 
     def _library(self, texts: list[str]) -> list[list[int]]:
@@ -101,27 +110,28 @@ class UnitEncoder:
             out[i] = np.array(ids, dtype=np.uint32)
         return out
 
-    def _remember(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
-        size = np.fromiter((len(v) for v in values), dtype=np.int64, count=len(values))
-        self.new = self._merged(self.new, (keys, np.append(0, np.cumsum(size)), np.concatenate([*values, np.zeros(0, np.uint32)])))
+    def _remember(self, short: np.ndarray, high: np.ndarray, values: list[np.ndarray]) -> None:
+        flat, bounds = _ragged(values)
+        self.new = self._merged(self.new, (short, high, bounds, flat))
         if len(self.new[0]) > 50_000 + len(self.old[0]) // 4:
-            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32))
+            self.old = self._merged(self.old, self.new)
+            self.new = tuple(x[:0] if k != 2 else np.zeros(1, dtype=np.int64) for k, x in enumerate(self.new))
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple:
         if not len(a[0]):
             return b
-        keys = np.concatenate([a[0], b[0]])
-        bounds = np.concatenate([a[1], a[1][-1] + b[1][1:]])
-        order = np.argsort(keys)
-        values, out = gather(np.concatenate([a[2], b[2]]), bounds, order)
-        return keys[order], out, values
+        short = np.concatenate([a[0], b[0]])
+        order = np.argsort(short)
+        values, bounds = gather(np.concatenate([a[3], b[3]]), np.concatenate([a[2], a[2][-1] + b[2][1:]]), order)
+        return short[order], np.concatenate([a[1], b[1]])[order], bounds, values
 
     @staticmethod
-    def _find(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(table[0], keys)
+    def _find(table: tuple, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the short keys in a table, and which are there."""
+        at = np.searchsorted(table[0], short)
         at[at == len(table[0])] = 0
-        return at, (table[0][at] == keys) if len(table[0]) else np.zeros(len(keys), dtype=bool)
+        return at, (table[0][at] == short) if len(table[0]) else np.zeros(len(short), dtype=bool)
 
     def spans(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin and end of every unit, and the units' bounds by text."""
@@ -137,20 +147,33 @@ class UnitEncoder:
         return begin[order], end[order], np.append(0, np.cumsum(t.n_words + np.isin(np.arange(t.count), tail)))
 
     def units(self, t: Texts, spans: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given units, and their bounds by unit."""
+        """Ids of the given units, and their bounds by unit.
+
+        Units are looked up by 64 bits of their key; where the rest differs from the one that is known by these bits, the
+        unit is encoded for itself.
+        """
         begin, end, _ = spans
-        keys, first, back = np.unique(span_hashes(t.bytes, begin, end), return_index=True, return_inverse=True)
+        low, high = t.keys() if self.blank_free and begin is t.starts else span_keys(t.raw, begin, end)
+        short, first, back = np.unique(blend(low, high), return_index=True, return_inverse=True)
         if len(self.old[0]) + len(self.new[0]) > CACHE:
             self.forget()
-        hit = self._find(self.old, keys)[1] | self._find(self.new, keys)[1]
-        miss = first[~hit]
-        if len(miss):
-            self._remember(keys[~hit], self._units([t.raw[a:b] for a, b in zip(begin[miss].tolist(), end[miss].tolist(), strict=True)]))
-        a, b = self._find(self.old, keys), self._find(self.new, keys)
+        code = lambda at: self._units([t.raw[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+        hit = self._find(self.old, short)[1] | self._find(self.new, short)[1]
+        if not hit.all():
+            miss = first[~hit]
+            self._remember(short[~hit], high[miss], code(miss))
+        a, b = self._find(self.old, short), self._find(self.new, short)
         # rows of the two tables one after the other
-        row = np.where(a[1], a[0], len(self.old[0]) + b[0])
-        bounds = np.concatenate([self.old[1], self.old[1][-1] + self.new[1][1:]])
-        return gather(np.concatenate([self.old[2], self.new[2]]), bounds, row[back])
+        row = np.where(a[1], a[0], len(self.old[0]) + b[0])[back]
+        known = np.concatenate([self.old[1], self.new[1]])
+        bounds = np.concatenate([self.old[2], self.old[2][-1] + self.new[2][1:]])
+        ids = np.concatenate([self.old[3], self.new[3]])
+        other = np.flatnonzero(known[row] != high)
+        if len(other):
+            own, by_own = _ragged(code(other))
+            row[other] = len(known) + np.arange(len(other))
+            ids, bounds = np.concatenate([ids, own]), np.concatenate([bounds, bounds[-1] + by_own[1:]])
+        return gather(ids, bounds, row)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their bounds by text."""
@@ -203,7 +226,9 @@ class Chunks:
         last = np.flatnonzero(chunk_ends(self.t, self.spans))
         self.units = np.append(0, last + 1)  # units of chunk i: units[i]:units[i + 1]
         self.begin, self.end = begin[self.units[:-1]], end[last]
-        self.hash = span_hashes(self.t.bytes, self.begin, self.end).view(np.int64)
+        low, high = span_keys(self.t.raw, self.begin, self.end)
+        #: two longs that make up a chunk's key
+        self.key = np.stack([blend(low, high), high], axis=1).view(np.int64)
         self.by_text = np.searchsorted(self.units, by_text)
 
     def text(self, i: int) -> bytes:
@@ -230,22 +255,23 @@ def _repair(encoder: UnitEncoder, c: Chunks, i: int, left: np.ndarray, right: np
         k *= 2
 
 
-def assemble(encoder: UnitEncoder, c: Chunks, codes: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the texts of c, and bounds by text: given codes are used, other chunks encoded, joints repaired."""
-    n = len(c.hash)
+def assemble(encoder: UnitEncoder, c: Chunks, codes: dict[tuple[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts of c, and bounds by text: given codes (by key) are used, other chunks encoded, joints repaired."""
+    n = len(c.key)
     begin, end, _ = c.spans
     if codes:
-        own = np.fromiter((h not in codes for h in c.hash.tolist()), dtype=bool, count=n)
+        keys = list(map(tuple, c.key.tolist()))
+        own = np.fromiter((k not in codes for k in keys), dtype=bool, count=n)
         use = np.repeat(own, np.diff(c.units))
         ids, by_unit = encoder.units(c.t, (begin[use], end[use], None))
         by_chunk = by_unit[np.append(0, np.cumsum(np.diff(c.units)[own]))]
         parts, k = [], 0
-        for mine, h in zip(own.tolist(), c.hash.tolist(), strict=True):
+        for mine, key in zip(own.tolist(), keys, strict=True):
             if mine:
                 parts.append(ids[by_chunk[k] : by_chunk[k + 1]])
                 k += 1
             else:
-                parts.append(codes[h])
+                parts.append(codes[key])
     else:
         ids, by_unit = encoder.units(c.t, c.spans)
         by_chunk = by_unit[c.units]
@@ -290,29 +316,36 @@ def _digest(path: str) -> Digests:
 
 
 def shared_bitmap(docs: DataFrame, path: str) -> np.ndarray:
-    """A bitmap of fixed size with the bits of all chunk hashes that occur twice or more."""
+    """A bitmap with the bits of all chunk keys that occur twice or more."""
 
     def run(batches):
         encoder = UnitEncoder.of(path)
         for b in slices(batches):
-            h, n = np.unique(Chunks(encoder, as_bytes(b.column("text"))).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.pmod("h", F.lit(BITMAP_BITS))
-    words = counts.groupBy(F.shiftright(bit, 15).alias("word")).agg(F.expr(f"bitmap_construct_agg(pmod(h, {1 << 15}))").alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for word, bits in words.collect():  # at most 2048 rows of 4 kB, whatever the corpus
-        bitmap[word << 12 : (word + 1) << 12] |= np.frombuffer(bytes(bits), dtype=np.uint8)
+            key = Chunks(encoder, as_bytes(b.column("text"))).key
+            first, back = distinct(key[:, 0].view(U64), key[:, 1].view(U64))
+            yield pa.RecordBatch.from_arrays([pa.array(key[first, 0]), pa.array(key[first, 1]), pa.array(np.bincount(back, minlength=len(first)), pa.int64())], names=["h", "g", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "h long, g long, n long").groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1")
+    shared = stored(counts.select("h"))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * shared.count()).bit_length()))
+    bit = F.pmod("h", F.lit(bits))
+    words = shared.groupBy(F.shiftright(bit, 15).alias("word")).agg(F.expr(f"bitmap_construct_agg(pmod(h, {1 << 15}))").alias("bits"))
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for word, found in words.toLocalIterator():  # at most 16,384 rows of 4 kB, whatever the corpus
+        bitmap[word << 12 : (word + 1) << 12] |= np.frombuffer(bytes(found), dtype=np.uint8)
     return bitmap
 
 
 def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h & (BITMAP_BITS - 1)
+    bit = h & (8 * len(bitmap) - 1)
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+TABLE = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("row", pa.int64()), ("text", pa.string())]
+    + [("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int64())), ("fresh", pa.list_(pa.binary()))]
+)
 
 
 def _result(doc_ids: list, rows: list[tuple]) -> list[pa.Array]:
@@ -329,64 +362,51 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         encoder, digest = UnitEncoder.of(path), _digest(path)
-        row = TaskContext.get().partitionId() << 40
+        row, given = TaskContext.get().partitionId() << 40, set()
         for b in slices(batches):
             texts = [x or b"" for x in as_bytes(b.column("text"))]
             c = Chunks(encoder, texts)
-            total = np.append(0, np.cumsum(_marked(bitmap.value, c.hash)))
+            mark = _marked(bitmap.value, c.key[:, 0])
+            total = np.append(0, np.cumsum(mark))
             later = total[c.by_text[1:]] > total[c.by_text[:-1]]
+            if not encoder.blank_free:
+                later &= [not OTHER_BLANKS.search(t) for t in texts]
             names = b.column("doc_id").to_pylist()
-            now = np.flatnonzero(~later).tolist()
-            ids, bounds = assemble(encoder, Chunks(encoder, [texts[i] for i in now]))
-            done = [digest(ids[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            held = np.flatnonzero(later).tolist()
-            numbers = [row + k for k in range(len(held))]
-            row += len(held)
-            empty = [None] * len(held)
-            arrays = _result([names[i] for i in now] + [names[i] for i in held], done + [(None, None, None)] * len(held))
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array([None] * len(now) + numbers, pa.int64()), pa.array([None] * len(now) + [texts[i].decode("utf-8", "replace") for i in held], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "row", "text"],
-            )
-            del empty
-
-    table = stored(docs.mapInArrow(first, RESULT + ", row long, text string"))
-    held = table.filter("row is not null").select("row", "doc_id", "text")
-
-    def shared(batches):
-        encoder = UnitEncoder.of(path)
-        for b in slices(batches):
-            c = Chunks(encoder, as_bytes(b.column("text")))
-            _, at = np.unique(c.hash, return_index=True)
-            at = at[_marked(bitmap.value, c.hash[at])]
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash[at], pa.int64()), pa.array([c.text(i) for i in at.tolist()], pa.binary())], names=["h", "chunk"])
+            now, held = np.flatnonzero(~later).tolist(), np.flatnonzero(later).tolist()
+            ids, bounds = encoder.encode([texts[i] for i in now])
+            rows = [(names[i], *digest(ids[x:y]), *[None] * 5) for i, x, y in zip(now, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for i in held:
+                at = np.flatnonzero(mark[c.by_text[i] : c.by_text[i + 1]]) + c.by_text[i]
+                own = {tuple(k): j for j, k in zip(at.tolist(), c.key[at].tolist(), strict=True)}
+                fresh = [None if k in given else c.text(j) for k, j in own.items()]
+                given.update(own)
+                rows.append((names[i], None, None, None, row, texts[i].decode("utf-8", "replace"), [k[0] for k in own], [k[1] for k in own], fresh))
+                row += 1
+            if len(given) > REMEMBER:
+                given.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(list(zip(*rows, strict=True)) or [()] * 9, TABLE, strict=True)], schema=TABLE)
+
+    table = stored(docs.mapInArrow(first, RESULT + ", row long, text string, h array<long>, g array<long>, fresh array<binary>"))
+    held = table.filter("row is not null")
+    uses = held.select("row", F.explode(F.arrays_zip("h", "g")).alias("k")).select("row", "k.*")
+    chunks = held.select(F.explode(F.arrays_zip("h", "g", "fresh")).alias("k")).select("k.h", "k.g", F.col("k.fresh").alias("chunk")).filter("chunk is not null")
+    # copies of a chunk, one from each task, meet in two steps
+    dealt = chunks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).dropDuplicates(["h", "g", "salt"]).drop("salt").dropDuplicates(["h", "g"])
 
     def once(batches):
-        encoder, last = UnitEncoder.of(path), None
+        encoder = UnitEncoder.of(path)
         for b in slices(batches, "chunk"):
-            h = b.column("h").to_numpy()
-            new = np.append(h[:1] != last if last is not None else np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1])
-            last = h[-1] if len(h) else last
-            b = b.filter(pa.array(new))
             ids, bounds = encoder.encode(b.column("chunk").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["h", "ids"])
-
-    dealt = held.select("text").mapInArrow(shared, "h long, chunk binary").repartition("h").sortWithinPartitions("h")
-    codes = stored(dealt.mapInArrow(once, "h long, ids binary"))
-
-    def uses(batches):
-        encoder = UnitEncoder.of(path)
-        for b in slices(batches):
-            c = Chunks(encoder, as_bytes(b.column("text")))
-            number = np.repeat(b.column("row").to_numpy(), np.diff(c.by_text))
-            keep = _marked(bitmap.value, c.hash)
-            pairs = np.unique(np.stack([number[keep], c.hash[keep]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["row", "h"])
+            codes = [ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g"), pa.array(codes, pa.binary())], names=["h", "g", "ids"])
 
-    found = held.select("row", "text").mapInArrow(uses, "row long, h long").join(codes, "h")
+    codes = stored(dealt.select("h", "g", "chunk").mapInArrow(once, "h long, g long, ids binary"))
+    # a chunk that very many documents use is a skewed key of this join, which adaptive execution splits
+    found = uses.join(codes, ["h", "g"])
     none = F.lit(None)
-    rows = held.select("row", "doc_id", "text", none.cast("bigint").alias("h"), none.cast("binary").alias("ids")).unionByName(
-        found.select("row", none.cast("bigint").alias("doc_id"), none.cast("string").alias("text"), "h", "ids")
+    nothing = none.cast("bigint")
+    rows = held.select("row", "doc_id", "text", nothing.alias("h"), nothing.alias("g"), none.cast("binary").alias("ids")).unionByName(
+        found.select("row", nothing.alias("doc_id"), none.cast("string").alias("text"), "h", "g", "ids")
     )
 
     def last(batches):
@@ -399,7 +419,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(_result(names, done), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         for b in batches:
-            for h, doc, text, ids in zip(b.column("h").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("ids").to_pylist(), strict=True):
+            for h, g, doc, text, ids in zip(b.column("h").to_pylist(), b.column("g").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("ids").to_pylist(), strict=True):
                 if h is None:
                     if held > 4 << 20:
                         yield flush()
@@ -408,9 +428,9 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                     texts.append(text)
                     held += len(text or b"")
                 else:
-                    codes[h] = np.frombuffer(ids, dtype="<u4")
+                    codes[h, g] = np.frombuffer(ids, dtype="<u4")
         if names:
             yield flush()
 
-    later = rows.repartition("row").sortWithinPartitions("row", F.col("h").asc_nulls_first()).select("h", "doc_id", "text", "ids").mapInArrow(last, RESULT)
+    later = rows.repartition("row").sortWithinPartitions("row", F.col("h").asc_nulls_first()).select("h", "g", "doc_id", "text", "ids").mapInArrow(last, RESULT)
     return table.filter("row is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(later)

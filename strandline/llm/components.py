@@ -26,21 +26,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every vertex of edges (a, b); root is the least vertex of its component.
 
-    Needs a number of rounds that grows with the logarithm of the vertices; every round is stored, so that
-    neither its lineage nor a lost executor leads back beyond it.
+    Needs a number of rounds that grows with the logarithm of the vertices, and goes on until nothing changes; every
+    round is stored, so that neither its lineage nor a lost executor leads back beyond it.
     """
     edges = stored(edges.select("a", "b").filter("a <> b").distinct())
-    seen = None
-    for _ in range(rounds):
+    seen, now = None, ()
+    while now != seen:
         edges = stored(_star(_star(edges, True), False))
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        seen, now = now, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     roots = edges.select(F.col("b").alias("a"), "b").distinct()
     return edges.unionByName(roots).select(F.col("a").alias("node"), F.col("b").alias("root"))

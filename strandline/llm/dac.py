@@ -6,22 +6,22 @@ level has a bitmap with a one where the id goes on at the next level, and a rank
 number of ones before every block of ``BLOCK`` bits.  Token i is read from one byte of each level:
 its place at the next level is the rank of its bit.  No block is decoded for that.
 
-    bytes  "DAC1", u32 levels, u64 ids; then for each level:
-           u64 n, n bytes of chunks, ceil(n / 8) bytes of bitmap (least bit first),
-           u32 for every block of BLOCK bits: ones before it
-
-Files are written in ascending doc_id order: the rows are range-partitioned and sorted by doc_id, and
-each partition writes shards of about ``SHARD_IDS`` ids to a table in the shared folder, with a
-directory of its documents.  All columns of a query are read back from these files.
-
-Edge cases: a null text counts as empty (its end id is its only id); null ids come first; repeated
-rows are all written; a document longer than a shard has a shard of its own; an empty table gives
-no shard; other columns are ignored.
+On disk a shard of about ``SHARD_IDS`` ids is one row of an uncompressed Parquet table, and the chunks (c0 .. c3), bitmaps
+(b0 ..) and ranks (r0 ..) of its levels are columns of bytes, each value on a page of its own.  ``token_at`` asks for
+single bytes of them, level by level, by (part, shard): columns of other levels and pages of other shards are not read,
+and what is read needs no unpacking.
+
+Files are written in ascending doc_id order: the rows are range-partitioned and sorted by doc_id, and by the text where
+that ties, and each partition writes its shards to a table in the shared folder, with a directory of its documents.  All
+columns of a query are read back from these files.
+
+Edge cases: a null text counts as empty (its end id is its only id); null ids come first; of rows that share an id, those
+with the lesser hash of the text come first; repeated rows are all written; a document longer than a shard has a shard of
+its own; an empty table gives no shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -31,78 +31,59 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bpe import UnitEncoder
 from .textkit import as_bytes, slices, stored
 
-BITS, BLOCK, SHARD_IDS = 8, 512, 1 << 20
+BITS, BLOCK, SHARD_IDS = 8, 512, 1 << 16
+#: Levels of an id of 32 bits.
+LEVELS = 32 // BITS
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """The shard of ids (unsigned 32-bit)."""
+def pack(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
+    """Chunks, bitmap (least bit first) and ranks of every level of ids (unsigned 32-bit)."""
     levels = []
     rest = ids.astype(np.uint32)
-    while len(rest) or not levels:
+    for _ in range(LEVELS):
         chunk = (rest & np.uint32((1 << BITS) - 1)).astype(np.uint8)
         more = rest >> np.uint32(BITS)
         goes = more > 0
-        bitmap = np.packbits(goes, bitorder="little")
         ones = np.add.reduceat(goes.astype(np.uint32), np.arange(0, len(goes), BLOCK)) if len(goes) else np.zeros(0, np.uint32)
-        ranks = (np.cumsum(ones) - ones).astype("<u4")
-        levels.append(struct.pack("<Q", len(chunk)) + chunk.tobytes() + bitmap.tobytes() + ranks.tobytes())
+        levels.append((chunk.tobytes(), np.packbits(goes, bitorder="little").tobytes(), (np.cumsum(ones) - ones).astype("<u4").tobytes()))
         rest = more[goes]
-        if not len(rest):
+    return levels
+
+
+def unpack(levels: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """All ids from the chunks and bitmaps of the levels."""
+    value = np.zeros(0, dtype=np.uint32)
+    for chunk, bitmap in reversed(levels):
+        here = np.frombuffer(chunk, np.uint8).astype(np.uint32)
+        goes = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(here), bitorder="little").astype(bool)
+        here[goes] |= value << np.uint32(BITS)
+        value = here
+    return value
+
+
+def get(read, i: int) -> int:
+    """Id number i; read(level, i) gives the chunk at i, the bytes of the bitmap from i's block up to i, and the block's rank."""
+    value = 0
+    for level in range(LEVELS):
+        chunk, bits, rank = read(level, i)
+        value |= chunk << (BITS * level)
+        here = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")[: i % BLOCK + 1]
+        if not here[-1]:
             break
-    return b"DAC1" + struct.pack("<IQ", len(levels), len(ids)) + b"".join(levels)
-
-
-class Shard:
-    """Reads a shard: ``get`` for one id, ``all`` for every id."""
-
-    def __init__(self, data: bytes):
-        if data[:4] != b"DAC1":
-            raise ValueError("not a shard")
-        count, self.n = struct.unpack_from("<IQ", data, 4)
-        at, self.levels = 16, []
-        for _ in range(count):
-            (n,) = struct.unpack_from("<Q", data, at)
-            at += 8
-            chunk = np.frombuffer(data, np.uint8, n, at)
-            at += n
-            bitmap = np.frombuffer(data, np.uint8, -(-n // 8), at)
-            at += len(bitmap)
-            ranks = np.frombuffer(data, "<u4", -(-n // BLOCK), at)
-            at += 4 * len(ranks)
-            self.levels.append((chunk, bitmap, ranks))
-
-    def get(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        value = 0
-        for level, (chunk, bitmap, ranks) in enumerate(self.levels):
-            value |= int(chunk[i]) << (BITS * level)
-            if not bitmap[i >> 3] >> (i & 7) & 1:
-                break
-            block = i // BLOCK
-            first = block * BLOCK // 8
-            ones = np.unpackbits(bitmap[first : (i >> 3) + 1], bitorder="little")[: i - block * BLOCK]
-            i = int(ranks[block]) + int(ones.sum())
-        return value
-
-    def all(self) -> np.ndarray:
-        value = np.zeros(0, dtype=np.uint32)
-        for chunk, bitmap, _ in reversed(self.levels):
-            goes = np.unpackbits(bitmap, count=len(chunk), bitorder="little").astype(bool)
-            here = chunk.astype(np.uint32)
-            here[goes] |= value << np.uint32(BITS)
-            value = here
-        return value
-
-
-SHARDS = "part int, shard long, n_ids long, n_docs long, first_doc long, last_doc long, doc_ids binary, bounds binary, codes binary"
+        i = rank + int(here[:-1].sum())
+    return value
+
+
+COLUMNS = [f"{kind}{level}" for level in range(LEVELS) for kind in "cbr"]
+SHARDS = "part int, shard long, n_ids long, n_docs long, n_null long, first_doc long, last_doc long, doc_ids binary, bounds binary, " + ", ".join(f"{c} binary" for c in COLUMNS)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
     """The table of shards of docs (doc_id, text), encoded with the tokenizer in the file ``path``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    # an id that very many rows share is dealt out by its texts
+    ordered = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
 
     def run(batches):
         from pyspark import TaskContext
@@ -113,11 +94,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFram
 
         def flush():
             sizes = np.append(0, np.cumsum([len(x) for x in held]))
-            codes = pack(np.concatenate(held))
-            known = np.array([-(1 << 63) if x is None else x for x in names], dtype="<i8")
-            real = [x for x in names if x is not None]
-            row = [part, shard, int(sizes[-1]), len(names), min(real, default=None), max(real, default=None), known.tobytes(), sizes.astype("<i8").tobytes(), codes]
-            types = [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 3]
+            real = [x for x in names if x is not None]  # null ids come first
+            known = np.array([0] * (len(names) - len(real)) + real, dtype="<i8")
+            row = [part, shard, int(sizes[-1]), len(names), len(names) - len(real), min(real, default=None), max(real, default=None), known.tobytes(), sizes.astype("<i8").tobytes()]
+            row += [x for level in pack(np.concatenate(held)) for x in level]
+            types = [pa.int32(), *[pa.int64()] * 6, *[pa.binary()] * (2 + len(COLUMNS))]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         waiting = 0
@@ -135,20 +116,34 @@ def write_shards(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFram
         if held:
             yield flush()
 
-    return stored(ordered.mapInArrow(run, SHARDS))
+    # pages of one value each, so that a value is found by the column index and read alone
+    options = {"parquet.page.size": str(SHARD_IDS // 2), "parquet.page.row.count.limit": "1", "parquet.enable.dictionary": "false"}
+    return stored(ordered.mapInArrow(run, SHARDS), "uncompressed", **options)
 
 
 def token_at(shards: DataFrame, doc_id: int, k: int) -> int | None:
-    """Token k of a document, read from the one shard that the directory columns point to."""
-    for row in shards.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("doc_ids", "bounds", "codes").toLocalIterator():
+    """Token k of a document (the first with that id, in the order of the files), by single bytes of the stored levels."""
+    near = shards.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("part", "shard", "n_null", "doc_ids", "bounds")
+    for row in near.orderBy("part", "shard").toLocalIterator():
         at = np.flatnonzero(np.frombuffer(row.doc_ids, "<i8") == doc_id)
+        at = at[at >= row.n_null]
         if len(at):
             bounds = np.frombuffer(row.bounds, "<i8")
-            if 0 <= k < bounds[at[0] + 1] - bounds[at[0]]:
-                return Shard(bytes(row.codes)).get(int(bounds[at[0]]) + k)
+            if not 0 <= k < bounds[at[0] + 1] - bounds[at[0]]:
+                return None
+            one = shards.filter((F.col("part") == row.part) & (F.col("shard") == row.shard))
+            return get(lambda level, i: read_bytes(one, level, i), int(bounds[at[0]]) + k)
     return None
 
 
+def read_bytes(shard: DataFrame, level: int, i: int) -> tuple[int, bytes, int]:
+    """What ``get`` needs of a level, from one row of the table."""
+    block = i // BLOCK
+    piece = lambda name, at, size: F.substring(F.col(f"{name}{level}"), at + 1, size)
+    chunk, bits, rank = shard.select(piece("c", i, 1), piece("b", block * BLOCK // 8, i // 8 - block * BLOCK // 8 + 1), piece("r", 4 * block, 4)).first()
+    return chunk[0], bytes(bits), int.from_bytes(rank, "little")
+
+
 def read_digests(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
@@ -157,17 +152,20 @@ def read_digests(shards: DataFrame) -> DataFrame:
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     starts = shards.select("part", "shard", "n_ids").withColumn("inside", inside).join(before, "part")
     starts = starts.select("part", "shard", (F.col("before") + F.col("inside")).alias("base"))
-    placed = shards.select("part", "shard", "doc_ids", "bounds", "codes").join(starts, ["part", "shard"])
+    codes = [c for c in COLUMNS if c[0] != "r"]
+    placed = shards.select("part", "shard", "n_null", "doc_ids", "bounds", *codes).join(starts, ["part", "shard"])
 
     def run(batches):
-        for b in batches:
-            for base, names, bounds, codes in zip(*(b.column(c).to_pylist() for c in ("base", "doc_ids", "bounds", "codes")), strict=True):
-                ids = Shard(codes).all().astype("<u4")
-                at = np.frombuffer(bounds, "<i8")
-                names = np.frombuffer(names, "<i8")
+        for batch in batches:
+            for i in range(batch.num_rows):  # a shard at a time
+                b = batch.slice(i, 1)
+                row = {c: b.column(c)[0].as_py() for c in b.schema.names}
+                ids = unpack([(row[f"c{level}"], row[f"b{level}"]) for level in range(LEVELS)]).astype("<u4")
+                at, names = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
                 sums = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                missing = np.arange(len(names)) < row["n_null"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64(), mask=names == -(1 << 63)), pa.array(base + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(names, pa.int64(), mask=missing), pa.array(row["base"] + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

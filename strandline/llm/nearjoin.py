@@ -1,19 +1,19 @@
 """N-gram Jaccard self-join by MinHash banding, verified on full n-gram sets.
 
- 1. Every text becomes its set of word 5-grams (of the whole text where it has fewer words), hashed to
-    64 bits; texts with equal sets collapse to one node, named by a 128-bit digest of the set.
+ 1. Texts with the same words in the same order collapse to one node, named by a 128-bit digest of the words.  For
+    banding, a node's word 5-grams (the whole text where it has fewer words) are hashed to 64 bits.
  2. ``bands(threshold, recall)`` chooses rows and bands so that a pair at the threshold shares a band with
     the wanted probability.  Nodes are shuffled on band hashes; a bucket is named by its least node (hub),
     and a node keeps each distinct hub once.  Two nodes that share a bucket share its hub.
- 3. The members of a hub are dealt into tiles of about ``TILE`` nodes and every pair of tiles is one unit
-    of work, so that no hub, however large, is gathered into one task.  A unit gets the full sets of
-    its nodes and counts common n-grams by blocks of a matrix product; it never emits its pairs, only each
-    node's number of links and a spanning forest.  A pair that meets under several hubs is counted
-    under the least one.
+ 3. The members of a hub are dealt into tiles of about ``TILE`` nodes (fewer where they are long) and every pair of tiles
+    is one unit of work, so that no hub, however large, is gathered into one task.  A unit gets the words of
+    its nodes, numbers their n-grams exactly (no hash decides here) and counts common ones by blocks of a matrix
+    product; it never emits its pairs, only each node's number of links and a spanning forest.  A pair that meets
+    under several hubs is counted under the least one.
  4. Connected components of the forests' edges give the classes.
 
 ``n_links`` is the number of other documents at or above the threshold, copies included; it is counted
-by weights and copies are never expanded.
+by weights and copies are never expanded.  ``n_copies``: documents with the same words in the same order, itself included.
 
 Edge cases: a text without a word (null, empty, blank) is a class of its own without links; class_id is
 the least doc_id of the class (null if it has none); repeated rows count as copies; other columns
@@ -41,6 +41,8 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 REMEMBER = 200_000
 #: Nodes of a tile; rows of a block of the product; columns of a block.
 TILE, BLOCK, WIDE = 256, 256, 8192
+#: N-grams of a tile.
+TILE_GRAMS = 1 << 19
 
 
 def bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -75,8 +77,33 @@ def signatures(sets: list[np.ndarray], n_bands: int, rows: int = ROWS) -> list[l
     return out
 
 
-def node_name(grams: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest() if len(grams) else None
+def plain_words(text: bytes | None) -> bytes:
+    """The words with a blank between them; bytes.split parts at the same six bytes."""
+    return b" ".join((text or b"").split())
+
+
+def node_name(words: bytes) -> bytes | None:
+    return hashlib.blake2b(words, digest_size=16).digest() if words else None
+
+
+def exact_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The set of word n-grams of every text, as numbers that are equal for equal n-grams only."""
+    t = Texts(texts)
+    word = np.append(t.ids() + 1, np.zeros(SHINGLE, dtype=np.int64))  # 0: beyond the end of a short text
+    many = int(word.max()) + 1 if len(word) else 1
+    count = np.where(t.n_words == 0, 0, np.maximum(t.n_words - SHINGLE + 1, 1))
+    bounds = np.append(0, np.cumsum(count))
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - t.words[:-1], count)
+    stop = np.repeat(t.words[1:], count)
+    gram, size = np.zeros(len(at), dtype=np.int64), 1
+    for k in range(SHINGLE):
+        if size * many >= 1 << 62:
+            gram = np.unique(gram, return_inverse=True)[1]
+            size = len(gram)
+        gram = gram * many + np.where(at + k < stop, word[at + k], 0)
+        size *= many
+    gram = np.unique(gram, return_inverse=True)[1]
+    return [np.unique(gram[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def link_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, member: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -176,40 +203,42 @@ def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tup
 
     def sign(batches):
         for b in slices(batches):
-            sets = gram_sets(as_bytes(b.column("text")))
+            texts = as_bytes(b.column("text"))
+            sets = gram_sets(texts)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([node_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures(sets, n_bands, rows), pa.list_(pa.int64()))],
+                [b.column("doc_id"), pa.array([node_name(plain_words(t)) for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures(sets, n_bands, rows), pa.list_(pa.int64()))],
                 names=["doc_id", "node", "n_grams", "bands"],
             )
 
     signed = stored(docs.mapInArrow(sign, "doc_id long, node binary, n_grams long, bands array<long>"))
     nodes = stored(
-        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
     )
     # a node's short name orders nodes; if two nodes share one, their hubs merge, which only adds work
     short = F.xxhash64("node")
-    entries = nodes.select("node", short.alias("short"), F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", "n_grams", short.alias("short"), F.explode("bands").alias("bucket"))
     hubs = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("short").alias("hub")).filter("n > 1").select("bucket", "hub")
-    members = stored(entries.join(hubs, "bucket").select("hub", "node").distinct())
+    members = stored(entries.join(hubs, "bucket").select("hub", "node", "n_grams").distinct())
     own_hubs = members.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # at most one a band
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("grams"))
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("grams") / TILE_GRAMS)).cast("int")
     placed = members.join(sizes, "hub").select("hub", "node", tiles.alias("tiles"), F.pmod(F.hash("node"), tiles).alias("tile"))
     units = placed.select(
         "hub", "node", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     ).select("hub", "node", "tile", "tiles", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
 
-    # full sets of the nodes in question, again from the texts of their representatives
+    # words of the nodes in question, again from the texts of their representatives
     wanted = own_hubs.join(nodes.select("node", "rep", "copies"), "node")
     reps = wanted.select(F.coalesce("rep", F.lit(NO_ID)).alias("key")).distinct()
     texts = docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).join(reps, "key", "left_semi")
 
-    def gather_sets(batches):
+    def gather_words(batches):
         for b in slices(batches):
-            sets = gram_sets(as_bytes(b.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([node_name(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+            words = [plain_words(t) for t in as_bytes(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array([node_name(w) for w in words], pa.binary()), pa.array(words, pa.binary())], names=["node", "words"])
 
-    sets = stored(texts.select("text").mapInArrow(gather_sets, "node binary, grams binary").join(wanted.select("node", "copies", "hubs"), "node").dropDuplicates(["node"]), "lz4")
+    sets = texts.select("text").mapInArrow(gather_words, "node binary, words binary").join(wanted.select("node", "copies", "hubs"), "node")
+    sets = stored(sets.dropDuplicates(["node"]), "lz4")
     # a hub's units go to partitions in turn, so that a large hub's do not meet in one
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.pmod(F.hash("hub").cast("bigint") + F.col("low") * F.col("tiles") + F.col("high"), F.lit(parts)).cast("int")
@@ -221,13 +250,13 @@ def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tup
         def flush():
             hub, low, high = key
             names = [r[0] for r in held]
-            links, root = unit(hub, low == high, names, np.array([r[1] for r in held]), np.array([r[2] for r in held], dtype=np.int64), [r[3] for r in held], [np.frombuffer(r[4], "<u8") for r in held], threshold)
+            links, root = unit(hub, low == high, names, np.array([r[1] for r in held]), np.array([r[2] for r in held], dtype=np.int64), [r[3] for r in held], exact_sets([r[4] for r in held]), threshold)
             some = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
             return [(names[i], int(links[i]), names[root[i]]) for i in some.tolist()]
 
         out: list = []
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("hub", "low", "high", "node", "tile", "copies", "hubs", "grams")]
+            columns = [b.column(c).to_pylist() for c in ("hub", "low", "high", "node", "tile", "copies", "hubs", "words")]
             for hub, low, high, *row in zip(*columns, strict=True):
                 if key != (hub, low, high):
                     if len(held) > 1:
@@ -241,7 +270,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tup
             out += flush()
         yield _links(out)
 
-    found = stored(work.select("hub", "low", "high", "node", "tile", "copies", "hubs", "grams").mapInArrow(verify, "node binary, links long, root binary"))
+    found = stored(work.select("hub", "low", "high", "node", "tile", "copies", "hubs", "words").mapInArrow(verify, "node binary, links long, root binary"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(links, "node", "left")
@@ -282,7 +311,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def name(batches):
         seen: set = set()
         for b in slices(batches):
-            nodes = [node_name(s) for s in gram_sets(as_bytes(b.column("text")))]
+            nodes = [node_name(plain_words(t)) for t in as_bytes(b.column("text"))]
             fresh = []
             for row in zip(nodes, b.column("_no_id").to_pylist(), b.column("_key").to_pylist(), strict=True):
                 fresh.append(row not in seen)

@@ -16,7 +16,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repetition_rules(documents(spark, sf_dir)).drop("longest_repeat")
+    return repeats.repetition_rules(documents(spark, sf_dir)).drop("longest_repeat")  # SQL checks it through kept
 
 
 def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ OP1_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {nearjoin.SHINGLE - 1}], ' ') AS g
           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {nearjoin.SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
-sets AS (SELECT doc_id, count(*) AS n_grams, md5(string_agg(g, chr(10) ORDER BY g)) AS node FROM grams GROUP BY doc_id),
+sets AS (SELECT doc_id, count(*) AS n_grams, any_value(md5(array_to_string(w, ' '))) AS node FROM grams JOIN d USING (doc_id) GROUP BY doc_id),
 nodes AS (SELECT node, min(doc_id) AS rep, count(*) AS copies, any_value(n_grams) AS n FROM sets GROUP BY node),
 own AS (SELECT rep, g FROM nodes JOIN grams ON grams.doc_id = nodes.rep),
 common AS (SELECT a.rep AS x, b.rep AS y, count(*) AS c FROM own a JOIN own b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),

@@ -1,11 +1,11 @@
 """Quality rules with suffix-array repetition.
 
 A suffix array over the words of every text is built by prefix doubling (only suffixes that still
-tie are sorted again), for all texts of a batch at once.  Longest common prefixes of neighbours come
-from the kept ranks.  A suffix lies in the LCP intervals of its neighbours; the deepest of them is the
-maximal repeated substring that starts there.  The union of the spans of all maximal repeats of at
-least ``MIN_REPEAT`` words must not cover more than ``MAX_COVERED`` of the words, and no repeat may be
-longer than ``MAX_REPEAT`` words.
+tie are sorted again), for all texts of a batch at once; words are compared as exact numbers.  The longest
+common prefixes of neighbours come from the kept ranks.  They form LCP intervals: each interval of depth d is a
+maximal repeated substring of d words, its slots are the places where it occurs.  A place counts with the
+deepest interval that holds it.  The union of these spans, for repeats of at least ``MIN_REPEAT`` words, must
+not cover more than ``MAX_COVERED`` of the words, and no repeat may be longer than ``MAX_REPEAT`` words.
 
 Edge cases: a null or empty text has no words and fails the base rules; any length is processed
 whole; repeated rows get equal results; other columns are dropped; an empty table stays empty.
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import U64, Texts, as_bytes, mix, slices, span_hashes
+from .textkit import U64, Texts, as_bytes, distinct, slices, span_keys
 
 #: Base rules: least words, words of a repeated window, most per cent of words in repeated windows.
 MIN_WORDS, WINDOW, MAX_WINDOW_PERCENT = 20, 8, 30
@@ -28,21 +28,21 @@ SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def longest_repeats(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """For each word, the length in words of the longest string from there that occurs twice in its text.
+def suffix_array(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of all texts in order (grouped by text and first word), and the common prefix of each with the next, in words.
 
-    words: hashes; owner: index of the text; stop: end of the word's text.
+    words: exact numbers of the words; owner: index of the text; stop: end of the word's text.
     """
     n = len(words)
-    result = np.zeros(n, dtype=np.int64)
+    slots = np.argsort(keys := owner.astype(np.int64) * (int(words.max()) + 1 if n else 1) + words, kind="stable").astype(np.int32)
+    common = np.zeros(max(n - 1, 0), dtype=np.int64)
     if n == 0:
-        return result
-    keys = mix(words + (owner.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F))
-    slots = np.argsort(keys, kind="stable")
+        return slots, common
     ordered = keys[slots]
     new = np.append(True, ordered[1:] != ordered[:-1])
+    del keys, ordered
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32)
     rank[slots] = group
     levels = [rank.copy()]
     tied = ~(new & np.append(new[1:], True))  # slots in groups of two or more
@@ -50,10 +50,10 @@ def longest_repeats(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> n
     while tied.any():
         at = np.flatnonzero(tied)
         suffix = slots[at]
-        ahead = suffix + h
+        ahead = suffix.astype(np.int64) + h
         inside = ahead < stop[suffix]
         second = np.where(inside, rank[np.minimum(ahead, n - 1)], -1) + 1
-        order = np.argsort(rank[suffix] * (n + 1) + second, kind="stable")
+        order = np.argsort(rank[suffix].astype(np.int64) * (n + 1) + second, kind="stable")
         suffix, second = suffix[order], second[order]
         first = rank[suffix]
         slots[at] = suffix
@@ -62,26 +62,24 @@ def longest_repeats(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> n
         levels.append(rank.copy())
         tied[at] = ~(new & np.append(new[1:], True))
         h *= 2
-    # neighbours in the suffix array: common prefix, from the longest level down
-    left, right = slots[:-1].copy(), slots[1:].copy()
-    same = levels[0][left] == levels[0][right]
-    left, right = left[same], right[same]
-    common = np.zeros(len(left), dtype=np.int64)
+    # neighbours: common prefix, from the longest level down
+    pairs = np.flatnonzero(levels[0][slots[:-1]] == levels[0][slots[1:]])
+    left, right = slots[:-1][pairs].astype(np.int64), slots[1:][pairs].astype(np.int64)
+    found = np.zeros(len(pairs), dtype=np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        a, b = left + common, right + common
-        ok = (a < stop[left]) & (b < stop[right])
-        equal = np.zeros(len(left), dtype=bool)
-        equal[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-        common[equal] += 1 << k
-    np.maximum.at(result, left, common)
-    np.maximum.at(result, right, common)
-    return result
+        a, b = left + found, right + found
+        ok = np.flatnonzero((a < stop[left]) & (b < stop[right]))
+        equal = ok[levels[k][a[ok]] == levels[k][b[ok]]]
+        found[equal] += 1 << k
+    common[pairs] = found
+    return slots, common
 
 
-def lcp_intervals(common: list[int]) -> list[tuple[int, int, int]]:
-    """(lcp, first slot, last slot) of every LCP interval with a positive lcp, from the lcp of neighbouring slots."""
+def lcp_intervals(common: list[int], least: int = 1) -> list[tuple[int, int, int]]:
+    """(lcp, first slot, last slot) of every LCP interval of ``least`` words or more, inner ones before outer ones, from the lcp of neighbouring slots."""
     out, stack = [], [(0, 0)]
     for i, value in enumerate([*common, 0]):
+        value = value if value >= least else 0
         begin = i
         while stack[-1][0] > value:
             depth, begin = stack.pop()
@@ -91,6 +89,36 @@ def lcp_intervals(common: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def deepest_intervals(common: np.ndarray, n: int, least: int) -> np.ndarray:
+    """By slot, the depth of the deepest LCP interval of ``least`` words or more that holds it (0: none)."""
+    depth = np.zeros(n, dtype=np.int64)
+    deep = common >= least
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # slots a .. b hang together
+        free = list(range(b - a + 2))  # next slot without a depth, with shortened paths
+        own = [0] * (b - a + 1)
+        for d, i, j in lcp_intervals(common[a:b].tolist(), least):
+            k = i
+            while True:
+                while free[k] != k:
+                    free[k] = free[free[k]]
+                    k = free[k]
+                if k > j:
+                    break
+                own[k] = d
+                free[k] = k + 1
+        depth[a : b + 1] = own
+    return depth
+
+
+def longest_repeats(words: np.ndarray, owner: np.ndarray, stop: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each word, the words of the longest string from there that occurs twice in its text (0 below ``least``)."""
+    slots, common = suffix_array(words, owner, stop)
+    result = np.zeros(len(words), dtype=np.int64)
+    result[slots] = deepest_intervals(common, len(words), least)
+    return result
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in the union of the spans."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -109,7 +137,7 @@ def measure(raw: list[bytes | None], min_repeat: int = MIN_REPEAT) -> dict[str,
     n = len(t.starts)
     owner = t.owner()
     stop = np.repeat(t.words[1:], t.n_words)
-    repeat = longest_repeats(t.hashes(), owner, stop)
+    repeat = longest_repeats(t.ids(), owner, stop, min(WINDOW, min_repeat))
     bounds = np.append(t.begin, len(t.bytes))
     blank_free = ~np.isin(t.bytes, np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
     # lines with a word, by text; the newline after each text ends its last line
@@ -119,8 +147,7 @@ def measure(raw: list[bytes | None], min_repeat: int = MIN_REPEAT) -> dict[str,
     has = filled[stops] > filled[begins]
     begins, stops = begins[has], stops[has]
     line_of = np.searchsorted(t.end, begins)
-    lines = mix(span_hashes(t.bytes, begins, stops) + (line_of.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F))
-    _, first = np.unique(lines, return_index=True)
+    first, _ = distinct(*span_keys(t.raw, begins, stops), line_of.astype(U64))
     at = np.flatnonzero(repeat >= WINDOW)
     long = np.flatnonzero(repeat >= min_repeat)
     longest = np.zeros(t.count, dtype=np.int64)

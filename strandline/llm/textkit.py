@@ -1,15 +1,20 @@
 """NumPy kernels over batches of UTF-8 texts, used inside ``mapInArrow``.
 
 A batch of texts becomes one byte buffer in which every text is followed by a newline, so that no
-word crosses a text.  Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  Word hashes
-are 64-bit polynomials of the bytes (taken from prefix sums) with a final mix; they depend on the
-bytes alone, not on the batch.
+word crosses a text.  Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.
+
+A span of bytes (a word, a line, a unit) has a key of 128 bits: up to 15 bytes the bytes themselves and their
+number, beyond that a BLAKE2b digest of 120 bits.  Equal keys mean equal bytes, in every batch; ``distinct``
+compares whole keys.  ``span_hashes`` shortens a key to 64 well-mixed bits where a collision only costs a
+count in 2^64 or is checked later.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -22,24 +27,10 @@ U64 = np.uint64
 #: Bytes that separate words.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Base of the polynomial and its inverse modulo 2^64.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 21
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _BLOCK + (1 << 16))
-        tables = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, dtype=U64)
-            table[0] = 1
-            np.cumprod(table, out=table)
-            tables.append(table)
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+#: MASK[n] keeps the first n bytes of a little-endian number.
+MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+#: Longest span whose key is its own bytes.
+PLAIN = 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +61,7 @@ class Texts:
         if lower:
             self.raw = self.raw.lower()
         self.bytes = np.frombuffer(self.raw, dtype=np.uint8)
+        self._keys: tuple | None = None
         blank = SPACE[self.bytes]
         before = np.empty_like(blank)
         if len(blank):
@@ -83,33 +75,54 @@ class Texts:
         self.words = np.append(np.searchsorted(self.starts, self.begin), len(self.starts))
         self.n_words = np.diff(self.words)
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._keys is None:
+            self._keys = span_keys(self.raw, self.starts, self.ends)
+        return self._keys
+
     def hashes(self) -> np.ndarray:
-        return span_hashes(self.bytes, self.starts, self.ends)
+        return blend(*self.keys())
+
+    def ids(self) -> np.ndarray:
+        """Words numbered within the batch: equal numbers, equal words."""
+        return distinct(*self.keys())[1]
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(self.count), self.n_words)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]; the spans ascend and do not overlap."""
-    out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, side="right")))
-        size = int(ends[j - 1]) - base
-        power, inverse = _power_tables(size + 1)
-        sums = np.empty(size + 1, dtype=U64)
-        sums[0] = 0
-        terms = data[base : base + size].astype(U64)
-        terms += U64(1)
-        terms *= power[:size]
-        np.cumsum(terms, out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        h = (sums[e] - sums[s]) * inverse[s]
-        out[i:j] = mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        i = j
-    return out
+def span_keys(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of raw[starts[i]:ends[i]] as two arrays of 64-bit numbers."""
+    eights = np.ndarray((len(raw) + 9,), "<u8", raw + bytes(16), strides=(1,))
+    size = ends - starts
+    low = eights[starts] & MASK[np.minimum(size, 8)]
+    high = (eights[starts + 8] & MASK[np.clip(size - 8, 0, 7)]) | (size.astype(U64) << U64(56))
+    long = np.flatnonzero(size > PLAIN)
+    if len(long):
+        digests = [hashlib.blake2b(raw[a:b], digest_size=PLAIN).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        both = np.frombuffer(b"\xff".join([*digests, b""]), "<u8").reshape(-1, 2)
+        low[long], high[long] = both[:, 0], both[:, 1]
+    return low, high
+
+
+def blend(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64 bits of a key; with ``high`` they determine the key."""
+    return mix(low ^ mix(high))
+
+
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return blend(*span_keys(raw, starts, ends))
+
+
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct row of some 64-bit columns, and each row's number among these; compares whole rows."""
+    short = columns[0]
+    for c in columns[1:]:
+        short = blend(short, c)
+    _, first, back = np.unique(short, return_index=True, return_inverse=True)
+    if len(columns) > 1 and any((c[first][back] != c).any() for c in columns):  # different rows share the 64 bits
+        _, first, back = np.unique(np.stack([c.view(np.int64) for c in columns], axis=1), axis=0, return_index=True, return_inverse=True)
+    return first, back.reshape(-1)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +192,10 @@ def shared_dir(spark) -> str:
 
 
 def _own_dir(spark) -> str:
-    """Where spark.checkpoint.dir is unset (a local session, as in tests)."""
-    path = os.path.join("/tmp", "strandline-checkpoints")
+    """Where spark.checkpoint.dir is unset: a folder of this machine, which is only right if all tasks run on it."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
     os.makedirs(path, exist_ok=True)
     return f"file://{path}"
 
@@ -189,14 +204,14 @@ def _own_dir(spark) -> str:
 _stored: list[str] = []
 
 
-def stored(df, codec: str = "zstd"):
+def stored(df, codec: str = "zstd", **options: str):
     """Write a frame to a Parquet table in the shared folder and read it back: this cuts its lineage.
 
     The table stays until ``clear_stored``, as frames that read it are lazy.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).options(**options).parquet(path)
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

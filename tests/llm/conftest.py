@@ -11,6 +11,13 @@ def spark():
     return session
 
 
+
+
+def thue_morse(size, letters="ab"):
+    """A word that hashes by polynomials modulo a power of two confuse with its complement."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(size))
+
+
 SF = "/root/testdata/sf0.001"
 #: Nulls, empty texts, blanks, ties, repeated rows, long words and texts, other alphabets.
 ODD = [

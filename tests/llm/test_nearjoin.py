@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from strandline.llm import components, nearjoin
+from tests.llm.conftest import thue_morse
 
 
 def brute(rows, threshold=0.8):
@@ -94,6 +95,29 @@ def test_one_of_each_class_without_or_with_shared_ids(spark):
     assert [n for n in got if n not in (1, 2, 3, 10, 11)] == [0, 5, 6, 8, 9, 14, 15, 16, 17, 18]
 
 
+def test_sets_are_of_true_ngrams(spark):
+    a, b = thue_morse(2048), thue_morse(2048, "ba")
+    texts = [f"{a} {b} c d e f", f"{b} {a} c d e f", f"{a} {b}", f"{b} {a}", a, b, "one two three four five six one two three four five six", ""]
+    sets = nearjoin.exact_sets([t.encode() for t in texts])
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 6, 0]
+    assert all(not set(x.tolist()) & set(y.tolist()) for i, x in enumerate(sets) for y in sets[:i] if i != 1)
+    assert len(set(sets[0].tolist()) & set(sets[1].tolist())) == 0
+    rows = list(enumerate(texts))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_recall_at_the_threshold():
+    """Share of pairs at 0.8 that meet in a band, by the signatures themselves."""
+    rng = np.random.default_rng(11)
+    met = 0
+    for _ in range(600):
+        grams = rng.integers(0, 1 << 63, 180).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([grams[:160], x])) for x in (grams[160:], rng.integers(0, 1 << 63, 20).astype(np.uint64)))  # 160 of 200
+        x, y = nearjoin.signatures([a, b], nearjoin.bands())
+        met += any(p == q for p, q in zip(x, y, strict=True))
+    assert met >= 599
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)]
     df = spark.createDataFrame([(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in edges], "a binary, b binary")

@@ -12,7 +12,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from strandline.llm import media, mixing, queries, repeats
-from tests.llm.conftest import SF
+from tests.llm.conftest import SF, thue_morse
 
 
 def words(text):
@@ -36,11 +36,12 @@ def longest(w):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=24), max_size=5))
 def test_longest_repeats(texts):
-    hashes = {c: np.uint64(i * 7919 + 13) for i, c in enumerate("abc")}
-    flat = np.array([hashes[c] for t in texts for c in t], dtype=np.uint64)
+    flat = np.array(["abc".index(c) for t in texts for c in t], dtype=np.int64)
     size = [len(t) for t in texts]
     owner, stop = np.repeat(np.arange(len(texts)), size), np.repeat(np.cumsum(size), size)
-    assert repeats.longest_repeats(flat, owner, stop).tolist() == [x for t in texts for x in longest(t)]
+    want = [x for t in texts for x in longest(t)]
+    for least in (1, 3):
+        assert repeats.longest_repeats(flat, owner, stop, least).tolist() == [x if x >= least else 0 for x in want]
 
 
 @settings(max_examples=60, deadline=None)
@@ -69,7 +70,7 @@ def brute_rules(text):
     long = cover(repeats.MIN_REPEAT, lambda x: x)
     failed = len(w) < repeats.MIN_WORDS or 100 * seen > repeats.MAX_WINDOW_PERCENT * len(w)
     kept = not failed and long <= repeats.MAX_COVERED * len(w) and max(m, default=0) <= repeats.MAX_REPEAT
-    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), seen, long, max(m, default=0), failed, kept)
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), seen, long, max([x for x in m if x >= repeats.WINDOW], default=0), failed, kept)
 
 
 def test_rules(odd, small, nothing):
@@ -84,6 +85,14 @@ def test_rules(odd, small, nothing):
     assert repeats.repetition_rules(nothing).count() == repeats.keep_rows(nothing).count() == 0
 
 
+def test_words_and_lines_with_equal_polynomials(spark):
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    text = f"{a} {b}\n{a}\n{b}\n{a} {a} one two three four five six {b} {b} one two three four five six"
+    rows = [(0, text), (1, f"{a}\n{b}"), (2, f"{a}\n{a}")]
+    got = sorted(map(tuple, repeats.repetition_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(i, *brute_rules(t)) for i, t in rows] and [r[4] for r in got] == [0, 0, 1]
+
+
 def test_rule_that_only_the_method_finds(spark):
     rng = np.random.default_rng(0)
     fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))

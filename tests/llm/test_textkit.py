@@ -5,6 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from strandline.llm import textkit
+from tests.llm.conftest import thue_morse
 
 
 @settings(max_examples=60, deadline=None)
@@ -27,12 +28,25 @@ def test_words_and_hashes(texts):
             assert len(mine) == len(grams) and len(set(mine)) == len(set(grams))
 
 
-def test_long_spans_are_hashed_in_blocks(monkeypatch):
-    data = b" ".join(str(i).encode() for i in range(3000))
-    whole = textkit.Texts([data]).hashes()
-    monkeypatch.setattr(textkit, "_BLOCK", 50)
-    assert (textkit.Texts([data]).hashes() == whole).all()
-    assert (textkit.Texts([b"x" * 10_000]).hashes() == textkit.Texts([b"x" * 10_000]).hashes()).all()
+def test_keys_are_exact():
+    words = [b"a" * n for n in range(1, 40)] + [bytes([1 + n]) * 15 for n in range(8)] + [(b"%05d" % n) * 3 for n in range(200)]
+    words += [thue_morse(1 << n, letters).encode() for n in range(4, 14) for letters in ("ab", "ba")]
+    data = b" ".join(words + words)
+    t = textkit.Texts([data])
+    low, high = t.keys()
+    assert len(set(zip(low.tolist(), high.tolist(), strict=True))) == len(set(words)) == len(set(t.hashes().tolist()))
+    ids = t.ids()
+    assert (ids[: len(words)] == ids[len(words) :]).all() and len(set(ids.tolist())) == len(set(words))
+    assert textkit.Texts([b"x"]).keys()[0][0] == ord("x")
+
+
+def test_distinct_compares_whole_rows(monkeypatch):
+    monkeypatch.setattr(textkit, "blend", lambda a, b: a & np.uint64(1))  # nearly all rows share the short form
+    rng = np.random.default_rng(2)
+    a, b, c = rng.integers(0, 5, (3, 200)).astype(np.uint64)
+    first, back = textkit.distinct(a, b, c)
+    rows = list(zip(a.tolist(), b.tolist(), c.tolist(), strict=True))
+    assert len(first) == len(set(rows)) and [rows[first[k]] for k in back] == rows
 
 
 def test_slices_and_gather():
