@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-Features are the byte n-grams (2 to 4 bytes, letters lower-cased, everything else a blank) of the
-whole text, hashed into ``buckets`` rows of an embedding table.  The text's vector is the average of
+Features are the byte n-grams (2 to 4 bytes, letters lower-cased, every run of anything else in ASCII a blank for each
+byte) of the whole text, hashed into ``buckets`` rows of an embedding table.  The text's vector is the average of
 their embeddings; a linear softmax over it gives the languages.  Both tables are trained together by
 stochastic gradient descent in NumPy.  A temperature, fitted on a part of the sample that training does
 not see, calibrates the scores; a text whose calibrated score is below the rejection bound (a low
@@ -11,11 +11,13 @@ Training takes at most ``max_train`` documents (those with the least hash of the
 what reaches the driver: per document one sparse row of at most ``buckets`` counts.
 
 For prediction the product of the two tables is taken first, so a text costs one sum over rows of
-length (number of languages).
+length (number of languages); n-grams are looked up ``PIECE`` at a time, so that a long text needs no more memory than
+its n-grams' buckets.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and is not accepted; documents
-with a null lang teach nothing; with nothing to learn from, every prediction is ``und``; ties go to the
-first language in order of name; any length is read whole; other columns are ignored.
+with a null lang, text or id teach nothing; a repeated id teaches once; with nothing to learn from (an empty table),
+every prediction is ``und``; repeated rows get equal answers; ties go to the first language in order of name; any length
+is read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ FOLD[128:] = np.arange(128, 256)
 SIZES = (2, 3, 4)
 #: Part of the sample that calibrates, and quantile of its right answers that sets the rejection bound.
 CALIBRATE, REJECT_QUANTILE, MOST_BOUND = 0.2, 0.002, 0.5
+#: N-grams whose rows of the table are held at once.
+PIECE = 1 << 18
 
 
 def grams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +95,11 @@ class LanguageModel:
         found, bounds = grams(texts, self.bits)
         logits = np.tile(self.bias, (len(texts), 1))
         n = np.diff(bounds)
-        if len(found):
-            rows = self.table[found]
-            filled = np.flatnonzero(n)
-            logits[filled] += np.add.reduceat(rows, bounds[filled], axis=0) / n[filled, None]
+        owner = np.repeat(np.arange(len(texts)), n)
+        for i in range(0, len(found), PIECE):
+            rows, own = self.table[found[i : i + PIECE]], owner[i : i + PIECE]
+            first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
+            logits[own[first]] += np.add.reduceat(rows, first, axis=0) / n[own[first], None]
         return _softmax(logits) if k else logits
 
 
@@ -144,7 +149,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 def fit(docs: DataFrame, max_train: int = 1500, bits: int = 15, key: str = "doc_id") -> LanguageModel:
     """Learn from at most max_train rows of docs (doc_id, text, lang) with a lang and a text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = known.select(key).orderBy(F.xxhash64(F.lit(11), key), key).limit(max_train).distinct()
+    picked = known.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(11), key), key).limit(max_train)
     sample = known.join(F.broadcast(picked), key).select(F.col(key).cast("bigint").alias("doc_id"), "text", "lang")
 
     def run(batches):
