@@ -119,7 +119,7 @@ def test_other_containers():
     payload = bytes(range(192)) * 40
     file = media.pack(payload)
     moov = next(p for p in media.walk(file) if p[0] == (b"moov",))
-    begin, end = moov[1] - 8, moov[2]
+    begin, end = moov[1], moov[3]
     # media data first, in a box with a 64-bit size; unknown boxes; a moov that reaches to the end
     data = struct.pack(">I4sQ", 1, b"mdat", len(payload) + 16) + payload
     shift = 16 - media.describe(file)["offsets"][0]
@@ -129,12 +129,90 @@ def test_other_containers():
     inner = inner[:at] + offsets.astype(">u4").tobytes() + inner[at + 12 :]
     other = data + struct.pack(">I4s", 12, b"free") + b"1234" + struct.pack(">I4s", 0, b"moov") + inner
     seen = media.describe(other)
-    assert media.samples(other, seen) == payload and [p[-1] for p, _, _ in media.walk(other)][:3] == [b"mdat", b"free", b"moov"]
+    assert media.samples(other, seen) == payload and [p[-1] for p, *_ in media.walk(other)][:3] == [b"mdat", b"free", b"moov"]
     for cut in (3, 20, len(file) - 5):
         assert media.read_row(file[:cut])[-1] is not None
     assert media.read_row(file.replace(b"stsz", b"xxxx"))[-1] == "no stsz"
 
 
+def test_broken_files_are_errors():
+    file = media.pack(media.pad(b"some text " * 400), 4000)
+    error = lambda data: media.read_row(data)[-1]
+    assert error(file) is None and error(None) == "no file"
+    assert error(file.replace(b"stco", b"xxxx")) == "no stco"
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"udta") + deep
+    assert error(file + deep) == "boxes nested too deep"
+    at = file.index(b"stsz") + 8
+    assert error(file[:at] + struct.pack(">II", 192, 0xFFFFFFF0) + file[at + 8 :]) == "a sample lies outside the file"
+    assert error(file[:at] + struct.pack(">II", 0, 0xFFFFFFF0) + file[at + 8 :]) == "truncated table"
+    for name in (b"stts", b"stsc", b"stss", b"stco"):
+        at = file.index(name) + 8
+        assert error(file[:at] + b"\xff\xff\xff\xf0" + file[at + 4 :]) == "truncated table"
+    at = file.index(b"stss") + 12
+    assert error(file[:at] + bytes(4) + file[at + 4 :]) == "a key frame is no sample"
+    rng = np.random.default_rng(1)
+    head = file.index(b"mdat")
+    for _ in range(3000):  # any other damage is an error or a reading, never an exception
+        damaged = bytearray(file)
+        for k in rng.integers(0, head, rng.integers(1, 5)):
+            damaged[k] = rng.choice([0, 1, 8, 127, 255, rng.integers(0, 256)])
+        media.read_row(bytes(damaged[: rng.integers(8, len(file))] if rng.random() < 0.2 else damaged))
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def full(kind, *parts, version=0, flags=0):
+    return box(kind, struct.pack(">I", version << 24 | flags), *parts)
+
+
+def track(*tables, edits=b""):
+    """A moov with one video track with number 7."""
+    tkhd = full(b"tkhd", struct.pack(">IIII", 0, 0, 7, 0) + bytes(68))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0)), full(b"hdlr", struct.pack(">I4s12x", 0, b"vide")), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"vp09", bytes(78))), *tables)))
+    mvhd = full(b"mvhd", struct.pack(">IIII", 0, 0, 100, 0))
+    return lambda *more: box(b"moov", mvhd, box(b"trak", tkhd, edits, mdia), *more)
+
+
+def test_compact_sizes_composition_and_edits():
+    payload = bytes(range(1, 31))
+    for bits, packed in ((4, b"\x57\x39\x60"), (8, bytes([5, 7, 3, 9, 6])), (16, struct.pack(">5H", 5, 7, 3, 9, 6))):
+        tables = [
+            full(b"stts", struct.pack(">5I", 2, 3, 10, 2, 20)), full(b"ctts", struct.pack(">IIiIi", 2, 1, 20, 4, -5), version=1), full(b"stsc", struct.pack(">7I", 2, 1, 2, 1, 2, 3, 1)),
+            full(b"stz2", struct.pack(">3xBI", bits, 5), packed), full(b"stco", struct.pack(">3I", 2, 8, 20)), full(b"stss", struct.pack(">3I", 2, 1, 4)),
+        ]
+        for edits, first, duration in ((b"", 5, 70), (box(b"edts", full(b"elst", struct.pack(">IIiI", 1, 4, 15, 0x10000))), 15, 40)):
+            file = box(b"mdat", payload) + track(*tables, edits=edits)()
+            seen = media.describe(file)
+            assert seen["offsets"].tolist() == [8, 13, 20, 23, 32] and seen["sizes"].tolist() == [5, 7, 3, 9, 6] and seen["codec"] == "vp09"
+            assert media.samples(file, seen) == payload[:12] + payload[12:30]
+            assert (seen["keys"].tolist(), seen["key_times"].tolist(), seen["first"], seen["duration"]) == ([0, 3], [20, 25], first, duration)
+
+
+def test_fragments():
+    empty = [full(b"stts", bytes(4)), full(b"stsc", bytes(4)), full(b"stsz", bytes(8)), full(b"stco", bytes(4))]
+    trex = box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 40, 6, 0x10000)))
+    head = track(*empty)(trex)
+
+    def fragment(data, run, flags, tfhd=b"", given=0x20000):
+        make = lambda offset: box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), tfhd, flags=given), full(b"trun", run(offset), flags=flags)), box(b"traf", full(b"tfhd", struct.pack(">I", 9)), full(b"trun", struct.pack(">I", 9))))
+        return make(len(make(0)) + 8) + box(b"mdat", data)
+
+    one = fragment(b"abcdefghijkl", lambda o: struct.pack(">IiI", 2, o, 0), 0x5)  # sizes of trex, first one a key frame
+    two = fragment(b"mnopqrstu", lambda o: struct.pack(">Ii6I", 2, o, 30, 4, 0, 31, 5, 0x10000), 0x701)
+    three = fragment(b"vwxyz", lambda o: struct.pack(">Ii", 1, o), 0x1, struct.pack(">II", 5, 0), 0x20030)
+    file = head + one + two + three
+    seen = media.describe(file)
+    assert media.samples(file, seen) == bytes(range(97, 123)) and seen["sizes"].tolist() == [6, 6, 4, 5, 5]
+    assert (seen["keys"].tolist(), seen["key_times"].tolist(), seen["duration"]) == ([0, 2, 4], [0, 80, 141], 181)
+    huge = head + fragment(b"", lambda o: struct.pack(">Ii", 0xFFFFFFF0, o), 0x1)
+    assert media.read_row(huge)[-1] == "truncated table"
+
+
 def test_media_of_documents(odd, small, nothing):
     for docs in (odd, small):
         got = media.media_columns(docs).collect()
