@@ -10,13 +10,15 @@ ones, where the pre-tokenizer sees blanks) are given to the library whole.
 Chunk reuse over documents: a rolling hash over the last bytes of every unit ends a chunk where its
 low bits are zero, so equal passages give equal chunks whatever stands before them.
  1. Chunk keys are counted; those that occur twice set a bit in a bitmap sized by their number.
- 2. Every document is cut once more.  One without such a chunk is encoded at once.  The others are stored with
-    the keys of their shared chunks and, once a task, the chunks themselves; these are dealt out by salted key,
-    and every shared chunk is encoded once.
- 3. The codes go back to the documents that use them.  At each joint of two chunks the units around it
-    are encoded together; where that differs, the window doubles until its ends agree with both
-    chunks' own ids (at last, both chunks whole), and replaces them.
-False positives of the bitmap only send more documents the second way.
+ 2. Every document is cut once more.  Where less than ``MIN_SHARED`` of its units lie in shared chunks, moving their codes
+    would cost more than they save, and the document is encoded at once.  Of every other document only the ids of its own
+    chunks are stored, the keys of its shared chunks and, once a task, the shared chunks themselves; every shared chunk is
+    encoded once.
+ 3. At each joint of two chunks the units around it are encoded together; where that differs from their own ids, the
+    document is assembled at once, and ``_repair`` doubles the window until its ends agree with both chunks' own ids (at
+    last, both chunks whole).
+ 4. The codes go back to the documents that use them and are put between their own ids.
+False positives of the bitmap only send more documents the longer way.
 
 Edge cases: a null text counts as empty (no ids); repeated rows and ids are kept apart by a row
 number; texts and words of any length are encoded whole; an empty table stays empty; other columns are
@@ -40,8 +42,8 @@ CACHE = 2_000_000
 CHUNK_UNITS, ROLL = 32, 24
 #: Least and most bits of the bitmap of shared chunks (64 MB at most), and bits a chunk.
 LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 29, 16
-#: Parts that copies of one chunk are dealt to before they meet; keys of chunks that a task remembers.
-SALTS, REMEMBER = 32, 100_000
+#: Least share of a document's units in shared chunks for which these are reused; keys of chunks that a task remembers.
+MIN_SHARED, REMEMBER = 0.1, 100_000
 #: Blanks that the library knows besides the regular ones, in UTF-8.
 OTHER_BLANKS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
@@ -255,6 +257,27 @@ def _repair(encoder: UnitEncoder, c: Chunks, i: int, left: np.ndarray, right: np
         k *= 2
 
 
+def bad_joints(encoder: UnitEncoder, c: Chunks) -> list[int]:
+    """Chunks that do not go with the next one of their text: the unit before and the unit after, encoded together, differ from both alone."""
+    begin, end, _ = c.spans
+    n = len(c.key)
+    joint = np.setdiff1d(np.arange(n - 1), c.by_text[1:] - 1) if n else np.zeros(0, dtype=int)
+    if not len(joint):
+        return []
+    cut = c.units[joint + 1]
+    pairs, by_pair = _ragged(encoder._units([c.t.raw[a:b] for a, b in zip(begin[cut - 1].tolist(), end[cut].tolist(), strict=True)]))
+    around = np.unique(np.concatenate([cut - 1, cut]))
+    near, by_near = encoder.units(c.t, (begin[around], end[around], None))
+    where = np.searchsorted(around, cut)
+    wrong = np.diff(by_pair) != by_near[where + 1] - by_near[where - 1]
+    same = np.flatnonzero(~wrong)
+    a, bounds = gather(pairs, by_pair, same)
+    size = np.diff(bounds)
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - by_near[where[same] - 1], size)
+    wrong[same[np.repeat(np.arange(len(same)), size)[a != near[at]]]] = True
+    return joint[wrong].tolist()
+
+
 def assemble(encoder: UnitEncoder, c: Chunks, codes: dict[tuple[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts of c, and bounds by text: given codes (by key) are used, other chunks encoded, joints repaired."""
     n = len(c.key)
@@ -276,18 +299,8 @@ def assemble(encoder: UnitEncoder, c: Chunks, codes: dict[tuple[int, int], np.nd
         ids, by_unit = encoder.units(c.t, c.spans)
         by_chunk = by_unit[c.units]
         parts = [ids[a:b] for a, b in zip(by_chunk[:-1].tolist(), by_chunk[1:].tolist(), strict=True)]
-    # joints inside a text: the unit before and the unit after, encoded together
-    joint = np.setdiff1d(np.arange(n - 1), c.by_text[1:] - 1) if n else np.zeros(0, dtype=int)
-    if len(joint):
-        cut = c.units[joint + 1]
-        pairs = encoder._units([c.t.raw[a:b] for a, b in zip(begin[cut - 1].tolist(), end[cut].tolist(), strict=True)])
-        around = np.unique(np.concatenate([cut - 1, cut]))
-        near, by_near = encoder.units(c.t, (begin[around], end[around], None))
-        where = np.searchsorted(around, cut)
-        for i, w, both in zip(joint.tolist(), where.tolist(), pairs, strict=True):
-            expected = near[by_near[w - 1] : by_near[w + 1]]
-            if len(both) != len(expected) or not (both == expected).all():
-                parts[i], parts[i + 1] = _repair(encoder, c, i, parts[i], parts[i + 1])
+    for i in bad_joints(encoder, c):
+        parts[i], parts[i + 1] = _repair(encoder, c, i, parts[i], parts[i + 1])
     size = np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64))
     return np.concatenate([*parts, np.zeros(0, dtype=np.uint32)]), size[c.by_text]
 
@@ -343,9 +356,10 @@ def _marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 TABLE = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("row", pa.int64()), ("text", pa.string())]
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("row", pa.int64()), ("own", pa.binary()), ("sizes", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))]
     + [("h", pa.list_(pa.int64())), ("g", pa.list_(pa.int64())), ("fresh", pa.list_(pa.binary()))]
 )
+TABLE_SCHEMA = RESULT + ", row long, own binary, sizes array<int>, places array<int>, h array<long>, g array<long>, fresh array<binary>"
 
 
 def _result(doc_ids: list, rows: list[tuple]) -> list[pa.Array]:
@@ -358,6 +372,8 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(docs, path))
 
+    width = "<u2" if UnitEncoder.of(path).tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
     def first(batches):
         from pyspark import TaskContext
 
@@ -365,72 +381,97 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         row, given = TaskContext.get().partitionId() << 40, set()
         for b in slices(batches):
             texts = [x or b"" for x in as_bytes(b.column("text"))]
+            names = b.column("doc_id").to_pylist()
             c = Chunks(encoder, texts)
             mark = _marked(bitmap.value, c.key[:, 0])
-            total = np.append(0, np.cumsum(mark))
-            later = total[c.by_text[1:]] > total[c.by_text[:-1]]
+            used = np.append(0, np.cumsum(np.where(mark, np.diff(c.units), 0)))[c.by_text]
+            later = (np.diff(used) > 0) & (np.diff(used) >= MIN_SHARED * np.diff(c.spans[2]))
             if not encoder.blank_free:
                 later &= [not OTHER_BLANKS.search(t) for t in texts]
-            names = b.column("doc_id").to_pylist()
-            now, held = np.flatnonzero(~later).tolist(), np.flatnonzero(later).tolist()
+            now = np.flatnonzero(~later).tolist()
             ids, bounds = encoder.encode([texts[i] for i in now])
-            rows = [(names[i], *digest(ids[x:y]), *[None] * 5) for i, x, y in zip(now, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            for i in held:
-                at = np.flatnonzero(mark[c.by_text[i] : c.by_text[i + 1]]) + c.by_text[i]
-                own = {tuple(k): j for j, k in zip(at.tolist(), c.key[at].tolist(), strict=True)}
-                fresh = [None if k in given else c.text(j) for k, j in own.items()]
-                given.update(own)
-                rows.append((names[i], None, None, None, row, texts[i].decode("utf-8", "replace"), [k[0] for k in own], [k[1] for k in own], fresh))
+            rows = [(names[i], *digest(ids[x:y]), *[None] * 7) for i, x, y in zip(now, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            held = np.flatnonzero(later)
+            c = Chunks(encoder, [texts[i] for i in held.tolist()])
+            mark = _marked(bitmap.value, c.key[:, 0])
+            bad = set((np.searchsorted(c.by_text, bad_joints(encoder, c), side="right") - 1).tolist())
+            begin, end, _ = c.spans
+            use = np.repeat(~mark, np.diff(c.units))
+            ids, by_unit = encoder.units(c.t, (begin[use], end[use], None))
+            # ids of the own chunks, with empty ones in the places of shared chunks
+            by_chunk = by_unit[np.append(0, np.cumsum(np.where(mark, 0, np.diff(c.units))))]
+            for k, i in enumerate(held.tolist()):
+                if k in bad:
+                    rows.append((names[i], *digest(assemble(encoder, Chunks(encoder, [texts[i]]))[0]), *[None] * 7))
+                    continue
+                at = np.arange(c.by_text[k], c.by_text[k + 1])
+                shared = at[mark[at]]
+                keys: dict[tuple, int] = {}
+                for key, j in zip(map(tuple, c.key[shared].tolist()), shared.tolist(), strict=True):
+                    keys.setdefault(key, j)
+                number = {key: n for n, key in enumerate(keys)}
+                places = [number[key] for key in map(tuple, c.key[shared].tolist())]
+                # own ids before each shared chunk, and after the last
+                cuts = by_chunk[np.append(shared, at[-1] + 1)]
+                sizes = np.diff(np.append(by_chunk[at[0]], cuts))
+                own = ids[by_chunk[at[0]] : by_chunk[at[-1] + 1]].astype(width).tobytes()
+                fresh = [None if key in given else c.text(j) for key, j in keys.items()]
+                given.update(keys)
+                rows.append((names[i], None, None, None, row, own, sizes.tolist(), places, [key[0] for key in keys], [key[1] for key in keys], fresh))
                 row += 1
             if len(given) > REMEMBER:
                 given.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(list(zip(*rows, strict=True)) or [()] * 9, TABLE, strict=True)], schema=TABLE)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(list(zip(*rows, strict=True)) or [()] * len(TABLE), TABLE, strict=True)], schema=TABLE)
 
-    table = stored(docs.mapInArrow(first, RESULT + ", row long, text string, h array<long>, g array<long>, fresh array<binary>"))
+    table = stored(docs.mapInArrow(first, TABLE_SCHEMA))
     held = table.filter("row is not null")
     uses = held.select("row", F.explode(F.arrays_zip("h", "g")).alias("k")).select("row", "k.*")
     chunks = held.select(F.explode(F.arrays_zip("h", "g", "fresh")).alias("k")).select("k.h", "k.g", F.col("k.fresh").alias("chunk")).filter("chunk is not null")
-    # copies of a chunk, one from each task, meet in two steps
-    dealt = chunks.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).dropDuplicates(["h", "g", "salt"]).drop("salt").dropDuplicates(["h", "g"])
+    dealt = chunks.dropDuplicates(["h", "g"])  # one copy from each task, first merged where they are
 
     def once(batches):
         encoder = UnitEncoder.of(path)
         for b in slices(batches, "chunk"):
             ids, bounds = encoder.encode(b.column("chunk").to_pylist())
-            codes = [ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            codes = [ids[x:y].astype(width).tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("g"), pa.array(codes, pa.binary())], names=["h", "g", "ids"])
 
     codes = stored(dealt.select("h", "g", "chunk").mapInArrow(once, "h long, g long, ids binary"))
     # a chunk that very many documents use is a skewed key of this join, which adaptive execution splits
     found = uses.join(codes, ["h", "g"])
-    none = F.lit(None)
-    nothing = none.cast("bigint")
-    rows = held.select("row", "doc_id", "text", nothing.alias("h"), nothing.alias("g"), none.cast("binary").alias("ids")).unionByName(
-        found.select("row", nothing.alias("doc_id"), none.cast("string").alias("text"), "h", "g", "ids")
+    plan = ("own", "sizes", "places", "h", "g")
+    rows = held.select("row", "doc_id", F.struct(*plan).alias("plan"), *(F.lit(None).cast(t).alias(n) for n, t in (("h", "bigint"), ("g", "bigint"), ("ids", "binary")))).unionByName(
+        found.select("row", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast(held.select(F.struct(*plan)).schema[0].dataType).alias("plan"), "h", "g", "ids")
     )
 
     def last(batches):
-        encoder, digest = UnitEncoder.of(path), _digest(path)
-        names, texts, codes, held = [], [], {}, 0
-
-        def flush():
-            ids, bounds = assemble(encoder, Chunks(encoder, texts), codes)
-            done = [digest(ids[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays(_result(names, done), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        digest = _digest(path)
+        doc, plan, codes, done, names = None, None, {}, [], []
+
+        def finish():
+            own = np.frombuffer(plan["own"], width)
+            cut = np.cumsum([0, *plan["sizes"]]).tolist()
+            parts = [own[cut[0] : cut[1]]]
+            for n, at in enumerate(plan["places"]):
+                parts += [codes[plan["h"][at], plan["g"][at]], own[cut[n + 1] : cut[n + 2]]]
+            done.append(digest(np.concatenate(parts)))
+            names.append(doc)
 
         for b in batches:
-            for h, g, doc, text, ids in zip(b.column("h").to_pylist(), b.column("g").to_pylist(), b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("ids").to_pylist(), strict=True):
+            for h, g, own_id, row_plan, ids in zip(*(b.column(x).to_pylist() for x in ("h", "g", "doc_id", "plan", "ids")), strict=True):
                 if h is None:
-                    if held > 4 << 20:
-                        yield flush()
-                        names, texts, codes, held = [], [], {}, 0
-                    names.append(doc)
-                    texts.append(text)
-                    held += len(text or b"")
+                    if plan is not None:
+                        finish()
+                    doc, plan, codes = own_id, row_plan, {}
                 else:
-                    codes[h, g] = np.frombuffer(ids, dtype="<u4")
-        if names:
-            yield flush()
-
-    later = rows.repartition("row").sortWithinPartitions("row", F.col("h").asc_nulls_first()).select("h", "g", "doc_id", "text", "ids").mapInArrow(last, RESULT)
+                    codes[h, g] = np.frombuffer(ids, width)
+            if len(done) > 1000:
+                yield pa.RecordBatch.from_arrays(_result(names, done), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                done.clear()
+                names.clear()
+        if plan is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays(_result(names, done), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    later = rows.repartition("row").sortWithinPartitions("row", F.col("h").asc_nulls_first()).select("h", "g", "doc_id", "plan", "ids").mapInArrow(last, RESULT)
     return table.filter("row is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(later)
