@@ -153,7 +153,6 @@ def read_digests(shards: DataFrame) -> DataFrame:
     starts = shards.select("part", "shard", "n_ids").withColumn("inside", inside).join(before, "part")
     starts = starts.select("part", "shard", (F.col("before") + F.col("inside")).alias("base"))
     codes = [c for c in COLUMNS if c[0] != "r"]
-    placed = shards.select("part", "shard", "n_null", "doc_ids", "bounds", *codes).join(starts, ["part", "shard"])
 
     def run(batches):
         for batch in batches:
@@ -164,9 +163,12 @@ def read_digests(shards: DataFrame) -> DataFrame:
                 at, names = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["doc_ids"], "<i8")
                 sums = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 missing = np.arange(len(names)) < row["n_null"]
+                part, shard = np.full(len(names), row["part"], np.int32), np.full(len(names), row["shard"], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64(), mask=missing), pa.array(row["base"] + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(part), pa.array(shard), pa.array(names, pa.int64(), mask=missing), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())],
+                    names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # codes stay where they are; only digests meet the starts of their shards
+    digests = shards.select("part", "shard", "n_null", "doc_ids", "bounds", *codes).mapInArrow(run, "part int, shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return digests.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
