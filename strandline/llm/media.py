@@ -87,12 +87,12 @@ def pack(payload: bytes, length: int | None = None) -> bytes:
             _full(b"stsz", struct.pack(">II", FRAME, frames)),
             table,
         )
-        length = frames * TICKS
+        ticks = frames * TICKS
         minf = _box(b"minf", _full(b"vmhd", bytes(8), flags=1), _box(b"dinf", _full(b"dref", struct.pack(">I", 1), _full(b"url ", flags=1))), stbl)
-        mdhd = _full(b"mdhd", struct.pack(">QQIQHH", 0, 0, TIMESCALE, length, 0x55C4, 0), version=1)
+        mdhd = _full(b"mdhd", struct.pack(">QQIQHH", 0, 0, TIMESCALE, ticks, 0x55C4, 0), version=1)
         hdlr = _full(b"hdlr", struct.pack(">I4s12x", 0, b"vide"), b"grey\0")
-        tkhd = _full(b"tkhd", struct.pack(">QQIIQ", 0, 0, 1, 0, length) + bytes(16) + MATRIX + struct.pack(">II", WIDTH << 16, HEIGHT << 16), flags=3, version=1)
-        mvhd = _full(b"mvhd", struct.pack(">QQIQIH", 0, 0, TIMESCALE, length, 0x10000, 0x100) + bytes(10) + MATRIX + bytes(24) + struct.pack(">I", 2), version=1)
+        tkhd = _full(b"tkhd", struct.pack(">QQIIQ", 0, 0, 1, 0, ticks) + bytes(16) + MATRIX + struct.pack(">II", WIDTH << 16, HEIGHT << 16), flags=3, version=1)
+        mvhd = _full(b"mvhd", struct.pack(">QQIQIH", 0, 0, TIMESCALE, ticks, 0x10000, 0x100) + bytes(10) + MATRIX + bytes(24) + struct.pack(">I", 2), version=1)
         udta = _box(b"udta", _box(LENGTH, struct.pack(">Q", len(payload) if length is None else length)))
         return _box(b"moov", mvhd, _box(b"trak", tkhd, _box(b"mdia", mdhd, hdlr, minf), udta))
 
