@@ -12,10 +12,10 @@ with Katz's Good-Turing discounts d(r) for r <= ``K`` (from the counts of counts
 these are too irregular to give a ratio in (0, 1), and above K, half a count is taken off instead, so
 that every history keeps some mass), and alpha(h) such that P(. | h) sums to one exactly.
 
-How it is computed.  A task gathers the tokens of some millions of words (a flush) and sorts its distinct
-bigrams by the partition of their word.  One packed block for each flush and partition carries the
-bigrams with their training counts; documents stay behind.  A word's partition sums c(w) and c(hw), and
-answers each block with the counts in the same order, which takes about a byte a bigram.  A second
+How it is computed.  Words are dealt into shares of about ``SHARE`` tokens.  A task gathers the tokens of some millions of
+words (a flush) and sorts its distinct bigrams by the share of their word.  One packed block for each flush and share
+carries the bigrams with their training counts; documents stay behind.  A partition takes its shares one after the other,
+so what it holds at once does not grow with the corpus; it sums c(w) and c(hw) of a share's words, and answers each block with the counts in the same order, which takes about a byte a bigram.  A second
 reading lays out the same flushes with their documents, meets the answers, and sums up every document:
 what was seen in training needs nothing more, as c(h) is the count of a word of the same document.
 Bigrams not seen in training are the held-out documents' and are joined to the table of histories
@@ -45,6 +45,8 @@ K = 5
 END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sends them.
 GATHER = 1_500_000
+#: Training tokens of the words that are counted together; a partition counts one such share after the other.
+SHARE = 600_000
 #: Bits of the bitmap of words in held-out documents (8 MB).
 BITMAP_BITS = 1 << 26
 N_VALUES = 14
@@ -73,8 +75,8 @@ class Tokens:
         self.owner = np.repeat(np.arange(t.count), self.n)
 
 
-def _survey(docs: DataFrame, modulus: int, parts: int) -> tuple[dict[int, int], np.ndarray]:
-    """Counts of the words with a large share of the training tokens, and a bitmap of the held-out documents' words."""
+def _survey(docs: DataFrame, modulus: int, parts: int) -> tuple[int, dict[int, int], np.ndarray]:
+    """Number of training tokens, counts of the words with a large share of them, and a bitmap of the held-out documents' words."""
 
     def first(batches):
         for b in slices(batches):
@@ -114,7 +116,7 @@ def _survey(docs: DataFrame, modulus: int, parts: int) -> tuple[dict[int, int],
     bitmap = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
     for at, bits in words.collect():  # at most 2048 rows of 4 kB
         bitmap[at << 12 : (at + 1) << 12] |= np.frombuffer(bytes(bits), dtype=np.uint8)
-    return exact, bitmap
+    return int(total), exact, bitmap
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -410,14 +412,15 @@ def score_texts(docs: DataFrame, modulus: int = 10) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    heavy, bitmap = _survey(docs, modulus, parts)
+    tokens, heavy, bitmap = _survey(docs, modulus, parts)
+    shares = parts * max(1, math.ceil(tokens / (parts * SHARE)))
     names = np.array(list(heavy), dtype=np.int64).view(U64)
     bits = spark.sparkContext.broadcast(bitmap)
-    asked = docs.mapInArrow(_questions(parts, modulus, names), BLOCKS).repartitionById(parts, F.col("part"))
+    asked = docs.mapInArrow(_questions(shares, modulus, names), BLOCKS).repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part")
     with batch_bytes(spark):
         found = stored(asked.mapInArrow(_reduce(heavy, bits), FOUND))
     replies = found.filter(F.col("kind") == ANSWER).select(F.col("id").alias("flush"), "part", F.lit(REPLY).alias("kind"), "block")
-    both = docs.mapInArrow(_structures(parts, modulus, names), BLOCKS).unionByName(replies)
+    both = docs.mapInArrow(_structures(shares, modulus, names), BLOCKS).unionByName(replies)
     even = F.pmod(F.shiftright("flush", 20) + F.col("flush").bitwiseAND(F.lit((1 << 20) - 1)) * 7, F.lit(parts)).cast("int")
     with batch_bytes(spark):
         result = stored(both.repartitionById(parts, even).sortWithinPartitions("flush", "part").mapInArrow(_documents(), FOUND))
