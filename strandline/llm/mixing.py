@@ -9,15 +9,17 @@ which keeps exp(-rate) and the table of cumulative probabilities small.
 
 Edge cases: a null source is a source of its own; a source without a weight (or with one that is
 null, NaN or not positive) gets no copy; weights of absent sources are ignored and the others are
-scaled to one; a null doc_id draws as the text "null"; repeated rows draw alike; an empty table stays
-empty.  Text is never looked at, so null, empty and very long texts pass through.  An input column
-named like a column added here is replaced.
+scaled to one; a row with a null doc_id draws by the MD5 of its text instead; repeated rows draw alike; an empty table stays
+empty.  Null, empty and very long texts pass through.  Only input columns named ``copy`` or ``rate`` are replaced; the
+row travels as one struct, so no other name can clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .textkit import stored
+
 #: Largest rate that is drawn in one part.
 PART = 32.0
 #: Most sources whose rates are broadcast (a rate row is below 2 kB); beyond, a salted join is used.
@@ -31,8 +33,8 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def _id(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit("null"))
+def _id(key: Column, text: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text.cast("binary"), F.lit("").cast("binary")))))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame, total: float | None, source: str = "source") -> DataFrame:
@@ -64,6 +66,7 @@ def poisson_mix(
     seed: int = 17,
     key: str = "doc_id",
     source: str = "source",
+    text: str = "text",
     partitions: int | None = None,
 ) -> DataFrame:
     """Every document as often as it is drawn, in random order, with ``copy`` (1, 2, ...) and ``rate``.
@@ -71,25 +74,28 @@ def poisson_mix(
     weights: (source, weight).  total: wanted number of rows, by default the number of documents.
     """
     docs = docs.drop(*ADDED)
-    rates = source_rates(docs, weights, total, source)
-    few = rates.select("__source").limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    if few:
-        joined = docs.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__source")))
+    rates = stored(source_rates(docs, weights, total, source))
+    field = lambda name: F.col("_row").getField(name)
+    ident = _id(field(key), field(text) if text in docs.columns else F.lit(None))
+    rows = docs.select(F.struct("*").alias("_row"))
+    rows = rows.select("_row", ident.alias("__id"), field(source).alias("__of"))
+    if rates.count() <= MAX_BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(rates), F.col("__of").eqNullSafe(F.col("__source")))
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
         spread = rates.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(spread, (F.col("__salt") == F.col("__at")) & F.col(source).eqNullSafe(F.col("__source")))
+        joined = salted.join(spread, (F.col("__salt") == F.col("__at")) & F.col("__of").eqNullSafe(F.col("__source")))
     drawn = lambda acc, j: acc + F.size(
-        F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), j.cast("string"), _id(F.col(key))))
+        F.filter("__cdf", lambda c: c <= uniform(F.lit(str(seed)), j.cast("string"), F.col("__id")))
     )
     number = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), drawn)
     copies = joined.withColumn("__number", number).filter("__number > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__number").cast("bigint"))))
-    order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), _id(F.col(key)), F.col("copy").cast("string")))
-    names = [c for c in docs.columns]
-    out = copies.select(*names, "copy", F.col("__rate").alias("rate"), order.alias("__order"))
+    # the row is part of the order, so that rows that share an id are dealt out too
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.xxhash64("_row").cast("string"), F.col("__id"), F.col("copy").cast("string")))
+    out = copies.select("_row", "copy", F.col("__rate").alias("rate"), order.alias("__order"))
     dealt = out.repartition(partitions, "__order") if partitions else out.repartition("__order")
-    return dealt.sortWithinPartitions("__order").drop("__order")
+    return dealt.sortWithinPartitions("__order").select("_row.*", "copy", "rate")
 
 
 def root_weights(docs: DataFrame, source: str = "source") -> DataFrame:

@@ -110,7 +110,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
        NOT base_failed AND covered_words <= {repeats.MAX_COVERED} * n_words AND NOT too_long AS kept FROM f
 """
 
-_U = "CAST('0x' || substr(md5('{seed}:' || j || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+_U = "CAST('0x' || substr(md5('{seed}:' || j || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
 
 OP5_SQL = f"""
 WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
@@ -119,7 +119,7 @@ p AS (SELECT source, rate, CAST(greatest(ceil(rate / {mixing.PART}), 1) AS INTEG
 k AS (SELECT source, rate, parts, unnest(range(0, CAST(ceil(rate / parts + 12 * sqrt(rate / parts) + 40) AS BIGINT) + 1)) AS k FROM p),
 c AS (SELECT source, k, sum(exp(-rate / parts + k * ln(rate / parts) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 l AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM c GROUP BY source),
-u AS (SELECT doc_id, source, unnest(range(1, parts + 1)) AS j FROM documents JOIN p USING (source)),
+u AS (SELECT doc_id, text, source, unnest(range(1, parts + 1)) AS j FROM documents JOIN p USING (source)),
 drawn AS (SELECT doc_id, source, CAST(sum(len(list_filter(cdf, lambda x: x <= {_U.format(seed=MIX_SEED)}))) AS BIGINT) AS copies FROM u JOIN l USING (source) GROUP BY doc_id, source)
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1)) AS copy, round(rate, 9) AS rate
 FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)

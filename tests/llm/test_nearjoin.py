@@ -8,31 +8,39 @@ from strandline.llm import components, nearjoin
 from tests.llm.conftest import thue_morse
 
 
-def brute(rows, threshold=0.8):
-    """class by row number and number of linked other rows, from all pairs."""
+def brute_roots(texts, threshold=0.8, links=None):
+    """The class of every text by the number of its first member, from all pairs; counts links where a counter is given."""
     sets = []
-    for _, text in rows:
+    for text in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
-    root, links = list(range(len(rows))), collections.Counter()
+    root = list(range(len(texts)))
+    links = collections.Counter() if links is None else links
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(rows)):
+    for i in range(len(texts)):
         for j in range(i):
             if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
                 links[i] += 1
                 links[j] += 1
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def brute(rows, threshold=0.8):
+    """(id, class, number of linked other rows) of every row."""
+    links: collections.Counter = collections.Counter()
+    roots = brute_roots([t for _, t in rows], threshold, links)
     least: dict = {}
-    for i, (doc, _) in enumerate(rows):
+    for root, (doc, _) in zip(roots, rows, strict=True):
         if doc is not None:
-            least[find(i)] = min(least.get(find(i), doc), doc)
-    return sorted(((doc, least.get(find(i)), links[i]) for i, (doc, _) in enumerate(rows)), key=str)
+            least[root] = min(least.get(root, doc), doc)
+    return sorted(((doc, least.get(root), links[i]) for i, ((doc, _), root) in enumerate(zip(rows, roots, strict=True))), key=str)
 
 
 def found(docs):

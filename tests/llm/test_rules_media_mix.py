@@ -235,17 +235,25 @@ def poisson(u, rate):
     return k
 
 
-def brute_mix(rows, weights, total, seed):
-    n = collections.Counter(s for _, s in rows)
+def brute_mix(rows, weights, total, seed, by_row=False):
+    """Copies by (id, source), or of each row."""
+    n = collections.Counter(s for _, s, _ in rows)
     ok = {s: w for s, w in weights.items() if s in n and w is not None and w > 0}
-    out = collections.Counter()
-    for doc, s in rows:
+    copies = []
+    for doc, s, text in rows:
+        copies.append(0)
         if s in ok:
+            name = f"null:{hashlib.md5((text or '').encode()).hexdigest()}" if doc is None else doc
             rate = ok[s] / sum(ok.values()) * total / n[s]
             parts = max(1, math.ceil(rate / mixing.PART))
             for j in range(1, parts + 1):
-                u = int(hashlib.md5(f"{seed}:{j}:{'null' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 2**52
-                out[doc, s] += poisson(u, rate / parts)
+                u = int(hashlib.md5(f"{seed}:{j}:{name}".encode()).hexdigest()[:13], 16) / 2**52
+                copies[-1] += poisson(u, rate / parts)
+    if by_row:
+        return copies
+    out = collections.Counter()
+    for (doc, s, _), k in zip(rows, copies, strict=True):
+        out[doc, s] += k
     return out
 
 
@@ -255,7 +263,7 @@ def test_mix(spark, odd, small, monkeypatch, few):
     for docs, weights, total in ((small, {"src0": 3.0, "src1": 1.0, "none": 5.0, "src2": -1.0}, 900.0), (odd, {"s": 1.0, None: 2.0}, 300.0), (small.filter("source = 'src3'"), {"src3": 1.0}, 2000.0)):
         w = spark.createDataFrame(list(weights.items()), "source string, weight double")
         mixed = mixing.poisson_mix(docs, w, total)
-        rows = [(r.doc_id, r.source) for r in docs.collect()]
+        rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
         want = {k: v for k, v in brute_mix(rows, weights, total, 17).items() if v}
         assert collections.Counter((r.doc_id, r.source) for r in mixed.collect()) == want
         assert mixed.columns == [c for c in docs.columns if c not in mixing.ADDED] + ["copy", "rate"]
