@@ -15,14 +15,14 @@ that every history keeps some mass), and alpha(h) such that P(. | h) sums to one
 How it is computed.  Words are dealt into shares of about ``SHARE`` tokens.  A task gathers the tokens of some millions of
 words (a flush) and sorts its distinct bigrams by the share of their word.  One packed block for each flush and share
 carries the bigrams with their training counts; documents stay behind.  A partition takes its shares one after the other,
-so what it holds at once does not grow with the corpus; it sums c(w) and c(hw) of a share's words, and answers each block with the counts in the same order, which takes about a byte a bigram.  A second
-reading lays out the same flushes with their documents, meets the answers, and sums up every document:
+so what it holds at once does not grow with the corpus; it sums c(w) and c(hw) of a share's words, and answers each block
+with the counts in the same order, which takes about a byte a bigram.  A second reading lays out the same flushes with their documents, meets the answers, and sums up every document:
 what was seen in training needs nothing more, as c(h) is the count of a word of the same document.
 Bigrams not seen in training are the held-out documents' and are joined to the table of histories
 (c(h), alpha(h)), which each partition has summed in part.  A word with a large share of all tokens is
 dealt out by its bigrams instead; its count is taken beforehand, which needs one more reading (at most
 8 such words for each partition exist).  A flush is known by its task and number and a checksum of its
-bigrams; if a second reading laid out other flushes, the job would stop with an error.
+bigrams; if a second reading laid out other flushes, the job would stop with an error, so give it a stored table.
 
 Edge cases: a null text counts as empty and has the end token only; a null doc_id counts as the text
 "null" in the split; repeated rows are scored each; without training documents every score is 0; other
@@ -46,7 +46,7 @@ END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: Tokens that a task gathers before it sends them.
 GATHER = 1_500_000
 #: Training tokens of the words that are counted together; a partition counts one such share after the other.
-SHARE = 600_000
+SHARE = 1_200_000
 #: Bits of the bitmap of words in held-out documents (8 MB).
 BITMAP_BITS = 1 << 26
 N_VALUES = 14
@@ -439,7 +439,7 @@ def score_texts(docs: DataFrame, modulus: int = 10) -> DataFrame:
     table = found.filter(F.col("kind") == HISTORY).groupBy("id").agg(*(F.sum(v).alias(v) for v in values[:13]))
     mass = sum((F.col(f"v{r}") * (d2[r - 1] * r) for r in range(1, K + 1)), F.col(f"v{K + 1}")) / F.col("v0")
     lower = sum((F.col(f"v{K + 1 + r}") * (d1[r - 1] * r) for r in range(1, K + 1)), F.col(f"v{2 * K + 2}")) / F.lit(float(size))
-    table = table.select(F.col("id").alias("history"), F.log10("v0").alias("log_count"), F.log10((1 - mass) / (1 - lower)).alias("log_alpha"))
+    table = stored(table.select(F.col("id").alias("history"), F.log10("v0").alias("log_count"), F.log10((1 - mass) / (1 - lower)).alias("log_alpha")))
 
     c = F.col("v0")
     single = F.when(c == 0, F.lit(math.log10(unknown)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, dac, katz, langid, licenses, media, mixing, nearjoin, ranking, repeats
+from .textkit import clear_stored  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
