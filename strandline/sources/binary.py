@@ -4,22 +4,31 @@
     spark.read.format("strandline").load("t.zlib.bctab")
     df.write.format("strandline").option("suffix", ".zlib.bctab").mode("append").save(folder)
 
-Paths are opened by the executors, so they must lie on storage that all of them mount.  A writer puts one
-set of files a partition into the folder, and a folder is read as all the sets in it, in order of name.
+Paths are opened by the executors, so they must lie on storage that all of them mount.  A task writes its set of files into
+a work folder of its own attempt; the driver moves the sets of the attempts that count into place when all are done, under
+names that follow those of earlier writes, and takes the work folder away.  So a repeated or abandoned attempt leaves
+nothing, ``append`` adds sets and ``overwrite`` replaces them.  A folder is read as all the sets in it, in order of name.
+
+Filters that bound the row number (``row_id``, ``seq_id``, ``graph_id``) choose the rows that are read at all.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schema import from_struct, to_struct
 from . import blocks
 
 SUFFIXES = (".raw.bctab", ".zlib.bctab", ".raw.bcdat", ".zlib.bcdat", ".bdat", ".bdat.gz", ".bdat.gzip", ".raw.bcseq", ".zlib.bcseq", ".raw.bsgrap", ".zlib.bsgrap", ".raw.bsalgn", ".zlib.bsalgn")
+#: Columns that hold the number of a row.
+NUMBERS = {("row_id",), ("seq_id",), ("graph_id",)}
 TEXT = "row_id long, cells array<string>"
 SEQUENCES = "seq_id long, name string, seq string"
 GRAPHS = (
@@ -75,12 +84,26 @@ class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = files_of(options["path"])
         self.grain = int(options.get("rows", 65_536))
+        self.first, self.stop = 0, 1 << 63  # row numbers that are wanted
+
+    def pushFilters(self, filters):
+        """Takes bounds on the row number; all filters are applied again by Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in NUMBERS and isinstance(f.value, int):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.stop = min(self.stop, f.value + (not isinstance(f, LessThan)))
+            yield f
 
     def partitions(self):
         out, before = [], 0
         for path in self.files:
             n = size_of(path)
-            out += [Rows(path, i, min(n, i + self.grain), before) for i in range(0, n, self.grain)]
+            # a file that is unpacked whole is one task's
+            grain = max(n, 1) if path.endswith((".gz", ".gzip")) else self.grain
+            low, high = max(0, self.first - before), min(n, self.stop - before)
+            out += [Rows(path, i, min(high, i + grain), before) for i in range(low, high, grain)]
             before += n
         return out or [Rows("", 0, 0, 0)]
 
@@ -107,23 +130,26 @@ class Reader(DataSourceReader):
 
 @dataclass
 class Done(WriterCommitMessage):
-    path: str
+    folder: str
     rows: int
 
 
 class Writer(DataSourceWriter):
-    def __init__(self, options: dict, schema: T.StructType):
-        self.folder, self.suffix, self.schema = local(options["path"]), options.get("suffix", ".zlib.bctab"), schema
+    def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
+        self.folder, self.suffix, self.schema, self.overwrite = local(options["path"]), options.get("suffix", ".zlib.bctab"), schema, overwrite
         if self.suffix not in SUFFIXES:
             raise ValueError(f"unknown suffix {self.suffix}")
         self.name, self.bases = options.get("name", ""), options.get("bases", "ACGT")
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        self.work = os.path.join(self.folder, f"_work-{self.job}")
 
     def write(self, iterator):
         from pyspark import TaskContext
 
-        os.makedirs(self.folder, exist_ok=True)
         context = TaskContext.get()
-        path = os.path.join(self.folder, f"part-{context.partitionId():05d}{self.suffix}")
+        folder = os.path.join(self.work, str(context.taskAttemptId()))
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"part-{self.job}-{context.partitionId():06d}{self.suffix}")
         kind = kind_of(path)
         if kind == "bctab":
             n = blocks.write_text_table(path, ([(c or "").encode() for c in r["cells"]] for r in iterator))
@@ -135,7 +161,20 @@ class Writer(DataSourceWriter):
             n = blocks.write_alignments(path, (r.asDict(True) for r in iterator))
         else:
             n = blocks.write_data(path, from_struct(self.schema), (list(r) for r in iterator))
-        return Done(path, n)
+        return Done(folder, n)
+
+    def commit(self, messages):
+        old = [f for f in os.listdir(self.folder) if not f.startswith("_work-")] if self.overwrite else []
+        for done in messages:
+            if done is not None:
+                for f in os.listdir(done.folder):
+                    os.replace(os.path.join(done.folder, f), os.path.join(self.folder, f))
+        for f in old:
+            os.remove(os.path.join(self.folder, f))
+        shutil.rmtree(self.work, ignore_errors=True)
+
+    def abort(self, messages):
+        shutil.rmtree(self.work, ignore_errors=True)
 
 
 class Strandline(DataSource):
@@ -156,7 +195,7 @@ class Strandline(DataSource):
         return Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return Writer(self.options, schema)
+        return Writer(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -165,9 +204,10 @@ def register(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, path: str, rows: int = 65_536):
     register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("strandline").option("rows", str(rows)).load(path)
 
 
-def write(df, folder: str, suffix: str, **options: str) -> None:
+def write(df, folder: str, suffix: str, mode: str = "append", **options: str) -> None:
     register(df.sparkSession)
-    df.write.format("strandline").options(suffix=suffix, **options).mode("append").save(folder)
+    df.write.format("strandline").options(suffix=suffix, **options).mode(mode).save(folder)

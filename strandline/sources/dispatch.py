@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import binary, reads, tables
@@ -18,7 +16,7 @@ GRAPH_SUFFIXES = (".raw.bsgrap", ".zlib.bsgrap")
 def open_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of text cells; ``-`` or nothing is standard input; unknown suffixes are plain text."""
     if path in ("", "-"):
-        lines = spark.createDataFrame([(line.rstrip("\n"),) for line in sys.stdin], "value string")
+        lines = tables.read_lines(spark)
         return tables.rows.drop_empty(lines.select(tables.clean_line(F.col("value")).alias("cells")))
     if path.endswith(".bctab"):
         return binary.read(spark, path).select("cells")

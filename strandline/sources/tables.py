@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import gzip
+import io
+import itertools
+import struct
+import sys
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import rows, typed
 from ..schema import ColumnKind, kinds_of_header, render_sigil
+from ..session import shared_path
 
 
 def read_delimited(spark: SparkSession, path: str, row_delimiter: str = "\n", cell_delimiter: str = "\t") -> DataFrame:
@@ -34,12 +40,13 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("lineSep", "\n").text(path)
 
     def unpack(batches):
-        for pdf in batches:
-            for data in pdf.content:
-                lines = gzip.decompress(data).decode("utf-8", "replace").split("\n")
-                yield pd.DataFrame({"value": lines[:-1] if lines[-1] == "" else lines})
+        for b in batches:
+            for data in b.column("content").to_pylist():
+                with gzip.open(io.BytesIO(data), "rt", encoding="utf-8", errors="replace", newline="\n") as f:
+                    while lines := f.readlines(1 << 20):
+                        yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n") for x in lines], pa.string())], names=["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "value string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
 
 
 def read_tsv(spark: SparkSession, path: str, escapes: bool = True) -> DataFrame:
@@ -52,6 +59,9 @@ def read_tsv(spark: SparkSession, path: str, escapes: bool = True) -> DataFrame:
 
 def write_delimited(df: DataFrame, path: str, row_delimiter: str = "\n", cell_delimiter: str = "\t", compression: str | None = None) -> None:
     line = F.array_join(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), cell_delimiter)
+    if path in ("", "-"):
+        write_lines(df.select(line.alias("value")))
+        return
     writer = df.select(line.alias("value")).write.option("lineSep", row_delimiter)
     (writer.option("compression", compression) if compression else writer).text(path)
 
@@ -62,17 +72,16 @@ def write_tsv(df: DataFrame, path: str, escapes: bool = True, compression: str |
 
 
 def read_typed(spark: SparkSession, path: str, head: bool = True, sigil: bool = True) -> DataFrame:
-    """Typed columns: the first row, read alone, gives the kinds; it is left out where it is a header."""
+    """Typed columns: the first row, read alone, gives the kinds; where it is a header that row, and no other like it, is left out."""
     from .dispatch import open_table
 
-    cells = open_table(spark, path)
-    first = cells.first()
+    placed = open_table(spark, path).select("cells", F.monotonically_increasing_id().alias("place"))
+    first = placed.first()
     if first is None:
         raise ValueError("no header row")
     kinds = kinds_of_header(first.cells, head, sigil)
-    if head:
-        cells = cells.filter(F.col("cells") != F.array(*map(F.lit, first.cells)))
-    return typed.to_typed(cells, kinds)
+    rest = placed.filter(F.col("place") != first.place) if head else placed
+    return typed.to_typed(rest.select("cells"), kinds)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +95,41 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("i", F.posexplode("cells").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), text.parse_float(F.col("v")).alias("v"))
 
 
+def read_binary_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(i, j, v) of binary matrix files (rows, columns, then numbers, all big-endian); a file is one task's."""
+
+    def run(batches):
+        for b in batches:
+            for data in b.column("content").to_pylist():
+                n, m = struct.unpack_from(">2Q", data)
+                if len(data) != 16 + 8 * n * m:
+                    raise ValueError("truncated matrix")
+                at = np.arange(n * m)
+                yield pa.RecordBatch.from_arrays([pa.array(at // max(m, 1)), pa.array(at % max(m, 1)), pa.array(np.frombuffer(data, ">f8", n * m, 16).astype(float))], names=["i", "j", "v"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i long, j long, v double")
+
+
+def write_lines(lines: DataFrame, out=None) -> None:
+    """(value) of a frame to standard output, a partition at a time."""
+    out = out or sys.stdout
+    for row in lines.toLocalIterator():
+        out.write(row.value + "\n")
+
+
+def read_lines(spark: SparkSession, source=None, batch: int = 100_000) -> DataFrame:
+    """(value) of each line of standard input, stored in the shared folder a batch at a time."""
+    path = shared_path(spark)
+    source = sys.stdin if source is None else source
+    held = [line.rstrip("\n") for line in itertools.islice(source, batch)]
+    spark.createDataFrame([(x,) for x in held], "value string").coalesce(1).write.parquet(f"{path}/{0:09d}")
+    n = 1
+    while held := [line.rstrip("\n") for line in itertools.islice(source, batch)]:
+        spark.createDataFrame([(x,) for x in held], "value string").coalesce(1).write.parquet(f"{path}/{n:09d}")
+        n += 1
+    return spark.read.parquet(*(f"{path}/{k:09d}" for k in range(n)))
+
+
 def typed_rows(df: DataFrame, header: bool = True) -> DataFrame:
     """Text rows of typed columns with a row of sigils first."""
     from ..schema import from_struct

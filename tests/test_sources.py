@@ -217,3 +217,81 @@ def test_rendering(spark):
     df = spark.createDataFrame([(1, 2.5, None)], "a long, b double, c string")
     assert typed.to_text(df).first().cells == ["1", "2.500000e+00", ""]
     assert os.path.exists(cli.__file__)
+
+
+def blocks_of(spark, path):
+    return [r.cells for r in binary.read(spark, path).orderBy("row_id").collect()]
+
+
+def test_appends_overwrites_and_retries(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda *names: spark.createDataFrame([([n],) for n in names], "cells array<string>").repartition(2)
+    binary.write(frame("a", "b", "c"), path, ".zlib.bctab")
+    binary.write(frame("d", "e"), path, ".raw.bctab")
+    assert sorted(blocks_of(spark, path)[:3]) == [["a"], ["b"], ["c"]] and sorted(blocks_of(spark, path)[3:]) == [["d"], ["e"]]
+    # an attempt that ends early leaves nothing, and a second one for the same partition is not read twice
+    writer = binary.Writer({"path": path, "suffix": ".zlib.bctab"}, frame("x").schema, False)
+    os.makedirs(os.path.join(writer.work, "9"))
+    blocks.write_text_table(os.path.join(writer.work, "9", "part-9.zlib.bctab"), [[b"lost"]])
+    assert len(blocks_of(spark, path)) == 5
+    writer.abort([])
+    assert not [f for f in os.listdir(path) if f.startswith("_work")]
+    with pytest.raises(Exception, match="too bad"):
+        bad = frame("f").select(F.array(F.when(F.rand() >= 0, F.raise_error(F.lit("too bad"))).cast("string")).alias("cells"))
+        binary.write(bad, path, ".zlib.bctab")
+    assert len(blocks_of(spark, path)) == 5 and not [f for f in os.listdir(path) if f.startswith("_work")]
+    binary.write(frame("z"), path, ".zlib.bctab", mode="overwrite")
+    assert blocks_of(spark, path) == [["z"]]
+
+
+def test_row_filters_reach_the_reader():
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    reader = binary.Reader.__new__(binary.Reader)
+    reader.first, reader.stop = 0, 1 << 63
+    list(reader.pushFilters([GreaterThanOrEqual(("row_id",), 5), LessThan(("row_id",), 9), EqualTo(("name",), "x")]))
+    assert (reader.first, reader.stop) == (5, 9)
+
+
+def test_header_rows_among_the_data(spark, tmp_path):
+    path = str(tmp_path / "t.tsv")
+    with open(path, "w") as f:
+        f.write("i:a\ts8:b\n1\tx\ni:a\ts8:b\n2\ty\n")
+    assert [tuple(r) for r in tables.read_typed(spark, path).collect()] == [(1, "x"), (None, "s8:b"), (2, "y")]
+
+
+@pytest.mark.parametrize("size", [None, "40b", "1000b"])
+def test_reads_over_splits(spark, tmp_path, size):
+    want = [(i, f"r{i}", "ACGT" * (i % 7 + 1), "@I+!" * (i % 7 + 1)) for i in range(97)]
+    path = str(tmp_path / "t.fastq")
+    with open(path, "w") as f:
+        for _, n, s, q in want:
+            f.write(f"@{n}\n{s}\n\n+\n{q}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        assert sorted(map(tuple, reads.read_fastq(spark, path).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with open(path, "a") as f:
+        f.write("@cut\nAC\n+\n")
+    with pytest.raises(ValueError, match="truncated"):
+        reads.read_fastq(spark, path)
+
+
+def test_packed_fasta_is_read_as_a_stream(spark, tmp_path):
+    for k in range(2):
+        with gzip.open(tmp_path / f"{k}.fa.gzip", "wt") as f:
+            f.write(f"text before\n>one {k}\nAC GT\nAA\n>two\n>three\nT\n")
+    got = sorted((r.name, r.seq) for r in reads.read_fasta(spark, str(tmp_path / "*.fa.gzip")).collect())
+    assert got == sorted([(f"one {k}", "ACGTAA") for k in range(2)] + [("three", "T"), ("two", "")] * 2)
+
+
+def test_standard_input_and_output(spark):
+    lines = [f"{i}\tx" for i in range(250)]
+    got = tables.read_lines(spark, iter(f"{x}\n" for x in lines), batch=100)
+    assert sorted(r.value for r in got.collect()) == sorted(lines) and tables.read_lines(spark, iter(())).count() == 0
+    out = io.StringIO()
+    tables.write_lines(got.orderBy("value"), out)
+    assert out.getvalue().splitlines() == sorted(lines)
