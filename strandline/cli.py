@@ -61,6 +61,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--error", type=float, default=0.1)
     c.add_argument("--seed", type=int, default=1)
     c = command("prototsv", "report of scored reads")
+    c.add_argument("--alleles", type=int, help="with --ploidy: the report has every individual")
+    c.add_argument("--ploidy", type=_ploidies)
     return p
 
 
@@ -97,7 +99,12 @@ def run(argv: list[str] | None = None) -> None:
     else:
         draws, scores = spark.read.parquet(a.source + "/draws"), spark.read.parquet(a.source + "/scores")
         n = draws.select(F.size("reads")).first()[0]
-        out = genotypes.report(genotypes.marginals(scores, draws.select("draw_id", "load_idx", "class")), draws, n)
+        truth = draws.select("draw_id", "load_idx", "class")
+        individuals = None
+        if a.ploidy:
+            classes = genotypes.class_genotypes(genotypes.genotypes(spark, a.alleles or n, a.ploidy), a.ploidy)
+            individuals = genotypes.individual_answers(scores, truth, classes)
+        out = genotypes.report(genotypes.marginals(scores, truth), draws, n, individuals, len(a.ploidy or ()))
         text = spark.createDataFrame([(out.columns,)], "cells array<string>").unionByName(out.select(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in out.columns)).alias("cells")))
         dispatch.save_table(text, a.out)
 

@@ -21,24 +21,24 @@ def log_of(c: Column) -> Column:
     return F.when(c > 0, F.ln(c)).when(c == 0, F.lit(NEG_INF))
 
 
-def log_sum_exp(df: DataFrame, keys: Sequence[str], value: str, name: str = "lse", extra: Sequence[Column] = ()) -> DataFrame:
-    """ln of the sum of exp(value) by keys: a maximum, then a sum relative to it.
+#: Width of the ranges of logarithms that are summed together; exp of it is far from overflow.
+RANGE = 64
 
-    Both aggregations combine on the map side.  Groups whose values are all minus infinity or null give minus infinity.
+
+def log_sum_exp(df: DataFrame, keys: Sequence[str], value: str, name: str = "lse", count: str | None = None) -> DataFrame:
+    """ln of the sum of exp(value) by keys, and under ``count`` the number of values.
+
+    One pass: values are summed by range, relative to its lower end, and the few ranges of a group are put together relative
+    to the highest.  Groups whose values are all minus infinity or null give minus infinity.
     """
-    peak = df.groupBy(*keys).agg(F.max(value).alias("__peak"))
-    shifted = F.sum(F.exp(F.col(value) - F.col("__peak")))
-    if keys:
-        named = peak.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__peak")
-        same = F.lit(True)
-        for i, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        joined = df.join(named, same)
-    else:
-        joined = df.crossJoin(F.broadcast(peak))  # one row
-    done = joined.groupBy(*keys, "__peak").agg(shifted.alias("__sum"), *extra)
-    total = F.when(F.col("__peak").isNull() | (F.col("__peak") == NEG_INF), F.lit(NEG_INF)).otherwise(F.col("__peak") + F.ln("__sum"))
-    return done.withColumn(name, total).drop("__peak", "__sum")
+    x = F.col(value)
+    finite = x > NEG_INF
+    low = F.floor(x / RANGE).cast("double")
+    ranges = df.groupBy(*keys, F.when(finite, low).alias("__b")).agg(F.sum(F.when(finite, F.exp(x - low * RANGE))).alias("__s"), F.count(value).alias("__n"))
+    found = ranges.groupBy(*keys).agg(F.max("__b").alias("__top"), F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__s"))).alias("__r"), F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"))
+    total = F.aggregate("__r", F.lit(0.0), lambda acc, r: acc + r["__s"] * F.exp((r["__b"] - F.col("__top")) * RANGE))
+    lse = F.when(F.col("__top").isNull(), F.lit(NEG_INF)).otherwise(F.col("__top") * RANGE + F.ln(total))
+    return found.select(*keys, lse.alias(name), *([F.col("__n").alias(count)] if count else []))
 
 
 def lse_pair(a: Column, b: Column) -> Column:
@@ -67,7 +67,7 @@ LANCZOS = (
 
 
 def log_gamma(c: Column) -> Column:
-    """ln of the gamma function for c > 0, as an expression."""
+    """ln of the absolute gamma function, as an expression; infinity at 0 and the negative whole numbers."""
 
     def lanczos(x: Column) -> Column:
         y = x - 1
@@ -77,8 +77,9 @@ def log_gamma(c: Column) -> Column:
         t = y + 7.5
         return 0.5 * math.log(2 * math.pi) + (y + 0.5) * F.ln(t) - t + F.ln(total)
 
-    reflected = F.lit(math.log(math.pi)) - F.ln(F.sin(F.lit(math.pi) * c)) - lanczos(1 - c)
-    return F.when(c >= 0.5, lanczos(c)).when(c > 0, reflected)
+    # the sine of the distance to the next whole number keeps its digits for large negative numbers
+    reflected = F.lit(math.log(math.pi)) - F.ln(F.abs(F.sin(F.lit(math.pi) * (c - F.round(c))))) - lanczos(1 - c)
+    return F.when(c >= 0.5, lanczos(c)).when((c <= 0) & (c == F.floor(c)), F.lit(float("inf"))).otherwise(reflected)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -221,14 +222,14 @@ class Mixture(Distribution):
         return Mixture([c.marginal(keep) for c in self.components], list(self.log_weights))
 
 
-def draws(spark, distribution: Distribution, n: int, seed: int = 0, partitions: int = 8) -> DataFrame:
-    """n draws as (id, x array<double>); each partition has a generator of its own, seeded by its rows."""
-    schema = "id long, x array<double>"
+def draws(spark, distribution: Distribution, n: int, seed: int = 0, partitions: int = 8, block: int = 4096) -> DataFrame:
+    """n draws as (id, x array<double>); every ``block`` of ids has a generator of its own, whatever task makes it."""
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                rng = np.random.default_rng([seed, int(pdf.id.iloc[0])])
-                yield pd.DataFrame({"id": pdf.id, "x": distribution.draw(len(pdf), rng).tolist()})
+            for k in pdf.id:
+                size = int(min(block, n - k * block))
+                rng = np.random.default_rng([seed, int(k)])
+                yield pd.DataFrame({"id": np.arange(k * block, k * block + size), "x": distribution.draw(size, rng).tolist()})
 
-    return spark.range(0, n, 1, partitions).mapInPandas(run, schema)
+    return spark.range(0, -(-n // block), 1, partitions).mapInPandas(run, "id long, x array<double>")

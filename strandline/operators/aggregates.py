@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.prob import NEG_INF, log_sum_exp
 
 
 def log_mean_exp(df: DataFrame, keys: Sequence[str], value: str, name: str = "log_mean") -> DataFrame:
     """ln of the mean of exp(value) over the rows of a group."""
-    done = log_sum_exp(df, keys, value, "__lse", [F.count(value).alias("__n")])
+    done = log_sum_exp(df, keys, value, "__lse", "__n")
     return done.select(*keys, (F.col("__lse") - F.ln("__n")).alias(name))
 
 
@@ -30,12 +30,11 @@ def winners(df: DataFrame, keys: Sequence[str], right: Column, score: Column, in
 
 
 def best_two(df: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
-    """Best and second best (score, tie) of a group by two mergeable minima; the lower tie wins."""
-    rank = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))
-    best = df.groupBy(*keys).agg(F.min(rank).alias("__b"))
-    joined = df.join(best, list(keys))
-    second = joined.groupBy(*keys).agg(F.first("__b").alias("__b"), F.min(F.when(rank != F.col("__b"), rank)).alias("__c"))
-    return second.select(*keys, F.col("__b.t").alias("best_id"), (-F.col("__b.s")).alias("best_score"), F.col("__c.t").alias("second_id"), (-F.col("__c.s")).alias("second_score"))
+    """Best and second best (score, tie) of a group; the lower tie wins.  Ranks above two are dropped before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie)))
+    top = df.select(*keys, score, tie, rank.alias("__r")).filter("__r <= 2")
+    at = lambda r, c: F.max(F.when(F.col("__r") == r, F.col(c)))
+    return top.groupBy(*keys).agg(at(1, tie).alias("best_id"), at(1, score).alias("best_score"), at(2, tie).alias("second_id"), at(2, score).alias("second_score"))
 
 
 def proportions(counts: Column) -> Column:

@@ -4,9 +4,12 @@ A genotype gives each individual (with its ploidy) an allele per chromosome; a l
 individual a number of genome copies.  Simulated copies of each allele are amplified and sequenced;
 drawn reads are scored against an evaluation set of simulations of every (loading, genotype).
 
-Simulations never meet draws unaggregated: the evaluation set is packed into arrays (its size follows
-from the parameters, not from the data, and is checked before it is broadcast), draws are scored by matrix
-products in batches, and one row per (draw, loading, class) comes out.
+Draws meet the evaluation set in packed blocks: vectors of one (loading, class) are packed by some thousands, draws by some
+hundreds, every pair of blocks is one row of a product of the two block tables, and a matrix product inside the task
+scores it.  Nothing of either side is collected or has to fit a driver.
+
+Random numbers are seeded by what is simulated (loading and genotype; draw), never by a batch or partition, so results do not
+depend on how rows are dealt out or on tasks that run again.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.prob import NEG_INF, log_sum_exp
 from .aggregates import allele_loading, canonical_genotype, cumulative, winners
 
-#: Largest evaluation set that is broadcast, in numbers.
-MAX_EVALUATION = 32_000_000
+#: Vectors of a block of the evaluation set; draws of a block.
+VECTORS, DRAWS = 4096, 256
 
 
 @dataclass(frozen=True)
@@ -135,24 +139,27 @@ def amplify(counts: np.ndarray, p: Parameters, rng: np.random.Generator) -> np.n
 
 
 def simulate(spark: SparkSession, p: Parameters) -> DataFrame:
-    """(load_idx, geno_idx, class, rep, counts array<bigint>): every loading, genotype and replicate, amplified."""
+    """(load_idx, geno_idx, class, rep, counts array<bigint>): every loading, genotype and replicate, amplified.
+
+    The replicates of a loading and genotype are one array in a task, with a generator of their own.
+    """
     from .lookup import cross
 
-    genos = genotypes(spark, p.alleles, p.ploidies)
-    every = cross(genos, loadings(spark, p.load, p.ploidies), spark.range(p.rows).select(F.col("id").cast("int").alias("rep")))
+    every = cross(genotypes(spark, p.alleles, p.ploidies), loadings(spark, p.load, p.ploidies))
     start = allele_loading(F.col("alleles"), F.col("load"), p.ploidies, p.alleles)
-    cases = every.select("load_idx", "geno_idx", "class", "rep", start.alias("counts"))
+    cases = every.select("load_idx", "geno_idx", "class", start.alias("counts"))
     if p.cycles == 0:
-        return cases
+        return cases.select("load_idx", "geno_idx", "class", F.explode(F.sequence(F.lit(0), F.lit(p.rows - 1))).alias("rep"), "counts")
 
     def run(batches):
         for pdf in batches:
-            if len(pdf):
-                first = pdf.iloc[0]
-                rng = np.random.default_rng([p.seed, int(first.load_idx), int(first.geno_idx), int(first.rep)])
-                yield pdf.assign(counts=amplify(np.stack(pdf.counts.to_numpy()), p, rng).tolist())
+            for load, geno, cls, counts in zip(pdf.load_idx, pdf.geno_idx, pdf["class"], pdf.counts, strict=True):
+                rng = np.random.default_rng([p.seed, int(load), int(geno)])
+                grown = amplify(np.tile(np.asarray(counts), (p.rows, 1)), p, rng)
+                yield pd.DataFrame({"load_idx": load, "geno_idx": geno, "class": cls, "rep": np.arange(p.rows), "counts": grown.tolist()})
 
-    return cases.mapInPandas(run, cases.schema)
+    parts = max(1, min(10_000, -(-p.alleles ** sum(p.ploidies) // 64)))
+    return cases.repartition(parts, "load_idx", "geno_idx").mapInPandas(run, "load_idx int, geno_idx long, class int, rep int, counts array<long>")
 
 
 def draw_shares(counts: Column, errors: np.ndarray) -> Column:
@@ -170,12 +177,14 @@ def draw_cdf(counts: Column, errors: np.ndarray) -> Column:
 def draw_reads(sims: DataFrame, n_alleles: int, error: float, read_bits: int, seed: int = 1) -> DataFrame:
     """For each simulation and each number of reads 2^read_bits, ..., 2, 1: reads by allele.
 
-    Adds draw_id, n_reads and reads to the simulation's columns.
+    Adds draw_id, n_reads and reads to the simulation's columns; draw_id counts loading, genotype, replicate and number of reads.
     """
     errors = flat_errors(n_alleles, error)
     halved = F.explode(F.transform(F.sequence(F.lit(read_bits), F.lit(0)), lambda b: F.pow(F.lit(2.0), b).cast("bigint")))
     rows = sims.select("load_idx", "geno_idx", "class", "rep", draw_shares(F.col("counts"), errors).alias("share"), halved.alias("n_reads"))
-    key = F.xxhash64("load_idx", "geno_idx", "rep", "n_reads")
+    last = sims.agg(F.max("geno_idx"), F.max("rep")).first()
+    genos, reps = ((x or 0) + 1 for x in last)
+    key = ((F.col("load_idx").cast("bigint") * genos + F.col("geno_idx")) * reps + F.col("rep")) * (read_bits + 1) + F.log2("n_reads").cast("bigint")
     rows = rows.select(key.alias("draw_id"), "load_idx", "geno_idx", "class", "rep", "n_reads", F.col("share").alias("reads"))
 
     def run(batches):
@@ -192,37 +201,37 @@ def draw_reads(sims: DataFrame, n_alleles: int, error: float, read_bits: int, se
 
 def score_reads(draws: DataFrame, evaluation: DataFrame, n_alleles: int, error: float) -> DataFrame:
     """(draw_id, load_idx, class, log_p): log mean over replicates, and log sum over the genotypes of a class."""
-    size = evaluation.agg(F.count(F.lit(1))).first()[0] * n_alleles
-    if size > MAX_EVALUATION:
-        raise ValueError(f"an evaluation set of {size} numbers is too large to send to every executor; lower its fan")
-    rows = evaluation.select("load_idx", "geno_idx", "class", "counts").toPandas().sort_values(["load_idx", "class", "geno_idx"], kind="stable")
-    counts = np.stack(rows.counts.to_numpy()).astype(float)
-    total = counts.sum(axis=1, keepdims=True)
-    share = np.where(total > 0, counts / np.maximum(total, 1), 1 / n_alleles) @ flat_errors(n_alleles, error).T
-    with np.errstate(divide="ignore"):
-        logs = np.log(share)
-    cells, first = np.unique(rows[["load_idx", "class"]].to_numpy(), axis=0, return_index=True)
-    replicates = rows.groupby(["load_idx", "geno_idx"]).size().iloc[0]
-    shared = draws.sparkSession.sparkContext.broadcast((logs, cells, first))
+    errors = flat_errors(n_alleles, error)
+    logs = F.transform(draw_shares(F.col("counts"), errors), lambda x: F.when(x > 0, F.ln(x)).otherwise(F.lit(NEG_INF)))
+    fan = evaluation.groupBy("load_idx", "geno_idx").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.max("n"), F.sum("n"), F.count(F.lit(1))).first()
+    if fan[0] != fan[1]:
+        raise ValueError("loadings and genotypes of an evaluation set need equally many replicates")
+    salts = max(1, -(-(fan[2] or 0) // VECTORS))  # at least as many blocks as needed, whatever the cells
+    vectors = evaluation.select("load_idx", "class", F.pmod(F.xxhash64("geno_idx", "rep"), F.lit(salts)).alias("salt"), logs.alias("v"))
+    vectors = vectors.groupBy("load_idx", "class", "salt").agg(F.flatten(F.collect_list("v")).alias("logs"))
+    buckets = max(1, -(-draws.count() // DRAWS))
+    packed = draws.groupBy(F.pmod(F.xxhash64("draw_id"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("draw_id").alias("ids"), F.flatten(F.collect_list("reads")).alias("reads"))
 
     def run(batches):
-        logs, cells, first = shared.value
-        impossible = ~np.isfinite(logs)
-        usable = np.where(impossible, 0, logs)
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at : at + 64]
-                reads = np.stack(part.reads.to_numpy()).astype(float)
-                p = reads @ usable.T
+        for b in batches:
+            for load, cls, v, ids, r in zip(*(b.column(c) for c in ("load_idx", "class", "logs", "ids", "reads")), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_alleles)
+                reads = r.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, n_alleles)
+                impossible = ~np.isfinite(v)
+                p = reads @ np.where(impossible, 0, v).T
                 p[(reads @ impossible.T.astype(float)) > 0] = NEG_INF
-                peak = np.maximum.reduceat(p, first, axis=1)
-                width = np.diff(np.append(first, p.shape[1]))
+                peak = p.max(axis=1)
                 lift = np.where(np.isfinite(peak), peak, 0)
                 with np.errstate(divide="ignore"):
-                    out = np.log(np.add.reduceat(np.exp(p - np.repeat(lift, width, axis=1)), first, axis=1)) + lift - math.log(replicates)
-                yield pd.DataFrame({"draw_id": np.repeat(part.draw_id.to_numpy(), len(cells)), "load_idx": np.tile(cells[:, 0], len(part)), "class": np.tile(cells[:, 1], len(part)), "log_p": out.ravel()})
+                    out = np.log(np.exp(p - lift[:, None]).sum(axis=1)) + lift
+                n = len(out)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array([load.as_py()] * n, pa.int32()), pa.array([cls.as_py()] * n, pa.int32()), pa.array(out)], names=["draw_id", "load_idx", "class", "p"])
 
-    return draws.select("draw_id", "reads").mapInPandas(run, "draw_id long, load_idx int, class int, log_p double")
+    pairs = packed.select("ids", "reads").crossJoin(vectors.select("load_idx", "class", "logs"))
+    parts = pairs.mapInArrow(run, "draw_id long, load_idx int, class int, p double")
+    if salts > 1:
+        parts = log_sum_exp(parts, ["draw_id", "load_idx", "class"], "p", "p")
+    return parts.select("draw_id", "load_idx", "class", (F.col("p") - math.log(fan[0] or 1)).alias("log_p"))
 
 
 def marginals(scores: DataFrame, truth: DataFrame) -> DataFrame:
@@ -273,8 +282,27 @@ def class_genotypes(genos: DataFrame, ploidies: Sequence[int]) -> DataFrame:
     return genos.select("class", F.explode(F.array(*parts)).alias("x")).select("class", "x.*").distinct()
 
 
-def report(answers: DataFrame, draws: DataFrame, n_alleles: int) -> DataFrame:
-    """The report: read counts, right and wrong answers and their log probabilities, under the report's names."""
+def individual_answers(scores: DataFrame, truth: DataFrame, classes: DataFrame) -> DataFrame:
+    """(draw_id, individual, wrong_genotype, ln_right, ln_wrong): of each individual the right genotype and the best wrong one.
+
+    scores: (draw_id, load_idx, class, log_p); truth: (draw_id, class); classes: (class, individual, genotype).  Probabilities are relative to
+    the sum over all cells; of equal wrong ones the first genotype in order counts.
+    """
+    total = log_sum_exp(scores, ["draw_id"], "log_p", "total")
+    right = truth.select("draw_id", "class").join(classes.select("class", "individual", F.col("genotype").alias("true_genotype")), "class").drop("class")
+    each = individual_marginals(scores, classes).join(right, ["draw_id", "individual"]).join(total, "draw_id")
+    is_right = F.col("genotype") == F.col("true_genotype")
+    wrong = F.min(F.when(~is_right & (F.col("log_p_individual") > NEG_INF), F.struct((-F.col("log_p_individual")).alias("s"), F.col("genotype").alias("g"))))
+    found = each.groupBy("draw_id", "individual", "total").agg(F.max(F.when(is_right, F.col("log_p_individual"))).alias("r"), wrong.alias("w"))
+    less = lambda c: F.when(F.col("total") == NEG_INF, F.lit(NEG_INF)).otherwise(F.coalesce(c, F.lit(NEG_INF)) - F.col("total"))
+    return found.select("draw_id", "individual", F.col("w.g").alias("wrong_genotype"), less(F.col("r")).alias("ln_right"), less(-F.col("w.s")).alias("ln_wrong"))
+
+
+def report(answers: DataFrame, draws: DataFrame, n_alleles: int, individuals: DataFrame | None = None, n_individuals: int = 0) -> DataFrame:
+    """The report: read counts, right and wrong answers and their log probabilities, and the same for every individual, under the report's names.
+
+    individuals: of ``individual_answers``.
+    """
     rows = draws.select("draw_id", *(F.get("reads", F.lit(i)).alias(f"RC{i}") for i in range(n_alleles))).join(answers, "draw_id")
     names = {
         "true_load": "RightLoading", "true_class": "RightGenotype", "wrong_joint_load": "WrongJointLoading", "wrong_joint_class": "WrongJointGenotype",
@@ -283,4 +311,10 @@ def report(answers: DataFrame, draws: DataFrame, n_alleles: int) -> DataFrame:
         "ln_class_right": "lnPGenoRight", "ln_class_wrong": "lnPGenoWrong", "ln_class_given_load_right": "lnPGenoRight|Load", "ln_class_given_load_wrong": "lnPGenoWrong|Load",
         "ln_load_given_class_right": "lnPLoadRight|Geno", "ln_load_given_class_wrong": "lnPLoadWrong|Geno",
     }
-    return rows.select(*(f"RC{i}" for i in range(n_alleles)), *(F.col(a).alias(b) for a, b in names.items()))
+    columns = [*(F.col(f"RC{i}") for i in range(n_alleles)), *(F.col(a).alias(b) for a, b in names.items())]
+    if individuals is not None:
+        of = {"WrongG": "wrong_genotype", "lnPRightG": "ln_right", "lnPWrongG": "ln_wrong"}
+        wide = individuals.groupBy("draw_id").agg(*(F.max(F.when(F.col("individual") == i, F.col(c))).alias(f"{n}{i}") for i in range(n_individuals) for n, c in of.items()))
+        rows = rows.join(wide, "draw_id", "left")
+        columns += [F.col(f"{n}{i}") for i in range(n_individuals) for n in of]
+    return rows.select(*columns)

@@ -172,14 +172,23 @@ def matches(c: Column, node: Node) -> Column:
 
 
 def first_match(c: Column, node: Node) -> Column:
-    """Text of the leftmost match with lazy repeats; null if none.
+    """Text of the leftmost match, at its shortest; null if none.
 
-    Lazy repeats give the shortest match unless an alternative that comes later is shorter; ``find_first_udf`` has no such exception.
+    Lazy repeats give the shortest match unless an alternative that comes later is shorter, so an expression with alternatives goes
+    to the automaton.
     """
+    if has_choice(node):
+        found = find_first_udf(node)(c)
+        return F.when(found["start"] >= 0, F.substring(c, found["start"] + 1, found["length"]))
     pattern = F.lit(f"(?s){node.java(lazy=True)}")
     return F.when(F.regexp_like(c, pattern), F.regexp_substr(c, pattern))
 
 
+def has_choice(node: Node) -> bool:
+    """Whether an alternation occurs in the expression."""
+    return node.kind == "either" or any(map(has_choice, node.parts))
+
+
 def _finder(node: Node, method: str):
     auto = Automaton(node)
 

@@ -40,14 +40,23 @@ def ranked_suffixes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def interval(suffixes: Column, text: Column, pattern: str) -> Column:
-    """struct<from, to>: the run of suffix-array entries whose suffixes begin with the pattern.
-
-    The array is in order, so the run is the entries that match; its start is the number of smaller suffixes.
-    """
+    """struct<from, to>: the run of suffix-array entries whose suffixes begin with the pattern, by two binary searches in the row."""
     head = lambda p: F.substring(text, (p + 1).cast("int"), F.lit(len(pattern)))
-    low = F.size(F.filter(suffixes, lambda p: head(p) < pattern))
-    hits = F.size(F.filter(suffixes, lambda p: head(p) == pattern))
-    return F.struct(low.alias("from"), (low + hits).alias("to"))
+    size = F.size(suffixes)
+
+    def first_without(below) -> Column:
+        """The number of entries for which ``below`` holds; it holds for a prefix of the array."""
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            yes = below(head(F.get(suffixes, middle)))
+            open_ = s["low"] < s["high"]
+            return F.struct(F.when(open_ & yes, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~yes, middle).otherwise(s["high"]).alias("high"))
+
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int") + 1)
+        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s["low"])
+
+    return F.when(size > 0, F.struct(first_without(lambda h: h < pattern).alias("from"), first_without(lambda h: h <= pattern).alias("to"))).otherwise(F.struct(F.lit(0).alias("from"), F.lit(0).alias("to")))
 
 
 class Search:

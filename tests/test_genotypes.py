@@ -123,3 +123,33 @@ def test_base_weights(spark):
     for bad in (lambda: sequences.substitution_table("ACGT", 2), lambda: sequences.substitution_table("AC", 0.1, ["NX"]), lambda: sequences.flat_indels([0.1] * 5)):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("records", ["7", "10000"])
+def test_simulations_do_not_depend_on_batches(spark, records):
+    p = G.Parameters(3, 4, (1, 1), cycles=3, efficiency=0.7, error=0.1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, records)
+    try:
+        sims = G.simulate(spark, p)
+        assert sims.select(F.sum(total())).first()[0] == TOTAL.setdefault("sims", sims.select(F.sum(total())).first()[0])
+        draws = G.draw_reads(sims.repartition(int(records) % 5 + 2), 3, 0.1, 3)
+        digest = draws.select(F.sum(F.xxhash64("draw_id", "reads").cast("decimal(38,0)")), F.count_distinct("draw_id"), F.count(F.lit(1))).first()
+        assert digest == TOTAL.setdefault("draws", digest) and digest[1] == digest[2]
+    finally:
+        spark.conf.set(key, before)
+
+
+TOTAL: dict = {}
+
+
+def test_scores_in_blocks(spark, monkeypatch):
+    p = G.Parameters(2, 2, (1, 1), cycles=1, efficiency=0.8, error=0.05)
+    sims = G.simulate(spark, p).cache()
+    draws = G.draw_reads(sims.filter("rep = 0"), 2, 0.1, 3).cache()
+    whole = {(r.draw_id, r.load_idx, r["class"]): r.log_p for r in G.score_reads(draws, sims, 2, 0.1).collect()}
+    monkeypatch.setattr(G, "VECTORS", 10)
+    monkeypatch.setattr(G, "DRAWS", 3)
+    parts = {(r.draw_id, r.load_idx, r["class"]): r.log_p for r in G.score_reads(draws, sims, 2, 0.1).collect()}
+    assert parts.keys() == whole.keys() and all(math.isclose(parts[k], whole[k], rel_tol=1e-9) for k in whole)
