@@ -144,12 +144,24 @@ def bounds(spark, sf_dir):
 
 
 @query("""
-SELECT name, balance FROM (SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier)
+SELECT name, balance, row_number() OVER (ORDER BY balance, name) - 1 AS place FROM (SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier)
 """)
 def merge_sorted(spark, sf_dir):
+    """Both tables merged; the place of each row comes from the order in which the merged rows stand."""
     a = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return rows.merge_sorted(a, b, ["balance", "name"])
+    return rows.numbered(rows.merge_sorted(a, b, ["balance", "name"]), "place")
+
+
+@query("""
+SELECT k, max(x) FILTER (r * 4 <= n * k) IS NOT NULL AS found, count(*) FILTER (r * 4 <= n * k) BETWEEN min(n) * k / 4 - 1 AND min(n) * k / 4 + 1 AS near FROM (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders), range(1, 4) q(k) GROUP BY k
+""")
+def quantiles(spark, sf_dir):
+    """Prices that part the orders into four: as many orders lie below each as should, to one row."""
+    t = table(spark, sf_dir, "orders")
+    at = rows.split_points(t, "o_totalprice", 4, 1 << 30)
+    below = [F.struct(F.lit(k + 1).cast("bigint").alias("k"), F.lit(True).alias("found"), F.count_if(F.col("o_totalprice") <= x).between(F.count(F.lit(1)) * (k + 1) / 4 - 1, F.count(F.lit(1)) * (k + 1) / 4 + 1).alias("near")) for k, x in enumerate(at)]
+    return t.agg(F.array(*below).alias("b")).select(F.inline("b"))
 
 
 # ---- text
@@ -163,6 +175,15 @@ def tokenize_count(spark, sf_dir):
     return tokens.filter("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(r"""
+SELECT page_id, CASE WHEN contains(html, 'di') OR contains(html, 'd>') THEN CASE WHEN instr(html, 'di') > 0 AND (instr(html, 'd>') = 0 OR instr(html, 'di') < instr(html, 'd>')) THEN 'di' ELSE 'd>' END END AS found FROM pages
+""")
+def regex_alternatives(spark, sf_dir):
+    """The leftmost, shortest of alternatives, of which a later one begins an earlier one."""
+    node = (patterns.literal("div") | patterns.literal("di")) | patterns.literal("d>")
+    return table(spark, sf_dir, "pages").select("page_id", patterns.first_match(F.col("html"), node).alias("found"))
+
+
 @query(r"""
 SELECT page_id, nullif(regexp_extract(html, '<[a-z]+>', 0), '') AS first_tag FROM pages
 """)
@@ -209,16 +230,9 @@ def substring_occurrences(spark, sf_dir):
 @query("""
 SELECT item_id, r::BIGINT - 1 AS rank, pos FROM (
   SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY substr(t, pos::INTEGER + 1)) AS r
-  FROM (SELECT item_id, t, unnest(range(0, length(t))) AS pos FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g')[1:40] AS t FROM benchmark)))
+  FROM (SELECT item_id, t, unnest(range(0, length(t))) AS pos FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM benchmark)))
 """)
 def suffix_array(spark, sf_dir):
-    """Suffix arrays of the first 40 ASCII characters of an item (the feature is the array; its length is the parameter)."""
-    head = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("t"))
-    return suffixes.ranked_suffixes(head, "item_id", "t")
-
-
-@query()
-def suffix_array_whole(spark, sf_dir):
     """Suffix arrays of the whole ASCII text of an item."""
     return suffixes.ranked_suffixes(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t")), "item_id", "t")
 
@@ -351,24 +365,23 @@ def proportions(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT l_orderkey, list_sort(list(l_partkey % 10)) AS canon FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) = 2)
-SELECT array_to_string(canon, '/') AS pair, count(*) AS n FROM p GROUP BY ALL
+WITH p AS (SELECT l_orderkey, list_sort(list(l_partkey % 10)) AS canon FROM lineitem GROUP BY l_orderkey)
+SELECT array_to_string(canon, '/') AS parts, count(*) AS n FROM p GROUP BY ALL
 """)
-def canonical_pairs(spark, sf_dir):
-    """The multiset of an order's first two parts, as a class of its own."""
-    pairs = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 10).alias("parts")).filter("size(parts) = 2")
-    canon = aggregates.canonical_genotype(F.col("parts"), [2])
-    return pairs.select(F.array_join(F.transform(canon, lambda x: x.cast("string")), "/").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+def canonical_multisets(spark, sf_dir):
+    """The multiset of all parts of an order, as a class of its own."""
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 10).alias("parts"))
+    canon = F.when(F.size("parts") > 0, aggregates.canonical_genotype(F.col("parts"), [64]))  # one individual with all the order's parts
+    return found.select(F.array_join(F.transform(canon, lambda x: x.cast("string")), "/").alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
-SELECT l_orderkey, a AS allele, coalesce(sum(l_linenumber) FILTER (l_partkey % 4 = a), 0)::BIGINT AS load
-FROM lineitem, range(0, 4) r(a) WHERE l_linenumber <= 2 GROUP BY ALL HAVING count(*) = 2
+SELECT l_orderkey, a AS allele, coalesce(sum(l_linenumber) FILTER (l_partkey % 4 = a), 0)::BIGINT AS load FROM lineitem, range(0, 4) r(a) GROUP BY ALL
 """)
 def allele_loading(spark, sf_dir):
-    """Loads (line numbers) summed by allele (a part's remainder) of two individuals with one chromosome."""
-    packed = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 4).alias("a")))).alias("x")).filter("size(x) = 2")
-    load = aggregates.allele_loading(F.transform("x", lambda v: v["a"]), F.transform("x", lambda v: v["l_linenumber"]), [1, 1], 4)
+    """Loads (line numbers) summed by allele (a part's remainder) over all lines of an order; an individual that is not there adds nothing."""
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 4).alias("a")))).alias("x"))
+    load = aggregates.allele_loading(F.transform("x", lambda v: v["a"]), F.transform("x", lambda v: v["l_linenumber"]), [1] * 24, 4)
     return packed.select("l_orderkey", F.posexplode(load).alias("allele", "load")).select("l_orderkey", F.col("allele").cast("bigint").alias("allele"), "load")
 
 
@@ -381,27 +394,19 @@ def crossproduct_score(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, coalesce(c_name, '') AS customer FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey
+SELECT c_custkey, coalesce(s_name, '') AS supplier FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey
 """)
 def lookup_left(spark, sf_dir):
-    """Codes to names; a code without a name gives an empty text."""
-    names = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return lookup.lookup(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), names, "o_custkey").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("customer"))
+    """Codes to names; a code without a name (there are fewer suppliers than customers) gives an empty text."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name")
+    return lookup.lookup(table(spark, sf_dir, "customer").select("c_custkey"), names, "c_custkey").select("c_custkey", F.coalesce("s_name", F.lit("")).alias("supplier"))
 
 
 @query("""
 WITH e AS (SELECT vec_id, i, embedding[i] AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
-SELECT a.i AS row_no, b.i AS col_no, round(sum(a.v::DOUBLE * b.v::DOUBLE), 4) AS v FROM e a JOIN e b USING (vec_id) WHERE a.i <= 8 AND b.i <= 8 GROUP BY 1, 2
+SELECT a.i AS row_no, b.i AS col_no, round(sum(a.v::DOUBLE * b.v::DOUBLE), 4) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2
 """)
 def gram_matrix(spark, sf_dir):
-    """The first eight rows and columns of the product of the transposed vectors with themselves."""
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).filter("k < 8").select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), F.col("x").cast("double").alias("v"))
-    a, b = cells.select(F.col("k").alias("i"), F.col("vec_id").alias("j"), "v"), cells.select(F.col("vec_id").alias("i"), F.col("k").alias("j"), "v")
-    return lookup.multiply(a, b).select(F.col("i").alias("row_no"), F.col("j").alias("col_no"), F.round("v", 4).alias("v"))
-
-
-@query()
-def gram_matrix_whole(spark, sf_dir):
     """The product of the transposed vectors with themselves, all rows and columns."""
     cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), F.col("x").cast("double").alias("v"))
     a, b = cells.select(F.col("k").alias("i"), F.col("vec_id").alias("j"), "v"), cells.select(F.col("vec_id").alias("i"), F.col("k").alias("j"), "v")
@@ -426,20 +431,10 @@ def gaussian_logpdf(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, round(ln(0.25 * exp(-0.5 * power(value / 10, 2)) / (10 * sqrt(2 * pi())) + 0.75 * exp(-0.5 * power((value - 50) / 40, 2)) / (40 * sqrt(2 * pi()))), 6) AS log_pdf
-FROM events WHERE value IS NOT NULL AND value BETWEEN -200 AND 400
+WITH t AS (SELECT event_id, ln(0.25) - 0.5 * power(value / 10, 2) - ln(10 * sqrt(2 * pi())) AS a, ln(0.75) - 0.5 * power((value - 50) / 40, 2) - ln(40 * sqrt(2 * pi())) AS b FROM events WHERE value IS NOT NULL)
+SELECT event_id, round(greatest(a, b) + ln(1 + exp(least(a, b) - greatest(a, b))), 6) AS log_pdf FROM t
 """)
 def mixture_logpdf(spark, sf_dir):
-    m = prob.Mixture()
-    m.add(prob.Gaussian([0.0], [[100.0]]))
-    m.add(prob.Gaussian([50.0], [[1600.0]]))
-    m.set_weights([0.25, 0.75])
-    t = table(spark, sf_dir, "events").filter("value is not null and value between -200 and 400")
-    return t.select("event_id", F.round(m.log_pdf(F.col("value")), 6).alias("log_pdf"))
-
-
-@query()
-def mixture_logpdf_whole(spark, sf_dir):
     """Every event with a value, the far tails too."""
     m = prob.Mixture()
     m.add(prob.Gaussian([0.0], [[100.0]]))
@@ -465,9 +460,9 @@ def special_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.expm1(x), 6).alias("em1"), F.round(F.log1p(x), 6).alias("l1p"), F.round(prob.log_one_minus_exp(-x), 6).alias("l1me"))
 
 
-@query("SELECT p_partkey, round(lgamma(p_size + 0.5), 6) AS log_gamma FROM part")
+@query("SELECT p_partkey, round(lgamma(p_size + 0.5), 6) AS log_gamma, round(ln(pi() / abs(sin(pi() * (p_size + 0.25)))) - lgamma(p_size + 1.25), 6) AS of_negative FROM part")
 def lgamma_col(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.log_gamma(F.col("p_size") + 0.5), 6).alias("log_gamma"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.log_gamma(F.col("p_size") + 0.5), 6).alias("log_gamma"), F.round(prob.log_gamma(-F.col("p_size") - 0.25), 6).alias("of_negative"))
 
 
 @query("""
@@ -490,32 +485,27 @@ def erf_inverse_col(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, round(power(10, -(ascii(text) - 33) / 10.0), 9) AS error FROM documents WHERE ascii(text) BETWEEN 33 AND 126
+SELECT item_id, pos - 1 AS pos, round(power(10, -(ascii(text[pos:pos]) - 33) / 10.0), 9) AS error FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM benchmark)
 """)
 def phred_error(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("ascii(text) between 33 and 126").select("doc_id", F.round(sequences.phred_error(F.col("text")), 9).alias("error"))
+    """Every character of every item as a quality."""
+    at = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "")).alias("pos", "c")).filter("c <> ''")
+    return at.select("item_id", F.col("pos").cast("bigint").alias("pos"), F.round(sequences.phred_error(F.col("c")), 9).alias("error"))
 
 
 _IUPAC = ", ".join(f"('{k}', '{v}')" for k, v in sequences.IUPAC.items())
 
 
 @query(f"""
-WITH t AS (SELECT item_id, upper(text[1:1]) AS code FROM benchmark), i AS (SELECT * FROM (VALUES {_IUPAC}) v(code, hot))
-SELECT item_id, {", ".join(f"round(CASE WHEN hot IS NULL OR length(hot) = 4 THEN 0.25 WHEN contains(hot, '{b}') THEN 0.9 / length(hot) ELSE 0.1 / (4 - length(hot)) END, 9) AS w_{b.lower()}" for b in "ACGT")}
+WITH t AS (SELECT item_id, pos - 1 AS pos, upper(text[pos:pos]) AS code, power(10, -(ascii(text[pos:pos]) - 33) / 10.0) AS e FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM benchmark)), i AS (SELECT * FROM (VALUES {_IUPAC}) v(code, hot))
+SELECT item_id, pos, {", ".join(f"round(CASE WHEN hot IS NULL OR length(hot) = 4 THEN 0.25 WHEN contains(hot, '{b}') THEN (1 - e) / length(hot) ELSE e / (4 - length(hot)) END, 4) AS w_{b.lower()}" for b in "ACGT")}
 FROM t LEFT JOIN i USING (code)
 """)
-def iupac_weights(spark, sf_dir):
-    """Base weights of each item's first letter as a nucleotide code with error 0.1."""
-    w = table(spark, sf_dir, "benchmark").select("item_id", sequences.iupac_weights(F.substring("text", 1, 1), F.lit(0.1)).alias("w"))
-    return w.select("item_id", *(F.round(F.get("w", F.lit(i)), 9).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
-
-
-@query()
-def read_weights(spark, sf_dir):
+def reads_to_graphs(spark, sf_dir):
     """Base weights at every position of items as reads to graphs, whose qualities are their own characters."""
     reads_ = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), F.lit("x").alias("name"), F.col("text").alias("seq"), F.col("text").alias("qual"))
     g = sequences.reads_to_graphs(reads_, [sequences.OPEN, sequences.EXTEND, sequences.CLOSE] * 2).select(F.col("graph_id").alias("item_id"), F.posexplode(F.element_at("contigs", 1)["pos"]).alias("pos", "p"))
-    return g.select("item_id", "pos", *(F.get(F.col("p.base"), F.lit(i)).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
+    return g.select("item_id", F.col("pos").cast("bigint").alias("pos"), *((F.round(F.get(F.col("p.base"), F.lit(i)).cast("double"), 4) + 0.0).alias(f"w_{b.lower()}") for i, b in enumerate("ACGT")))
 
 
 @query("""
@@ -539,6 +529,54 @@ def sequence_graphs(spark, sf_dir):
     return g.select(F.col("graph_id").alias("item_id"), "c.size", F.size("suffix").cast("bigint").alias("n_suffix"), F.round(sums(whole), 4).alias("total_weight"), F.round(sums(lambda b: F.get(b, F.lit(0))), 4).alias("a_weight"))
 
 
+@query("""
+SELECT p_partkey, round(greatest(x, y) + ln(1 + exp(least(x, y) - greatest(x, y))), 9) AS pair, round(ln(p_size), 9) AS log_size, round(sqrt(p_size), 9) AS root, round(exp(p_size / 10.0), 6) AS power,
+       NOT (p_size > 25) AND p_retailprice < 1500 OR p_size = 1 AS both_ways, [10, 20, 30][p_size % 4 + 1] AS gathered, p_size % 3 = 2 AS scattered, (p_size * (p_size - 1) // 2)::BIGINT AS looped, [p_size % 4 + 1, p_size % 3 + 1] AS ploidies
+FROM (SELECT *, -p_size / 7.0 AS x, -p_retailprice / 300 AS y FROM part)
+""")
+def row_programs(spark, sf_dir):
+    """Pair sums of logarithms, roots and powers, truth values, gathers, scatters, loops and ploidy texts, by row."""
+    size = F.col("p_size")
+    truth = (~(size > 25) & (F.col("p_retailprice") < 1500)) | (size == 1)
+    texts = F.concat((size % 4 + 1).cast("string"), F.lit(" / "), (size % 3 + 1).cast("string"))
+    put_ = scalar.scatter(F.array(F.lit(0), F.lit(0), F.lit(0)), size % 3, F.lit(7))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.round(prob.lse_pair(-size / 7.0, -F.col("p_retailprice") / 300), 9).alias("pair"), F.round(F.ln(size), 9).alias("log_size"), F.round(F.sqrt(size), 9).alias("root"), F.round(F.exp(size / 10.0), 6).alias("power"),
+        truth.alias("both_ways"), scalar.gather(F.array(F.lit(10), F.lit(20), F.lit(30)), size % 4).alias("gathered"), (scalar.gather(put_, F.lit(2)) == 7).alias("scattered"),
+        scalar.loop(F.lit(0).cast("bigint"), size, lambda acc, i: acc + i).alias("looped"), text.parse_ploidies(texts).alias("ploidies"),
+    )
+
+
+@query("SELECT 0 AS axis, -20.0::DOUBLE AS low, 200.0::DOUBLE AS high UNION ALL SELECT 1, 1.0, 3.0")
+def mixture_bounds(spark, sf_dir):
+    """The box around all components of a mixture that have a weight."""
+    m = prob.Mixture()
+    for low, high in (([-20.0, 1.0], [0.0, 2.0]), ([5.0, 1.5], [200.0, 3.0]), ([-900.0, -900.0], [900.0, 900.0])):
+        m.add(prob.Uniform(low, high))
+    m.set_weights([0.5, 0.5, 0.0])
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(m.bounds(1.0))], "axis int, low double, high double")
+
+
+@query("SELECT 10000::BIGINT AS n, true AS near_mean, true AS near_spread, true AS same_again")
+def random_draws(spark, sf_dir):
+    """Draws of a normal distribution: mean and spread to four standard errors, and the same numbers from other partitions."""
+    g = prob.Gaussian([3.0], [[4.0]])
+    one, two = (prob.draws(spark, g, 10_000, 5, parts).select("id", F.get("x", F.lit(0)).alias("x")) for parts in (3, 8))
+    both = one.join(two.withColumnRenamed("x", "y"), "id")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("x") - 3) < 0.08).alias("near_mean"), (F.abs(F.stddev("x") - 2) < 0.06).alias("near_spread"), F.every(F.col("x") == F.col("y")).alias("same_again"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT range AS k, range::BIGINT AS c, 0 AS i FROM range(256) UNION ALL SELECT k, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i + 1 FROM t WHERE i < 8),
+b AS (SELECT list(c ORDER BY k) AS l FROM t WHERE i = 8),
+s AS (SELECT n_nationkey, n_name, 4294967295::BIGINT AS c, 0 AS i FROM nation UNION ALL SELECT n_nationkey, n_name, xor(c >> 8, l[xor(c & 255, ascii(n_name[i + 1:i + 1])) + 1]), i + 1 FROM s, b WHERE i < length(n_name))
+SELECT n_nationkey, xor(c, 4294967295) AS checksum FROM s WHERE i = length(n_name)
+""")
+def checksums(spark, sf_dir):
+    """The CRC-32 of each nation's name; the SQL goes bit by bit."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", crypto.crc32(F.col("n_name")).alias("checksum"))
+
+
 # ---- genotypes
 
 
@@ -607,22 +645,57 @@ def initial_templates(spark, sf_dir):
     return sims.groupBy("load_idx", "geno_idx", *(F.get("counts", F.lit(k)).alias(f"allele_{k}") for k in range(4))).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""
+WITH l AS (SELECT * FROM (VALUES (0, 4, 0), (1, 3, 1), (2, 2, 2)) v(load_idx, x, y)), g AS (SELECT a.range * 4 + b.range AS geno_idx, a.range AS p, b.range AS q FROM range(4) a, range(4) b)
+SELECT load_idx, geno_idx, """ + ", ".join(f"(16 * (CASE WHEN p = {k} THEN x ELSE 0 END + CASE WHEN q = {k} THEN y ELSE 0 END))::BIGINT AS allele_{k}" for k in range(4)) + """, 32::BIGINT AS n FROM l, g
+""")
 def pcr_sim(spark, sf_dir):
-    """Amplified counts: mean templates by loading after four cycles."""
+    """Amplified counts where every template is copied without error: four cycles make sixteen of each, in all replicates."""
+    p = genotypes.Parameters(alleles=4, load=4, ploidies=(1, 1), cycles=4, efficiency=1.0, error=0.0, fan=32)
+    return genotypes.simulate(spark, p).groupBy("load_idx", "geno_idx", *(F.get("counts", F.lit(k)).alias(f"allele_{k}") for k in range(4))).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH l AS (SELECT * FROM (VALUES (0, 4, 0), (1, 3, 1), (2, 2, 2)) v(load_idx, x, y)), g AS (SELECT a.range AS p, b.range AS q FROM range(4) a, range(4) b)
+SELECT load_idx, true AS grows, true AS bounded, (count(*) * 32)::BIGINT AS n FROM l, g GROUP BY load_idx
+""")
+def pcr_noise(spark, sf_dir):
+    """Amplified counts with errors and an efficiency of 0.9: the mean grows by 1.9 a cycle (to four standard errors), and no sample more than doubles."""
     p = genotypes.Parameters(alleles=4, load=4, ploidies=(1, 1), cycles=4, efficiency=0.9, error=0.01, fan=32)
     total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return genotypes.simulate(spark, p).groupBy("load_idx").agg(F.avg(total).alias("mean_templates"), F.count(F.lit(1)).alias("n"))
+    found = genotypes.simulate(spark, p).groupBy("load_idx").agg(F.avg(total).alias("m"), F.stddev(total).alias("s"), F.max(total).alias("top"), F.count(F.lit(1)).alias("n"))
+    return found.select("load_idx", (F.abs(F.col("m") - 4 * 1.9**4) < 4 * F.col("s") / F.sqrt("n")).alias("grows"), (F.col("top") <= 64).alias("bounded"), "n")
 
 
-@query()
-def genotype_report(spark, sf_dir):
-    """Simulate, draw, score, marginalise: the report."""
-    p = genotypes.Parameters(alleles=2, load=2, ploidies=(1, 1), cycles=2, efficiency=0.9, error=0.01, fan=32)
-    sims = kept(genotypes.simulate(spark, p))
-    draws = kept(genotypes.draw_reads(sims.filter("rep < 2"), 2, 0.1, 4))
-    scores = kept(genotypes.score_reads(draws, sims, 2, 0.1))
-    return genotypes.report(genotypes.marginals(scores, draws.select("draw_id", "load_idx", "class")), draws, 2)
+@query("""
+SELECT load_idx::INTEGER AS load_idx, geno_idx, power(2, b)::BIGINT AS n_reads, power(2, b)::BIGINT AS total, true AS possible FROM range(2) l(load_idx), range(4) g(geno_idx), range(5) r(b)
+""")
+def read_draws(spark, sf_dir):
+    """Reads of every simulation, halved from sixteen to one; without errors only alleles that are there are read."""
+    sims = genotypes.simulate(spark, SMALL).filter("rep = 0")
+    draws = genotypes.draw_reads(sims, 2, 0.0, 4).join(sims.select("load_idx", "geno_idx", "counts"), ["load_idx", "geno_idx"])
+    total = F.aggregate("reads", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return draws.select("load_idx", "geno_idx", "n_reads", total.alias("total"), (~F.exists(F.arrays_zip("counts", "reads"), lambda x: (x["counts"] == 0) & (x["reads"] > 0))).alias("possible"))
+
+
+@query("""
+SELECT k::INTEGER AS k, round(sum(e) OVER (ORDER BY k), 9) AS cdf FROM (SELECT k, 0.9 * c[k + 1] / 6.0 + 0.1 / 2 * (1 - c[k + 1] / 6.0) AS e FROM (SELECT [3, 2, 1] AS c), range(3) r(k))
+""")
+def draw_distribution(spark, sf_dir):
+    """Cumulative probabilities of reading each of three alleles of a sample with errors."""
+    one = spark.range(1).select(F.posexplode(genotypes.draw_cdf(F.array(*(F.lit(n).cast("bigint") for n in (3, 2, 1))), genotypes.flat_errors(3, 0.1))).alias("k", "cdf"))
+    return one.select("k", F.round("cdf", 9).alias("cdf"))
+
+
+@query("""
+SELECT i::INTEGER AS i, j::INTEGER AS j, (CASE WHEN i = j THEN 0.9 ELSE 0.05 END)::DOUBLE AS flat, (CASE WHEN i = j THEN 1 - (i > 0)::INT * 0.1 - (i < 2)::INT * 0.2 WHEN j = i - 1 THEN 0.1 WHEN j = i + 1 THEN 0.2 ELSE 0 END)::DOUBLE AS stutter FROM range(3) a(i), range(3) b(j)
+""")
+def copy_models(spark, sf_dir):
+    """Mutation matrices of the flat and the stutter model."""
+    flat = genotypes.mutation_matrix(genotypes.Parameters(3, 1, (1,), error=0.1))
+    stutter = genotypes.mutation_matrix(genotypes.Parameters(3, 1, (1,), stutter=(0.1, 0.2)))
+    cells = [(i, j, round(float(flat[i, j]), 9), round(float(stutter[i, j]), 9)) for i in range(3) for j in range(3)]
+    return spark.createDataFrame(cells, "i int, j int, flat double, stutter double")
 
 
 SMALL = genotypes.Parameters(alleles=2, load=2, ploidies=(1, 1), fan=32)
@@ -631,10 +704,14 @@ c AS (SELECT load_idx, class, (CASE WHEN p = 0 THEN x ELSE 0 END + CASE WHEN q =
 s AS (SELECT d.range AS draw_id, load_idx::INTEGER AS load_idx, class::INTEGER AS class, d.range * ln(0.9 * s + 0.1 * (1 - s)) + (8 - d.range) * ln(0.1 * s + 0.9 * (1 - s)) AS log_p FROM range(9) d, c)"""
 
 
+def _all_reads(spark: SparkSession) -> DataFrame:
+    """All ways to read eight molecules of two alleles."""
+    return spark.range(9).select(F.col("id").alias("draw_id"), F.array(F.col("id"), 8 - F.col("id")).alias("reads"))
+
+
 def _scored(spark: SparkSession) -> DataFrame:
-    """Scores of all ways to read eight molecules, against an evaluation set without amplification."""
-    draws = spark.range(9).select(F.col("id").alias("draw_id"), F.array(F.col("id"), 8 - F.col("id")).alias("reads"))
-    return kept(genotypes.score_reads(draws, genotypes.simulate(spark, SMALL), 2, 0.1))
+    """Their scores against an evaluation set without amplification."""
+    return kept(genotypes.score_reads(_all_reads(spark), genotypes.simulate(spark, SMALL), 2, 0.1))
 
 
 @query(f"WITH {_SCORES} SELECT draw_id, load_idx, class, round(log_p, 6) AS log_p FROM s")
@@ -655,6 +732,19 @@ def read_answers(spark, sf_dir):
     return a.select("draw_id", *(F.round(c, 6).alias(c) for c in names))
 
 
+@query(f"""WITH {_SCORES}, t AS (SELECT draw_id, ln(sum(exp(log_p))) AS total FROM s GROUP BY draw_id), i AS (SELECT draw_id, k, CASE WHEN k = 0 THEN class // 2 ELSE class % 2 END AS g, ln(sum(exp(log_p))) AS p FROM s, range(2) r(k) GROUP BY ALL)
+SELECT draw_id AS "RC0", 8 - draw_id AS "RC1", 0 AS "RightLoading", 1 AS "RightGenotype", round(max(p - total) FILTER (k = 0 AND g = 0), 6) AS "lnPRightG0", round(max(p - total) FILTER (k = 0 AND g = 1), 6) AS "lnPWrongG0", '1' AS "WrongG0",
+       round(max(p - total) FILTER (k = 1 AND g = 1), 6) AS "lnPRightG1", round(max(p - total) FILTER (k = 1 AND g = 0), 6) AS "lnPWrongG1", '0' AS "WrongG1" FROM i JOIN t USING (draw_id) GROUP BY draw_id""")
+def genotype_report(spark, sf_dir):
+    """The report with its columns by individual; loading 0 and class 1 are right."""
+    scores, draws = _scored(spark), _all_reads(spark)
+    truth = draws.select("draw_id", F.lit(0).alias("load_idx"), F.lit(1).alias("class"))
+    classes = genotypes.class_genotypes(genotypes.genotypes(spark, 2, (1, 1)), (1, 1))
+    out = genotypes.report(genotypes.marginals(scores, truth), draws, 2, genotypes.individual_answers(scores, truth, classes), 2)
+    numbers = [f"lnP{w}G{i}" for i in (0, 1) for w in ("Right", "Wrong")]
+    return out.select("RC0", "RC1", "RightLoading", "RightGenotype", "WrongG0", "WrongG1", *(F.round(c, 6).alias(c) for c in numbers))
+
+
 @query(f"""WITH {_SCORES} SELECT draw_id, 1 AS individual, (class % 2)::VARCHAR AS genotype, round(ln(sum(exp(log_p))), 6) AS log_p FROM s GROUP BY draw_id, class % 2""")
 def read_individuals(spark, sf_dir):
     """Log probability of the second individual's genotype."""
@@ -666,14 +756,20 @@ def read_individuals(spark, sf_dir):
 
 
 @query("""
-SELECT n_regionkey, i, j, round(CASE WHEN i = j THEN 1.0 ELSE 0.0 END, 6) AS v FROM (SELECT DISTINCT n_regionkey FROM nation), range(0, 2) a(i), range(0, 2) b(j)
+WITH b AS (SELECT n_regionkey, count(*)::DOUBLE AS n, sum(n_nationkey)::DOUBLE AS s FROM nation GROUP BY 1), m AS (SELECT *, (s + 1) * (2 * n + 1) - n * n AS det FROM b)
+SELECT n_regionkey, round((2 * n + 1) / det, 9) AS inverse_00, round(-n / det, 9) AS inverse_01, round(-n / det, 9) AS inverse_10, round((s + 1) / det, 9) AS inverse_11, round(((2 * n + 1) * 3 - n * 5) / det, 9) AS x_0, round(((s + 1) * 5 - n * 3) / det, 9) AS x_1,
+       round(sqrt(s + 1), 9) AS factor_00, round(n / sqrt(s + 1), 9) AS factor_10, round(sqrt(2 * n + 1 - n * n / (s + 1)), 9) AS factor_11, round((s + 2 * n + 2) / 2 + sqrt(power((s - 2 * n) / 2, 2) + n * n), 6) AS eigenvalue FROM m
 """)
 def solve_by_group(spark, sf_dir):
-    """A symmetric matrix of each region times its inverse."""
+    """Of a symmetric matrix of each region: its inverse, the solution for (3, 5), its Cholesky factor and its largest eigenvalue."""
+    import numpy as np
+
     base = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("n_nationkey").cast("double").alias("s"))
     cells = base.select("n_regionkey", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), v.alias("v")) for i, j, v in ((0, 0, F.col("s") + 1), (0, 1, F.col("n")), (1, 0, F.col("n")), (1, 1, F.col("n") * 2 + 1))))).alias("c")).select("n_regionkey", "c.*")
-    unit = linalg.by_group(cells, ["n_regionkey"], lambda m: m @ linalg.invert(m))
-    return unit.select("n_regionkey", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    every = lambda m: np.concatenate([linalg.invert(m).ravel(), linalg.solve(m, np.array([3.0, 5.0])), linalg.cholesky(m).ravel()[[0, 2, 3]], [linalg.largest_eigenvalue(m)]])[None]
+    names = [(f"inverse_{i}{j}", 9) for i in (0, 1) for j in (0, 1)] + [("x_0", 9), ("x_1", 9), ("factor_00", 9), ("factor_10", 9), ("factor_11", 9), ("eigenvalue", 6)]
+    found = linalg.by_group(cells, ["n_regionkey"], every).groupBy("n_regionkey").agg(*(F.max(F.when(F.col("j") == k, F.col("v"))).alias(n) for k, (n, _) in enumerate(names)))
+    return found.select("n_regionkey", *((F.round(n, d) + 0.0).alias(n) for n, d in names))
 
 
 
@@ -707,6 +803,25 @@ def matrix_cells(spark, sf_dir):
     )
 
 
+@query("SELECT i, j, (i * 10 + j) / 4.0 AS v FROM range(3) a(i), range(4) b(j)")
+def matrix_file(spark, sf_dir):
+    """A matrix through its binary file."""
+    from ..sources import blocks
+
+    data = blocks.pack_matrix([[(i * 10 + j) / 4 for j in range(4)] for i in range(3)])
+    path = shared_path(spark)
+    spark.createDataFrame([(data,)], "content binary").coalesce(1).foreachPartition(lambda rows_: [_put(path, r.content) for r in rows_])
+    return tables.read_binary_matrix(spark, path)
+
+
+def _put(path: str, data: bytes) -> None:
+    import os
+
+    os.makedirs(binary.local(path), exist_ok=True)
+    with open(os.path.join(binary.local(path), "matrix"), "wb") as f:
+        f.write(data)
+
+
 @query("SELECT round(avg(c_acctbal / 1000), 3) AS place, count(*) AS n FROM customer")
 def golden_section(spark, sf_dir):
     """The place where the sum of squared distances to the balances is least, by golden section over moments."""
@@ -716,27 +831,114 @@ def golden_section(spark, sf_dir):
     return spark.createDataFrame([(round(place, 3), n)], "place double, n long")
 
 
-@query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 1) AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 1) AS intercept FROM lineitem")
+@query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 2) AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 2) AS intercept FROM lineitem")
 def least_squares(spark, sf_dir):
-    """A line through prices by quantities with limited-memory BFGS; value and gradient of a point cost one job."""
+    """A line through prices by quantities with limited-memory BFGS; one job gathers the moments that value and gradient of any point follow from."""
     t = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 10000).alias("y"))
-    sums = t.select(F.lit(1.0).alias("n"), "x", "y", (F.col("x") * F.col("x")).alias("xx"), (F.col("x") * F.col("y")).alias("xy"), (F.col("y") * F.col("y")).alias("yy")).agg(*(F.avg(c).alias(c) for c in ("n", "x", "y", "xx", "xy", "yy"))).cache()
-    loss = optim.over_frame(sums, lambda p: F.col("yy") - 2 * p[0] * F.col("xy") - 2 * p[1] * F.col("y") + p[0] ** 2 * F.col("xx") + 2 * p[0] * p[1] * F.col("x") + p[1] ** 2)
-    slope, intercept = optim.lbfgs(loss, [0.0, 0.0], rounds=3)
-    return spark.createDataFrame([(round(float(slope), 1), round(float(intercept), 1))], "slope double, intercept double")
+    m = t.agg(*(F.avg(c).alias(n) for n, c in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")), ("yy", F.col("y") * F.col("y"))))).first()
+    loss = lambda p: m.yy - 2 * p[0] * m.xy - 2 * p[1] * m.y + p[0] ** 2 * m.xx + 2 * p[0] * p[1] * m.x + p[1] ** 2
+    slope, intercept = optim.lbfgs(optim.many(loss), [0.0, 0.0], rounds=40)
+    return spark.createDataFrame([(round(float(slope), 2), round(float(intercept), 2))], "slope double, intercept double")
 
 
 # ---- files, written to the shared folder and read back
 
 
-@query("SELECT doc_id::VARCHAR AS name, regexp_replace(text, '[ \\t\\r\\n]', '', 'g') AS seq FROM documents WHERE NOT contains(text, '>')")
+@query(r"SELECT doc_id::VARCHAR AS name, regexp_replace(replace(text, chr(10) || '>', chr(10) || ' >'), '[ \t\r\n]', '', 'g') AS seq FROM documents")
 def fasta_roundtrip(spark, sf_dir):
-    """Documents as FASTA records; blanks inside a sequence go."""
+    """Documents as FASTA records; blanks inside a sequence go, and a mark that begins a line is kept from being one by a blank."""
     path = shared_path(spark)
-    reads.write_fasta(table(spark, sf_dir, "documents").filter("not contains(text, '>')").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq")), path)
+    reads.write_fasta(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.replace("text", F.lit("\n>"), F.lit("\n >")).alias("seq")), path)
     return reads.read_fasta(spark, path).select("name", "seq")
 
 
+@query("SELECT n_name AS name, n_regionkey::BIGINT AS region FROM nation UNION ALL SELECT 's40:name', NULL")
+def typed_header_row(spark, sf_dir):
+    """A typed text table with a row of data that looks like its header."""
+    path = shared_path(spark)
+    head = spark.createDataFrame([(["s40:name", "i:region"],)] * 2, "cells array<string>")
+    body = table(spark, sf_dir, "nation").select(F.array("n_name", F.col("n_regionkey").cast("string")).alias("cells"))
+    tables.write_tsv(head.unionByName(body).coalesce(1), path)
+    return tables.read_typed(spark, path)
+
+
+@query("SELECT c_custkey, c_name || ';' || c_mktsegment AS rest, 2 AS width FROM customer")
+def delimited_roundtrip(spark, sf_dir):
+    """A table with other delimiters: rows end in a bar, cells in a caret."""
+    path = shared_path(spark)
+    cells = F.array(F.col("c_custkey").cast("string"), F.concat_ws(";", "c_name", "c_mktsegment"))
+    tables.write_delimited(table(spark, sf_dir, "customer").select(cells.alias("cells")), path, "|", "^")
+    back = tables.read_delimited(spark, path, "|", "^")
+    return back.select(F.get("cells", F.lit(0)).cast("bigint").alias("c_custkey"), F.get("cells", F.lit(1)).alias("rest"), F.size("cells").alias("width"))
+
+
+@query("SELECT r_regionkey::VARCHAR AS code, r_name AS name, 'region' AS kind FROM region UNION ALL SELECT n_nationkey::VARCHAR, n_name, 'nation' FROM nation")
+def appended_blocks(spark, sf_dir):
+    """Two appends to a block-compressed table, after a write that an overwrite replaced."""
+    path = shared_path(spark)
+    one = lambda name, letter: table(spark, sf_dir, name).select(F.array(F.col(f"{letter}_{name}key").cast("string"), f"{letter}_name", F.lit(name)).alias("cells"))
+    binary.write(one("nation", "n"), path, ".zlib.bctab")
+    binary.write(one("region", "r"), path, ".zlib.bctab", mode="overwrite")
+    binary.write(one("nation", "n"), path, ".zlib.bctab")
+    return binary.read(spark, path).select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("code", "name", "kind"))))
+
+
+@query("SELECT k.range + 30 AS seq_id, length(text)::BIGINT AS bases FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents) JOIN range(90) k ON n = k.range + 30")
+def sequence_range(spark, sf_dir):
+    """Rows 30 to 119 of block-compressed sequences: only these are read, in ranges of twenty."""
+    path = shared_path(spark)
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("seq"))
+    binary.write(docs, path, ".zlib.bcseq")
+    return rows.row_range(binary.read(spark, path, rows=20), 30, 120, "seq_id").select("seq_id", F.length("seq").cast("bigint").alias("bases"))
+
+
+@query("SELECT s_suppkey, s_name, round(s_acctbal, 2) AS balance, suffix FROM supplier, (VALUES ('.bdat'), ('.bdat.gz'), ('.raw.bcdat'), ('.zlib.bcdat')) v(suffix)")
+def data_files(spark, sf_dir):
+    """A typed table through every binary format, by the suffix of its path."""
+    from ..sources import dispatch
+
+    kinds = [ColumnKind("s_suppkey", "int"), ColumnKind("s_name", "str", length=40), ColumnKind("balance", "real")]
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_acctbal").alias("balance")).to(to_struct(kinds))
+    out = []
+    for suffix in (".bdat", ".bdat.gz", ".raw.bcdat", ".zlib.bcdat"):
+        path = shared_path(spark) + suffix
+        dispatch.save_data(t, path)
+        out.append(dispatch.open_data(spark, path).select("s_suppkey", "s_name", F.round("balance", 2).alias("balance"), F.lit(suffix).alias("suffix")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query("SELECT n_nationkey AS read_index, n_regionkey::BIGINT AS ref_index, -n_nationkey / 4.0 AS log_prob, 1::BIGINT AS start_contig_ref, 2::BIGINT AS start_index_ref, 3::BIGINT AS start_contig_read, n_nationkey::BIGINT AS start_index_read, 'M' || n_nationkey + 1 || ' I2 l3' AS events FROM nation")
+def alignment_file_roundtrip(spark, sf_dir):
+    """Joint alignments with their events through their block-compressed files."""
+    n = F.col("n_nationkey").cast("bigint")
+    event = lambda kind, k: F.struct(F.lit(kind).alias("type"), k.cast("int").alias("n"))
+    starts = [F.lit(k).cast("bigint").alias(c) for k, c in ((1, "start_contig_ref"), (2, "start_index_ref"), (3, "start_contig_read"))]
+    rows_ = table(spark, sf_dir, "nation").select(n.alias("read_index"), F.col("n_regionkey").cast("bigint").alias("ref_index"), (-n / 4.0).alias("log_prob"), *starts, n.alias("start_index_read"), F.array(event("M", n + 1), event("I", F.lit(2)), event("l", F.lit(3))).alias("events"))
+    path = shared_path(spark)
+    binary.write(rows_, path, ".zlib.bsalgn")
+    return binary.read(spark, path).withColumn("events", F.array_join(F.transform("events", lambda e: F.concat(e["type"], e["n"].cast("string"))), " "))
+
+
+@query("SELECT c_custkey::VARCHAR AS code, c_name AS name, how FROM customer, (VALUES ('tconv'), ('dconv'), ('sconv')) v(how)")
+def conversions(spark, sf_dir):
+    """Text, typed and sequence files converted between formats by the command line's programs."""
+    from .. import cli
+    from ..sources import dispatch
+
+    t = table(spark, sf_dir, "customer")
+    at = [shared_path(spark) for _ in range(6)]
+    dispatch.save_table(t.select(F.array(F.col("c_custkey").cast("string"), "c_name").alias("cells")), at[0] + ".tsv.gz")
+    cli.run(["tconv", "--in", at[0] + ".tsv.gz", "--out", at[1] + ".zlib.bctab"])
+    one = dispatch.open_table(spark, at[1] + ".zlib.bctab").select(F.get("cells", F.lit(0)).alias("code"), F.get("cells", F.lit(1)).alias("name"), F.lit("tconv").alias("how"))
+    dispatch.save_data(t.select("c_custkey", "c_name").to(to_struct([ColumnKind("c_custkey", "int"), ColumnKind("c_name", "str", length=40)])), at[2] + ".zlib.bcdat")
+    cli.run(["dconv", "--in", at[2] + ".zlib.bcdat", "--out", at[3] + ".bdat"])
+    two = dispatch.open_data(spark, at[3] + ".bdat").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name"), F.lit("dconv").alias("how"))
+    dispatch.save_sequences(t.select(F.col("c_custkey").cast("string").alias("name"), F.replace("c_name", F.lit("#"), F.lit("_")).alias("seq")), at[4] + ".fa")
+    cli.run(["sconv", "--in", at[4] + ".fa", "--out", at[5] + ".zlib.bcseq"])
+    three = dispatch.open_sequences(spark, at[5] + ".zlib.bcseq").select(F.col("name").alias("code"), F.replace("seq", F.lit("_"), F.lit("#")).alias("name"), F.lit("sconv").alias("how"))
+    return one.unionByName(two).unionByName(three)
+
+
 @query("SELECT 'r' || p_partkey AS name, repeat('ACGT', p_size % 5 + 1) AS seq, repeat('I!@~', p_size % 5 + 1) AS qual FROM part")
 def fastq_roundtrip(spark, sf_dir):
     path, n = shared_path(spark), F.col("p_size") % 5 + 1
