@@ -20,6 +20,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
@@ -112,11 +113,11 @@ class Reader(DataSourceReader):
             return
         kind = kind_of(part.path)
         if kind == "bctab":
-            for i, cells in blocks.read_text_table(part.path, part.first, part.stop):
-                yield part.before + i, [c.decode("utf-8", "replace") for c in cells]
+            for at, cells in blocks.text_batches(part.path, part.first, part.stop):
+                yield pa.RecordBatch.from_arrays([pa.array(at + part.before), cells], names=["row_id", "cells"])
         elif kind == "bcseq":
-            for i, name, seq in blocks.read_sequences(part.path, part.first, part.stop):
-                yield part.before + i, name, seq
+            for at, names, seqs in blocks.sequence_batches(part.path, part.first, part.stop):
+                yield pa.RecordBatch.from_arrays([pa.array(at + part.before), names, seqs], names=["seq_id", "name", "seq"])
         elif kind == "bsgrap":
             for g in blocks.read_graphs(part.path, part.first, part.stop):
                 yield (part.before + g["graph_id"], *(g[k] for k in ("name", "seq", "extra", "contigs", "in_links", "out_links", "num_links", "suffix")))
@@ -124,8 +125,9 @@ class Reader(DataSourceReader):
             for r in blocks.read_alignments(part.path, part.first, part.stop):
                 yield tuple(r.values())
         else:
-            for _, values in blocks.read_data(part.path, part.first, part.stop):
-                yield tuple(values)
+            kinds, *_ = blocks.data_shape(part.path)
+            for columns in blocks.data_batches(part.path, part.first, part.stop):
+                yield pa.RecordBatch.from_arrays(columns, names=[k.name for k in kinds])
 
 
 @dataclass

@@ -14,9 +14,14 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+
 from ..schema import ColumnKind
 
 BLOCK, ENTRY = 65_536, 32
+#: Of the compression of blocks: fast, as tables are written once and mostly read.
+LEVEL = 1
 CODES = {"cat": 1, "int": 2, "real": 3, "str": 4}
 KINDS = {v: k for k, v in CODES.items()}
 GRAPH_PARTS = ("", ".name", ".csize", ".ilink", ".olink", ".cpro", ".lpro", ".rseq", ".sa", ".ext")
@@ -36,7 +41,7 @@ class BlockWriter:
             del self.held[: self.size]
 
     def _block(self, data: bytes) -> None:
-        packed = zlib.compress(data) if self.codec == "zlib" else data
+        packed = zlib.compress(data, LEVEL) if self.codec == "zlib" else data
         self.data.write(packed)
         self.notes.write(struct.pack(">4Q", self.before, self.after, len(data), len(packed)))
         self.before += len(data)
@@ -58,16 +63,16 @@ class BlockReader:
 
     def __init__(self, path: str, codec: str):
         self.codec = codec
-        self.data, self.notes = open(path, "rb"), open(path + ".blk", "rb")
-        size = os.fstat(self.notes.fileno()).st_size
+        self.data = open(path, "rb")
+        size = os.path.getsize(path + ".blk")
         if size % ENTRY:
             raise ValueError(f"{path}.blk is truncated")
         self.blocks = size // ENTRY
+        self.notes = np.memmap(path + ".blk", dtype=">u8", mode="r").reshape(-1, 4) if size else np.zeros((0, 4), ">u8")
         self.kept: tuple[int, bytes] | None = None
 
     def _entry(self, i: int) -> tuple[int, int, int, int]:
-        self.notes.seek(i * ENTRY)
-        return struct.unpack(">4Q", self.notes.read(ENTRY))
+        return tuple(self.notes[i].tolist())
 
     def size(self) -> int:
         if not self.blocks:
@@ -102,7 +107,6 @@ class BlockReader:
 
     def close(self) -> None:
         self.data.close()
-        self.notes.close()
 
 
 class PlainReader:
@@ -156,7 +160,7 @@ class Offsets:
     """An index of 8-byte offsets, and the size of what it points into."""
 
     def __init__(self, index: BlockReader, data: BlockReader):
-        self.index, self.end = index, data.size()
+        self.index, self.data, self.end = index, data, data.size()
         if index.size() % 8:
             raise ValueError("index is truncated")
         self.n = index.size() // 8
@@ -169,6 +173,54 @@ class Offsets:
         return begin, stop - begin
 
 
+    def many(self, first: int, stop: int) -> np.ndarray:
+        """Begins of the entries first .. stop - 1, and the end of the last; one read of the index."""
+        here = min(stop + 1, self.n)
+        out = np.frombuffer(self.index.read(8 * first, 8 * (here - first)), ">u8").astype(np.int64) if here > first else np.zeros(0, np.int64)
+        out = np.append(out, self.end) if stop == self.n else out
+        if (np.diff(out) < 0).any():
+            raise ValueError("offsets do not ascend")
+        return out
+
+
+def strings(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """data[bounds[i]:bounds[i + 1]] as strings; bytes that are no UTF-8 are replaced."""
+    found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int64)), pa.py_buffer(data)])
+    try:
+        return found.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+
+
+def text_batches(path: str, first: int, stop: int, size: int = 4096) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Numbers and cells of rows, in batches; index and rows of a batch are read at once."""
+    codec = codec_of(path)
+    data, index = BlockReader(path, codec), BlockReader(path + ".ind", codec)
+    offsets = Offsets(index, data)
+    stop = min(stop, offsets.n)
+    for i in range(first, stop, size):
+        j = min(stop, i + size)
+        begin = offsets.many(i, j)
+        raw = data.read(int(begin[0]), int(begin[-1] - begin[0]))
+        starts: list[int] = []
+        ends: list[int] = []
+        counts = []
+        for at, end in zip((begin[:-1] - begin[0]).tolist(), (begin[1:] - begin[0]).tolist(), strict=True):
+            (n,) = struct.unpack_from(">Q", raw, at)
+            at += 8
+            for _ in range(n):
+                (length,) = struct.unpack_from(">Q", raw, at)
+                at += 8
+                if at + length > end:
+                    raise ValueError("truncated row")
+                starts.append(at)
+                ends.append(at + length)
+                at += length
+            counts.append(n)
+        cells = strings(b"".join([raw[a:b] for a, b in zip(starts, ends, strict=True)]), np.append(0, np.cumsum(np.array(ends, dtype=np.int64) - np.array(starts, dtype=np.int64))))
+        yield np.arange(i, j), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), cells)
+
+
 # ---- text tables
 
 
@@ -325,6 +377,33 @@ def read_data(path: str, first: int, stop: int) -> Iterator[tuple[int, list]]:
         yield i, unpack_row(kinds, names, reader.read(at + i * width, width))
 
 
+def data_batches(path: str, first: int, stop: int, size: int = 16_384) -> Iterator[list[pa.Array]]:
+    """Columns of rows of fixed width, in batches, by one structured NumPy type."""
+    kinds, at, n = data_shape(path)
+    reader, width = data_reader(path), row_bytes(kinds)
+    row = np.dtype([(f"{what}{k}", t) for k, c in enumerate(kinds) for what, t in (("na", "u1"), ("v", f"V{c.length}" if c.kind == "str" else ">f8" if c.kind == "real" else ">i8"))])
+    stop = min(stop, n)
+    for i in range(first, stop, size):
+        j = min(stop, i + size)
+        cells = np.frombuffer(reader.read(at + i * width, (j - i) * width), row)
+        out = []
+        for k, c in enumerate(kinds):
+            missing, v = cells[f"na{k}"] != 0, cells[f"v{k}"]
+            if c.kind == "real":
+                out.append(pa.array(v.astype(float), mask=missing))
+            elif c.kind == "int":
+                out.append(pa.array(v.astype(np.int64), mask=missing))
+            elif c.kind == "cat":
+                names = {code: level for level, code in c.levels.items()}
+                codes, back = np.unique(v.astype(np.int64), return_inverse=True)
+                levels = pa.array([names.get(x) for x in codes.tolist()], pa.string())
+                out.append(levels.take(pa.array(back, mask=missing)))
+            else:
+                raw = np.ascontiguousarray(v).tobytes()
+                out.append(pa.array([None if na else raw[x * c.length : (x + 1) * c.length].rstrip(b"\0").decode("utf-8", "replace") for x, na in enumerate(missing.tolist())], pa.string()))
+        yield out
+
+
 def write_data(path: str, kinds: list[ColumnKind], rows: Iterable[list]) -> int:
     n = 0
     if path.endswith(".bcdat"):
@@ -356,14 +435,32 @@ def write_sequences(path: str, rows: Iterable[tuple[str, str]]) -> int:
     return n
 
 
-def read_sequences(path: str, first: int, stop: int) -> Iterator[tuple[int, str, str]]:
+def _sequence_parts(path: str) -> tuple[Offsets, Offsets]:
     codec = codec_of(path)
     name, name_at, seq, seq_at = (BlockReader(path + s, codec) for s in ("", ".ind", ".seq", ".seq.ind"))
     names, seqs = Offsets(name_at, name), Offsets(seq_at, seq)
     if names.n != seqs.n:
         raise ValueError("as many names as sequences are needed")
+    return names, seqs
+
+
+def read_sequences(path: str, first: int, stop: int) -> Iterator[tuple[int, str, str]]:
+    names, seqs = _sequence_parts(path)
     for i in range(first, min(stop, names.n)):
-        yield i, name.read(*names.span(i)).decode(), seq.read(*seqs.span(i)).decode()
+        yield i, names.data.read(*names.span(i)).decode(), seqs.data.read(*seqs.span(i)).decode()
+
+
+def sequence_batches(path: str, first: int, stop: int, size: int = 4096) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+    """Numbers, names and sequences, in batches; a batch's names and sequences are read at once."""
+    names, seqs = _sequence_parts(path)
+    stop = min(stop, names.n)
+    for i in range(first, stop, size):
+        j = min(stop, i + size)
+        both = []
+        for part in (names, seqs):
+            begin = part.many(i, j)
+            both.append(strings(part.data.read(int(begin[0]), int(begin[-1] - begin[0])), begin - begin[0]))
+        yield np.arange(i, j), *both
 
 
 # ---- sequence graphs
