@@ -803,6 +803,29 @@ def matrix_cells(spark, sf_dir):
     )
 
 
+@query("SELECT l::INTEGER AS load_idx, g AS geno_idx, r::INTEGER AS rep, (l * 100 + g * 10 + r)::BIGINT AS first, 7::BIGINT AS second FROM range(2) a(l), range(4) b(g), range(3) c(r)")
+def loadings_file(spark, sf_dir):
+    """Simulated loadings of two individuals with two alleles through their binary file."""
+    from ..sources import blocks, samples
+
+    data = blocks.pack_loadings(2, 2, [1, 1], 3, ([load * 100 + g * 10 + r, 7] for load in range(2) for g in range(4) for r in range(3)))
+    path = shared_path(spark)
+    spark.createDataFrame([(data,)], "content binary").coalesce(1).foreachPartition(lambda rows_: [_put(path, r.content) for r in rows_])
+    back = samples.read_loadings(spark, path)
+    return back.select("load_idx", "geno_idx", "rep", F.get("counts", F.lit(0)).alias("first"), F.get("counts", F.lit(1)).alias("second"))
+
+
+@query("""SELECT k AS "RC0", 9 - k AS "RC1", k % 2 AS "RightLoading", -1::BIGINT AS "WrongLoading|Geno", 3::BIGINT AS "WrongG1", -k / 8.0 AS "lnPJointRight", -k / 2.0 AS "lnPWrongG1" FROM range(9) r(k)""")
+def scored_file(spark, sf_dir):
+    """Scored reads through their binary records."""
+    from ..sources import samples
+
+    data = samples.pack_scored(((k, 9 - k, k % 2, 0, 0, 0, 0, 0, 0, -1, 2, 3, -k / 8, *[0.0] * 9, 0.0, 0.0, 0.0, -k / 2) for k in range(9)), 2, 2)
+    path = shared_path(spark)
+    spark.createDataFrame([(data,)], "content binary").coalesce(1).foreachPartition(lambda rows_: [_put(path, r.content) for r in rows_])
+    return samples.read_scored(spark, path, 2, 2).select("RC0", "RC1", "RightLoading", "`WrongLoading|Geno`", "WrongG1", "lnPJointRight", "lnPWrongG1")
+
+
 @query("SELECT i, j, (i * 10 + j) / 4.0 AS v FROM range(3) a(i), range(4) b(j)")
 def matrix_file(spark, sf_dir):
     """A matrix through its binary file."""
