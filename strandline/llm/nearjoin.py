@@ -39,9 +39,9 @@ NO_ID = -(1 << 63)
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 #: Rows whose keys a task of ``keep_one`` remembers, so that it passes on few copies.
 REMEMBER = 200_000
-#: Nodes of a tile; rows of a block of the product; columns of a block.
+#: Nodes of a tile (up to eight times as many in large hubs); rows of a block of the product; columns of a block.
 TILE, BLOCK, WIDE = 256, 256, 8192
-#: N-grams of a tile.
+#: Most n-grams of a tile, on average.
 TILE_GRAMS = 1 << 19
 
 
@@ -221,7 +221,9 @@ def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tup
     members = stored(entries.join(hubs, "bucket").select("hub", "node", "n_grams").distinct())
     own_hubs = members.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # at most one a band
     sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n_grams").alias("grams"))
-    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("grams") / TILE_GRAMS)).cast("int")
+    # tiles grow with the hub, as every node goes to as many units as there are tiles
+    wide = F.greatest(F.lit(TILE), F.least(F.lit(8 * TILE), 4 * F.sqrt("size")))
+    tiles = F.ceil(F.greatest(F.col("size") / wide, F.col("grams") / TILE_GRAMS)).cast("int")
     placed = members.join(sizes, "hub").select("hub", "node", tiles.alias("tiles"), F.pmod(F.hash("node"), tiles).alias("tile"))
     units = placed.select(
         "hub", "node", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
