@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rows import numbered
+
 #: Most rows of a dimension that is broadcast; beyond, the planner chooses the join.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -21,12 +23,10 @@ def lookup(df: DataFrame, dim: DataFrame, on: list[str] | str, how: str = "left"
 def levels(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """The sorted distinct values of a column with codes from 0.
 
-    The values are counted first, so the numbering works on one row a value.
+    The values are sorted by ranges and numbered from the sizes of the ranges, so no task gets all of them.
     """
-    from pyspark.sql import Window
-
     distinct = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    return distinct.withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("bigint"))
+    return numbered(distinct.orderBy(column), name).select(column, name)
 
 
 def encode_factor(df: DataFrame, column: str, dim: DataFrame, name: str = "code") -> DataFrame:
