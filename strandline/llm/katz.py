@@ -47,6 +47,8 @@ END, START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 GATHER = 1_500_000
 #: Training tokens of the words that are counted together; a partition counts one such share after the other.
 SHARE = 1_200_000
+#: Distinct words of a flush from which a sort key of 64 bits does not suffice.
+MOST_WORDS = (1 << 22) - 1
 #: Bits of the bitmap of words in held-out documents (8 MB).
 BITMAP_BITS = 1 << 26
 N_VALUES = 14
@@ -158,7 +160,7 @@ class Layout:
         before = np.empty(len(at), dtype=np.int64)
         before[1:] = at[:-1]
         before[first] = len(vocab)
-        if len(vocab) >= (1 << 22) - 1:  # one text with millions of words
+        if len(vocab) >= MOST_WORDS:  # one text with millions of words
             rows, n = np.unique(np.stack([at, before, doc], axis=1), axis=0, return_counts=True)
             e2, e1, d = rows.T
         else:

@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-Features are the byte n-grams (2 to 4 bytes, letters lower-cased, every run of anything else in ASCII a blank for each
-byte) of the whole text, hashed into ``buckets`` rows of an embedding table.  The text's vector is the average of
+Features are the byte n-grams (2 to 4 bytes; A-Z lower-cased, bytes beyond ASCII as they are, any other byte a blank) of
+the whole text, hashed into ``buckets`` rows of an embedding table.  The text's vector is the average of
 their embeddings; a linear softmax over it gives the languages.  Both tables are trained together by
 stochastic gradient descent in NumPy.  A temperature, fitted on a part of the sample that training does
 not see, calibrates the scores; a text whose calibrated score is below the rejection bound (a low

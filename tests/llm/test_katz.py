@@ -83,3 +83,9 @@ def test_many_blocks_and_a_frequent_word(spark, monkeypatch, gather):
     rows = [(i, " ".join("hot" if rng.random() < 0.4 else f"w{int(rng.zipf(1.5)) % 50}" for _ in range(int(rng.integers(0, 60))))) for i in range(300)]
     monkeypatch.setattr(katz, "GATHER", gather)
     same(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_a_flush_with_very_many_words(small, monkeypatch):
+    monkeypatch.setattr(katz, "MOST_WORDS", 10)
+    monkeypatch.setattr(katz, "SHARE", 500)  # many shares to a partition
+    same(small)
