@@ -266,6 +266,18 @@ def encrypt_roundtrip(spark, sf_dir):
     return sealed.select("doc_id", crypto.decrypt_block(F.col("sealed"), key).cast("string").alias("text"))
 
 
+@query("SELECT '8ea2b7ca516745bfeafc49904b496089' AS block, '601ec313775789a5b7a7f504bbf3d228f443e3ca4d62b59aca84e990cacaf5c5' AS counter, 'f443e3ca4d62b59aca84e990cacaf5c5' AS from_second")
+def cipher_vectors(spark, sf_dir):
+    """Published test vectors of AES-256: one block, two blocks in counter mode, and the second of them by seeking."""
+    key = F.lit(bytes.fromhex("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4"))
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e51")
+    nonce, first = 0xF0F1F2F3F4F5F6F7, 0xF8F9FAFBFCFDFEFF - (1 << 64)
+    low = lambda c: F.lower(F.hex(c))
+    block = crypto.encrypt_block(F.lit(bytes.fromhex("00112233445566778899aabbccddeeff")), F.lit(bytes(range(32))))
+    counter = lambda data, at: low(crypto.counter_mode(F.lit(data), key, nonce, F.lit(at)))
+    return spark.range(1).select(F.substring(low(block), 1, 32).alias("block"), counter(plain, first).alias("counter"), counter(plain[16:], first + 1).alias("from_second"))
+
+
 @query("SELECT item_id, text FROM benchmark")
 def counter_mode_roundtrip(spark, sf_dir):
     """Every item encrypted and decrypted in counter mode."""
@@ -996,21 +1008,36 @@ def typed_file_roundtrip(spark, sf_dir):
     return binary.read(spark, path)
 
 
-@query("SELECT item_id::VARCHAR AS name, text AS seq, length(text)::BIGINT AS positions, 1::BIGINT AS num_links FROM benchmark")
+@query("""
+WITH c AS (SELECT item_id, text, pos, text[pos:pos] AS c FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM benchmark))
+SELECT item_id::VARCHAR AS name, text AS seq, length(text)::BIGINT AS positions, 1::BIGINT AS num_links, round(sum(CASE c WHEN 'A' THEN 0.99 WHEN 'C' THEN 0.01 / 3 WHEN 'G' THEN 0.01 / 3 WHEN 'T' THEN 0.01 / 3 WHEN 'N' THEN 0.25 ELSE 0 END), 4) AS a_weight,
+       string_agg(pos - 1, ',' ORDER BY substr(text, pos)) AS suffixes, '0:1' AS in_links, '0:0:1.0' AS out_links, 'x' || item_id AS extra, '0.00005 0.10000 0.00005' AS inserts FROM c GROUP BY item_id, text
+""")
 def graph_file_roundtrip(spark, sf_dir):
-    """Sequence graphs through their ten block-compressed files."""
+    """Every field of sequence graphs through their ten block-compressed files."""
     seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.col("item_id").cast("string").alias("name"), F.col("text").alias("seq"))
     path = shared_path(spark)
-    binary.write(sequences.sequences_to_graphs(seqs, equal=["NACGT"]), path, ".zlib.bsgrap")
-    return binary.read(spark, path).select("name", "seq", F.size(F.element_at("contigs", 1)["pos"]).cast("bigint").alias("positions"), "num_links")
+    graphs = sequences.sequences_to_graphs(seqs, equal=["NACGT"]).withColumn("extra", F.concat(F.lit("x"), "name").cast("binary"))
+    binary.write(graphs, path, ".zlib.bsgrap")
+    pos = F.element_at("contigs", 1)["pos"]
+    weight = F.aggregate(pos, F.lit(0.0), lambda acc, p: acc + F.get(p["base"], F.lit(0)).cast("double"))
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    first = F.element_at(pos, 1)
+    inserts = F.concat_ws(" ", *(F.format_string("%.5f", first[c].cast("double")) for c in ("ins_open", "ins_ext", "ins_close")))
+    return binary.read(spark, path).select(
+        "name", "seq", F.size(pos).cast("bigint").alias("positions"), "num_links", F.round(weight, 4).alias("a_weight"), joined("suffix", lambda x: x.cast("string")).alias("suffixes"),
+        joined("in_links", lambda x: F.concat_ws(":", x["contig"].cast("string"), x["link"].cast("string"))).alias("in_links"),
+        joined("out_links", lambda x: F.concat_ws(":", x["link"].cast("string"), x["contig"].cast("string"), x["p"].cast("string"))).alias("out_links"),
+        F.col("extra").cast("string").alias("extra"), inserts.alias("inserts"),
+    )
 
 
-@query("SELECT c_custkey::VARCHAR || ' ' || c_mktsegment AS value FROM customer")
+@query("SELECT c_custkey::VARCHAR || ' ' || lower(c_mktsegment) AS value FROM customer")
 def process_lines(spark, sf_dir):
     """Lines through an external program, one process a partition."""
     from ..sources.dispatch import open_process
 
-    return open_process(spark, "cat", table(spark, sf_dir, "customer").select(F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value")))
+    return open_process(spark, "tr A-Z a-z", table(spark, sf_dir, "customer").select(F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value")))
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY c_mktsegment")
@@ -1025,3 +1052,15 @@ def stream_typed_rows(spark, sf_dir):
     run = stream_typed(spark, folder, kinds, files_per_trigger=1).writeStream.format("parquet").option("checkpointLocation", kept + "-state").trigger(availableNow=True).start(kept)
     run.awaitTermination()
     return spark.read.parquet(kept).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT n_name AS name, repeat('ACGT', n_regionkey + 1) AS seq, true AS in_a_batch FROM nation")
+def stream_sequences(spark, sf_dir):
+    """FASTA files that arrive in a folder, two to a batch; each batch writes under its number."""
+    from ..streaming import stream_fasta
+
+    folder, out = shared_path(spark), shared_path(spark)
+    reads.write_fasta(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.repeat(F.lit("ACGT"), F.col("n_regionkey") + 1).alias("seq")).repartition(3), folder)
+    run = stream_fasta(spark, folder, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), out + "-state", 2, True)
+    run.awaitTermination()
+    return spark.read.parquet(out).select("name", "seq", (F.col("batch") < 2).alias("in_a_batch"))

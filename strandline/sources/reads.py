@@ -13,12 +13,12 @@ from ..operators.lookup import small
 from .tables import lines_of
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(seq_id, name, seq): a record starts at a line that begins with ``>``; blanks inside a sequence are dropped.
 
     Records are split at newline and ``>``, so files are read in parallel.  Text before the first record is left out.
     """
-    if path.endswith(".gzip"):
+    if isinstance(path, str) and path.endswith(".gzip"):
         return _records(_unpacked(spark, path))
     pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     placed = pieces.withColumn("n", F.monotonically_increasing_id())

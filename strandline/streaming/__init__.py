@@ -22,12 +22,18 @@ def stream_typed(spark: SparkSession, folder: str, kinds: list[ColumnKind], **op
     return typed.to_typed(stream_tsv(spark, folder, **options), kinds)
 
 
-def stream_fasta(spark: SparkSession, folder: str, sink, checkpoint: str):
-    """Starts a query that gives the records of each new FASTA file to ``sink(df, batch)``: files are read whole, a batch at a time."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
+def stream_fasta(spark: SparkSession, folder: str, sink, checkpoint: str, files_per_trigger: int = 1000, available_now: bool = False):
+    """Starts a query that gives the records of the new FASTA files of a batch to ``sink(df, batch)``.
+
+    A batch that runs again after a failure has the same number, so a sink that replaces what it wrote for that number writes once.
+    """
+    source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger)
+    files = source.schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
 
     def batch(df: DataFrame, number: int) -> None:
-        for row in df.toLocalIterator():
-            sink(reads.read_fasta(df.sparkSession, row.path), number)
+        paths = [row.path for row in df.collect()]  # at most files_per_trigger names
+        if paths:
+            sink(reads.read_fasta(df.sparkSession, paths), number)
 
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
