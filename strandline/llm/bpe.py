@@ -164,16 +164,21 @@ class UnitEncoder:
         if not hit.all():
             miss = first[~hit]
             self._remember(short[~hit], high[miss], code(miss))
-        a, b = self._find(self.old, short), self._find(self.new, short)
-        # rows of the two tables one after the other
-        row = np.where(a[1], a[0], len(self.old[0]) + b[0])[back]
-        known = np.concatenate([self.old[1], self.new[1]])
-        bounds = np.concatenate([self.old[2], self.old[2][-1] + self.new[2][1:]])
-        ids = np.concatenate([self.old[3], self.new[3]])
-        other = np.flatnonzero(known[row] != high)
+        # ids of the batch's distinct units, those of the old table first
+        places, there = self._find(self.old, short)
+        old, new = np.flatnonzero(there), np.flatnonzero(~there)
+        of_old, of_new = places[old], self._find(self.new, short[new])[0]
+        row, known = np.empty(len(short), dtype=np.int64), np.empty(len(short), dtype=U64)
+        row[old], row[new] = np.arange(len(old)), len(old) + np.arange(len(new))
+        known[old], known[new] = self.old[1][of_old], self.new[1][of_new]
+        first_ids, first_bounds = gather(self.old[3], self.old[2], of_old)
+        more_ids, more_bounds = gather(self.new[3], self.new[2], of_new)
+        ids, bounds = np.concatenate([first_ids, more_ids]), np.concatenate([first_bounds, first_bounds[-1] + more_bounds[1:]])
+        row, known = row[back], known[back]
+        other = np.flatnonzero(known != high)
         if len(other):
             own, by_own = _ragged(code(other))
-            row[other] = len(known) + np.arange(len(other))
+            row[other] = len(short) + np.arange(len(other))
             ids, bounds = np.concatenate([ids, own]), np.concatenate([bounds, bounds[-1] + by_own[1:]])
         return gather(ids, bounds, row)
 

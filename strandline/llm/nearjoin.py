@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
-from .textkit import U64, Texts, as_bytes, constants, mix, shingles, slices, stored
+from .textkit import U64, Texts, as_bytes, constants, give_back, mix, shingles, slices, stored
 
 SHINGLE, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 4
 #: Stands for a null doc_id where texts are looked up again.
@@ -270,6 +270,8 @@ def _classes(docs: DataFrame, threshold: float, recall: float, rows: int) -> tup
                 out = []
         if len(held) > 1:
             out += flush()
+        held.clear()
+        give_back()
         yield _links(out)
 
     found = stored(work.select("hub", "low", "high", "node", "tile", "copies", "hubs", "words").mapInArrow(verify, "node binary, links long, root binary"))

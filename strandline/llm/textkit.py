@@ -31,6 +31,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
 #: Longest span whose key is its own bytes.
 PLAIN = 15
+#: Bytes of text after which a task gives freed memory back.
+TRIM = 16 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +146,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text (one row at least)."""
+    """The same rows in batches of about ``limit`` bytes of text (one row at least).
+
+    What the work on them has freed goes back to the system from time to time and at the end of the task.
+    """
+    since = 0
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(sizes)
@@ -153,12 +159,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             done = int(total[i - 1]) if i else 0
             j = max(i + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(i, j - i)
+            since += int(total[j - 1]) - done
             i = j
+            if since > TRIM:
+                give_back()
+                since = 0
+    give_back()
 
 
 def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``pick`` of a ragged array, as a flat array and its offsets."""
-    size = (offsets[1:] - offsets[:-1])[pick]
+    size = offsets[pick + 1] - offsets[pick]
     out = np.append(0, np.cumsum(size))
     index = np.arange(out[-1])
     index += np.repeat(offsets[:-1][pick] - out[:-1], size)
