@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dac, katz, langid, licenses, media, mixing, nearjoin, ranking, repeats
+from . import bpe, dac, katz, langid, licenses, media, mixing, nearjoin, ranking, repeats, spelling
 from .textkit import clear_stored  # noqa: F401
 
 
@@ -61,6 +61,10 @@ def op10_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 MIX_SEED = 17
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -128,7 +132,7 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 
 
 def queries() -> dict:
-    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op8_pairwise_ranking, op9_license_paragraphs, op10_subword_language]
+    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op8_pairwise_ranking, op9_license_paragraphs, op10_subword_language, op11_spelling_variants]
     return {f.__name__: f for f in found}
 
 

@@ -167,6 +167,41 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     give_back()
 
 
+def spans(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True."""
+    edge = np.flatnonzero(np.diff(member.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edge[::2], edge[1::2]
+
+
+def pieces(ids: list, texts: pa.Array, member: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts) of about ``limit`` bytes; longer texts are cut where no run of ``member`` bytes (and those from 0x80) is cut."""
+    held: list = []
+    total = 0
+    for i, x in zip(ids, texts, strict=True):
+        value = b"" if not x.is_valid else x.as_buffer()
+        size, at = len(value) if x.is_valid else 0, 0
+        view = memoryview(value)
+        while at < size or not held:
+            stop = min(size, at + limit - total) if size > limit else size
+            while stop < size:
+                ahead = np.frombuffer(view[stop : stop + 65_536], dtype=np.uint8)
+                free = np.flatnonzero(~(member[ahead] | (ahead >= 0x80)))
+                if len(free):
+                    stop += int(free[0])
+                    break
+                stop += len(ahead)
+            held.append((i, bytes(view[at:stop])))
+            total += stop - at
+            at = stop
+            if total >= limit:
+                yield [k for k, _ in held], [t for _, t in held]
+                held, total = [], 0
+            if at >= size:
+                break
+    if held:
+        yield [k for k, _ in held], [t for _, t in held]
+
+
 def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``pick`` of a ragged array, as a flat array and its offsets."""
     size = offsets[pick + 1] - offsets[pick]
