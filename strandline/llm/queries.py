@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dac, katz, langid, licenses, media, mixing, nearjoin, ranking, repeats, spelling
+from . import bpe, dac, hardneg, katz, langid, licenses, media, mixing, nearjoin, postings, ranking, repeats, spelling
 from .textkit import clear_stored  # noqa: F401
 
 
@@ -65,6 +65,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 MIX_SEED = 17
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -131,10 +139,42 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 """
 
 
+OP12_SQL = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+      FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % {hardneg.ANCHOR_EVERY} = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS place FROM s WHERE same),
+p AS (SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM o WHERE place <= {hardneg.POSITIVES}),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id, s.r) AS rank
+      FROM p JOIN s ON p.ar = s.ar WHERE NOT s.same AND {hardneg.LOW} * p.positive_score <= 100 * s.score AND 100 * s.score <= {hardneg.HIGH} * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hardneg.NEGATIVES}
+"""
+
+_LOW_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_LOW_WORDS} AS w FROM benchmark),
+k AS (SELECT item, least(len(w), {postings.WINDOW}) AS size, w, unnest(range(1, len(w) - least(len(w), {postings.WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM k),
+at AS (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size),
+hit AS (SELECT r, item, size, i FROM (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM at) JOIN wins USING (size, g)),
+n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids.items, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
+"""
+
+
 def queries() -> dict:
-    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op8_pairwise_ranking, op9_license_paragraphs, op10_subword_language, op11_spelling_variants]
+    found = [op1_ngram_jaccard, op2_suffix_repetition, op3_iso_media, op4_addressable_codes, op5_poisson_mix, op6_chunk_reuse, op7_katz_backoff, op8_pairwise_ranking, op9_license_paragraphs, op10_subword_language, op11_spelling_variants, op12_packed_negatives, op13_positional_index]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_paragraphs": licenses.scan_sql()}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_paragraphs": licenses.scan_sql(), "op12_packed_negatives": OP12_SQL, "op13_positional_index": OP13_SQL}

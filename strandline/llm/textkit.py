@@ -181,7 +181,7 @@ def pieces(ids: list, texts: pa.Array, member: np.ndarray, limit: int = 4 << 20)
         value = b"" if not x.is_valid else x.as_buffer()
         size, at = len(value) if x.is_valid else 0, 0
         view = memoryview(value)
-        while at < size or not held:
+        while True:
             stop = min(size, at + limit - total) if size > limit else size
             while stop < size:
                 ahead = np.frombuffer(view[stop : stop + 65_536], dtype=np.uint8)
@@ -202,6 +202,15 @@ def pieces(ids: list, texts: pa.Array, member: np.ndarray, limit: int = 4 << 20)
         yield [k for k, _ in held], [t for _, t in held]
 
 
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def one_row(ddl: str, values: list) -> pa.RecordBatch:
+    """A batch of a single row of plain columns, named and typed as in a Spark schema."""
+    names, kinds = zip(*(c.split() for c in ddl.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([x], ARROW[k]) for x, k in zip(values, kinds, strict=True)], names=list(names))
+
+
 def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``pick`` of a ragged array, as a flat array and its offsets."""
     size = offsets[pick + 1] - offsets[pick]
