@@ -139,6 +139,27 @@ FROM documents JOIN drawn USING (doc_id, source) JOIN p USING (source)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11_SQL = f"""
+WITH RECURSIVE steps AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+          FROM (SELECT unnest(range(256)) AS n))),
+runs AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents)
+         WHERE length(run) >= {spelling.MIN_LETTERS} GROUP BY ALL),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [195, unicode(ch) - 64] END)) AS b FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(b AS BIGINT[])), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, steps),
+changed AS (SELECT n, CASE WHEN h % {spelling.DELETE} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+at_each AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+cut AS (SELECT word, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM at_each),
+near AS (SELECT x.word, y.word AS other FROM cut x JOIN cut y USING (i, a, b) WHERE x.word <> y.word
+         UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = a || b UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = a || b),
+top AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS best, max(o.n) AS best_n FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+told AS (SELECT word, CASE WHEN best_n >= {spelling.FORM_RATIO} * n THEN best END AS form, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN best_n >= {spelling.FORM_RATIO} * n THEN best_n END AS form_n FROM words LEFT JOIN top USING (word)),
+chain AS (SELECT word, word AS now FROM told UNION SELECT chain.word, told.form FROM chain JOIN told ON told.word = chain.now WHERE told.form IS NOT NULL)
+SELECT t.word, t.form, chain.now AS root, t.n, t.n_near, t.form_n FROM told t JOIN chain USING (word) JOIN told e ON e.word = chain.now WHERE e.form IS NULL
+"""
+
 OP12_SQL = f"""
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS q
@@ -154,15 +175,15 @@ n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {hardneg.NEGATIVES}
 """
 
-_LOW_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LOW_WORDS = "regexp_extract_all(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP13_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOW_WORDS} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_LOW_WORDS} AS w FROM benchmark),
 k AS (SELECT item, least(len(w), {postings.WINDOW}) AS size, w, unnest(range(1, len(w) - least(len(w), {postings.WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0),
 wins AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM k),
-at AS (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size),
-hit AS (SELECT r, item, size, i FROM (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM at) JOIN wins USING (size, g)),
+places AS (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM wins) WHERE len(w) >= size),
+hit AS (SELECT r, item, size, i FROM (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM places) JOIN wins USING (size, g)),
 n AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
 ids AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(ids.n, 0) AS BIGINT) AS n_items,
@@ -177,4 +198,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_paragraphs": licenses.scan_sql(), "op12_packed_negatives": OP12_SQL, "op13_positional_index": OP13_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op2_suffix_repetition": OP2_SQL, "op5_poisson_mix": OP5_SQL, "op9_license_paragraphs": licenses.scan_sql(), "op11_spelling_variants": OP11_SQL, "op12_packed_negatives": OP12_SQL, "op13_positional_index": OP13_SQL}
