@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,6 +45,19 @@ _BSD = [
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 ]
+_REGENTS = [
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    _BSD[-1].replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS").replace("COPYRIGHT OWNER OR CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"),
+]
+_REGENTS.append(_REGENTS[-1].split("DISCLAIMED.")[0] + "DISCLAIMED.")
+_UNLICENSE = [
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.",
+]
+_CC0 = [
+    "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    "You can copy, modify, distribute and perform the work, even for commercial purposes, all without asking permission.",
+]
 _ISC = [
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -74,12 +88,12 @@ def licence_texts() -> dict[str, list[str]]:
     out = {
         "apache-2.0": [*_APACHE, *named("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"), *spdx("Apache-2.0")],
         "apache-1.1": [*named("Apache Software License, Version 1.1", "Apache License 1.1"), *spdx("Apache-1.1")],
-        "mit": [_MIT_GRANT, *_MIT_REST, *named("MIT License", "MIT license (MIT)"), *spdx("MIT"), "The MIT License (MIT)"],
-        "bsd": [*_BSD, *named("BSD License", "BSD 3-Clause License", "BSD 2-Clause License"), *spdx("BSD-3-Clause", "BSD-2-Clause"), "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+        "mit": [_MIT_GRANT, *_MIT_REST, *named("MIT License", "MIT license (MIT)", "MIT license terms", "terms of the MIT license"), "Distributed under MIT license terms.", "under MIT license terms.", *spdx("MIT"), "The MIT License (MIT)"],
+        "bsd": [*_BSD, *_REGENTS, *named("BSD License", "BSD 3-Clause License", "BSD 2-Clause License"), *spdx("BSD-3-Clause", "BSD-2-Clause"), "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
         "isc": [*_ISC, *named("ISC License"), *spdx("ISC")],
         "mpl-2.0": [_MPL.format(v="v. 2.0"), _MPL.format(v="version 2.0"), "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", *named("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"), *spdx("MPL-2.0")],
-        "unlicense": ["This is free and unencumbered software released into the public domain.", *named("Unlicense"), *spdx("Unlicense")],
-        "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", *named("CC0 1.0 Universal"), *spdx("CC0-1.0")],
+        "unlicense": ["This is free and unencumbered software released into the public domain.", *_UNLICENSE, *named("Unlicense"), *spdx("Unlicense")],
+        "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", *_CC0, *named("CC0 1.0 Universal", "CC0 license", "CC0"), "Released under CC0.", "under CC0.", *spdx("CC0-1.0")],
         "all-rights-reserved": ["All rights reserved.", "Copyright by the authors. All rights reserved.", "Copyright 2019 the company. All rights reserved."],
     }
     for key, (name, thing, versions) in _GNU.items():
@@ -114,7 +128,7 @@ OTHER_USES = [
     "a version 2 of the engine was tested and version 3 followed", "the second version of the program is free for members", "any later version of the map shows the new road", "general public transport is free on sundays",
     "the software is provided by the school and the school pays for it", "the copyright holder of the song sued the band", "the author waived the fee for the students", "the public domain of the old king was sold",
     "neither the name of the town nor the names of its streets were known", "the liability of the owner ends at the fence", "the company limited its liability", "the foundation gave free software courses",
-    "the creative commons room is open to all", "the attribution of the painting is in doubt", "the mit campus lies by the river", "students of mit won the prize", "the license of the restaurant was revoked",
+    "anyone is free to visit the garden and to copy the plan of it", "anyone is free to sell his house", "she was free to publish the book and to distribute it for any purpose", "the creative commons room is open to all", "the attribution of the painting is in doubt", "the mit campus lies by the river", "students of mit won the prize", "the license of the restaurant was revoked",
     "all rights and duties pass to the heir", "the rights of the tenant are reserved in the lease", "copies of the letter were sold at the market", "he may use and copy the notes without charge",
     "the merchantability of the grain was tested", "a disclaimer was printed on the ticket", "the terms of the contract were published", "under the terms of the treaty the border was open", "see the file for the text of the speech",
 ]
@@ -125,7 +139,7 @@ UNKNOWN = [
     "This software is distributed under the terms of the Python Software Foundation License.", "Licensed under the SIL Open Font License, Version 1.1.", "Released under the Common Development and Distribution License.", "SPDX-License-Identifier: EPL-2.0",
 ]
 #: A paragraph without any of these (in any case) is "none".
-ANCHORS = ["licens", "licenc", "copyright", "reserved", "permission", "redistribut", "warrant", "unencumbered", "gpl", "cc by", "cc-by", "cc\n", "cc0"]
+ANCHORS = ["licens", "licenc", "copyright", "reserved", "permission", "redistribut", "warrant", "unencumbered", "anyone is free to", "gpl", "cc by", "cc-by", "cc\n", "cc0"]
 ANCHOR_PATTERN = f"(?i){'|'.join(ANCHORS)}"
 STOP = "a an and any are as at be by can for from he if in is it its may not of on one or she that the this to was were will with you all".split()
 #: Comment marks at the start of a line, with the blanks around them.
@@ -166,7 +180,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def train(seed: int = 4, variants: int = 8, keep: float = 0.05, rounds: int = 200) -> LicenseModel:
-    """The model from the lists above; deterministic."""
+    """The model from the lists above.
+
+    Matrix products differ in their last bits by machine and number of threads, so queries use the model that ``fitted`` reads;
+    after a change of the lists ``python -m strandline.llm.licenses`` writes it anew.
+    """
     rng = np.random.default_rng(seed)
     texts = licence_texts()
     filler = ["".join(rng.choice(["ba", "do", "ri", "sen", "tal", "um", "ver", "kol"], rng.integers(1, 4))) for _ in range(300)] + STOP + ["."]
@@ -192,7 +210,7 @@ def train(seed: int = 4, variants: int = 8, keep: float = 0.05, rounds: int = 20
     place = {g: i for i, g in enumerate(vocabulary)}
 
     def matrix(rows: list[list[str]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
+        x = np.zeros((len(rows), len(vocabulary)), dtype=np.float64)
         for i, r in enumerate(rows):
             x[i, [place[g] for g in grams(r) if g in place]] = 1
         return x
@@ -200,11 +218,11 @@ def train(seed: int = 4, variants: int = 8, keep: float = 0.05, rounds: int = 20
     x, label = matrix([d[0] for d in data]), np.array([d[1] for d in data])
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1)).mean()
     scale = float(x.max())
-    want = np.eye(len(classes), dtype=np.float32)[label]
-    w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32)
+    want = np.eye(len(classes), dtype=np.float64)[label]
+    w, b = np.zeros((len(vocabulary), len(classes)), dtype=np.float64), np.zeros(len(classes), dtype=np.float64)
     past = w
     for k in range(rounds):  # accelerated proximal gradient
-        ahead = w + np.float32(k / (k + 3)) * (w - past)
+        ahead = w + k / (k + 3) * (w - past)
         p = _softmax(x @ ahead + b) - want
         past = w
         w = ahead - 8 * (x.T @ p / len(x))
@@ -217,15 +235,27 @@ def train(seed: int = 4, variants: int = 8, keep: float = 0.05, rounds: int = 20
     heat = min(np.geomspace(0.1, 10, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), truth] + 1e-12).mean())
     known = np.sort(_softmax(z / heat).max(axis=1))
     odd = np.sort(_softmax((matrix(strange) @ w + b) / heat)[:, :-1].max(axis=1))
-    # the bound with the fewest errors on both; the texts themselves must stay above it
+    # the bound with the fewest errors on both; the texts themselves, and with words after them, must stay above it
     bounds = np.linspace(0.2, 0.95, 76)
     wrong = [(known < t).mean() + (odd >= t).mean() for t in bounds]
-    own = _softmax((matrix([words(t) for t, _ in every]) @ w + b) / heat)[np.arange(len(every)), [k for _, k in every]].min()
+    alone = [words(t + more) for more in ("", " and more of it after") for t, _ in every if not (more and t.endswith("All rights reserved."))]
+    truth = [k for more in (False, True) for t, k in every if not (more and t.endswith("All rights reserved."))]
+    own = _softmax((matrix(alone) @ w + b) / heat)[np.arange(len(alone)), truth].min()
     bound = min(float(bounds[int(np.argmin(wrong))]), 0.95 * float(own))
     weights = {g: np.round(w[i] / heat, DIGITS).tolist() for g, i in place.items() if np.abs(w[i] / heat).max() > keep}
     return LicenseModel(classes, weights, np.round(b / heat, DIGITS).tolist(), round(bound, 4), _templates(texts))
 
 
+#: The fitted model.
+FITTED = Path(__file__).with_name("license_model.json")
+
+
+@lru_cache(maxsize=1)
+def fitted() -> LicenseModel:
+    """The model that ``train`` gave when the lists were last changed: the same numbers on every machine."""
+    return LicenseModel(**json.loads(FITTED.read_text()))
+
+
 def _templates(texts: dict[str, list[str]]) -> list[tuple[str, dict[str, float]]]:
     """The word pairs of every text; a pair counts the less, the more families have it.  Only where nothing but the end tells a grant from other uses are stops compared."""
     families: dict[str, set] = {}
@@ -252,7 +282,7 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     license: the confirmed family with the highest score, those with a version first, else "unknown" if a paragraph looks
     like a licence, else "none"; score and similarity: of that paragraph; n_paragraphs: those that are not "none".
     """
-    model = model or train()
+    model = model or fitted()
     k = len(model.classes)
     vocabulary = _constant(list(model.weights), "array<string>")
     # n-grams and their weights by the first character, which makes the search for one short
@@ -329,7 +359,7 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
 
 def scan_sql(model: LicenseModel | None = None, table: str = "documents") -> str:
     """The same as DuckDB SQL, by joins over exploded n-grams."""
-    model = model or train()
+    model = model or fitted()
     k = len(model.classes)
     text = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({text(g)}, [{', '.join(map(repr, w))}])" for g, w in model.weights.items())
@@ -363,3 +393,7 @@ SELECT doc_id, CASE WHEN b.rid IS NULL THEN 'none' WHEN firm THEN [{names}][plac
        score, similarity, CAST(coalesce(n, 0) AS BIGINT) AS n_paragraphs
 FROM d LEFT JOIN (SELECT * FROM b WHERE r = 1) b ON b.rid = d.rid
 """
+
+
+if __name__ == "__main__":
+    FITTED.write_text(json.dumps(asdict(train()), indent=0) + "\n")

@@ -1,5 +1,8 @@
 import math
+import os
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
 
@@ -12,7 +15,7 @@ from tests.llm.conftest import SF
 
 
 def test_licence_lines(spark):
-    m = licenses.train()
+    m = licenses.fitted()
     texts = licenses.licence_texts()
     after = lambda f: "" if f == "all-rights-reserved" else " and some after it"
     rows = [(i, f"some words first\n{t}{after(f)}") for i, (f, ts) in enumerate(texts.items()) for t in ts]
@@ -24,6 +27,34 @@ def test_licence_lines(spark):
     assert got == {0: "unknown", 1: "none", 2: "none", 3: "unknown", 4: "none"}
 
 
+def test_the_fitted_model_is_the_trained_one():
+    """Up to the last bits, which depend on the machine."""
+    a, b = licenses.train(), licenses.fitted()
+    assert a.classes == b.classes and a.templates == [(f, t) for f, t in b.templates] and a.bound == b.bound
+    assert len(set(a.weights) ^ set(b.weights)) <= 3
+    assert all(np.allclose(a.weights[g], w, atol=1e-3) for g, w in b.weights.items() if g in a.weights) and np.allclose(a.bias, b.bias, atol=1e-3)
+
+
+def test_threads_do_not_change_the_sql():
+    told = [
+        subprocess.run([sys.executable, "-c", "import hashlib; from strandline.llm import licenses; print(hashlib.sha256(licenses.scan_sql().encode()).hexdigest())"], env=os.environ | {"OPENBLAS_NUM_THREADS": n}, capture_output=True, text=True, check=True).stdout
+        for n in ("1", "8")
+    ]
+    assert told[0] == told[1] and len(told[0].strip()) == 64
+
+
+def test_bodies_of_licences(spark):
+    """Wordings and sentences that are not in the training lists."""
+    rows = [
+        (0, "Anyone is free to copy, modify, publish, use, compile, sell or distribute this program, in source code form\nor as a compiled binary, for any purpose, commercial or not, and by any means.", "unlicense"),
+        (1, "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND\nANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE\nARE DISCLAIMED.", "bsd"),
+        (2, "The data set is released under CC0.", "cc0-1.0"), (3, "The examples are distributed under MIT license terms.", "mit"),
+        (4, "anyone is free to walk in the park", "none"), (5, "he is free to copy the text for any purpose", "none"),
+    ]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert {i: got[i] for i, _, w in rows} == {i: w for i, _, w in rows}
+
+
 def test_every_licence_text_has_an_anchor():
     assert all(re.search(licenses.ANCHOR_PATTERN, t) for ts in licenses.licence_texts().values() for t in ts)
 
@@ -57,7 +88,7 @@ def brute_licence(text, m):
 
 
 def test_licences_of_documents(small, odd, nothing):
-    m = licenses.train()
+    m = licenses.fitted()
     for docs in (small, odd):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         got = sorted(((r.doc_id, (r.license, r.n_paragraphs)) for r in licenses.scan(docs).collect()), key=str)
@@ -259,7 +290,7 @@ the Free Software Foundation, either version 3 of the License, or
 
 def test_wrapped_notices(spark):
     """Every text of every family, wrapped at some width and behind some comment mark; no line is a text of the training."""
-    m = licenses.train()
+    m = licenses.fitted()
     rows, want = [], []
     for f, ts in licenses.licence_texts().items():
         for t in ts:
@@ -274,7 +305,7 @@ def test_wrapped_notices(spark):
 
 
 def test_notices_of_files(spark):
-    m = licenses.train()
+    m = licenses.fitted()
     mit = """/*
  * Copyright (c) 2021 Somebody
  *
