@@ -5,7 +5,8 @@ the next stage's docs.  All but the last return the columns of documents.
 
 Edge cases: as in the operators.  The first stage drops null, empty and very short texts; the second
 drops texts without a letter or without an accepted language; of repeated rows one stays in the third;
-an empty table gives an empty table at every stage.
+an empty table gives an empty table at every stage.  Other columns pass through
+whatever their names, which may be those that operators use inside or add.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated so that sources weigh as the square root of their size; copies are repeated rows."""
-    return mixing.poisson_mix(docs, mixing.root_weights(docs), seed=MIX_SEED).select(*docs.columns)
+    return mixing.mixed_rows(docs, mixing.root_weights(docs), seed=MIX_SEED)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Training takes at most ``max_train`` documents (those with the least hash of the
 what reaches the driver: per document one sparse row of at most ``buckets`` counts.
 
 For prediction the product of the two tables is taken first, so a text costs one sum over rows of
-length (number of languages); n-grams are looked up ``PIECE`` at a time, so that a long text needs no more memory than
-its n-grams' buckets.
+length (number of languages); n-grams are looked up ``PIECE`` at a time.  A text of more than ``LONG`` bytes is counted by
+buckets piece by piece, and needs little memory beyond its own bytes.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and is not accepted; documents
 with a null lang, text or id teach nothing; a repeated id teaches once; with nothing to learn from (an empty table),
@@ -22,6 +22,8 @@ is read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import codecs
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +42,9 @@ SIZES = (2, 3, 4)
 CALIBRATE, REJECT_QUANTILE, MOST_BOUND = 0.2, 0.002, 0.5
 #: N-grams whose rows of the table are held at once.
 PIECE = 1 << 18
+#: Texts of more bytes are counted in pieces.
+LONG = 1 << 20
+ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def grams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +58,7 @@ def grams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]
     for n in SIZES:
         if len(folded) < n:
             continue
-        code = folded[: len(folded) - n + 1].copy()
-        for k in range(1, n):
-            code |= folded[k : len(folded) - n + 1 + k] << np.uint32(8 * k)
-        code *= np.uint32(0x9E3779B1)
-        code ^= code >> np.uint32(15)
-        code *= np.uint32(0x85EBCA77)
-        found.append((code >> np.uint32(32 - bits)).astype(np.int32))
+        found.append(_buckets(folded, n, bits))
     counts = [np.maximum(size + 2 - n + 1, 0) for n in SIZES]
     bounds = np.append(0, np.cumsum(sum(counts)))
     out = np.empty(bounds[-1], dtype=np.int32)
@@ -72,13 +71,41 @@ def grams(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarray]
     return out, bounds
 
 
+def _buckets(folded: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bucket of the n-gram from each place."""
+    code = folded[: len(folded) - n + 1].copy()
+    for k in range(1, n):
+        code |= folded[k : len(folded) - n + 1 + k] << np.uint32(8 * k)
+    code *= np.uint32(0x9E3779B1)
+    code ^= code >> np.uint32(15)
+    code *= np.uint32(0x85EBCA77)
+    return (code >> np.uint32(32 - bits)).astype(np.int32)
+
+
+def gram_counts(text: bytes, bits: int) -> np.ndarray:
+    """How often a text has each bucket, from pieces of ``PIECE`` bytes that overlap by one n-gram less a byte."""
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    for at in range(-1, len(raw) + 1, PIECE):  # from the blank before the text to the one after it
+        piece = np.full(min(PIECE + max(SIZES) - 1, len(raw) + 1 - at), 32, dtype=np.uint32)
+        inside = FOLD[raw[max(at, 0) : at + len(piece)]]
+        piece[max(-at, 0) : max(-at, 0) + len(inside)] = inside
+        for n in SIZES:
+            own = piece[: PIECE + n - 1]
+            if len(own) >= n:
+                counts += np.bincount(_buckets(own, n, bits), minlength=1 << bits)
+    return counts
+
+
 def has_letter(text: bytes | None) -> bool:
     if not text:
         return False
-    lower = text.lower()
-    if lower.upper() != lower:  # an ASCII letter
+    if ASCII_LETTER.search(text):
         return True
-    return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace"))
+    if text.isascii():
+        return False
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return any(c.isalpha() for at in range(0, len(text), PIECE) for c in decoder.decode(text[at : at + PIECE]))
 
 
 @dataclass
@@ -92,7 +119,8 @@ class LanguageModel:
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """Calibrated probabilities by text and language."""
         k = len(self.languages)
-        found, bounds = grams(texts, self.bits)
+        long = [i for i, t in enumerate(texts) if t and len(t) > LONG]
+        found, bounds = grams([None if t and len(t) > LONG else t for t in texts] if long else texts, self.bits)
         logits = np.tile(self.bias, (len(texts), 1))
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(texts)), n)
@@ -100,6 +128,9 @@ class LanguageModel:
             rows, own = self.table[found[i : i + PIECE]], owner[i : i + PIECE]
             first = np.append(0, np.flatnonzero(own[1:] != own[:-1]) + 1)
             logits[own[first]] += np.add.reduceat(rows, first, axis=0) / n[own[first], None]
+        for i in long:
+            counts = gram_counts(texts[i], self.bits)
+            logits[i] = self.bias + counts @ self.table / counts.sum()
         return _softmax(logits) if k else logits
 
 

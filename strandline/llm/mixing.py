@@ -73,7 +73,16 @@ def poisson_mix(
 
     weights: (source, weight).  total: wanted number of rows, by default the number of documents.
     """
-    docs = docs.drop(*ADDED)
+    return _drawn(docs.drop(*ADDED), weights, total, seed, key, source, text, partitions).select("_row.*", "copy", "rate")
+
+
+def mixed_rows(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: int = 17) -> DataFrame:
+    """The same rows with all columns of the documents, whatever their names, and no others."""
+    return _drawn(docs, weights, total, seed, "doc_id", "source", "text", None).select("_row.*")
+
+
+def _drawn(docs: DataFrame, weights: DataFrame, total: float | None, seed: int, key: str, source: str, text: str, partitions: int | None) -> DataFrame:
+    """(_row, copy, rate) in random order."""
     rates = stored(source_rates(docs, weights, total, source))
     field = lambda name: F.col("_row").getField(name)
     ident = _id(field(key), field(text) if text in docs.columns else F.lit(None))
@@ -95,7 +104,7 @@ def poisson_mix(
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), F.xxhash64("_row").cast("string"), F.col("__id"), F.col("copy").cast("string")))
     out = copies.select("_row", "copy", F.col("__rate").alias("rate"), order.alias("__order"))
     dealt = out.repartition(partitions, "__order") if partitions else out.repartition("__order")
-    return dealt.sortWithinPartitions("__order").select("_row.*", "copy", "rate")
+    return dealt.sortWithinPartitions("__order")
 
 
 def root_weights(docs: DataFrame, source: str = "source") -> DataFrame:

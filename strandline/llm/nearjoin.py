@@ -302,28 +302,32 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with its own columns: one with the least doc_id, or without an id where none has one.
 
     Rows are told apart by their node, not by doc_id, which may be null or shared by different texts; of several nodes with the
-    least doc_id the least is taken.  Texts without a word are classes of their own and all stay.
+    least doc_id the least is taken, and of several rows with its words and id the one whose columns have the least hash.  Texts
+    without a word are classes of their own and all stay.  The row travels as one struct, so no column's name can clash.
     """
     _, classes = _classes(docs, THRESHOLD, RECALL, ROWS)
     pick = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "node")).alias("p")
-    kept = stored(classes.groupBy("root").agg(pick).select(F.col("p.node").alias("_node"), "p.no_id", F.coalesce("p.rep", F.lit(NO_ID)).alias("_key")))
-    kept = kept.select("_node", F.col("no_id").alias("_no_id"), "_key")
+    kept = stored(classes.groupBy("root").agg(pick).select("p.node", "p.no_id", F.coalesce("p.rep", F.lit(NO_ID)).alias("key")))
     worded = F.coalesce(F.col("text").rlike(WORD_CHAR), F.lit(False))
     key = F.col("doc_id").cast("bigint")
-    keyed = docs.filter(worded).select(*docs.columns, key.isNull().alias("_no_id"), F.coalesce(key, F.lit(NO_ID)).alias("_key"))
+    keyed = docs.filter(worded).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "text", key.isNull().alias("no_id"), F.coalesce(key, F.lit(NO_ID)).alias("key"))
+    keyed = keyed.withColumn("tie", F.xxhash64("row"))
 
     def name(batches):
         seen: set = set()
         for b in slices(batches):
             nodes = [node_name(plain_words(t)) for t in as_bytes(b.column("text"))]
             fresh = []
-            for row in zip(nodes, b.column("_no_id").to_pylist(), b.column("_key").to_pylist(), strict=True):
+            for row in zip(nodes, *(b.column(c).to_pylist() for c in on[1:]), b.column("tie").to_pylist(), strict=True):
                 fresh.append(row not in seen)
                 seen.add(row)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.binary())], names=[*b.schema.names, "_node"]).filter(pa.array(fresh, pa.bool_()))
+            columns = [b.column(c) for c in ("row", "no_id", "key", "tie")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.binary())], names=["row", "no_id", "key", "tie", "node"]).filter(pa.array(fresh, pa.bool_()))
             if len(seen) > REMEMBER:
                 seen.clear()
 
-    on = ["_node", "_no_id", "_key"]
-    named = keyed.mapInArrow(name, T.StructType([*keyed.schema.fields, T.StructField("_node", T.BinaryType())]))
-    return named.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns).unionByName(docs.filter(~worded))
+    on = ["node", "no_id", "key"]
+    fields = [f for f in keyed.schema.fields if f.name != "text"]
+    named = keyed.mapInArrow(name, T.StructType([*fields, T.StructField("node", T.BinaryType())]))
+    one = named.join(kept, on, "left_semi").groupBy(*on).agg(F.min_by("row", "tie").alias("row"))
+    return one.select("row.*").unionByName(docs.filter(~worded))

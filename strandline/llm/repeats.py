@@ -7,12 +7,19 @@ maximal repeated substring of d words, its slots are the places where it occurs.
 deepest interval that holds it.  The union of these spans, for repeats of at least ``MIN_REPEAT`` words, must
 not cover more than ``MAX_COVERED`` of the words, and no repeat may be longer than ``MAX_REPEAT`` words.
 
+Memory: about 120 bytes a word of a batch (4 MB of text, or one longer text, which is processed whole: 300 MB for 4 million
+words); up to 210 where nearly all of a text repeats at every length.
+
 Edge cases: a null or empty text has no words and fails the base rules; any length is processed
 whole; repeated rows get equal results; other columns are dropped; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+import itertools
+from array import array
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +35,30 @@ SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
+class Level:
+    """Ranks by the first 2^k words of the suffixes that share them with another; the others equal none."""
+
+    def __init__(self, rank: np.ndarray, slots: np.ndarray, tied: np.ndarray):
+        at = np.sort(slots[tied])
+        # few suffixes as a list, many as a table
+        self.at = at if 3 * len(at) < len(rank) else None
+        self.rank = rank[at] if self.at is not None else np.full(len(rank), -1, dtype=np.int32)
+        if self.at is None:
+            self.rank[at] = rank[at]
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self._of(a), self._of(b)
+        return (x == y) & (x >= 0)
+
+    def _of(self, suffix: np.ndarray) -> np.ndarray:
+        if self.at is None:
+            return self.rank[suffix]
+        if not len(self.at):
+            return np.full(len(suffix), -1, dtype=np.int32)
+        k = np.minimum(np.searchsorted(self.at, suffix), len(self.at) - 1)
+        return np.where(self.at[k] == suffix, self.rank[k], -1)
+
+
 def suffix_array(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of all texts in order (grouped by text and first word), and the common prefix of each with the next, in words.
 
@@ -35,7 +66,7 @@ def suffix_array(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> tupl
     """
     n = len(words)
     slots = np.argsort(keys := owner.astype(np.int64) * (int(words.max()) + 1 if n else 1) + words, kind="stable").astype(np.int32)
-    common = np.zeros(max(n - 1, 0), dtype=np.int64)
+    common = np.zeros(max(n - 1, 0), dtype=np.int32)
     if n == 0:
         return slots, common
     ordered = keys[slots]
@@ -44,8 +75,8 @@ def suffix_array(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> tupl
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, dtype=np.int32)
     rank[slots] = group
-    levels = [rank.copy()]
     tied = ~(new & np.append(new[1:], True))  # slots in groups of two or more
+    levels = [Level(rank, slots, tied)]
     h = 1
     while tied.any():
         at = np.flatnonzero(tied)
@@ -59,45 +90,43 @@ def suffix_array(words: np.ndarray, owner: np.ndarray, stop: np.ndarray) -> tupl
         slots[at] = suffix
         new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
         rank[suffix] = np.maximum.accumulate(np.where(new, at, 0))
-        levels.append(rank.copy())
         tied[at] = ~(new & np.append(new[1:], True))
+        levels.append(Level(rank, slots, tied))
         h *= 2
     # neighbours: common prefix, from the longest level down
-    pairs = np.flatnonzero(levels[0][slots[:-1]] == levels[0][slots[1:]])
-    left, right = slots[:-1][pairs].astype(np.int64), slots[1:][pairs].astype(np.int64)
-    found = np.zeros(len(pairs), dtype=np.int64)
+    pairs = np.flatnonzero(levels[0].equal(slots[:-1], slots[1:]))
+    left, right = slots[:-1][pairs], slots[1:][pairs]
+    found = np.zeros(len(pairs), dtype=np.int32)
     for k in range(len(levels) - 1, -1, -1):
         a, b = left + found, right + found
         ok = np.flatnonzero((a < stop[left]) & (b < stop[right]))
-        equal = ok[levels[k][a[ok]] == levels[k][b[ok]]]
-        found[equal] += 1 << k
+        found[ok[levels[k].equal(a[ok], b[ok])]] += 1 << k
     common[pairs] = found
     return slots, common
 
 
-def lcp_intervals(common: list[int], least: int = 1) -> list[tuple[int, int, int]]:
+def lcp_intervals(common: Iterable[int], least: int = 1) -> Iterator[tuple[int, int, int]]:
     """(lcp, first slot, last slot) of every LCP interval of ``least`` words or more, inner ones before outer ones, from the lcp of neighbouring slots."""
-    out, stack = [], [(0, 0)]
-    for i, value in enumerate([*common, 0]):
+    stack = [(0, 0)]
+    for i, value in enumerate(itertools.chain(common, [0])):
         value = value if value >= least else 0
         begin = i
         while stack[-1][0] > value:
             depth, begin = stack.pop()
-            out.append((depth, begin, i))
+            yield depth, begin, i
         if stack[-1][0] < value:
             stack.append((value, begin))
-    return out
 
 
 def deepest_intervals(common: np.ndarray, n: int, least: int) -> np.ndarray:
     """By slot, the depth of the deepest LCP interval of ``least`` words or more that holds it (0: none)."""
-    depth = np.zeros(n, dtype=np.int64)
+    depth = np.zeros(n, dtype=np.int32)
     deep = common >= least
     edge = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # slots a .. b hang together
-        free = list(range(b - a + 2))  # next slot without a depth, with shortened paths
-        own = [0] * (b - a + 1)
-        for d, i, j in lcp_intervals(common[a:b].tolist(), least):
+        free = array("i", range(b - a + 2))  # next slot without a depth, with shortened paths
+        own = array("i", bytes(4 * (b - a + 1)))
+        for d, i, j in lcp_intervals(array("i", common[a:b].astype(np.int32).tobytes()), least):
             k = i
             while True:
                 while free[k] != k:
@@ -114,7 +143,7 @@ def deepest_intervals(common: np.ndarray, n: int, least: int) -> np.ndarray:
 def longest_repeats(words: np.ndarray, owner: np.ndarray, stop: np.ndarray, least: int = 1) -> np.ndarray:
     """For each word, the words of the longest string from there that occurs twice in its text (0 below ``least``)."""
     slots, common = suffix_array(words, owner, stop)
-    result = np.zeros(len(words), dtype=np.int64)
+    result = np.zeros(len(words), dtype=np.int32)
     result[slots] = deepest_intervals(common, len(words), least)
     return result
 

@@ -329,3 +329,18 @@ int main() {}"""
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string"), m).collect()}
     assert [(i, w, got[i]) for i, _, w in rows if got[i] != w] == []
     assert [brute_licence(t, m)[0] for _, t, _ in rows] == [got[i] for i, _, _ in rows]
+
+
+@pytest.mark.parametrize("piece", [7, 1000, 1 << 18])
+def test_long_texts_are_counted_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(langid, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    for text in ("", "a", "ab", "Ab é", " ".join("".join(rng.choice(list("abcdéß日 "), 9)) for _ in range(400))):
+        found, _ = langid.grams([text.encode()], 12)
+        assert langid.gram_counts(text.encode(), 12).tolist() == np.bincount(found, minlength=1 << 12).tolist()
+    assert langid.has_letter("日本".encode() * 20) and not langid.has_letter("12 -- … “”".encode() * 50)
+    rows = [("some words of a text " * 40).encode(), b"short", None, ("andere Wörter " * 60).encode()]
+    model = langid.LanguageModel(["a", "b", "c"], 12, rng.normal(size=(1 << 12, 3)), rng.normal(size=3), 0.5)
+    plain = model.scores(rows)
+    monkeypatch.setattr(langid, "LONG", 100)
+    assert np.allclose(model.scores(rows), plain, atol=1e-12)

@@ -131,3 +131,10 @@ def test_components_of_a_path_and_a_star(spark):
     df = spark.createDataFrame([(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in edges], "a binary, b binary")
     got = {int(bytes(r.node)): int(bytes(r.root)) for r in components.components(df).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+
+
+def test_rows_with_equal_words_and_id_tie_by_all_columns(spark):
+    """Blanks and other columns differ; whatever the order of the rows, the same one stays."""
+    rows = [(3, "a few  words that are long enough", 1), (3, "a few words that are long enough", 2), (3, "a few words that are long enough ", 3), (9, "a few words that are long enough", 0)]
+    kept = {tuple(nearjoin.keep_one(spark.createDataFrame(order, "doc_id long, text string, n int").repartition(k)).collect()) for order in (rows, rows[::-1], rows[1:] + rows[:1]) for k in (1, 3)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1 and next(iter(kept))[0].doc_id == 3

@@ -68,3 +68,24 @@ def test_odd_tables(spark, odd, tmp_path, empty):
     else:
         rows = [r for r in docs.collect() if r.doc_id not in (8, 10)]  # thousands of equal words: rejected, and too long for brute force
         assert sorted(map(tuple, now.collect()), key=str) == plain(spark, rows, docs.schema)
+
+
+def test_names_that_operators_use_inside(spark, tmp_path):
+    """Columns named like those that stages make or add come back unchanged, row by row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 300 and 2500").limit(80)
+    names = ["_key", "_node", "_no_id", "copy", "rate", "_row", "__id", "row", "node", "tie", "kept", "words", "key"]
+    rows = [(*r, *(f"{n}{r.doc_id}" for n in names)) for r in docs.collect()]
+    rows += rows[:5]
+    schema = docs.schema
+    for n in names:
+        schema = schema.add(n, "string")
+    now, plain_docs = spark.createDataFrame(rows, schema), docs.unionByName(docs.limit(0))
+    allowed = set(rows)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        path = str(tmp_path / str(k))
+        stage(spark, now, "").write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.columns == plain_docs.columns + names and set(map(tuple, now.collect())) <= allowed and now.count()
+    bare = spark.createDataFrame([r[: len(docs.columns)] for r in rows], docs.schema)
+    one = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, bare, "").collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()) == one
