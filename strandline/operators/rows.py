@@ -56,9 +56,7 @@ def split_points(df: DataFrame, key: str, parts: int, accuracy: int = 10_000) ->
 
 
 def numbered(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Rows numbered from 0 in the order of their partitions (one extra pass to count partitions; no shuffle)."""
-    spark, schema = df.sparkSession, df.schema
-    rows = df.rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
-    from pyspark.sql import types as T
+    """Rows numbered from 0 in the order of their partitions."""
+    from ..sources import ordinals
 
-    return spark.createDataFrame(rows, T.StructType([T.StructField(name, T.LongType(), False), *schema.fields]))
+    return ordinals.numbered(df, name)

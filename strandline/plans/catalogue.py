@@ -891,12 +891,27 @@ def fasta_roundtrip(spark, sf_dir):
 def typed_header_row(spark, sf_dir):
     """A typed text table with a row of data that looks like its header."""
     path = shared_path(spark)
-    head = spark.createDataFrame([(["s40:name", "i:region"],)] * 2, "cells array<string>")
+    head = spark.createDataFrame([(["s40:name", "i:region"],)] * 2, "cells array<string>").coalesce(1)
     body = table(spark, sf_dir, "nation").select(F.array("n_name", F.col("n_regionkey").cast("string")).alias("cells"))
-    tables.write_tsv(head.unionByName(body).coalesce(1), path)
+    tables.write_tsv(head.unionByName(body.repartition(3)), path)  # the header's file is the first, and not the largest
     return tables.read_typed(spark, path)
 
 
+@query("""
+SELECT r - 1 AS i, j::BIGINT AS j, embedding[j + 1]::DOUBLE AS v FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings), range(64) q(j)
+""")
+def text_matrix(spark, sf_dir):
+    """The vectors as a text matrix of several files of different sizes; rows are numbered in the order of the files."""
+    path = shared_path(spark)
+    t = table(spark, sf_dir, "embeddings")
+    cut = t.agg(F.max("vec_id")).first()[0] or 0
+    cells = F.transform("embedding", lambda x: x.cast("double").cast("string")).alias("cells")
+    for part, below in enumerate((1, 2, 9, 11)):  # files of quite different sizes
+        own = t.filter((F.col("vec_id") < cut * below / 10) & (F.col("vec_id") >= cut * (0, 1, 2, 9)[part] / 10))
+        tables.write_tsv(own.repartitionByRange(2, "vec_id").sortWithinPartitions("vec_id").select(cells), f"{path}/part={part}")
+    return tables.read_matrix(spark, path)
+
+
 @query("SELECT c_custkey, c_name || ';' || c_mktsegment AS rest, 2 AS width FROM customer")
 def delimited_roundtrip(spark, sf_dir):
     """A table with other delimiters: rows end in a bar, cells in a caret."""

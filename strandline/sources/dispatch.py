@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import collections
+import shlex
+import subprocess
+import threading
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import binary, reads, tables
@@ -82,9 +88,50 @@ def _suffix(path: str, known: tuple[str, ...]) -> str:
 
 
 def open_process(spark: SparkSession, command: str, lines: DataFrame | None = None) -> DataFrame:
-    """(value) of the lines that a program prints; given lines are its input, one process a partition."""
-    source = lines.rdd.map(lambda r: r[0]) if lines is not None else spark.sparkContext.parallelize([""], 1)
-    return spark.createDataFrame(source.pipe(command, checkCode=True).map(lambda x: (x,)), "value string")
+    """(value) of the lines that a program prints; given lines are its input, one process a partition.
+
+    A program that ends with another code than 0 fails the task with the end of what it wrote to its standard error.
+    """
+    source = lines.select(F.col(lines.columns[0]).cast("string").alias("value")) if lines is not None else spark.range(1, numPartitions=1).select(F.lit(None).cast("string").alias("value"))
+    return source.mapInArrow(lambda batches: _piped(command, batches), "value string")
+
+
+def _piped(command: str, batches):
+    """What a program prints for the values of some batches, which it is given while its output is read."""
+    process = subprocess.Popen(shlex.split(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+    failed: list[BaseException] = []
+    said = collections.deque(maxlen=64)
+
+    def feed():
+        try:
+            for b in batches:
+                process.stdin.write("".join(f"{v}\n" for v in b.column("value").to_pylist() if v is not None).encode())
+            process.stdin.close()
+        except BrokenPipeError:  # it has read enough
+            pass
+        except BaseException as e:  # noqa: BLE001  raised again by the reader of the output
+            failed.append(e)
+            process.kill()
+
+    def listen():
+        while piece := process.stderr.read1(1 << 10):
+            said.append(piece)
+
+    others = [threading.Thread(target=f, daemon=True) for f in (feed, listen)]
+    for t in others:
+        t.start()
+    try:
+        while held := process.stdout.readlines(1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace").removesuffix("\n") for x in held], pa.string())], names=["value"])
+        code = process.wait()
+        for t in others:
+            t.join()
+    finally:
+        process.kill()
+    if failed:
+        raise failed[0]
+    if code:
+        raise RuntimeError(f"{command} ended with code {code}: {b''.join(said).decode('utf-8', 'replace')}")
 
 
 def discard(df: DataFrame) -> None:

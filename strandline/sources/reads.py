@@ -2,66 +2,37 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import trim
 from ..operators.lookup import small
-from .tables import lines_of
+from . import streams
+from .ordinals import file_columns, in_file_order
+from .tables import placed_lines
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(seq_id, name, seq): a record starts at a line that begins with ``>``; blanks inside a sequence are dropped.
 
-    Records are split at newline and ``>``, so files are read in parallel.  Text before the first record is left out.
+    Records are split at newline and ``>``, so files are read in parallel, and numbered in the order of the files.  Text before
+    the first record is left out.
     """
     if isinstance(path, str) and path.endswith(".gzip"):
-        return _records(_unpacked(spark, path))
-    pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    placed = pieces.withColumn("n", F.monotonically_increasing_id())
+        return _records(in_file_order(streams.read_stream(spark, path, "fasta"), "seq_id"))
+    pieces = spark.read.option("lineSep", "\n>").text(path).select("value", *file_columns(), F.monotonically_increasing_id().alias("n"))
     # only a file's first piece keeps its mark, and without one it holds text before the first record
-    firsts = placed.filter("block = 0").groupBy("file").agg(F.min("n").alias("first"))
-    told = placed.join(small(firsts), "file", "left").withColumn("is_first", F.col("n").eqNullSafe(F.col("first")))
-    head = F.col("value").startswith(">")
-    return _records(told.filter(~F.col("is_first") | head).select(F.when(F.col("is_first"), F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value")).alias("value")))
-
+    firsts = pieces.filter("block = 0").groupBy("file").agg(F.min("n").alias("first"))
+    told = pieces.join(small(firsts), "file", "left").withColumn("is_first", F.col("n").eqNullSafe(F.col("first")))
+    value = F.when(F.col("is_first"), F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value"))
+    return _records(in_file_order(told.filter(~F.col("is_first") | F.col("value").startswith(">")).select(value.alias("value"), "file", "block"), "seq_id"))
 
-def _unpacked(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of each record of ``.gzip`` files, which a task unpacks and cuts as a stream."""
 
-    def run(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                held: list[str] | None = None
-                out: list[str] = []
-                size = 0
-                with gzip.open(io.BytesIO(data), "rt", encoding="utf-8", errors="replace", newline="\n") as f:
-                    for line in f:
-                        if line.startswith(">"):
-                            if held is not None:
-                                out.append("".join(held))
-                                size += len(out[-1])
-                            held, line = [], line[1:]
-                        if held is not None:
-                            held.append(line)
-                        if size > 1 << 22:
-                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-                            out, size = [], 0
-                if held is not None:
-                    out.append("".join(held))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
-
-
-def _records(marked: DataFrame) -> DataFrame:
+def _records(numbered: DataFrame) -> DataFrame:
     parts = F.split("value", "\n", 2)
     seq = F.translate(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), " \t\r\n", "")
-    out = marked.select(trim(F.get(parts, F.lit(0))).alias("name"), seq.alias("seq"))
-    return out.select(F.monotonically_increasing_id().alias("seq_id"), "name", "seq")
+    return numbered.select("seq_id", trim(F.get(parts, F.lit(0))).alias("name"), seq.alias("seq"))
 
 
 def write_fasta(df: DataFrame, path: str, compression: str | None = None) -> None:
@@ -73,44 +44,30 @@ def write_fasta(df: DataFrame, path: str, compression: str | None = None) -> Non
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, name, seq, qual): four lines a record, blank lines left out; marks and lengths are checked.
 
-    ``@`` is a legal quality, so records can only be told by counting lines.  A first pass counts the lines of each split;
-    from the sums a second pass knows which of its lines begin a record.  Only records that lie across two splits are
-    shuffled.
+    ``@`` is a legal quality, so records can only be told by counting lines, which are numbered in the order of the files.  Only
+    records that lie across two splits are shuffled.
     """
-    filled = lines_of(spark, path).select(trim(F.col("value")).alias("line")).filter("line <> ''")
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        n = sum(b.num_rows for b in batches)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    counts = sorted(filled.mapInArrow(count, "part int, n long").collect())  # one row a split
-    start, total = {}, 0
-    for part, n in counts:
-        start[part], total = total, total + n
-    if total % 4:
-        raise ValueError("malformed: the last read is truncated")
+    filled = placed_lines(spark, path).select(trim(F.col("value")).alias("line"), "file", "block").filter("line <> ''")
+    odd = filled.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n % 4 <> 0").first()
+    if odd is not None:
+        raise ValueError(f"malformed: the last read of {odd.file} is truncated")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        at = start[TaskContext.get().partitionId()]
         for b in batches:
-            line = b.column("line").to_pylist()
-            first = -at % 4  # lines that belong to a read which began before
-            whole = first + (len(line) - first) // 4 * 4 if len(line) > first else 0
-            begin = min(first, len(line))
-            reads = [line[begin + k : whole : 4] for k in range(4)]
-            n = len(reads[0])
-            loose = [*range(begin), *range(max(whole, begin), len(line))]
-            columns = [pa.array([(at + begin) // 4 + k for k in range(n)] + [(at + k) // 4 for k in loose], pa.int64())]
-            columns += [pa.array([*r, *[None] * len(loose)], pa.string()) for r in reads]
-            columns += [pa.array([None] * n + [(at + k) % 4 for k in loose], pa.int32()), pa.array([None] * n + [line[k] for k in loose], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["read_id", "a", "b", "c", "d", "k", "line"])
-            at += len(line)
-
-    cut = filled.mapInArrow(run, "read_id long, a string, b string, c string, d string, k int, line string")
+            at, line = b.column("at").to_numpy(), b.column("line")
+            n = len(at)
+            begin = np.flatnonzero((at[: max(n - 3, 0)] % 4 == 0) & (at[3:] == at[: max(n - 3, 0)] + 3)) if n > 3 else np.zeros(0, np.int64)
+            loose = np.ones(n, dtype=bool)
+            loose[(begin[:, None] + np.arange(4)).ravel()] = False
+            loose = np.flatnonzero(loose)
+            ids = pa.array(np.append(at[begin], at[loose]) // 4)
+            none = pa.nulls(len(loose), pa.string())
+            reads = [pa.concat_arrays([line.take(pa.array(begin + k)).cast(pa.string()), none]) for k in range(4)]
+            rest = pa.concat_arrays([pa.nulls(len(begin), pa.string()), line.take(pa.array(loose)).cast(pa.string())])
+            place = pa.concat_arrays([pa.nulls(len(begin), pa.int32()), pa.array((at[loose] % 4).astype(np.int32))])
+            yield pa.RecordBatch.from_arrays([ids, *reads, place, rest], names=["read_id", "a", "b", "c", "d", "k", "line"])
+
+    cut = in_file_order(filled, "at").mapInArrow(run, "read_id long, a string, b string, c string, d string, k int, line string")
     across = cut.filter("k is not null").groupBy("read_id").agg(*(F.max(F.when(F.col("k") == k, F.col("line"))).alias(c) for k, c in enumerate("abcd")))
     every = cut.filter("k is null").select("read_id", "a", "b", "c", "d").unionByName(across)
     ok = F.col("a").startswith("@") & F.col("c").startswith("+") & (F.length("b") == F.length("d"))

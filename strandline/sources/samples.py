@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import LOADING_MARK
+from . import streams
 
 #: Columns of a scored read between its read counts and those by individual; the first eight are whole numbers.
 INDICES = ["RightLoading", "RightGenotype", "WrongJointLoading", "WrongJointGenotype", "WrongLoading", "WrongGenotype", "WrongGenotype|Load", "WrongLoading|Geno"]
 NUMBERS = ["lnPJointRight", "lnPJointWrong", "lnPLoadRight", "lnPLoadWrong", "lnPGenoRight", "lnPGenoWrong", "lnPGenoRight|Load", "lnPGenoWrong|Load", "lnPLoadRight|Geno", "lnPLoadWrong|Geno"]
-#: Rows of a batch.
-BATCH = 8192
 
 
 def read_loadings(spark: SparkSession, path: str) -> DataFrame:
-    """(load_idx, geno_idx, rep, counts array<bigint>) of simulated loadings; a file is one task's, read in batches."""
+    """(load_idx, geno_idx, rep, counts array<bigint>) of simulated loadings, by ranges of records."""
+    return streams.read_fixed(spark, path, "loadings", "load_idx int, geno_idx long, rep int, counts array<long>")
 
-    def run(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                mark, alleles, _, n = struct.unpack_from("=4Q", data)
-                if mark != LOADING_MARK:
-                    raise ValueError("a file of a machine with another byte order")
-                *ploidies, fan = struct.unpack_from(f"={n + 1}Q", data, 32)
-                genos, first = alleles ** sum(ploidies), 40 + 8 * n
-                if (len(data) - first) % (8 * alleles * genos * fan):
-                    raise ValueError("truncated loadings")
-                rows = (len(data) - first) // (8 * alleles)
-                for i in range(0, rows, BATCH):
-                    at = np.arange(i, min(rows, i + BATCH))
-                    counts = np.frombuffer(data, "=i8", len(at) * alleles, first + 8 * alleles * i)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * alleles, pa.int32()), pa.array(counts))
-                    columns = [pa.array(at // (genos * fan), pa.int32()), pa.array(at // fan % genos), pa.array(at % fan, pa.int32()), lists]
-                    yield pa.RecordBatch.from_arrays(columns, names=["load_idx", "geno_idx", "rep", "counts"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "load_idx int, geno_idx long, rep int, counts array<long>")
-
-
-def _record(alleles: int, individuals: int) -> np.dtype:
+def record(alleles: int, individuals: int) -> np.dtype:
+    """The layout of a scored read."""
     whole = [f"RC{i}" for i in range(alleles)] + INDICES + [f"WrongG{i}" for i in range(individuals)]
     real = NUMBERS + [f"lnP{w}G{i}" for i in range(individuals) for w in ("Right", "Wrong")]
     return np.dtype([(c, "=i8") for c in whole] + [(c, "=f8") for c in real])
@@ -50,21 +28,11 @@ def _record(alleles: int, individuals: int) -> np.dtype:
 
 def pack_scored(rows: Iterable[tuple], alleles: int, individuals: int) -> bytes:
     """Records of scored reads, given in the order of the file."""
-    return np.array(list(rows), dtype=_record(alleles, individuals)).tobytes()
+    return np.array(list(rows), dtype=record(alleles, individuals)).tobytes()
 
 
 def read_scored(spark: SparkSession, path: str, alleles: int, individuals: int) -> DataFrame:
     """Scored reads under the names of the report; genotypes and loadings are numbers; -1 where there is none."""
-    record = _record(alleles, individuals)
-    schema = ", ".join(f"`{c}` {'long' if record[c].kind == 'i' else 'double'}" for c in record.names)
-
-    def run(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                if len(data) % record.itemsize:
-                    raise ValueError("truncated record")
-                for at in range(0, len(data), BATCH * record.itemsize):
-                    rows = np.frombuffer(data[at : at + BATCH * record.itemsize], record)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in record.names], names=list(record.names))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    kind = record(alleles, individuals)
+    schema = ", ".join(f"`{c}` {'long' if kind[c].kind == 'i' else 'double'}" for c in kind.names)
+    return streams.read_fixed(spark, path, "scored", schema, alleles=alleles, individuals=individuals)

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 import itertools
-import struct
 import sys
 
-import numpy as np
-import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..operators import rows, typed
 from ..schema import ColumnKind, kinds_of_header, render_sigil
 from ..session import shared_path
+from . import streams
+from .ordinals import TASK_BITS, file_columns, first_of, in_file_order
 
 
 def read_delimited(spark: SparkSession, path: str, row_delimiter: str = "\n", cell_delimiter: str = "\t") -> DataFrame:
@@ -34,19 +30,32 @@ def clean_line(line: Column, escapes: bool = True) -> Column:
     return clean_cells(F.split(line, "\t", -1), escapes)
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block) of each line; ``.gzip`` files, whose suffix Spark has no codec for, are unpacked as streams, one a task."""
+    if path in ("", "-"):
+        return read_lines(spark).select("value", *file_columns())
+    if path.endswith(".gzip"):
+        return streams.read_stream(spark, path, "lines")
+    return spark.read.option("lineSep", "\n").text(path).select("value", *file_columns())
+
+
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of each line; ``.gzip`` files, whose suffix Spark has no codec for, are unpacked whole, one a task."""
-    if not path.endswith(".gzip"):
-        return spark.read.option("lineSep", "\n").text(path)
+    """(value) of each line."""
+    return placed_lines(spark, path).select("value")
 
-    def unpack(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                with gzip.open(io.BytesIO(data), "rt", encoding="utf-8", errors="replace", newline="\n") as f:
-                    while lines := f.readlines(1 << 20):
-                        yield pa.RecordBatch.from_arrays([pa.array([x.removesuffix("\n") for x in lines], pa.string())], names=["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
+def placed_cells(spark: SparkSession, path: str, escapes: bool = True) -> DataFrame:
+    """(cells, file, block) of the rows that are not empty."""
+    return rows.drop_empty(placed_lines(spark, path).select(clean_line(F.col("value"), escapes).alias("cells"), "file", "block"))
+
+
+def read_numbered(spark: SparkSession, path: str, escapes: bool = True) -> DataFrame:
+    """(row_id, cells): rows numbered in the order of their files, the same whenever they are read."""
+    if path.endswith(".bctab"):
+        from . import binary
+
+        return binary.read(spark, path)
+    return in_file_order(placed_cells(spark, path, escapes))
 
 
 def read_tsv(spark: SparkSession, path: str, escapes: bool = True) -> DataFrame:
@@ -73,41 +82,42 @@ def write_tsv(df: DataFrame, path: str, escapes: bool = True, compression: str |
 
 def read_typed(spark: SparkSession, path: str, head: bool = True, sigil: bool = True) -> DataFrame:
     """Typed columns: the first row, read alone, gives the kinds; where it is a header that row, and no other like it, is left out."""
-    from .dispatch import open_table
-
-    placed = open_table(spark, path).select("cells", F.monotonically_increasing_id().alias("place"))
-    first = placed.first()
+    if path.endswith(".bctab"):
+        placed = read_numbered(spark, path)
+        first = placed.filter("row_id = 0").first()
+    else:
+        placed = placed_cells(spark, path)
+        first = first_of(placed)
     if first is None:
         raise ValueError("no header row")
     kinds = kinds_of_header(first.cells, head, sigil)
-    rest = placed.filter(F.col("place") != first.place) if head else placed
+    if not head:
+        rest = placed
+    elif "row_id" in placed.columns:
+        rest = placed.filter("row_id > 0")
+    else:
+        # its split is read by one task, which leaves out its first row
+        own = (F.col("file") == first.file) & (F.col("block") == first.block)
+        later = placed.filter(own).withColumn("place", F.monotonically_increasing_id()).filter(F.col("place").bitwiseAND((1 << TASK_BITS) - 1) > 0)
+        rest = later.select("cells").unionByName(placed.filter(~own).select("cells"))
     return typed.to_typed(rest.select("cells"), kinds)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v) of a text table of numbers; rows of different widths are an error."""
-    cells = rows.numbered(read_tsv(spark, path).select("cells"), "i")
-    width = cells.agg(F.min(F.size("cells")), F.max(F.size("cells"))).first()
+    """(i, j, v) of a text table of numbers, rows in the order of their files; rows of different widths are an error."""
+    placed = placed_cells(spark, path)
+    width = placed.agg(F.min(F.size("cells")), F.max(F.size("cells"))).first()
     if width[0] is None:
         raise ValueError("empty matrix")
     if width[0] != width[1]:
         raise ValueError("ragged matrix")
+    cells = in_file_order(placed, "i")
     return cells.select("i", F.posexplode("cells").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), text.parse_float(F.col("v")).alias("v"))
 
 
 def read_binary_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v) of binary matrix files (rows, columns, then numbers, all big-endian); a file is one task's."""
-
-    def run(batches):
-        for b in batches:
-            for data in b.column("content").to_pylist():
-                n, m = struct.unpack_from(">2Q", data)
-                if len(data) != 16 + 8 * n * m:
-                    raise ValueError("truncated matrix")
-                at = np.arange(n * m)
-                yield pa.RecordBatch.from_arrays([pa.array(at // max(m, 1)), pa.array(at % max(m, 1)), pa.array(np.frombuffer(data, ">f8", n * m, 16).astype(float))], names=["i", "j", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "i long, j long, v double")
+    """(i, j, v) of binary matrix files (rows, columns, then numbers, all big-endian), by ranges of cells."""
+    return streams.read_fixed(spark, path, "matrix", "i long, j long, v double")
 
 
 def write_lines(lines: DataFrame, out=None) -> None:

@@ -1,15 +1,16 @@
 import gzip
 import io
 import os
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline import cli
 from strandline.functions import text
-from strandline.operators import sequences, typed
+from strandline.operators import rows, sequences, typed
 from strandline.schema import ColumnKind, from_struct, kinds_of_header, parse_sigil, render_sigil
-from strandline.sources import binary, blocks, dispatch, reads, tables
+from strandline.sources import binary, blocks, dispatch, reads, store, streams, tables
 from strandline.streaming import stream_typed
 
 KINDS = [ColumnKind("temp", "cat", {"cold": 0, "hot": 1}), ColumnKind("count", "int"), ColumnKind("score", "real"), ColumnKind("tag", "str", length=8)]
@@ -295,3 +296,85 @@ def test_standard_input_and_output(spark):
     out = io.StringIO()
     tables.write_lines(got.orderBy("value"), out)
     assert out.getvalue().splitlines() == sorted(lines)
+
+
+def test_header_and_rows_over_files_of_any_size(spark, tmp_path):
+    """Spark packs the largest files first; the header and the order of rows are those of the files' names."""
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "part-0.tsv").write_text("\n\ni:a\ts8:b\n")
+    want = []
+    for k, n in ((1, 3), (2, 4000), (3, 500), (4, 0), (5, 9000)):
+        own = [(len(want) + i, f"t{(len(want) + i) % 97}") for i in range(n)]
+        (folder / f"part-{k}.tsv").write_text("".join(f"{a}\t{b}\n" for a, b in own))
+        want += own
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert sorted(map(tuple, tables.read_typed(spark, str(folder)).collect())) == want
+        for _ in range(2):
+            got = sorted((r.row_id, tuple(r.cells)) for r in tables.read_numbered(spark, str(folder)).collect())
+            assert got == list(enumerate([("i:a", "s8:b"), *((str(a), b) for a, b in want)]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_matrix_rows_over_files(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"m{k}.tsv").write_text("".join(f"{k}\t{i}\n" for i in range((3, 400, 1, 60)[k])))
+    want = [(float(k), float(i)) for k in range(4) for i in range((3, 400, 1, 60)[k])]
+    got = {(r.i, r.j): r.v for r in tables.read_matrix(spark, str(tmp_path / "m*.tsv")).collect()}
+    assert got == {(n, j): x[j] for n, x in enumerate(want) for j in (0, 1)}
+
+
+def test_ids_of_records_over_files(spark, tmp_path):
+    """Records of several files, cut into many splits, get the same ids at every reading."""
+    for k, n in enumerate((2, 300, 40)):
+        (tmp_path / f"r{k}.fastq").write_text("".join(f"@r{k}-{i}\nACGT\n+\n@@@@\n" for i in range(n)))
+        (tmp_path / f"s{k}.fa").write_text("text before\n" * (k == 1) + "".join(f">s{k}-{i}\nAC\nGT\n" for i in range(n)))
+    names = [f"{k}-{i}" for k, n in enumerate((2, 300, 40)) for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for _ in range(2):
+            assert sorted((r.read_id, r.name) for r in reads.read_fastq(spark, str(tmp_path / "*.fastq")).collect()) == [(i, f"r{n}") for i, n in enumerate(names)]
+            assert sorted((r.seq_id, r.name, r.seq) for r in reads.read_fasta(spark, str(tmp_path / "*.fa")).collect()) == [(i, f"s{n}", "ACGT") for i, n in enumerate(names)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbers_of_sorted_rows_hold_over_readings(spark):
+    df = spark.range(5000).selectExpr("hash(id) AS h", "id AS row").repartition(7).orderBy("h", "row")
+    numbered = rows.numbered(df, "n")
+    want = sorted((r.h, r.row) for r in df.collect())
+    assert sorted((r.n, r.h, r.row) for r in numbered.collect()) == [(i, *x) for i, x in enumerate(want)] == sorted((r.n, r.h, r.row) for r in numbered.collect())
+
+
+def test_programs_that_fail_say_why(spark):
+    with pytest.raises(Exception, match="no such place|No such file"):
+        dispatch.open_process(spark, "ls /no/such/place").collect()
+    many = spark.range(50_000).selectExpr("cast(id AS string) AS value").repartition(3)
+    assert sorted(int(r.value) for r in dispatch.open_process(spark, "cat", many).collect()) == list(range(50_000))
+    assert len(dispatch.open_process(spark, "head -n 1", many).collect()) == 3
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    """A matrix of 2.4 GB, mostly a hole in the file, is read by ranges; a task seeks to its own."""
+    rows_, columns = 300_000, 1000
+    path = str(tmp_path / "big")
+    with open(path, "wb") as f:
+        f.write(struct.pack(">2Q", rows_, columns))
+        f.truncate(16 + 8 * rows_ * columns)
+        f.seek(16 + 8 * (299_999 * columns + 7))
+        f.write(struct.pack(">d", 2.5))
+    reader = streams.FixedReader({"path": path, "kind": "matrix", "part": str(1 << 24)})
+    parts = reader.partitions()
+    assert len(parts) == 144 and parts[-1].stop == rows_ * columns
+    last = [b.to_pydict() for b in reader.read(parts[-1])]
+    assert sum(map(len, (b["v"] for b in last))) == parts[-1].stop - parts[-1].first
+    assert [(i, j, v) for b in last for i, j, v in zip(b["i"], b["j"], b["v"], strict=True) if v] == [(299_999, 7, 2.5)]
+
+
+def test_paths_of_unknown_stores_are_errors():
+    with pytest.raises(Exception, match="nosuch|[Uu]nrecognized"):
+        store.open_in("nosuch://store/in/x")
