@@ -299,10 +299,11 @@ def _pairs(index: DataFrame, items: DataFrame, item_id: str, text: str) -> DataF
     tests = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).filter("text is not null")
     tests = stored(tests.mapInArrow(pack_items, TESTS)).withColumnsRenamed({"low": "t_low", "high": "t_high"}).drop("block")
     size = tests.agg(F.sum(sum((F.octet_length(c) for c in ("bounds", "t_low", "t_high", "words")), F.lit(0)) + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = size <= SMALL
+    shards = 1 if few else int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = index.withColumn("shard", F.expr(f"pmod(xxhash64(segment), {shards})").cast("int"))
     right = tests.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    return left.join(F.broadcast(right) if size * shards <= SMALL else right, "shard")
+    return left.join(F.broadcast(right) if few else right, "shard")
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_id: str = "item_id", text: str = "text") -> DataFrame:
