@@ -56,6 +56,17 @@ def allele_loading(alleles: Column, loads: Column, ploidies: Sequence[int], n_al
     return F.array(*(one(a).cast("bigint") for a in range(n_alleles)))
 
 
+def loading_by_allele(df: DataFrame, keys: Sequence[str], allele: str, load: str, n_alleles: int) -> DataFrame:
+    """(keys, allele, load) of every allele of a group, from a row for each copy, whatever the number of copies."""
+    sums = [F.coalesce(F.sum(F.when(F.col(allele) == a, F.col(load))), F.lit(0)).cast("bigint") for a in range(n_alleles)]
+    return df.groupBy(*keys).agg(F.array(*sums).alias("__sums")).select(*keys, F.posexplode("__sums").alias("__a", "load")).select(*keys, F.col("__a").cast("bigint").alias("allele"), "load")
+
+
+def canonical_multiset(alleles: Column) -> Column:
+    """All alleles of one individual, sorted, whatever their number."""
+    return F.array_sort(alleles)
+
+
 def canonical_genotype(alleles: Column, ploidies: Sequence[int]) -> Column:
     """Alleles sorted within each individual: equal for genotypes that cannot be told apart."""
     parts, at = [], 1

@@ -154,14 +154,25 @@ def merge_sorted(spark, sf_dir):
 
 
 @query("""
-SELECT k, max(x) FILTER (r * 4 <= n * k) IS NOT NULL AS found, count(*) FILTER (r * 4 <= n * k) BETWEEN min(n) * k / 4 - 1 AND min(n) * k / 4 + 1 AS near FROM (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders), range(1, 4) q(k) GROUP BY k
+WITH o AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders)
+SELECT k, x AS price, (SELECT count(*) FROM orders WHERE o_totalprice < x) AS below, (SELECT count(*) FROM orders WHERE o_totalprice <= x) AS upto
+FROM o, range(1, 8) q(k) WHERE r = (n * k + 7) // 8
 """)
 def quantiles(spark, sf_dir):
-    """Prices that part the orders into four: as many orders lie below each as should, to one row."""
-    t = table(spark, sf_dir, "orders")
-    at = rows.split_points(t, "o_totalprice", 4, 1 << 30)
-    below = [F.struct(F.lit(k + 1).cast("bigint").alias("k"), F.lit(True).alias("found"), F.count_if(F.col("o_totalprice") <= x).between(F.count(F.lit(1)) * (k + 1) / 4 - 1, F.count(F.lit(1)) * (k + 1) / 4 + 1).alias("near")) for k, x in enumerate(at)]
-    return t.agg(F.array(*below).alias("b")).select(F.inline("b"))
+    """Prices that part the sorted orders into eight, exactly, with the places where equal prices begin and end."""
+    found = rows.split_places(table(spark, sf_dir, "orders"), "o_totalprice", 8)
+    return spark.createDataFrame([(k, float(x), below, upto) for k, (x, below, upto) in enumerate(found, 1)], "k long, price double, below long, upto long")
+
+
+@query("""
+WITH l AS (SELECT l_quantity AS x, row_number() OVER (ORDER BY l_quantity) AS r, count(*) OVER () AS n FROM lineitem)
+SELECT k, x AS quantity, (SELECT count(*) FROM lineitem WHERE l_quantity < x) AS below, (SELECT count(*) FROM lineitem WHERE l_quantity <= x) AS upto
+FROM l, range(1, 16) q(k) WHERE r = (n * k + 15) // 16
+""")
+def quantiles_of_ties(spark, sf_dir):
+    """The same over lines, of whose quantities each is that of a fiftieth of all rows."""
+    found = rows.split_places(table(spark, sf_dir, "lineitem"), "l_quantity", 16)
+    return spark.createDataFrame([(k, float(x), below, upto) for k, (x, below, upto) in enumerate(found, 1)], "k long, quantity double, below long, upto long")
 
 
 # ---- text
@@ -206,18 +217,32 @@ def regex_longest(spark, sf_dir):
 
 
 @query(r"""
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(t, '[a-z]+') THEN 0 WHEN regexp_full_match(t, '[0-9]+') THEN 1 ELSE 2 END AS kind
-FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '(?i)[a-z]+|[0-9]+|[^a-zA-Z0-9]')) AS t, o_orderpriority FROM orders)
-WHERE t = lower(t)) GROUP BY kind
+SELECT kind, t AS token, count(*) AS n FROM (SELECT t, CASE WHEN regexp_full_match(t, '[A-Z]+') THEN 0 WHEN regexp_full_match(t, '[0-9]+') THEN 1 ELSE 2 END AS kind
+FROM (SELECT unnest(regexp_extract_all(o_orderpriority, '[A-Z]+|[0-9]+|[ .,:;-]')) AS t FROM orders)) GROUP BY ALL
 """)
 def regex_tokens(spark, sf_dir):
-    """Maximal-munch tokens of a priority: words, numbers, other characters (lower-cased words are left out by the sets)."""
-    word = patterns.charset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    digit = patterns.charset("0123456789")
-    rest = patterns.charset(" -.,:;")
-    udf = patterns.tokenize_udf(word + word.star(), digit + digit.star(), rest)
-    found = table(spark, sf_dir, "orders").select(F.explode(udf("o_orderpriority")).alias("t")).select(F.element_at("t.types", 1).alias("kind"))
-    return found.filter("kind > 0").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Maximal-munch tokens of a priority: words, numbers, other characters."""
+    udf = patterns.tokenize_udf(*_token_kinds())
+    found = table(spark, sf_dir, "orders").select(F.explode(udf("o_orderpriority")).alias("t")).select(F.element_at("t.types", 1).alias("kind"), "t.text")
+    return found.groupBy("kind", F.col("text").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _token_kinds():
+    word, digit = patterns.charset("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), patterns.charset("0123456789")
+    return word + word.star(), digit + digit.star(), patterns.charset(" -.,:;")
+
+
+@query(r"""
+SELECT place, token, rest, count(*) AS n FROM (SELECT unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place, rest
+FROM (SELECT regexp_extract_all(regexp_extract(o_comment_, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', 0), '[A-Z]+|[0-9]+|[ .,:;-]') AS w, regexp_replace(o_comment_, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', '') AS rest
+FROM (SELECT o_orderpriority || '/' || CAST(o_orderkey % 7 AS VARCHAR) AS o_comment_ FROM orders))) GROUP BY ALL
+""")
+def token_table(spark, sf_dir):
+    """A tokenizer as a table function beside each row: the tokens with their places, and what no token fits."""
+    patterns.register_tokenizer(spark, "order_tokens", *_token_kinds())
+    source = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", (F.col("o_orderkey") % 7).cast("string")).alias("said"))
+    found = spark.sql("SELECT t.place, t.token, t.rest FROM {orders} o, LATERAL order_tokens(o.said) t", orders=source)
+    return found.groupBy("place", "token", "rest").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -383,7 +408,7 @@ SELECT array_to_string(canon, '/') AS parts, count(*) AS n FROM p GROUP BY ALL
 def canonical_multisets(spark, sf_dir):
     """The multiset of all parts of an order, as a class of its own."""
     found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_partkey") % 10).alias("parts"))
-    canon = F.when(F.size("parts") > 0, aggregates.canonical_genotype(F.col("parts"), [64]))  # one individual with all the order's parts
+    canon = aggregates.canonical_multiset(F.col("parts"))
     return found.select(F.array_join(F.transform(canon, lambda x: x.cast("string")), "/").alias("parts")).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -391,10 +416,9 @@ def canonical_multisets(spark, sf_dir):
 SELECT l_orderkey, a AS allele, coalesce(sum(l_linenumber) FILTER (l_partkey % 4 = a), 0)::BIGINT AS load FROM lineitem, range(0, 4) r(a) GROUP BY ALL
 """)
 def allele_loading(spark, sf_dir):
-    """Loads (line numbers) summed by allele (a part's remainder) over all lines of an order; an individual that is not there adds nothing."""
-    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 4).alias("a")))).alias("x"))
-    load = aggregates.allele_loading(F.transform("x", lambda v: v["a"]), F.transform("x", lambda v: v["l_linenumber"]), [1] * 24, 4)
-    return packed.select("l_orderkey", F.posexplode(load).alias("allele", "load")).select("l_orderkey", F.col("allele").cast("bigint").alias("allele"), "load")
+    """Loads (line numbers) summed by allele (a part's remainder) over all lines of an order, whatever their number; an allele that none has is 0."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 4).alias("allele"), "l_linenumber")
+    return aggregates.loading_by_allele(t, ["l_orderkey"], "allele", "l_linenumber", 4)
 
 
 @query("""
@@ -850,10 +874,10 @@ def matrix_file(spark, sf_dir):
 
 
 def _put(path: str, data: bytes) -> None:
-    import os
+    from ..sources import store
 
-    os.makedirs(binary.local(path), exist_ok=True)
-    with open(os.path.join(binary.local(path), "matrix"), "wb") as f:
+    store.make_folder(path)
+    with store.open_out(store.join(path, "matrix")) as f:
         f.write(data)
 
 
@@ -912,6 +936,31 @@ def text_matrix(spark, sf_dir):
     return tables.read_matrix(spark, path)
 
 
+@query("SELECT s_suppkey, s_name, s_acctbal, r - 1 AS row_id FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier) WHERE r > 20 AND r <= 70")
+def data_range(spark, sf_dir):
+    """Rows 20 to 69 of a table of fixed-width rows in several files, by their numbers; the bounds reach the reader."""
+    path = shared_path(spark)
+    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    binary.write(t.repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey"), path, ".zlib.bcdat")
+    return rows.row_range(binary.read(spark, path, rows=16, number="row_id"), 20, 70).select("s_suppkey", "s_name", "s_acctbal", "row_id")
+
+
+@query("SELECT r - 1 AS row_id, o_orderkey AS read_index, o_custkey AS ref_index, -o_totalprice AS log_prob, (1 + o_orderkey % 3)::BIGINT AS n_events FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r > 100 AND r <= 164")
+def alignment_range(spark, sf_dir):
+    """Alignments 100 to 163 of several files, with all their events, by their numbers."""
+    path = shared_path(spark)
+    zero = F.lit(0).cast("bigint")
+    events = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int")), lambda k: F.struct(F.element_at(F.array(*map(F.lit, "MIX")), k + 1).alias("type"), (k + 1).alias("n")))
+    t = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("read_index"), F.col("o_custkey").cast("bigint").alias("ref_index"), (-F.col("o_totalprice")).alias("log_prob"),
+        *(zero.alias(c) for c in ("start_contig_ref", "start_index_ref", "start_contig_read", "start_index_read")), events.alias("events"),
+    )
+    binary.write(t.repartitionByRange(4, "read_index").sortWithinPartitions("read_index"), path, ".zlib.bsalgn")
+    found = rows.row_range(binary.read(spark, path, rows=50, number="row_id"), 100, 164)
+    right = F.forall("events", lambda e: e["type"] == F.element_at(F.array(*map(F.lit, "MIX")), e["n"]))
+    return found.filter(right).select("row_id", "read_index", "ref_index", "log_prob", F.size("events").cast("bigint").alias("n_events"))
+
+
 @query("SELECT c_custkey, c_name || ';' || c_mktsegment AS rest, 2 AS width FROM customer")
 def delimited_roundtrip(spark, sf_dir):
     """A table with other delimiters: rows end in a bar, cells in a caret."""

@@ -4,28 +4,27 @@
     spark.read.format("strandline").load("t.zlib.bctab")
     df.write.format("strandline").option("suffix", ".zlib.bctab").mode("append").save(folder)
 
-Paths are opened by the executors, so they must lie on storage that all of them mount.  A task writes its set of files into
+Paths and URIs are opened by the executors (see ``store``), so they must lie where all of them reach.  A task writes its set of files into
 a work folder of its own attempt; the driver moves the sets of the attempts that count into place when all are done, under
 names that follow those of earlier writes, and takes the work folder away.  So a repeated or abandoned attempt leaves
 nothing, ``append`` adds sets and ``overwrite`` replaces them.  A folder is read as all the sets in it, in order of name.
 
-Filters that bound the row number (``row_id``, ``seq_id``, ``graph_id``) choose the rows that are read at all.
+Filters that bound the row number (``row_id``, ``seq_id``, ``graph_id``, or the column that the option ``number`` adds to rows of fixed
+width) choose the rows that are read at all.  Readers and writers work on Arrow batches.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schema import from_struct, to_struct
-from . import blocks
+from . import blocks, packing, store
 
 SUFFIXES = (".raw.bctab", ".zlib.bctab", ".raw.bcdat", ".zlib.bcdat", ".bdat", ".bdat.gz", ".bdat.gzip", ".raw.bcseq", ".zlib.bcseq", ".raw.bsgrap", ".zlib.bsgrap", ".raw.bsalgn", ".zlib.bsalgn")
 #: Columns that hold the number of a row.
@@ -49,15 +48,10 @@ def kind_of(path: str) -> str:
     raise ValueError(f"no binary format has the suffix of {path}")
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def files_of(path: str) -> list[str]:
-    path = local(path)
-    if not os.path.isdir(path):
+    if not store.is_folder(path):
         return [path]
-    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(SUFFIXES))
+    return [store.join(path, f) for f in store.names_in(path) if f.endswith(SUFFIXES)]
 
 
 def size_of(path: str) -> int:
@@ -82,15 +76,18 @@ class Rows(InputPartition):
 
 
 class Reader(DataSourceReader):
+    number: str | None = None
+
     def __init__(self, options: dict):
         self.files = files_of(options["path"])
         self.grain = int(options.get("rows", 65_536))
         self.first, self.stop = 0, 1 << 63  # row numbers that are wanted
+        self.number = options.get("number")
 
     def pushFilters(self, filters):
         """Takes bounds on the row number; all filters are applied again by Spark."""
         for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in NUMBERS and isinstance(f.value, int):
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and (f.attribute in NUMBERS or f.attribute == (self.number,)) and isinstance(f.value, int):
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
                     self.first = max(self.first, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
@@ -119,15 +116,21 @@ class Reader(DataSourceReader):
             for at, names, seqs in blocks.sequence_batches(part.path, part.first, part.stop):
                 yield pa.RecordBatch.from_arrays([pa.array(at + part.before), names, seqs], names=["seq_id", "name", "seq"])
         elif kind == "bsgrap":
-            for g in blocks.read_graphs(part.path, part.first, part.stop):
-                yield (part.before + g["graph_id"], *(g[k] for k in ("name", "seq", "extra", "contigs", "in_links", "out_links", "num_links", "suffix")))
+            for at, columns in packing.graph_batches(part.path, part.first, part.stop):
+                names = ["graph_id", "name", "seq", "extra", "contigs", "in_links", "out_links", "num_links", "suffix"]
+                yield pa.RecordBatch.from_arrays([pa.array(at + part.before), *columns], names=names)
         elif kind == "bsalgn":
-            for r in blocks.read_alignments(part.path, part.first, part.stop):
-                yield tuple(r.values())
+            for at, columns in packing.alignment_batches(part.path, part.first, part.stop):
+                yield self._numbered(at + part.before, columns, [*packing.ALIGNMENT.names[:-1], "events"])
         else:
             kinds, *_ = blocks.data_shape(part.path)
-            for columns in blocks.data_batches(part.path, part.first, part.stop):
-                yield pa.RecordBatch.from_arrays(columns, names=[k.name for k in kinds])
+            for at, columns in blocks.data_batches(part.path, part.first, part.stop):
+                yield self._numbered(at + part.before, columns, [k.name for k in kinds])
+
+    def _numbered(self, at, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+        if self.number:
+            columns, names = [pa.array(at), *columns], [self.number, *names]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 @dataclass
@@ -136,47 +139,52 @@ class Done(WriterCommitMessage):
     rows: int
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool):
-        self.folder, self.suffix, self.schema, self.overwrite = local(options["path"]), options.get("suffix", ".zlib.bctab"), schema, overwrite
+        self.folder, self.suffix, self.schema, self.overwrite = options["path"], options.get("suffix", ".zlib.bctab"), schema, overwrite
         if self.suffix not in SUFFIXES:
             raise ValueError(f"unknown suffix {self.suffix}")
+        store.system(self.folder)  # an unknown scheme is an error before anything is written
         self.name, self.bases = options.get("name", ""), options.get("bases", "ACGT")
         self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        self.work = os.path.join(self.folder, f"_work-{self.job}")
+        self.work = store.join(self.folder, f"_work-{self.job}")
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        folder = os.path.join(self.work, str(context.taskAttemptId()))
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"part-{self.job}-{context.partitionId():06d}{self.suffix}")
+        folder = store.join(self.work, str(context.taskAttemptId()))
+        store.make_folder(folder)
+        path = store.join(folder, f"part-{self.job}-{context.partitionId():06d}{self.suffix}")
         kind = kind_of(path)
-        if kind == "bctab":
-            n = blocks.write_text_table(path, ([(c or "").encode() for c in r["cells"]] for r in iterator))
+        if kind == "bsgrap":
+            out = packing.Graphs(path, self.name, self.bases)
+        elif kind == "bctab":
+            out = packing.TextTable(path)
         elif kind == "bcseq":
-            n = blocks.write_sequences(path, ((r["name"], r["seq"]) for r in iterator))
-        elif kind == "bsgrap":
-            n = blocks.write_graphs(path, self.name, self.bases, (r.asDict(True) for r in iterator))
+            out = packing.Sequences(path)
         elif kind == "bsalgn":
-            n = blocks.write_alignments(path, (r.asDict(True) for r in iterator))
+            out = packing.Alignments(path)
         else:
-            n = blocks.write_data(path, from_struct(self.schema), (list(r) for r in iterator))
-        return Done(folder, n)
+            out = packing.Data(path, from_struct(self.schema))
+        for batch in iterator:
+            out.add(batch)
+        out.close()
+        return Done(folder, out.rows)
 
     def commit(self, messages):
-        old = [f for f in os.listdir(self.folder) if not f.startswith("_work-")] if self.overwrite else []
+        store.make_folder(self.folder)
+        old = [f for f in store.names_in(self.folder) if not f.startswith("_work-")] if self.overwrite else []
         for done in messages:
             if done is not None:
-                for f in os.listdir(done.folder):
-                    os.replace(os.path.join(done.folder, f), os.path.join(self.folder, f))
+                for f in store.names_in(done.folder):
+                    store.move(store.join(done.folder, f), store.join(self.folder, f))
         for f in old:
-            os.remove(os.path.join(self.folder, f))
-        shutil.rmtree(self.work, ignore_errors=True)
+            store.remove(store.join(self.folder, f))
+        store.remove_folder(self.work)
 
     def abort(self, messages):
-        shutil.rmtree(self.work, ignore_errors=True)
+        store.remove_folder(self.work)
 
 
 class Strandline(DataSource):
@@ -189,8 +197,14 @@ class Strandline(DataSource):
         if not files:
             raise ValueError(f"no file with a known suffix in {self.options['path']}")
         kind = kind_of(files[0])
+        number = self.options.get("number")
         if kind in ("bdat", "bcdat"):
-            return to_struct(blocks.data_shape(files[0])[0])
+            own = to_struct(blocks.data_shape(files[0])[0])
+            if number in own.names:
+                raise ValueError(f"the table has a column {number}")
+            return T.StructType([T.StructField(number, T.LongType()), *own.fields]) if number else own
+        if kind == "bsalgn" and number:
+            return f"`{number}` long, {ALIGNMENTS}"
         return {"bctab": TEXT, "bcseq": SEQUENCES, "bsgrap": GRAPHS, "bsalgn": ALIGNMENTS}[kind]
 
     def reader(self, schema):
@@ -204,10 +218,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Strandline)
 
 
-def read(spark: SparkSession, path: str, rows: int = 65_536):
+def read(spark: SparkSession, path: str, rows: int = 65_536, number: str | None = None):
+    """Rows of a file or folder.  ``number`` names a column for the row's number in tables of typed columns and in alignments, whose
+    rows have a fixed width; bounds on it choose the rows that are read."""
     register(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("strandline").option("rows", str(rows)).load(path)
+    reader = spark.read.format("strandline").option("rows", str(rows))
+    return (reader.option("number", number) if number else reader).load(path)
 
 
 def write(df, folder: str, suffix: str, mode: str = "append", **options: str) -> None:

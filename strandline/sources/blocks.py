@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import bisect
 import gzip
-import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,8 +17,11 @@ import numpy as np
 import pyarrow as pa
 
 from ..schema import ColumnKind
+from . import store
 
 BLOCK, ENTRY = 65_536, 32
+#: Entries of a side file that are read at once.
+PAGE = 1024
 #: Of the compression of blocks: fast, as tables are written once and mostly read.
 LEVEL = 1
 CODES = {"cat": 1, "int": 2, "real": 3, "str": 4}
@@ -31,7 +33,7 @@ EVENTS = "MIiXxLl"
 class BlockWriter:
     def __init__(self, path: str, codec: str, size: int = BLOCK):
         self.codec, self.size, self.held = codec, size, bytearray()
-        self.data, self.notes = open(path, "wb"), open(path + ".blk", "wb")
+        self.data, self.notes = store.open_out(path), store.open_out(path + ".blk")
         self.before = self.after = 0
 
     def write(self, data: bytes) -> None:
@@ -63,16 +65,19 @@ class BlockReader:
 
     def __init__(self, path: str, codec: str):
         self.codec = codec
-        self.data = open(path, "rb")
-        size = os.path.getsize(path + ".blk")
-        if size % ENTRY:
+        self.data, self.notes = store.open_in(path), store.open_in(path + ".blk")
+        if self.notes.size() % ENTRY:
             raise ValueError(f"{path}.blk is truncated")
-        self.blocks = size // ENTRY
-        self.notes = np.memmap(path + ".blk", dtype=">u8", mode="r").reshape(-1, 4) if size else np.zeros((0, 4), ">u8")
+        self.blocks = self.notes.size() // ENTRY
+        self.page: tuple[int, np.ndarray] | None = None
         self.kept: tuple[int, bytes] | None = None
 
     def _entry(self, i: int) -> tuple[int, int, int, int]:
-        return tuple(self.notes[i].tolist())
+        if self.page is None or self.page[0] != i // PAGE:
+            at = i // PAGE * PAGE
+            self.notes.seek(at * ENTRY)
+            self.page = (i // PAGE, np.frombuffer(self.notes.read(min(PAGE, self.blocks - at) * ENTRY), ">u8").reshape(-1, 4))
+        return tuple(self.page[1][i % PAGE].tolist())
 
     def size(self) -> int:
         if not self.blocks:
@@ -107,16 +112,17 @@ class BlockReader:
 
     def close(self) -> None:
         self.data.close()
+        self.notes.close()
 
 
 class PlainReader:
     """The same over an uncompressed file."""
 
     def __init__(self, path: str):
-        self.data = open(path, "rb")
+        self.data = store.open_in(path)
 
     def size(self) -> int:
-        return os.fstat(self.data.fileno()).st_size
+        return self.data.size()
 
     def read(self, at: int, length: int) -> bytes:
         self.data.seek(at)
@@ -133,7 +139,7 @@ class BytesReader:
     """The same over bytes in memory, for whole-file gzip."""
 
     def __init__(self, path: str):
-        with gzip.open(path, "rb") as f:
+        with store.open_in(path) as raw, gzip.open(raw, "rb") as f:
             self.data = f.read()
 
     def size(self) -> int:
@@ -330,25 +336,6 @@ def pack_row(kinds: list[ColumnKind], values: list) -> bytes:
     return b"".join(out)
 
 
-def unpack_row(kinds: list[ColumnKind], names: list[dict[int, str]], data: bytes) -> list:
-    out, at = [], 0
-    for k, by_code in zip(kinds, names, strict=True):
-        missing = data[at] != 0
-        size = k.length if k.kind == "str" else 8
-        cell = data[at + 1 : at + 1 + size]
-        at += 1 + size
-        if missing:
-            out.append(None)
-        elif k.kind == "str":
-            out.append(cell.rstrip(b"\0").decode("utf-8", "replace"))
-        elif k.kind == "real":
-            out.append(struct.unpack(">d", cell)[0])
-        else:
-            (v,) = struct.unpack(">q", cell)
-            out.append(by_code.get(v) if k.kind == "cat" else v)
-    return out
-
-
 def data_reader(path: str):
     if path.endswith(".bcdat"):
         return BlockReader(path, codec_of(path))
@@ -369,19 +356,13 @@ def data_shape(path: str) -> tuple[list[ColumnKind], int, int]:
         reader.close()
 
 
-def read_data(path: str, first: int, stop: int) -> Iterator[tuple[int, list]]:
+def data_batches(path: str, first: int, stop: int, size: int = 16_384) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """Numbers and columns of rows of fixed width, in batches, by one structured NumPy type."""
     kinds, at, n = data_shape(path)
     reader, width = data_reader(path), row_bytes(kinds)
-    names = [{c: v for v, c in k.levels.items()} for k in kinds]
-    for i in range(first, min(stop, n)):
-        yield i, unpack_row(kinds, names, reader.read(at + i * width, width))
-
+    from .packing import row_kind
 
-def data_batches(path: str, first: int, stop: int, size: int = 16_384) -> Iterator[list[pa.Array]]:
-    """Columns of rows of fixed width, in batches, by one structured NumPy type."""
-    kinds, at, n = data_shape(path)
-    reader, width = data_reader(path), row_bytes(kinds)
-    row = np.dtype([(f"{what}{k}", t) for k, c in enumerate(kinds) for what, t in (("na", "u1"), ("v", f"V{c.length}" if c.kind == "str" else ">f8" if c.kind == "real" else ">i8"))])
+    row = row_kind(kinds)
     stop = min(stop, n)
     for i in range(first, stop, size):
         j = min(stop, i + size)
@@ -401,7 +382,7 @@ def data_batches(path: str, first: int, stop: int, size: int = 16_384) -> Iterat
             else:
                 raw = np.ascontiguousarray(v).tobytes()
                 out.append(pa.array([None if na else raw[x * c.length : (x + 1) * c.length].rstrip(b"\0").decode("utf-8", "replace") for x, na in enumerate(missing.tolist())], pa.string()))
-        yield out
+        yield np.arange(i, j), out
 
 
 def write_data(path: str, kinds: list[ColumnKind], rows: Iterable[list]) -> int:
@@ -444,12 +425,6 @@ def _sequence_parts(path: str) -> tuple[Offsets, Offsets]:
     return names, seqs
 
 
-def read_sequences(path: str, first: int, stop: int) -> Iterator[tuple[int, str, str]]:
-    names, seqs = _sequence_parts(path)
-    for i in range(first, min(stop, names.n)):
-        yield i, names.data.read(*names.span(i)).decode(), seqs.data.read(*seqs.span(i)).decode()
-
-
 def sequence_batches(path: str, first: int, stop: int, size: int = 4096) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
     """Numbers, names and sequences, in batches; a batch's names and sequences are read at once."""
     names, seqs = _sequence_parts(path)
@@ -510,38 +485,6 @@ def graph_shape(path: str) -> tuple[str, int, str, int, int]:
         index.close()
 
 
-def read_graphs(path: str, first: int, stop: int) -> Iterator[dict]:
-    codec = codec_of(path)
-    _, _, bases, at, n = graph_shape(path)
-    files = [BlockReader(path + s, codec) for s in GRAPH_PARTS]
-    ends = [f.size() for f in files[1:]]
-    entry = lambda i: struct.unpack(">10Q", files[0].read(at + 80 * i, 80))
-    width = 6 + len(bases)
-    for i in range(first, min(stop, n)):
-        here = entry(i)
-        stops = entry(i + 1)[:9] if i + 1 < n else ends
-        raw = [f.read(a, b - a) for f, a, b in zip(files[1:], here[:9], stops, strict=True)]
-        name, sizes, ins, outs, probs, link_p, seq, suffix, extra = raw
-        many = lambda data, kind, w: struct.unpack(f">{len(data) // w}{kind}", data)
-        sizes, ins, outs, suffix = (many(x, "Q", 8) for x in (sizes, ins, outs, suffix))
-        probs, link_p = many(probs, "f", 4), many(link_p, "f", 4)
-        if len(probs) != sum(width * s + 3 for s in sizes):
-            raise ValueError("another number of probabilities than contigs need")
-        contigs, k = [], 0
-        for size in sizes:
-            pos = []
-            for _ in range(size):
-                p = probs[k : k + width]
-                k += width
-                pos.append((*p[:6], list(p[6:])))
-            contigs.append((size, pos, tuple(probs[k : k + 3])))
-            k += 3
-        yield {
-            "graph_id": i, "name": name.decode(), "seq": seq.decode(), "extra": bytes(extra), "contigs": contigs, "in_links": list(zip(ins[::2], ins[1::2], strict=True)),
-            "out_links": [(a, b, p) for a, b, p in zip(outs[::2], outs[1::2], link_p, strict=True)], "num_links": here[9], "suffix": list(suffix),
-        }
-
-
 # ---- alignments
 
 
@@ -570,20 +513,6 @@ def alignments_size(path: str) -> int:
         index.close()
 
 
-def read_alignments(path: str, first: int, stop: int) -> Iterator[dict]:
-    codec = codec_of(path)
-    index, entries, n = BlockReader(path, codec), BlockReader(path + ".ent", codec), alignments_size(path)
-    names = ("read_index", "ref_index", "log_prob", "start_contig_ref", "start_index_ref", "start_contig_read", "start_index_read")
-    for i in range(first, min(stop, n)):
-        *values, begin = struct.unpack(">2Qd5Q", index.read(64 * i, 64))
-        end = struct.unpack(">Q", index.read(64 * i + 120, 8))[0] if i + 1 < n else entries.size() // 5
-        if end < begin:
-            raise ValueError("offsets do not ascend")
-        data = entries.read(5 * begin, 5 * (end - begin))
-        events = [(chr(data[k]), struct.unpack_from(">I", data, k + 1)[0]) for k in range(0, len(data), 5)]
-        yield dict(zip(names, values, strict=True)) | {"events": events}
-
-
 # ---- matrices and simulated loadings
 
 

@@ -30,7 +30,7 @@ def open_in(path: str):
 
 def open_out(path: str):
     files, name = system(path)
-    return files.open_output_stream(name)
+    return files.open_output_stream(name, compression=None)
 
 
 def size(path: str) -> int:

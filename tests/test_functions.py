@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -196,3 +197,57 @@ def test_rows_and_lookups(spark):
     assert one(spark, lookup.level_code(F.lit("b"), {"a": 0, "b": 1}))[0] == 1
     with pytest.raises(ValueError):
         rows.row_range(df, 5, 2)
+
+
+@pytest.mark.parametrize("chunk", [3, 16, 1024])
+def test_matches_of_every_place_against_a_walk(chunk, monkeypatch):
+    """Longest and shortest matches over chunks that cut the texts anywhere."""
+    monkeypatch.setattr(patterns, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    letters, lit, set_ = "abcd日", patterns.literal, patterns.charset
+    nodes = [set_("abc") + set_("abc").star(), lit("ab") + set_("bc").star() + lit("a"), (lit("a") | lit("ab")) + lit("c").star(), patterns.EMPTY, lit("aa").star(), lit("日") + set_("ab日").star()]
+    texts = ["".join(rng.choice(list(letters), int(rng.integers(0, 90)))) for _ in range(60)] + ["", "a" * 200]
+    for node in nodes:
+        auto = patterns.Automaton(node)
+        for longest in (True, False):
+            out, bounds = auto.tables.ends(texts, longest)
+            for t, low in zip(texts, bounds.tolist(), strict=False):
+                got = [-1 if v < 0 else v // auto.tables.kinds - i for i, v in enumerate(out[low : low + len(t) + 1].tolist())]
+                assert got == [auto.match(t, i, longest)[0] for i in range(len(t) + 1)]
+
+
+def test_patterns_take_time_in_proportion_to_the_text():
+    """A million equal letters, for which a walk from every place would take a million million steps."""
+    letters = patterns.charset("abc")
+    began = time.perf_counter()
+    assert patterns.Automaton(letters + letters.star()).find_long("x" + "a" * 1_000_000) == (1, 1_000_000)
+    found, rest = patterns.Automaton(patterns.literal("a"), patterns.literal("a").star() + patterns.literal("b")).tokens("a" * 300_000 + "c")
+    assert len(found) == 300_000 and rest == "c" and time.perf_counter() - began < 30
+
+
+def test_tokens_as_a_table_function(spark):
+    patterns.register_tokenizer(spark, "tokens_of", patterns.charset("ab") + patterns.charset("ab").star(), patterns.literal("ab"), patterns.literal(" "))
+    spark.createDataFrame([(1, "ab ba!x"), (2, ""), (3, None), (4, "!")], "k long, s string").createOrReplaceTempView("said")
+    got = spark.sql("SELECT k, t.* FROM said, LATERAL tokens_of(s) t").collect()
+    assert sorted((r.k, r.place, r.token, tuple(r.types), r.rest) for r in got) == [(1, 0, "ab", (0, 1), "!x"), (1, 1, " ", (2,), "!x"), (1, 2, "ba", (0,), "!x")]
+    udf = patterns.tokenize_with_rest_udf(patterns.literal("a"))
+    assert [(r.x.rest if r.x.rest is not None else None, None if r.x.tokens is None else len(r.x.tokens)) for r in spark.table("said").orderBy("k").select(udf("s").alias("x")).collect()] == [("b ba!x", 1), ("", 0), (None, None), ("!", 0)]
+
+
+def test_exact_places_of_ranks(spark):
+    rng = np.random.default_rng(2)
+    values = [float(v) for v in rng.normal(0, 1e6, 700)] + [3.5] * 500 + [-1e308, 1e308, 5e-324, 0.0, 1.0, 1.0 + 2**-52] + [float(v) for v in rng.integers(0, 4, 300)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, math.nan]], "x double").repartition(5)
+    for parts in (2, 7, 100):
+        s = sorted(values)
+        want = [s[-(-len(s) * k // parts) - 1] for k in range(1, parts)]
+        assert rows.split_places(df, "x", parts) == [(x, sum(v < x for v in s), sum(v <= x for v in s)) for x in want]
+    assert rows.split_places(df.limit(0), "x", 4) == []
+
+
+def test_loads_and_multisets_of_any_number(spark):
+    df = spark.createDataFrame([(1, k % 3, k) for k in range(100)] + [(2, 1, 5)], "g long, a int, n long")
+    got = sorted(map(tuple, aggregates.loading_by_allele(df, ["g"], "a", "n", 4).collect()))
+    assert got == [(1, a, sum(k for k in range(100) if k % 3 == a)) for a in range(4)] + [(2, a, 5 if a == 1 else 0) for a in range(4)]
+    many = df.groupBy("g").agg(F.collect_list("a").alias("x")).select("g", F.size(aggregates.canonical_multiset(F.col("x"))).alias("n"))
+    assert sorted(map(tuple, many.collect())) == [(1, 100), (2, 1)]
