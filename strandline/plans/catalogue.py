@@ -1128,3 +1128,20 @@ def stream_sequences(spark, sf_dir):
     run = stream_fasta(spark, folder, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), out + "-state", 2, True)
     run.awaitTermination()
     return spark.read.parquet(out).select("name", "seq", (F.col("batch") < 2).alias("in_a_batch"))
+
+
+@query("SELECT r - 1 AS row_id, o_orderkey, o_totalprice, (r - 1) * 3 // n AS batch FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders)")
+def stream_block_sets(spark, sf_dir):
+    """Orders appended in three sets, read as a stream that stops after the first and goes on, and kept as block files by a stream; every row once, numbered throughout."""
+    from ..streaming import stream_blocks, write_blocks
+
+    folder, out = shared_path(spark), shared_path(spark)
+    n = table(spark, sf_dir, "orders").count()
+    t = rows.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), "at")
+    for k in range(3):
+        own = t.filter(F.col("at") * 3 >= F.lit(k * n)).filter(F.col("at") * 3 < F.lit((k + 1) * n))
+        binary.write(own.orderBy("at").select("o_orderkey", "o_totalprice"), folder, ".zlib.bcdat")
+        run = write_blocks(stream_blocks(spark, folder, number="row_id").withColumn("batch", F.lit(k).cast("bigint")), out, ".zlib.bcdat", out + "-state")
+        run.processAllAvailable()
+        run.stop()
+    return binary.read(spark, out)

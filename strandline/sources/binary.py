@@ -4,6 +4,9 @@
     spark.read.format("strandline").load("t.zlib.bctab")
     df.write.format("strandline").option("suffix", ".zlib.bctab").mode("append").save(folder)
 
+    spark.readStream.format("strandline").load(folder)
+    df.writeStream.format("strandline").option("suffix", ".zlib.bctab").start(folder)
+
 Paths and URIs are opened by the executors (see ``store``), so they must lie where all of them reach.  A task writes its set of files into
 a work folder of its own attempt; the driver moves the sets of the attempts that count into place when all are done, under
 names that follow those of earlier writes, and takes the work folder away.  So a repeated or abandoned attempt leaves
@@ -15,18 +18,21 @@ width) choose the rows that are read at all.  Readers and writers work on Arrow
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession, types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..schema import from_struct, to_struct
 from . import blocks, packing, store
 
 SUFFIXES = (".raw.bctab", ".zlib.bctab", ".raw.bcdat", ".zlib.bcdat", ".bdat", ".bdat.gz", ".bdat.gzip", ".raw.bcseq", ".zlib.bcseq", ".raw.bsgrap", ".zlib.bsgrap", ".raw.bsalgn", ".zlib.bsalgn")
+#: Begins the name of the note of a commit, which the time of the commit follows.
+NOTE = "_set-"
 #: Columns that hold the number of a row.
 NUMBERS = {("row_id",), ("seq_id",), ("graph_id",)}
 TEXT = "row_id long, cells array<string>"
@@ -173,18 +179,102 @@ class Writer(DataSourceArrowWriter):
         return Done(folder, out.rows)
 
     def commit(self, messages):
+        self._commit(messages, {})
+
+    def _commit(self, messages, said: dict) -> None:
+        """Moves the sets into place, then names them in a note, which readers of streams go by."""
         store.make_folder(self.folder)
         old = [f for f in store.names_in(self.folder) if not f.startswith("_work-")] if self.overwrite else []
+        sets = []
         for done in messages:
             if done is not None:
                 for f in store.names_in(done.folder):
                     store.move(store.join(done.folder, f), store.join(self.folder, f))
+                    if f.endswith(SUFFIXES):
+                        sets.append((f, done.rows))
         for f in old:
             store.remove(store.join(self.folder, f))
-        store.remove_folder(self.work)
+        note = {"sets": sorted(sets), **said}
+        with store.open_out(store.join(self.folder, f"{NOTE}{time.time_ns():020d}-{self.job}")) as f:
+            f.write(json.dumps(note).encode())
+        self._clear(messages)
 
     def abort(self, messages):
-        store.remove_folder(self.work)
+        self._clear(messages)
+
+    def _clear(self, messages) -> None:
+        """Takes the work folders away; in a stream the tasks' writer need not be this one."""
+        for work in {self.work, *(done.folder.rpartition("/")[0] for done in messages if done is not None)}:
+            store.remove_folder(work)
+
+
+class StreamWriter(Writer, DataSourceStreamArrowWriter):
+    """Appends a set for each batch of a stream; a batch that comes again after a failure leaves the set that is there."""
+
+    def __init__(self, options: dict, schema: T.StructType):
+        super().__init__(options, schema, False)
+        self.stream = options.get("stream", "")
+
+    def commit(self, messages, batchId):
+        if any((n.get("stream"), n.get("batch")) == (self.stream, batchId) for _, n in notes_in(self.folder)):
+            self._clear(messages)
+        else:
+            self._commit(messages, {"stream": self.stream, "batch": batchId})
+
+    def abort(self, messages, batchId):
+        self._clear(messages)
+
+
+def notes_in(folder: str, after: str = "") -> list[tuple[str, dict]]:
+    """Names and contents of a folder's notes in order of commit, those after a name."""
+    out = []
+    for name in store.names_in(folder) if store.is_folder(folder) else []:
+        if name.startswith(NOTE) and name > after:
+            with store.open_in(store.join(folder, name)) as f:
+                out.append((name, json.loads(f.read())))
+    return out
+
+
+class StreamReader(DataSourceStreamReader):
+    """The sets that are committed to a folder, in order of commit; an offset is the last note and the rows up to it.
+
+    Row numbers go on from batch to batch.  ``sets`` bounds the commits of a batch (all that are there, if it is 0).
+    """
+
+    def __init__(self, options: dict):
+        self.folder, self.number = options["path"], options.get("number")
+        self.grain, self.most = int(options.get("rows", 65_536)), int(options.get("sets", 0))
+        self.last = self.initialOffset()
+
+    def initialOffset(self):
+        return {"note": "", "rows": 0}
+
+    def latestOffset(self):
+        found = notes_in(self.folder, self.last["note"])
+        for name, note in found[: self.most or None]:
+            self.last = {"note": name, "rows": self.last["rows"] + sum(n for _, n in note["sets"])}
+        return self.last
+
+    def partitions(self, start, end):
+        out, before = [], start["rows"]
+        self.last = max(self.last, end, key=lambda o: o["note"])
+        for name, note in notes_in(self.folder, start["note"]):
+            if name > end["note"]:
+                break
+            for file, n in note["sets"]:
+                path = store.join(self.folder, file)
+                grain = max(n, 1) if file.endswith((".gz", ".gzip")) else self.grain
+                out += [Rows(path, i, min(n, i + grain), before) for i in range(0, n, grain)]
+                before += n
+        return out or [Rows("", 0, 0, 0)]
+
+    def read(self, part: Rows):
+        reader = Reader.__new__(Reader)
+        reader.number = self.number
+        yield from reader.read(part)
+
+    def commit(self, end):
+        pass  # sets stay where they are
 
 
 class Strandline(DataSource):
@@ -213,6 +303,12 @@ class Strandline(DataSource):
     def writer(self, schema, overwrite):
         return Writer(self.options, schema, overwrite)
 
+    def streamReader(self, schema):
+        return StreamReader(self.options)
+
+    def streamWriter(self, schema, overwrite):
+        return StreamWriter(self.options, schema)
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Strandline)

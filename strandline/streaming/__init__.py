@@ -1,4 +1,4 @@
-"""The text-table path over streams: the same expressions on an unbounded frame."""
+"""The text-table path over streams: the same expressions on an unbounded frame; folders of block files as sources and sinks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import rows, typed
 from ..schema import ColumnKind
-from ..sources import reads, tables
+from ..sources import binary, reads, tables
 
 
 def stream_tsv(spark: SparkSession, folder: str, escapes: bool = True, files_per_trigger: int | None = None) -> DataFrame:
@@ -37,3 +37,17 @@ def stream_fasta(spark: SparkSession, folder: str, sink, checkpoint: str, files_
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_blocks(spark: SparkSession, folder: str, rows: int = 65_536, sets: int = 0, number: str | None = None) -> DataFrame:
+    """The rows of every set that is committed to a folder of block files, of which there must be one; row numbers go on from batch to batch."""
+    binary.register(spark)
+    source = spark.readStream.format("strandline").option("rows", str(rows)).option("sets", str(sets))
+    return (source.option("number", number) if number else source).load(folder)
+
+
+def write_blocks(df: DataFrame, folder: str, suffix: str, checkpoint: str, stream: str = ""):
+    """Starts a query that appends a set to a folder for each batch of a stream, once for each batch number of the named stream."""
+    binary.register(df.sparkSession)
+    writer = df.writeStream.format("strandline").option("suffix", suffix).option("stream", stream).option("checkpointLocation", checkpoint)
+    return writer.start(folder)

@@ -476,3 +476,33 @@ def test_packed_graphs_are_the_same_bytes(tmp_path):
     for first, stop in ((0, 60), (17, 41), (59, 99), (60, 70)):
         back = [dict(zip(kind.names, row, strict=True)) for _, columns in packing.graph_batches(a, first, stop, 9) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
         assert back == graphs[first:stop]
+
+
+def test_block_folders_as_streams(spark, tmp_path):
+    """Sets that arrive between and during runs are read once each, over a restart, and a batch that comes again adds nothing."""
+    from strandline.streaming import stream_blocks, write_blocks
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    frame = lambda a, b: spark.createDataFrame([([str(k)],) for k in range(a, b)], "cells array<string>").repartition(2)
+    binary.write(frame(0, 30), folder, ".zlib.bctab")
+    binary.write(frame(30, 31), folder, ".zlib.bctab")
+    start = lambda: write_blocks(stream_blocks(spark, folder, rows=7, sets=1).select("cells"), out, ".raw.bctab", str(tmp_path / "state"), "s")
+    run = start()
+    run.processAllAvailable()
+    binary.write(frame(31, 50), folder, ".zlib.bctab")
+    run.processAllAvailable()
+    run.stop()
+    binary.write(frame(50, 90), folder, ".zlib.bctab")
+    run = start()
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(int(r.cells[0]) for r in binary.read(spark, out).collect()) == list(range(90))
+    assert [n["batch"] for _, n in binary.notes_in(out)] == [0, 1, 2, 3]
+    writer = binary.StreamWriter({"path": out, "suffix": ".raw.bctab", "stream": "s"}, frame(0, 1).schema)
+    os.makedirs(os.path.join(writer.work, "5"))
+    blocks.write_text_table(os.path.join(writer.work, "5", "part-x.raw.bctab"), [[b"again"]])
+    writer.commit([binary.Done(os.path.join(writer.work, "5"), 1)], 3)
+    assert binary.read(spark, out).count() == 90 and not [f for f in os.listdir(out) if f.startswith("_work")]
+    numbers = spark.readStream.format("strandline").option("rows", "9").load(folder).select("row_id").writeStream.format("memory").queryName("numbers").trigger(availableNow=True).start()
+    numbers.awaitTermination()
+    assert sorted(r.row_id for r in spark.table("numbers").collect()) == list(range(90))
