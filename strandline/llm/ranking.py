@@ -8,8 +8,12 @@ differences of the features by Newton steps with a ridge.  The threshold is a qu
 that leaves below it the share of bad documents which best separates the labels.  Scores are logistic in
 the strength, placed so that the threshold has ``CUT``, with a slope fitted to the labels.
 
-Features (of the whole text, in one pass over its bytes): lengths, shares of symbols, digits, capitals,
-punctuation, bars and other bytes, lines, repeated lines, words and word runs, and short or long words, each also squared.
+Features (of the whole text): lengths, shares of symbols, digits, capitals, punctuation, bars and other bytes, lines, repeated
+lines, words and word runs, and short or long words, each also squared; and the content, one number.  The content is a
+Bradley-Terry strength of its own, linear in the shares of hashed words and of hashed character n-grams; in training, a document's
+content comes from a model of the other half of the sample, so that it says what content says of documents not seen; others get
+the mean of both.  Half of the
+pairs join documents of similar length, so that length does not stand for quality alone.
 
 Edge cases: null and empty texts have the features of an empty text and get a score like any other; documents that repeat
 get equal scores, and of those that share an id one teaches; labels that are null or name no document teach nothing; rows of
@@ -25,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .langid import remainder
+from .langid import grams, remainder
 from .textkit import U64, Texts, as_bytes, mix, shingles, slices, span_hashes
 
 #: Score of a document at the threshold.
 CUT = 0.3
+#: Places in the order of length from which a pair's other document comes; step of the gradients.
+NEAR, STEP = 20, 4.0
 CLASSES = {
     "capital": range(65, 91),
     "digit": range(48, 58),
@@ -41,6 +47,10 @@ CLASSES = {
     "newline": b"\n",
 }
 NAMES = ["words", "log_words", "word_length", "short", "long", "repeat_words", "repeat_pairs", "repeat_eights", "repeat_lines", "common_word", *CLASSES, "capital_words", "single_words"]
+#: Bits of the hashes of words and of character n-grams.
+BITS = 11
+#: Dimensions of the content.
+BUCKETS = 2 << BITS
 
 
 def _repeats(keys: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +95,63 @@ def features(texts: list[bytes | None]) -> np.ndarray:
     return np.stack([out[name] for name in NAMES], axis=1)
 
 
+def hashed(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words and of the character n-grams of the texts, each with the bounds by text."""
+    t = Texts(texts, lower=True)
+    found, bounds = grams(texts, BITS)
+    return [((t.hashes() >> U64(64 - BITS)).astype(np.int64), t.words), (found + (1 << BITS), bounds)]
+
+
+def shares(texts: list[bytes | None]) -> np.ndarray:
+    """By text the share of each bucket among its words, and among its n-grams."""
+    out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+    for found, bounds in hashed(texts):
+        n = np.diff(bounds)
+        owner = np.repeat(np.arange(len(texts)), n)
+        counts = np.bincount(owner * BUCKETS + found, minlength=out.size).reshape(out.shape)
+        out += (counts / np.maximum(n, 1)[:, None]).astype(np.float32)
+    return out
+
+
+def content(texts: list[bytes | None], weight: np.ndarray) -> np.ndarray:
+    """The strength of the texts' content: the mean weight of their words plus that of their n-grams."""
+    out = np.zeros(len(texts))
+    for found, bounds in hashed(texts):
+        total = np.append(0.0, np.cumsum(weight[found]))
+        out += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+    return out
+
+
+def pairs_of(label: np.ndarray, words: np.ndarray, pairs: int, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Good and bad documents to compare; in half of the pairs the bad one is among the nearest in length."""
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
+    bad = bad[np.argsort(words[bad], kind="stable")]
+    half = pairs // 2
+    near = np.searchsorted(words[bad], words[a[:half]]) + rng.integers(-NEAR, NEAR + 1, half)
+    b[:half] = bad[np.clip(near, 0, len(bad) - 1)]
+    return a, b
+
+
+def train_content(x: np.ndarray, label: np.ndarray, words: np.ndarray, pairs: int, seed: int, ridge: float = 2e-4, rounds: int = 120) -> np.ndarray:
+    """Weights of the buckets from preference pairs, by accelerated gradient steps; zeros with one class only."""
+    if len(set(label.tolist()) & {0, 1}) < 2:
+        return np.zeros(BUCKETS)
+    a, b = pairs_of(label, words, pairs, np.random.default_rng(seed))
+    scale = 1 / np.sqrt(x.mean(axis=0, dtype=np.float64) + 1e-5)
+    w = past = np.zeros(BUCKETS)
+    for k in range(rounds):
+        ahead = w + k / (k + 3) * (w - past)
+        s = x @ (ahead * scale).astype(np.float32)
+        p = 1 / (1 + np.exp(np.clip(s[a] - s[b], -50, 50)))  # of the wrong order
+        push = np.bincount(a, p, minlength=len(x)) - np.bincount(b, p, minlength=len(x))
+        past, w = w, ahead + STEP * ((push.astype(np.float32) @ x) * scale / pairs - ridge * ahead)
+    return np.round(w * scale, 6)
+
+
 @dataclass
 class Ranking:
+    weights: np.ndarray  #: of the buckets
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
@@ -102,18 +167,30 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def train(x: np.ndarray, label: np.ndarray, pairs: int = 40_000, ridge: float = 3.0, seed: int = 9) -> Ranking:
-    """Weights from preference pairs; the threshold as a quantile of the strengths."""
-    mean = x.mean(axis=0) if len(x) else np.zeros(len(NAMES))
-    scale = x.std(axis=0) + 1e-6 if len(x) else np.ones(len(NAMES))
-    model = Ranking(mean, scale, np.zeros(2 * len(NAMES)), 0.0, 1.0)
+def train(x: np.ndarray, label: np.ndarray, buckets: np.ndarray | None = None, pairs: int = 40_000, ridge: float = 3.0, seed: int = 9) -> Ranking:
+    """Weights from preference pairs; the threshold as a quantile of the strengths.
+
+    x: features of the documents, buckets: their shares of the buckets (none: the content is 0).
+    """
+    words = x[:, NAMES.index("log_words")] if len(x) else np.zeros(0)
+    weights, told = np.zeros(BUCKETS), np.zeros(len(x))
+    if buckets is not None and len(x):
+        half = np.random.default_rng(seed).permutation(len(x)) % 2 == 0
+        for own, other in ((half, ~half), (~half, half)):
+            one = train_content(buckets[other], label[other], words[other], pairs, seed)
+            told[own] = buckets[own] @ one
+            weights += one / 2
+    x = np.concatenate([x.reshape(len(x), len(NAMES)), told[:, None]], axis=1)
+    size = len(NAMES) + 1
+    mean = x.mean(axis=0) if len(x) else np.zeros(size)
+    scale = x.std(axis=0) + 1e-6 if len(x) else np.ones(size)
+    model = Ranking(weights, mean, scale, np.zeros(2 * size), 0.0, 1.0)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(bad):
         return model
     z = (x - mean) / scale
     z = np.clip(np.concatenate([z, z * z], axis=1), -30, 30)
-    rng = np.random.default_rng(seed)
-    a, b = rng.choice(good, pairs), rng.choice(bad, pairs)
+    a, b = pairs_of(label, words, pairs, np.random.default_rng(seed))
     d = z[a] - z[b]
     w = np.zeros(d.shape[1])
     for _ in range(12):  # Newton steps on the mean loss of the pairs
@@ -126,8 +203,8 @@ def train(x: np.ndarray, label: np.ndarray, pairs: int = 40_000, ridge: float =
     order = np.argsort(s, kind="stable")
     below = np.cumsum(label[order] == 0) - np.cumsum(label[order] == 1)  # right less wrong decisions, by place
     place = int(below.argmax())
-    quantile = (place + 1) / len(s)
-    model.threshold = float(np.quantile(s, quantile)) if below[place] > 0 else float(s.min()) - 1.0
+    # the quantile between that place and the next
+    model.threshold = float(s[order[place : place + 2]].mean()) if below[place] > 0 else float(s.min()) - 1.0
     margin = s - model.threshold
     best = np.inf
     for slope in np.geomspace(0.05, 5, 40):
@@ -146,14 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Ranking:
 
     def run(batches):
         for b in slices(batches):
-            x = features(as_bytes(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
+            texts = as_bytes(b.column("text"))
+            for k in range(0, len(texts), 256):
+                some = texts[k : k + 256]
+                rows = [r.astype("<f8").tobytes() for r in features(some)]
+                lists = [(np.flatnonzero(r).astype("<u2"), r) for r in shares(some)]
+                packed = [i.tobytes() + r[i].astype("<f4").tobytes() for i, r in lists]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(k, 256), b.column("quality").slice(k, 256), pa.array(rows, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "quality", "x", "s"])
 
-    got = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary")
-    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.*").collect()  # max_train rows of a fixed size
+    got = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x binary, s binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "s", "quality")).alias("r")).select("doc_id", "r.*").collect()  # max_train rows of a fixed size
     got = sorted(got, key=lambda r: r.doc_id)
     x = np.array([np.frombuffer(r.x, "<f8") for r in got]).reshape(-1, len(NAMES))
-    return train(x, np.array([r.quality for r in got], dtype=int))
+    buckets = np.zeros((len(got), BUCKETS), dtype=np.float32)
+    for k, r in enumerate(got):
+        n = len(r.s) // 6
+        buckets[k, np.frombuffer(r.s, "<u2", n)] = np.frombuffer(r.s, "<f4", n, 2 * n)
+    return train(x, np.array([r.quality for r in got], dtype=int), buckets)
 
 
 def score(docs: DataFrame, model: Ranking) -> DataFrame:
@@ -161,7 +247,8 @@ def score(docs: DataFrame, model: Ranking) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            s = model.score(features(as_bytes(b.column("text"))))
+            texts = as_bytes(b.column("text"))
+            s = model.score(np.concatenate([features(texts), content(texts, model.weights)[:, None]], axis=1))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")

@@ -132,11 +132,35 @@ def test_pairs_order_strengths():
     x = rng.normal(size=(600, len(ranking.NAMES)))
     label = (x[:, 3] + 0.3 * rng.normal(size=600) > -0.8).astype(int)
     m = ranking.train(x, label)
-    s = m.score(x)
+    s = m.score(np.concatenate([x, np.zeros((600, 1))], axis=1))
     assert np.mean((s >= ranking.CUT) == label) > 0.9
     assert s[label == 1].mean() > s[label == 0].mean() + 0.5
 
 
+def test_content_orders_documents_that_counts_cannot_tell():
+    """Equal lengths and shapes; only the words differ, and those of held-out documents are the same in other orders."""
+    rng = np.random.default_rng(4)
+    fine, poor = ([f"{c}{x:02d}" for x in range(40)] for c in "qv")
+    make = lambda good: " ".join(rng.choice(fine if good else poor, 12).tolist() + rng.choice([f"n{x:02d}" for x in range(60)], 48).tolist()).encode()
+    label = np.arange(500) % 2
+    texts = [make(k) for k in label]
+    x, buckets = ranking.features(texts), ranking.shares(texts)
+    m = ranking.train(x[:300], label[:300], buckets[:300])
+    told = ranking.content(texts, m.weights)
+    assert np.allclose(told, buckets @ m.weights, atol=1e-4)
+    s = m.score(np.concatenate([x, told[:, None]], axis=1))
+    assert np.mean((s[300:] >= ranking.CUT) == label[300:]) > 0.95
+    assert m.weights.tolist() == ranking.train(x[:300], label[:300], buckets[:300]).weights.tolist()
+
+
+def test_pairs_of_similar_length():
+    rng = np.random.default_rng(7)
+    label, words = np.arange(4000) % 2, rng.uniform(0, 9, 4000)
+    a, b = ranking.pairs_of(label, words, 1000, rng)
+    assert set(label[a]) == {1} and set(label[b]) == {0}
+    assert np.abs(words[a[:500]] - words[b[:500]]).max() < 0.3 < np.abs(words[a[500:]] - words[b[500:]]).mean()
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
     got = {r.doc_id: r for r in langid.language_of(docs, 400).collect()}
