@@ -262,6 +262,15 @@ def suffix_array(spark, sf_dir):
     return suffixes.ranked_suffixes(table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("t")), "item_id", "t")
 
 
+@query("""
+WITH j AS (SELECT string_agg(coalesce(text, '') || chr(10), '' ORDER BY item_id) AS t FROM benchmark)
+SELECT row_number() OVER (ORDER BY substr(t, pos::INTEGER + 1)) - 1 AS rank, pos FROM (SELECT t, unnest(range(0, length(t))) AS pos FROM j)
+""")
+def suffix_array_joined(spark, sf_dir):
+    """One suffix array over all items joined into one text, by joins and sorts."""
+    return suffixes.suffix_array_of(suffixes.joined_codes(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
 @query("""
 SELECT item_id, count(*) FILTER (substr(t, pos::INTEGER + 1) < 'th' ) AS lower_end,
        count(*) FILTER (substr(t, pos::INTEGER + 1, 2) = 'th') AS hits

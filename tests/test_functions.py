@@ -251,3 +251,21 @@ def test_loads_and_multisets_of_any_number(spark):
     assert got == [(1, a, sum(k for k in range(100) if k % 3 == a)) for a in range(4)] + [(2, a, 5 if a == 1 else 0) for a in range(4)]
     many = df.groupBy("g").agg(F.collect_list("a").alias("x")).select("g", F.size(aggregates.canonical_multiset(F.col("x"))).alias("n"))
     assert sorted(map(tuple, many.collect())) == [(1, 100), (2, 1)]
+
+
+@pytest.mark.parametrize("texts", [["banana", None, "", "banana", "ban"], ["日本ab" * 9, "x" * 300, "日本"], ["a"], []])
+def test_one_suffix_array_over_joined_texts(spark, texts):
+    """Repeats longer than a text, other alphabets, runs of equal letters."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").repartition(3)
+    whole = "".join((t or "") + "\n" for t in texts)
+    codes = suffixes.joined_codes(df, "k", "t")
+    assert "".join(chr(r.code) for r in codes.orderBy("pos").collect()) == whole
+    got = [r.pos for r in suffixes.suffix_array_of(codes).orderBy("rank").collect()]
+    assert got == sorted(range(len(whole)), key=lambda i: whole[i:]) == suffixes.suffix_array(whole).tolist()
+
+
+def test_one_suffix_array_over_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1500")
+    whole = "".join((r.text or "") + "\n" for r in docs.orderBy("doc_id", "text").collect())
+    got = suffixes.suffix_array_of(suffixes.joined_codes(docs, "doc_id", "text")).orderBy("rank").toPandas()
+    assert got["rank"].tolist() == list(range(len(whole))) and (got["pos"].to_numpy() == suffixes.suffix_array(whole)).all() and len(whole) > 50_000
