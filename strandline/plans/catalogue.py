@@ -970,6 +970,26 @@ def alignment_range(spark, sf_dir):
     return found.filter(right).select("row_id", "read_index", "ref_index", "log_prob", F.size("events").cast("bigint").alias("n_events"))
 
 
+@query("""
+WITH l AS (SELECT string_agg(o_orderkey || ' ' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS t FROM orders)
+SELECT k, substr(t, (k * 70001 + 5)::INTEGER + 1, 40) AS bytes FROM l, range(0, 3) r(k)
+""")
+def sealed_ranges(spark, sf_dir):
+    """Ranges of bytes of an enciphered file of orders, each deciphered without the rest."""
+    from ..sources import sealed
+
+    path, key = shared_path(spark), F.lit(bytes(range(16)))
+    lines = table(spark, sf_dir, "orders").orderBy("o_orderkey").coalesce(1).select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    sealed.write_sealed(lines, path, key, 11)
+    found = None
+    for k in range(3):
+        at = k * 70_001 + 5
+        pieces = sealed.read_sealed(spark, path, key, 11, at, at + 40)
+        one = pieces.agg(F.array_sort(F.collect_list(F.struct("at", "data"))).alias("x")).select(F.lit(k).cast("bigint").alias("k"), F.aggregate("x", F.lit(bytearray()), lambda acc, p: F.concat(acc, p["data"])).cast("string").alias("bytes"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("SELECT c_custkey, c_name || ';' || c_mktsegment AS rest, 2 AS width FROM customer")
 def delimited_roundtrip(spark, sf_dir):
     """A table with other delimiters: rows end in a bar, cells in a caret."""

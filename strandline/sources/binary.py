@@ -30,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..schema import from_struct, to_struct
 from . import blocks, packing, store
 
-SUFFIXES = (".raw.bctab", ".zlib.bctab", ".raw.bcdat", ".zlib.bcdat", ".bdat", ".bdat.gz", ".bdat.gzip", ".raw.bcseq", ".zlib.bcseq", ".raw.bsgrap", ".zlib.bsgrap", ".raw.bsalgn", ".zlib.bsalgn")
+SUFFIXES = (".raw.bctab", ".zlib.bctab", ".raw.bcdat", ".zlib.bcdat", ".bdat", ".bdat.gz", ".bdat.gzip", ".raw.bcseq", ".zlib.bcseq", ".raw.bsgrap", ".zlib.bsgrap", ".raw.bsalgn", ".zlib.bsalgn", ".sealed")
 #: Begins the name of the note of a commit, which the time of the commit follows.
 NOTE = "_set-"
 #: Columns that hold the number of a row.
@@ -51,6 +51,8 @@ def kind_of(path: str) -> str:
             return kind
     if path.endswith((".bdat", ".bdat.gz", ".bdat.gzip")):
         return "bdat"
+    if path.endswith(".sealed"):
+        return "sealed"
     raise ValueError(f"no binary format has the suffix of {path}")
 
 
@@ -165,6 +167,8 @@ class Writer(DataSourceArrowWriter):
         kind = kind_of(path)
         if kind == "bsgrap":
             out = packing.Graphs(path, self.name, self.bases)
+        elif kind == "sealed":
+            out = packing.Bytes(path)
         elif kind == "bctab":
             out = packing.TextTable(path)
         elif kind == "bcseq":

@@ -202,6 +202,21 @@ def alignment_batches(path: str, first: int, stop: int, size: int = 8192) -> Ite
         yield np.arange(i, j), [*columns, pa.ListArray.from_arrays(pa.array((begin - begin[0]).astype(np.int32)), events)]
 
 
+class Bytes:
+    """The data of a frame's rows, one after the other."""
+
+    def __init__(self, path: str):
+        self.out, self.rows = store.open_out(path), 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for data in batch.column("data").to_pylist():
+            self.out.write(data)
+        self.rows += batch.num_rows
+
+    def close(self) -> None:
+        self.out.close()
+
+
 GAPS = ("ins_open", "ins_ext", "ins_close", "del_open", "del_ext", "del_close")
 
 

@@ -155,7 +155,22 @@ class Scored:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in self.kind.names], names=list(self.kind.names))
 
 
-KINDS = {"matrix": Matrix, "loadings": Loadings, "scored": Scored}
+class Pieces:
+    """The bytes of a file in pieces of whole cipher blocks."""
+
+    width = 1 << 16
+
+    def __init__(self, file, options: dict):
+        self.begin, self.size = 0, file.size()
+        self.count = -(-self.size // self.width)
+        self.first, self.stop = int(options.get("first", 0)) // self.width, -(-int(options.get("stop", self.size)) // self.width)
+
+    def batch(self, data: bytes, first: int) -> pa.RecordBatch:
+        cut = [data[i : i + self.width] for i in range(0, len(data), self.width)]
+        return pa.RecordBatch.from_arrays([pa.array((first + np.arange(len(cut))) * self.width), pa.array(cut, pa.binary())], names=["at", "data"])
+
+
+KINDS = {"pieces": Pieces, "matrix": Matrix, "loadings": Loadings, "scored": Scored}
 
 
 class FixedReader(DataSourceReader):
@@ -170,7 +185,8 @@ class FixedReader(DataSourceReader):
             with store.open_in(path) as file:
                 shape = self.shape(file, self.options)
             step = max(1, self.part // shape.width)
-            out += [Piece(path, i, min(shape.count, i + step)) for i in range(0, shape.count, step)]
+            low, high = max(0, getattr(shape, "first", 0)), min(shape.count, getattr(shape, "stop", shape.count))
+            out += [Piece(path, i, min(high, i + step)) for i in range(low, high, step)]
         return out or [Piece("")]
 
     def read(self, part: Piece):
@@ -181,11 +197,13 @@ class FixedReader(DataSourceReader):
             step = max(1, RECORDS // shape.width)
             for i in range(part.first, part.stop, step):
                 n = min(part.stop, i + step) - i
+                wanted = min(n * shape.width, file.size() - shape.begin - i * shape.width)  # only the last piece of bytes may be shorter
                 file.seek(shape.begin + i * shape.width)
-                data = file.read(n * shape.width)
-                if len(data) != n * shape.width:
+                data = file.read(wanted)
+                if len(data) != wanted or (wanted != n * shape.width and self.options["kind"] != "pieces"):
                     raise ValueError("read beyond the end")
-                yield shape.batch(data, i)
+                batch = shape.batch(data, i)
+                yield batch.append_column("file", pa.array([part.path] * batch.num_rows, pa.string())) if self.options["kind"] == "pieces" else batch
 
 
 class Fixed(DataSource):

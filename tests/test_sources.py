@@ -506,3 +506,31 @@ def test_block_folders_as_streams(spark, tmp_path):
     numbers = spark.readStream.format("strandline").option("rows", "9").load(folder).select("row_id").writeStream.format("memory").queryName("numbers").trigger(availableNow=True).start()
     numbers.awaitTermination()
     assert sorted(r.row_id for r in spark.table("numbers").collect()) == list(range(90))
+
+
+def test_ranges_of_sealed_files(spark, tmp_path):
+    """Any range of bytes equals that of the whole; files of one folder share no block."""
+    from strandline.functions import crypto
+    from strandline.sources import sealed
+
+    key, folder = F.lit(bytes(range(32))), str(tmp_path / "s")
+    lines = spark.range(40_000).selectExpr("concat('row é ', id) AS value").repartition(2)
+    sealed.write_sealed(lines, folder, key, 5)
+    with pytest.raises(ValueError, match="used again"):
+        sealed.write_sealed(lines, folder, key, 5)
+    whole = {}
+    for r in sealed.read_sealed(spark, folder, key, 5).orderBy("file", "at").collect():
+        assert len(whole.setdefault(r.file, b"")) == r.at
+        whole[r.file] += r.data
+    told = b"".join(whole.values()).decode().split("\n")[:-1] if len(whole) == 2 else []
+    assert sorted(told) == sorted(f"row é {k}" for k in range(40_000)) and min(map(len, whole.values())) > 2 * sealed.PIECE
+    file, plain = max(whole.items(), key=lambda x: len(x[1]))
+    on_disk = open(file.removeprefix("file://"), "rb").read()
+    assert len(on_disk) == len(plain) and on_disk[:64] != plain[:64]
+    rng = np.random.default_rng(1)
+    for low, size in [(0, 1), (15, 3), (sealed.PIECE - 1, 2), (len(plain) - 5, 50), *((int(a), int(b)) for a, b in zip(rng.integers(0, len(plain), 3), rng.integers(1, 150_000, 3), strict=True))]:
+        got = sealed.read_sealed(spark, file, key, 5, low, low + size).orderBy("at").collect()
+        assert b"".join(r.data for r in got) == plain[low : low + size] and got[0].at == low
+    part = int(file[-13:-7])
+    first = spark.range(1).select(crypto.counter_mode(F.lit(plain[:32]), key, 5, F.lit(part << 40).cast("bigint"))).first()[0]
+    assert first == on_disk[:32]
