@@ -945,13 +945,13 @@ def text_matrix(spark, sf_dir):
     return tables.read_matrix(spark, path)
 
 
-@query("SELECT s_suppkey, s_name, s_acctbal, r - 1 AS row_id FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier) WHERE r > 20 AND r <= 70")
+@query("SELECT c_custkey, c_name, c_acctbal, r - 1 AS row_id FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE r > 20 AND r <= 70")
 def data_range(spark, sf_dir):
     """Rows 20 to 69 of a table of fixed-width rows in several files, by their numbers; the bounds reach the reader."""
     path = shared_path(spark)
-    t = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    binary.write(t.repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey"), path, ".zlib.bcdat")
-    return rows.row_range(binary.read(spark, path, rows=16, number="row_id"), 20, 70).select("s_suppkey", "s_name", "s_acctbal", "row_id")
+    t = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    binary.write(t.repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey"), path, ".zlib.bcdat")
+    return rows.row_range(binary.read(spark, path, rows=16, number="row_id"), 20, 70).select("c_custkey", "c_name", "c_acctbal", "row_id")
 
 
 @query("SELECT r - 1 AS row_id, o_orderkey AS read_index, o_custkey AS ref_index, -o_totalprice AS log_prob, (1 + o_orderkey % 3)::BIGINT AS n_events FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r > 100 AND r <= 164")
