@@ -193,11 +193,14 @@ def train(x: np.ndarray, label: np.ndarray, buckets: np.ndarray | None = None, p
     a, b = pairs_of(label, words, pairs, np.random.default_rng(seed))
     d = z[a] - z[b]
     w = np.zeros(d.shape[1])
-    for _ in range(12):  # Newton steps on the mean loss of the pairs
+    for _ in range(60):  # Newton steps on the mean loss of the pairs
         p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # of the wrong order
         gradient = -(d * p[:, None]).mean(axis=0) + ridge / pairs * w
         hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + (ridge / pairs + 1e-6) * np.eye(len(w))
-        w -= np.linalg.solve(hessian, gradient)
+        step = np.linalg.solve(hessian, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-7:
+            break
     model.weight = w
     s = z @ w
     order = np.argsort(s, kind="stable")

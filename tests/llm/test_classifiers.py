@@ -221,10 +221,20 @@ def test_features_and_scores_against_plain_python(spark, small, odd):
     rows = sorted((r.doc_id, r.text) for r in small.collect() if r.doc_id in known)
     x = np.array([[plain_features(t)[name] for name in ranking.NAMES] for _, t in rows])
     y = np.array([known[i] for i, _ in rows])
+    # the content of each half from a model of the other; then of all, word by word and n-gram by n-gram, from the mean of both
+    length, buckets = x[:, ranking.NAMES.index("log_words")], ranking.shares([t and t.encode() for _, t in rows])
+    half = np.random.default_rng(9).permutation(len(x)) % 2 == 0
+    parts = {k: ranking.train_content(buckets[half == k], y[half == k], length[half == k], 40_000, 9) for k in (True, False)}
+    assert np.allclose(model.weights, (parts[True] + parts[False]) / 2)
+    told = np.array([float(buckets[i] @ parts[not half[i]]) for i in range(len(x))])
+    mean_of = lambda found: sum(model.weights[found]) / max(1, len(found))
+    words = [ranking.hashed([t and t.encode()])[0][0] for _, t in rows]
+    full = [mean_of(w) + mean_of([(1 << ranking.BITS) + g for g in plain_grams(t and t.encode(), ranking.BITS)]) for w, (_, t) in zip(words, rows, strict=True)]
+    final = np.concatenate([x, np.array(full)[:, None]], axis=1)
+    x = np.concatenate([x, told[:, None]], axis=1)
     z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
     z = np.clip(np.concatenate([z, z * z], axis=1), -30, 30)
-    rng = np.random.default_rng(9)
-    a, b = rng.choice(np.flatnonzero(y == 1), 40_000), rng.choice(np.flatnonzero(y == 0), 40_000)
+    a, b = ranking.pairs_of(y, length, 40_000, np.random.default_rng(9))
     d = z[a] - z[b]
 
     def loss(w):
@@ -236,11 +246,14 @@ def test_features_and_scores_against_plain_python(spark, small, odd):
             w = model.weight.copy()
             w[k] += step
             assert loss(w) >= best - 1e-7
-    strength = [float(sum(w * min(30, max(-30, v)) for w, v in zip(model.weight, [*u, *(q * q for q in u)], strict=True))) for u in (x - model.mean) / model.scale]
+    of = lambda rows_: [float(sum(w * min(30, max(-30, v)) for w, v in zip(model.weight, [*u, *(q * q for q in u)], strict=True))) for u in (rows_ - model.mean) / model.scale]
+    strength, learnt = of(final), of(x)
     wanted = {i: 1 / (1 + math.exp(-(model.slope * (s - model.threshold) + math.log(0.3 / 0.7)))) for (i, _), s in zip(rows, strength, strict=True)}
     scored = {r.doc_id: r.score for r in ranking.score(small, model).collect()}
     assert all(math.isclose(scored[i], s, rel_tol=1e-6, abs_tol=1e-9) for i, s in wanted.items())
-    assert any(abs(np.mean([s <= model.threshold + 1e-9 for s in strength]) - k / len(strength)) < 1e-9 for k in range(len(strength) + 1))
+    # the threshold lies between two of the sample's strengths, where most labels are on their side
+    right = lambda t: sum((s > t) == (q == 1) for s, q in zip(learnt, y, strict=True))
+    assert right(model.threshold) == max(map(right, [*learnt, min(learnt) - 1]))
 
 
 def plain_grams(text, bits):
