@@ -234,14 +234,14 @@ def _token_kinds():
 
 @query(r"""
 SELECT place, token, rest, count(*) AS n FROM (SELECT unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place, rest
-FROM (SELECT regexp_extract_all(regexp_extract(o_comment_, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', 0), '[A-Z]+|[0-9]+|[ .,:;-]') AS w, regexp_replace(o_comment_, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', '') AS rest
-FROM (SELECT o_orderpriority || '/' || CAST(o_orderkey % 7 AS VARCHAR) AS o_comment_ FROM orders))) GROUP BY ALL
+FROM (SELECT regexp_extract_all(regexp_extract(said, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', 0), '[A-Z]+|[0-9]+|[ .,:;-]') AS w, regexp_replace(said, '^(?:[A-Z]+|[0-9]+|[ .,:;-])*', '') AS rest
+FROM (SELECT upper(replace(s_name, '#', ' ')) || '/' || CAST(s_nationkey AS VARCHAR) AS said FROM supplier))) GROUP BY ALL
 """)
 def token_table(spark, sf_dir):
     """A tokenizer as a table function beside each row: the tokens with their places, and what no token fits."""
-    patterns.register_tokenizer(spark, "order_tokens", *_token_kinds())
-    source = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", (F.col("o_orderkey") % 7).cast("string")).alias("said"))
-    found = spark.sql("SELECT t.place, t.token, t.rest FROM {orders} o, LATERAL order_tokens(o.said) t", orders=source)
+    patterns.register_tokenizer(spark, "name_tokens", *_token_kinds())
+    source = table(spark, sf_dir, "supplier").select(F.concat_ws("/", F.upper(F.replace("s_name", F.lit("#"), F.lit(" "))), F.col("s_nationkey").cast("string")).alias("said"))
+    found = spark.sql("SELECT t.place, t.token, t.rest FROM {suppliers} s, LATERAL name_tokens(s.said) t", suppliers=source)
     return found.groupBy("place", "token", "rest").agg(F.count(F.lit(1)).alias("n"))
 
 
